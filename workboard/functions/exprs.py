@@ -122,13 +122,17 @@ def _default_for(dtype: T.DataType) -> Column:
 
 def conform(df: DataFrame, shape: T.StructType) -> DataFrame:
     """Map any result onto a declared report shape: columns are matched by
-    case-insensitive name and cast to the declared type; extra columns are
+    name ignoring case and underscores (``InProgressTasks`` matches
+    ``in_progress_tasks``) and cast to the declared type; extra columns are
     dropped; a missing column or a NULL value becomes the type's default
     (0 / '' / false) unless the field is nullable, in which case it stays NULL."""
-    by_lower = {c.lower(): c for c in df.columns}
+    def norm(name: str) -> str:
+        return name.lower().replace("_", "")
+
+    by_norm = {norm(c): c for c in df.columns}
     cols = []
     for f in shape.fields:
-        src = by_lower.get(f.name.lower())
+        src = by_norm.get(norm(f.name))
         value = F.col(f"`{src}`").cast(f.dataType) if src is not None else F.lit(None).cast(f.dataType)
         if not f.nullable:
             value = F.coalesce(value, _default_for(f.dataType))

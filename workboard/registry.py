@@ -58,3 +58,79 @@ def _overdue_tasks(d: Domain) -> DataFrame:
 @register("dashboard_stats")
 def _dashboard_stats(d: Domain) -> DataFrame:
     return reports.dashboard_stats(d.tasks, d.projects, d.users)
+
+
+# ---------------------------------------------------------------- views
+from pyspark.sql import functions as F  # noqa: E402
+
+from workboard.functions.exprs import conform  # noqa: E402
+from workboard.plans import views  # noqa: E402
+from workboard.sources import schemas as S  # noqa: E402
+
+
+@register("task_details")
+def _task_details(d: Domain) -> DataFrame:
+    return views.task_details(d.tasks, d.projects, d.users)
+
+
+@register("project_overview")
+def _project_overview(d: Domain) -> DataFrame:
+    return views.project_overview(d.projects, d.users, d.tasks)
+
+
+@register("user_overview")
+def _user_overview(d: Domain) -> DataFrame:
+    return views.user_overview(d.users, d.user_roles, d.roles)
+
+
+@register("tasks_by_user")
+def _tasks_by_user(d: Domain) -> DataFrame:
+    active = d.users.where(F.col("status") == "Active").select(F.col("id").alias("user_id"))
+    return views.tasks_by_user(d.tasks, d.projects, d.users, active)
+
+
+@register("task_page")
+def _task_page(d: Domain) -> DataFrame:
+    return views.task_page(d.tasks, d.projects, d.users, page=3, page_size=25,
+                           status="InProgress")
+
+
+@register("task_page_unparsed_status")
+def _task_page_unparsed(d: Domain) -> DataFrame:
+    return views.task_page(d.tasks, d.projects, d.users, page=2, page_size=20,
+                           status="NotAStatus")
+
+
+@register("task_page_info")
+def _task_page_info(d: Domain) -> DataFrame:
+    return views.task_page_info(d.tasks, page=3, page_size=25, status="InProgress")
+
+
+@register("project_page")
+def _project_page(d: Domain) -> DataFrame:
+    return views.project_page(d.projects, d.users, d.tasks, page=2, page_size=50)
+
+
+@register("user_page")
+def _user_page(d: Domain) -> DataFrame:
+    return views.user_page(d.users, d.user_roles, d.roles, page=2, page_size=10)
+
+
+@register("count_open_critical")
+def _count_open_critical(d: Domain) -> DataFrame:
+    return views.count(d.tasks, (F.col("priority") == "Critical")
+                       & ~F.col("status").isin(*S.CLOSED_STATUSES))
+
+
+@register("report_conform")
+def _report_conform(d: Domain) -> DataFrame:
+    # A raw procedure-style result: PascalCase / odd-case names, one column
+    # missing (-> 0), one extra column (dropped).
+    st = F.col("status")
+    raw = d.tasks.agg(
+        F.count(F.lit(1)).alias("TotalTasks"),
+        F.sum(F.when(st == "Pending", 1).otherwise(0)).alias("PENDINGTASKS"),
+        F.sum(F.when(st == "InProgress", 1).otherwise(0)).alias("InProgressTasks"),
+        F.sum(F.when(st == "Completed", 1).otherwise(0)).alias("completedtasks"),
+        F.max("id").alias("Junk"))
+    return conform(raw, S.TASK_SUMMARY_REPORT)
