@@ -63,13 +63,18 @@ def keyed_scan(
     *,
     row_number: str | None = None,
     carry: Mapping[str, str] | None = None,
+    carry_before: Mapping[str, str] | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``row_number`` (1-based position within the key group in ``order``)
-    and, for each ``out -> src`` in ``carry``, the last non-NULL value of
-    ``src`` up to and including the row. ``keys=[]`` scans the whole frame as
-    one group (dense global numbering)."""
+    """Add ``row_number`` (1-based position within the key group in ``order``);
+    for each ``out -> src`` in ``carry`` the last non-NULL value of ``src`` up
+    to and including the row; for each ``out -> src`` in ``carry_before`` the
+    same strictly before the row. ``keys=[]`` scans the whole frame as one
+    group (dense global numbering)."""
     carry = dict(carry or {})
+    carry_before = dict(carry_before or {})
+    sources = sorted(set(carry.values()) | set(carry_before.values()))
+    src_idx = {src: i for i, src in enumerate(sources)}
     keys = list(keys)
     order_cols = _order_cols(order)
     n = _parallelism(df, num_partitions)
@@ -86,15 +91,19 @@ def keyed_scan(
     w = Window.partitionBy(_PID, *key_names).orderBy(*order_cols)
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn(_LRN, F.row_number().over(w))
-    run_cols = {out: f"__ks_run_{out}" for out in carry}
-    for out, src in carry.items():
-        local = local.withColumn(run_cols[out], F.last(src, ignorenulls=True).over(w_run))
+    w_prev = w.rowsBetween(Window.unboundedPreceding, -1)
+    run_cols = {src: f"__ks_run_{i}" for src, i in src_idx.items()}
+    for src, col in run_cols.items():
+        local = local.withColumn(col, F.last(src, ignorenulls=True).over(w_run))
+    for out, src in carry_before.items():
+        local = local.withColumn(f"__ks_prev_{out}", F.last(src, ignorenulls=True).over(w_prev))
     local = local.persist(StorageLevel.MEMORY_AND_DISK)
     _PERSISTED.append(local)
 
     # One row per non-empty range partition.
     kstruct = F.struct(*[F.col(k) for k in key_names])
-    state = F.struct(F.col(_LRN).alias("cnt"), *[F.col(c).alias(o) for o, c in run_cols.items()])
+    state = F.struct(F.col(_LRN).alias("cnt"),
+                     *[F.col(c).alias(f"s{src_idx[src]}") for src, c in run_cols.items()])
     summary = local.groupBy(_PID).agg(
         F.min(kstruct).alias("first"),
         F.max(kstruct).alias("last"),
@@ -104,8 +113,8 @@ def keyed_scan(
     w_last = (Window.partitionBy("last").orderBy(_PID)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     summary = summary.withColumn("cum", F.sum("st.cnt").over(w_last))
-    for out in carry:
-        summary = summary.withColumn(f"cy_{out}", F.last(f"st.{out}", ignorenulls=True).over(w_last))
+    for i in src_idx.values():
+        summary = summary.withColumn(f"cy_{i}", F.last(f"st.s{i}", ignorenulls=True).over(w_last))
     # Single-partition window over the summary only: its size is the number of
     # range partitions, independent of data volume.
     w_pid = Window.orderBy(_PID)
@@ -114,8 +123,8 @@ def keyed_scan(
         F.col(_PID).alias("__ks_opid"),
         *[F.col("first").getField(k).alias(f"__ks_ok_{i}") for i, k in enumerate(key_names)],
         F.when(connected, F.lag("cum").over(w_pid)).otherwise(F.lit(0)).alias("__ks_off"),
-        *[F.when(connected, F.lag(f"cy_{out}").over(w_pid)).alias(f"__ks_in_{out}")
-          for out in carry],
+        *[F.when(connected, F.lag(f"cy_{i}").over(w_pid)).alias(f"__ks_in_{i}")
+          for i in src_idx.values()],
     )
     cond = F.col(_PID) == F.col("__ks_opid")
     for i, k in enumerate(key_names):
@@ -125,9 +134,14 @@ def keyed_scan(
     if row_number:
         joined = joined.withColumn(
             row_number, (F.col(_LRN) + F.coalesce(F.col("__ks_off"), F.lit(0))).cast("long"))
-    for out in carry:
-        joined = joined.withColumn(out, F.coalesce(F.col(run_cols[out]), F.col(f"__ks_in_{out}")))
-    helper = [c for c in joined.columns if c.startswith("__ks_")]
+    for out, src in carry.items():
+        joined = joined.withColumn(
+            out, F.coalesce(F.col(run_cols[src]), F.col(f"__ks_in_{src_idx[src]}")))
+    for out, src in carry_before.items():
+        joined = joined.withColumn(
+            out, F.coalesce(F.col(f"__ks_prev_{out}"), F.col(f"__ks_in_{src_idx[src]}")))
+    outputs = {row_number, *carry, *carry_before}
+    helper = [c for c in joined.columns if c.startswith("__ks_") and c not in outputs]
     return joined.drop(*helper)
 
 
@@ -140,5 +154,5 @@ def assign_ids(df: DataFrame, order: Sequence[Column | str], start: Column, out:
                num_partitions: int | None = None) -> DataFrame:
     """Dense identity values ``start + 1, start + 2, ...`` in ``order`` without a
     single-partition sort (``start`` is typically a scalar subquery of max id)."""
-    numbered = keyed_scan(df, [], order, row_number="__ks_rn", num_partitions=num_partitions)
-    return numbered.withColumn(out, (start + F.col("__ks_rn")).cast("long")).drop("__ks_rn")
+    numbered = keyed_scan(df, [], order, row_number="__ids_rn", num_partitions=num_partitions)
+    return numbered.withColumn(out, (start + F.col("__ids_rn")).cast("long")).drop("__ids_rn")

@@ -134,3 +134,85 @@ def _report_conform(d: Domain) -> DataFrame:
         F.sum(F.when(st == "Completed", 1).otherwise(0)).alias("completedtasks"),
         F.max("id").alias("Junk"))
     return conform(raw, S.TASK_SUMMARY_REPORT)
+
+
+# ---------------------------------------------------------------- change sets
+from workboard.plans import audit as audit_plans  # noqa: E402
+from workboard.plans import changes  # noqa: E402
+from workboard.sources.fixtures import PREVIOUS_CHECK, TOKENS_AS_OF  # noqa: E402
+
+
+def _create_tasks(d: Domain) -> changes.ChangeSet:
+    return changes.create_tasks(d.tasks, d.projects, d.users, d.task_creates, TASKS_AS_OF)
+
+
+def _patch_tasks(d: Domain) -> changes.ChangeSet:
+    return changes.patch_tasks(d.tasks, d.task_patches, TASKS_AS_OF)
+
+
+def _delete_projects(d: Domain) -> changes.ChangeSet:
+    return changes.delete_projects(d.projects, d.tasks, d.project_deletes, TASKS_AS_OF)
+
+
+def _create_users(d: Domain) -> changes.ChangeSet:
+    return changes.create_users(d.users, d.user_roles, d.roles, d.user_creates, TASKS_AS_OF)
+
+
+def _delete_users(d: Domain) -> changes.ChangeSet:
+    return changes.delete_users(d.users, d.projects, d.user_roles, d.refresh_tokens, d.tasks,
+                                d.user_deletes, TASKS_AS_OF)
+
+
+def _assign_roles(d: Domain) -> changes.ChangeSet:
+    return changes.assign_roles(d.user_roles, d.users, d.roles, d.role_assignments, TASKS_AS_OF)
+
+
+register("create_tasks")(lambda d: _create_tasks(d).accepted)
+register("create_tasks_rejected")(lambda d: _create_tasks(d).rejected)
+register("patch_tasks")(lambda d: _patch_tasks(d).table)
+register("patch_tasks_rejected")(lambda d: _patch_tasks(d).rejected)
+register("audit_update")(lambda d: _patch_tasks(d).audit)
+register("set_task_status")(
+    lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).table)
+register("set_task_status_affected")(
+    lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).accepted)
+register("bulk_update_status")(
+    lambda d: changes.bulk_update_status(d.tasks, d.bulk_ids, "InProgress", TASKS_AS_OF).accepted)
+register("delete_tasks")(lambda d: changes.delete_tasks(d.tasks, d.task_deletes, TASKS_AS_OF).table)
+register("delete_tasks_rejected")(
+    lambda d: changes.delete_tasks(d.tasks, d.task_deletes, TASKS_AS_OF).rejected)
+register("delete_projects")(lambda d: _delete_projects(d).table)
+register("delete_projects_tasks")(lambda d: _delete_projects(d).extra["tasks"])
+register("audit_delete")(lambda d: _delete_projects(d).audit)
+register("create_projects")(
+    lambda d: changes.create_projects(d.projects, d.users, d.project_creates, TASKS_AS_OF).accepted)
+register("patch_projects")(
+    lambda d: changes.patch_projects(d.projects, d.project_patches, TASKS_AS_OF).table)
+register("patch_projects_rejected")(
+    lambda d: changes.patch_projects(d.projects, d.project_patches, TASKS_AS_OF).rejected)
+register("create_users")(lambda d: _create_users(d).accepted)
+register("create_users_rejected")(lambda d: _create_users(d).rejected)
+register("create_users_roles")(lambda d: _create_users(d).extra["new_links"])
+register("patch_users")(lambda d: changes.patch_users(d.users, d.user_patches, TASKS_AS_OF).table)
+register("patch_users_rejected")(
+    lambda d: changes.patch_users(d.users, d.user_patches, TASKS_AS_OF).rejected)
+register("delete_users")(lambda d: _delete_users(d).table)
+register("delete_users_rejected")(lambda d: _delete_users(d).rejected)
+register("delete_users_tasks")(lambda d: _delete_users(d).extra["tasks"])
+register("audit_set_null")(lambda d: _delete_users(d).audit)
+register("assign_roles")(lambda d: _assign_roles(d).accepted)
+register("assign_roles_rejected")(lambda d: _assign_roles(d).rejected)
+register("remove_roles")(lambda d: changes.remove_roles(d.user_roles, d.role_removals).table)
+register("remove_roles_rejected")(
+    lambda d: changes.remove_roles(d.user_roles, d.role_removals).rejected)
+register("token_status")(lambda d: changes.token_status(d.refresh_tokens, TOKENS_AS_OF))
+register("active_tokens_per_user")(
+    lambda d: changes.active_tokens_per_user(d.refresh_tokens, TOKENS_AS_OF))
+
+# ---------------------------------------------------------------- audit
+register("audit_insert")(
+    lambda d: audit_plans.audit_insert(d.tasks, _create_tasks(d).table, TASKS_AS_OF))
+register("audit_history")(lambda d: audit_plans.audit_history(d.audit_logs))
+register("overdue_since")(
+    lambda d: audit_plans.overdue_since(d.tasks, PREVIOUS_CHECK, TASKS_AS_OF))
+register("audit_lines")(lambda d: audit_plans.audit_lines(d.audit_logs))
