@@ -216,3 +216,26 @@ register("audit_history")(lambda d: audit_plans.audit_history(d.audit_logs))
 register("overdue_since")(
     lambda d: audit_plans.overdue_since(d.tasks, PREVIOUS_CHECK, TASKS_AS_OF))
 register("audit_lines")(lambda d: audit_plans.audit_lines(d.audit_logs))
+
+# ---------------------------------------------------------------- quality
+from workboard.plans import quality  # noqa: E402
+
+
+def _all_tables(d: Domain, users: DataFrame | None = None,
+                tasks: DataFrame | None = None) -> dict[str, DataFrame]:
+    return {"users": users if users is not None else d.users, "roles": d.roles,
+            "user_roles": d.user_roles, "projects": d.projects,
+            "tasks": tasks if tasks is not None else d.tasks,
+            "audit_logs": d.audit_logs, "refresh_tokens": d.refresh_tokens}
+
+
+register("unique_violations")(lambda d: quality.unique_violations(**_all_tables(d)))
+register("unique_violations_staged")(
+    lambda d: quality.unique_violations(**_all_tables(d, users=d.staged_users)))
+register("fk_violations")(lambda d: quality.fk_violations(
+    d.users, d.roles, d.user_roles, d.projects, d.tasks, d.refresh_tokens))
+register("fk_violations_staged")(lambda d: quality.fk_violations(
+    d.staged_users, d.roles, d.user_roles, d.projects, d.staged_tasks, d.refresh_tokens))
+register("domain_violations")(lambda d: quality.domain_violations(_all_tables(d)))
+register("domain_violations_staged")(lambda d: quality.domain_violations(
+    {"users": d.staged_users, "tasks": d.staged_tasks}))

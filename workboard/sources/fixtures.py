@@ -286,6 +286,32 @@ class Domain:
         return u.select(F.col("id").alias("seq"), F.col("id").alias("user_id"),
                         F.lit(2).cast("long").alias("role_id"))
 
+    # ----------------------------------------------- staged (unchecked) loads
+    @cached_property
+    def staged_users(self) -> DataFrame:
+        """Users plus the create requests loaded as rows without any checks
+        (what a raw bulk load would produce); input of the quality reports."""
+        r = self.user_creates
+        rows = r.select(
+            (F.col("seq") + STAGED_ID_OFFSET).alias("id"), "username", "email", "password_hash",
+            "first_name", "last_name", F.lit("Active").alias("status"),
+            ts_lit(TASKS_AS_OF).alias("created_at"), _null("timestamp_ntz").alias("updated_at"))
+        return self.users.unionByName(rows)
+
+    @cached_property
+    def staged_tasks(self) -> DataFrame:
+        r = self.task_creates
+        rows = r.select(
+            (F.col("seq") + STAGED_ID_OFFSET).alias("id"), "title", "description",
+            F.lit("Pending").alias("status"), "priority", "due_date", "project_id",
+            "assigned_to_id", ts_lit(TASKS_AS_OF).alias("created_at"),
+            _null("timestamp_ntz").alias("updated_at"), _null("timestamp_ntz").alias("completed_at"))
+        return self.tasks.unionByName(rows)
+
+
+# Ids of staged rows start above every fixture id.
+STAGED_ID_OFFSET = 1_000_000_000
+
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
     return Domain(spark, sf_dir)
