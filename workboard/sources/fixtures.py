@@ -276,15 +276,21 @@ class Domain:
 
     @cached_property
     def role_assignments(self) -> DataFrame:
-        u = self.users.where(F.col("status") == "Active")
-        return u.select(F.col("id").alias("seq"), F.col("id").alias("user_id"),
-                        F.lit(1).cast("long").alias("role_id"))
+        """Active users get Admin; those with a balance under 2000 ask for the
+        User role they already hold (CONFLICT)."""
+        s = self.raw("supplier").where(F.col("s_acctbal") >= 1000)
+        return s.select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("user_id"),
+                        F.when(F.col("s_acctbal") < 2000, 2).otherwise(1).cast("long")
+                        .alias("role_id"))
 
     @cached_property
     def role_removals(self) -> DataFrame:
-        u = self.users.where(F.col("status") != "Active")
-        return u.select(F.col("id").alias("seq"), F.col("id").alias("user_id"),
-                        F.lit(2).cast("long").alias("role_id"))
+        """Inactive users drop the User role; suspended users ask to drop an
+        Admin role they do not hold (NOT_FOUND)."""
+        s = self.raw("supplier").where(F.col("s_acctbal") < 1000)
+        return s.select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("user_id"),
+                        F.when(F.col("s_acctbal") < 0, 1).otherwise(2).cast("long")
+                        .alias("role_id"))
 
     # ----------------------------------------------- staged (unchecked) loads
     @cached_property
