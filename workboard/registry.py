@@ -15,10 +15,13 @@ from workboard.sources.fixtures import TASKS_AS_OF, Domain
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+# The same queries over any Domain (inline mapping or stored tables).
+BUILDERS: dict[str, Callable[[Domain], DataFrame]] = {}
 
 
 def register(name: str):
     def deco(fn: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame]:
+        BUILDERS[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(Domain(spark, sf_dir))
         return fn
     return deco

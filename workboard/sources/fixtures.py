@@ -321,3 +321,28 @@ STAGED_ID_OFFSET = 1_000_000_000
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
     return Domain(spark, sf_dir)
+
+
+DOMAIN_TABLES = ["users", "roles", "user_roles", "projects", "tasks", "audit_logs",
+                 "refresh_tokens"]
+
+
+def materialize(d: Domain, root: str) -> None:
+    """Write the mapped domain tables with their storage layout (the load
+    step of a deployment; queries then read stored tables)."""
+    from workboard.sources.sinks import write_table
+    for t in DOMAIN_TABLES:
+        write_table(getattr(d, t), f"{root.rstrip('/')}/{t}", t, mode="overwrite")
+
+
+class StoredDomain(Domain):
+    """Domain tables read from a materialized root (declared schemas, pruned
+    and filtered at the scan); request tables are still derived from the
+    driver's tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+        super().__init__(spark, sf_dir)
+        self.root = root.rstrip("/")
+        from workboard.sources.sinks import read_table
+        for t in DOMAIN_TABLES:
+            self.__dict__[t] = read_table(spark, f"{self.root}/{t}", t)
