@@ -337,6 +337,15 @@ def create_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
                      extra={"user_roles": user_roles.unionByName(links), "new_links": links})
 
 
+def register_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
+                   requests: DataFrame, as_of: AsOf) -> ChangeSet:
+    """C8, self-registration form: same checks as ``create_users``; every new
+    user gets exactly the default User role, whatever the request lists."""
+    own = requests.withColumn("role_ids", F.array(
+        F.lit(S.SELF_REGISTRATION_ROLE_ID).cast("long")))
+    return create_users(users, user_roles, roles, own, as_of)
+
+
 def patch_users(users: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet:
     """Email / first / last name / status; NULL = unchanged; an
     unparseable status is ignored; unknown ids are NOT_FOUND. A new email that

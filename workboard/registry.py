@@ -196,6 +196,8 @@ register("patch_projects_rejected")(
 register("create_users")(lambda d: _create_users(d).accepted)
 register("create_users_rejected")(lambda d: _create_users(d).rejected)
 register("create_users_roles")(lambda d: _create_users(d).extra["new_links"])
+register("register_users_roles")(lambda d: changes.register_users(
+    d.users, d.user_roles, d.roles, d.user_creates, TASKS_AS_OF).extra["new_links"])
 register("patch_users")(lambda d: changes.patch_users(d.users, d.user_patches, TASKS_AS_OF).table)
 register("patch_users_rejected")(
     lambda d: changes.patch_users(d.users, d.user_patches, TASKS_AS_OF).rejected)
