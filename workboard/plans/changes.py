@@ -130,8 +130,10 @@ def patch_tasks(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet
     ids = tasks.select(F.col("id").alias("__tid"))
     known = requests.join(ids, requests.id == F.col("__tid"), "left_semi")
     missing = requests.join(ids, requests.id == F.col("__tid"), "left_anti")
-    parsed = known.withColumn("status", task_status("status")) \
-                  .withColumn("priority", task_priority("priority"))
+    # Unknown ids need no pre-filter here: the left join from tasks (new
+    # table) and the inner join with the stored rows (audit) drop them.
+    parsed = requests.withColumn("status", task_status("status")) \
+                     .withColumn("priority", task_priority("priority"))
     done = F.max(F.coalesce(F.col("status") == "Completed", F.lit(False))).alias("__done")
     folded = fold_latest(parsed, "id", PATCH_FIELDS, extra_aggs=[done])
     f = folded.select(F.col("id").alias("__fk"), *[F.col(c).alias(f"__new_{c}")
