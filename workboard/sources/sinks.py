@@ -52,6 +52,19 @@ LAYOUTS = {
 }
 
 
+BUCKETS_CONF = "spark.workboard.tasks.buckets"
+
+
+def bucket_count(spark: SparkSession, table: str) -> int:
+    """Buckets of a bucketed table: ``spark.workboard.tasks.buckets`` if set
+    (size it so one bucket holds about 1-2 GB at the target scale), else the
+    layout default. Writers and rewriters of one table must agree."""
+    lay = LAYOUTS[table]
+    if not lay.buckets:
+        return 0
+    return int(spark.conf.get(BUCKETS_CONF, str(lay.buckets)))
+
+
 def bucket_of(id_col, buckets: int):
     return F.pmod(F.xxhash64(id_col.cast("long")), F.lit(buckets)).cast("int")
 
@@ -59,7 +72,7 @@ def bucket_of(id_col, buckets: int):
 def with_layout_columns(df: DataFrame, table: str) -> DataFrame:
     lay = LAYOUTS[table]
     if lay.buckets:
-        df = df.withColumn(BUCKET_COL, bucket_of(F.col("id"), lay.buckets))
+        df = df.withColumn(BUCKET_COL, bucket_of(F.col("id"), bucket_count(df.sparkSession, table)))
     if DATE_COL in lay.partition_by:
         df = df.withColumn(DATE_COL, F.to_date("performed_at"))
     return df
@@ -100,7 +113,7 @@ def rewrite_touched(spark: SparkSession, path: str, table: str, new_table: DataF
     lay = LAYOUTS[table]
     if not lay.buckets:
         raise ValueError(f"{table} is not bucketed; write a new snapshot instead")
-    touched = (touched_ids.select(bucket_of(F.col("id"), lay.buckets).alias("__b"))
+    touched = (touched_ids.select(bucket_of(F.col("id"), bucket_count(spark, table)).alias("__b"))
                .distinct())
     changed = with_layout_columns(new_table, table)
     changed = changed.join(touched, changed[BUCKET_COL] == F.col("__b"), "left_semi")
