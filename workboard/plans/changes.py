@@ -29,7 +29,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.functions.exprs import (as_ts, audit_update_image, parse_enum, task_priority,
+from workboard.functions.exprs import (as_ts, audit_update_image, json_image, task_priority,
                                        task_status, text_key, user_status)
 from workboard.operators.keyed_scan import assign_ids, keyed_scan
 from workboard.plans.audit import audit_rows
@@ -175,7 +175,6 @@ def patch_tasks(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet
 
 
 def _update_json(values: dict[str, Column]) -> Column:
-    from workboard.functions.exprs import json_image
     return json_image(("Title", values["title"]), ("Status", values["status"]),
                       ("Priority", values["priority"]),
                       ("AssignedToId", values["assigned_to_id"]))
@@ -478,5 +477,3 @@ def active_tokens_per_user(refresh_tokens: DataFrame, as_of: AsOf) -> DataFrame:
     return st.where("is_active").groupBy("user_id").agg(
         F.count(F.lit(1)).cast("long").alias("active_tokens"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["parse_enum"]
