@@ -128,3 +128,19 @@ def test_token_status(spark):
           for r in changes.token_status(toks, t0).collect()}
     assert st == {1: (False, False, True), 2: (False, True, False), 3: (True, False, False),
                   4: (False, True, False)}
+
+
+def test_keyset_pages_chain_equals_offset_pages(spark):
+    from workboard.operators import paging
+    from workboard.sources.fixtures import Domain
+    from conftest import SF_SMALL
+    t = Domain(spark, SF_SMALL).tasks
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    after, seen = None, []
+    for page in range(1, 4):
+        rows = paging.keyset_page(t, ["created_at", "id"], after, 50).collect()
+        off = paging.page(t, order, page, 50).collect()
+        assert [r.id for r in rows] == [r.id for r in off]
+        after = (rows[-1].created_at, rows[-1].id)
+        seen += [r.id for r in rows]
+    assert len(set(seen)) == 150
