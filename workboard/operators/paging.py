@@ -9,6 +9,7 @@ O(offset); ``keyset_page`` is the constant-cost alternative.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,11 @@ def keyset_page(df: DataFrame, key_cols: Sequence[str], after: Sequence | None,
     _check(1, page_size)
     keys = F.struct(*[F.col(k) for k in key_cols])
     if after is not None:
-        bound = F.struct(*[F.lit(v) for v in after])
+        # Same field names and types as the key struct; datetimes go through
+        # text so that no zone conversion applies.
+        bound = F.struct(*[
+            F.lit(v.isoformat(sep=" ") if isinstance(v, datetime) else v)
+            .cast(df.schema[k].dataType).alias(k) for k, v in zip(key_cols, after)])
         df = df.where(keys < bound if descending else keys > bound)
     order = [F.col(k).desc() if descending else F.col(k).asc() for k in key_cols]
     return df.orderBy(*order).limit(page_size)
