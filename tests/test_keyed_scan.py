@@ -67,3 +67,20 @@ def test_histogram_rank_matches_rank(spark):
     exp = df.select("user_id", F.rank().over(Window.orderBy(F.col("c").desc())).alias("rk"))
     assert sorted(got.collect()) == sorted(exp.select("user_id", F.col("rk").cast("long")
                                                       .alias("rk")).collect())
+
+
+def test_salted_join_equals_plain_join(spark):
+    from workboard.operators.joins import hot_keys, salted_join
+    rnd = random.Random(11)
+    rows = []
+    for i in range(3000):
+        k = 7 if i % 3 == 0 else rnd.choice([None, 1, 2, 3, 4, 5, 99])  # 7 holds a third
+        rows.append((i, k))
+    fact = spark.createDataFrame(rows, "id long, k long")
+    dim = spark.createDataFrame([(k, f"d{k}") for k in [1, 2, 3, 4, 5, 7]], "dk long, name string")
+    hot = {r["__hot_k"]: r["__hot_s"] for r in hot_keys(fact, "k", 8).collect()}
+    assert 7 in hot and len(hot) <= 8 and hot[7] >= 2
+    for how in ["inner", "left"]:
+        got = salted_join(fact, dim, "k", "dk", how, "id", num_partitions=8).select("id", "name")
+        exp = fact.join(dim, fact.k == dim.dk, how).select("id", "name")
+        assert sorted(got.collect()) == sorted(exp.collect())

@@ -1,7 +1,7 @@
 """Listing views: joined detail rows, overviews, paging.
 
-* to-one lookups (project, assignee, owner) are left joins; a NULL assignee
-  skips the join (``left_join_nullable``);
+* to-one lookups from tasks (project, assignee) are salted joins: hot keys
+  and NULL keys are spread over several reducers (``salted_join``);
 * to-many counts are pre-aggregated per key *before* the join (never
   join-then-count raw collections);
 * the role list is collected per user after the bridge join; each group is
@@ -15,21 +15,30 @@ from pyspark.sql import functions as F
 
 from workboard.functions.exprs import dto_full_name, task_status
 from workboard.operators import paging
-from workboard.operators.joins import left_join_nullable
+from workboard.operators.joins import hot_keys_by, salted_join
 
 TASK_DTO_COLUMNS = ["id", "title", "description", "status", "priority", "due_date",
                     "project_id", "project_name", "assigned_to_id", "assigned_to_name",
                     "created_at", "completed_at"]
 
 
-def task_details(tasks: DataFrame, projects: DataFrame, users: DataFrame) -> DataFrame:
+def task_details(tasks: DataFrame, projects: DataFrame, users: DataFrame,
+                 bounded_input: bool = False) -> DataFrame:
     """The task view. Project name is '' when the project is missing; the
-    assignee name is NULL when there is no assignee."""
+    assignee name is NULL when there is no assignee. ``bounded_input`` (a
+    page: at most page-size rows) skips hot-key salting, which only pays off
+    for large inputs."""
     p = projects.select(F.col("id").alias("__p_id"), F.col("name").alias("__p_name"))
     u = users.select(F.col("id").alias("__u_id"), F.col("first_name").alias("__u_first"),
                      F.col("last_name").alias("__u_last"))
-    tp = tasks.join(p, tasks.project_id == p.__p_id, "left")
-    j = left_join_nullable(tp, u, "assigned_to_id", "__u_id")
+    if bounded_input:
+        tp = tasks.join(p, tasks.project_id == p.__p_id, "left")
+        j = tp.join(u, tp.assigned_to_id == u.__u_id, "left")
+    else:
+        hot = hot_keys_by(tasks, ["project_id", "assigned_to_id"])
+        tp = salted_join(tasks, p, "project_id", "__p_id", "left", "id", hot=hot["project_id"])
+        j = salted_join(tp, u, "assigned_to_id", "__u_id", "left", "id",
+                        hot=hot["assigned_to_id"])
     return j.select(
         "id", "title", "description", "status", "priority", "due_date", "project_id",
         F.coalesce(F.col("__p_name"), F.lit("")).alias("project_name"),
@@ -110,7 +119,7 @@ def task_page(tasks: DataFrame, projects: DataFrame, users: DataFrame, page: int
     newest = [F.col("created_at").desc(), F.col("id").desc()]
     ordered = paging.page(t, newest, page, page_size)
     # Only the page's rows reach the joins; re-sorting them is trivial.
-    return task_details(ordered, projects, users).orderBy(*newest)
+    return task_details(ordered, projects, users, bounded_input=True).orderBy(*newest)
 
 
 def task_page_info(tasks: DataFrame, page: int = 1, page_size: int = 10,
