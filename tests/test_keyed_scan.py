@@ -84,3 +84,29 @@ def test_salted_join_equals_plain_join(spark):
         got = salted_join(fact, dim, "k", "dk", how, "id", num_partitions=8).select("id", "name")
         exp = fact.join(dim, fact.k == dim.dk, how).select("id", "name")
         assert sorted(got.collect()) == sorted(exp.collect())
+
+
+def test_salted_join_spreads_hot_key_over_reducers(spark):
+    from workboard.operators.joins import salted_join
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+            "spark.sql.adaptive.coalescePartitions.enabled"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys[:2]:
+            spark.conf.set(k, "-1")
+        spark.conf.set(keys[2], "false")
+        fact = spark.range(6000).select(
+            F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50)
+            .alias("k"))
+        dim = spark.range(50).select(F.col("id").alias("dk"), F.col("id").cast("string").alias("v"))
+        j = salted_join(fact, dim, "k", "dk", "inner", "id", num_partitions=8)
+        parts = (j.where("k = 7").select(F.spark_partition_id().alias("p"))
+                 .distinct().count())
+        assert parts > 1  # the hot key is not in one reducer
+        assert j.count() == 6000
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
