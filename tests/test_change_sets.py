@@ -13,6 +13,10 @@ def test_set_task_status_accepts_any_text_and_counts(spark):
     row = cs.table.where("id = 4").collect()[0]
     assert row.status == "Archived" and row.completed_at == SEED_TIME  # stamp kept
     assert sorted(tuple(r) for r in cs.accepted.collect()) == [(1, 4, 1), (2, 4, 1), (3, 77, 0)]
+    audit = sorted(cs.audit.collect(), key=lambda r: r.seq)
+    assert [(r.seq, r.old_values.split('"Status":"')[1].split('"')[0],
+             r.new_values.split('"Status":"')[1].split('"')[0]) for r in audit] == [
+        (1, "Pending", "Completed"), (2, "Completed", "Archived")]
 
 
 def test_create_tasks_ids_priority_and_rejects(spark):

@@ -205,7 +205,23 @@ def set_task_status(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> Chang
     affected = (requests.join(ids, requests.id == F.col("__tid"), "left")
                 .select("seq", "id", F.when(F.col("__tid").isNotNull(), 1).otherwise(0)
                         .cast("long").alias("rows_affected")))
-    return ChangeSet(table=j.select(*cols), accepted=affected)
+    # The update trigger fires per statement: one audit row per request that
+    # hit a task, with the status before and after that request.
+    scanned = keyed_scan(requests.select("seq", "id", "status"), ["id"], [F.col("seq")],
+                         carry={"__a_status": "status"}, carry_before={"__b_status": "status"})
+    stored = tasks.select(F.col("id").alias("__sid"),
+                          *[F.col(c).alias(f"__s_{c}") for c in IMAGE_FIELDS])
+    imgs = scanned.join(stored, scanned.id == stored.__sid, "inner")
+    keep = {c: F.col(f"__s_{c}") for c in IMAGE_FIELDS if c != "status"}
+    before = {**keep, "status": F.coalesce(F.col("__b_status"), F.col("__s_status"))}
+    after = {**keep, "status": F.coalesce(F.col("__a_status"), F.col("__s_status"))}
+    audit = imgs.select(
+        F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"),
+        F.lit(S.AUDIT_UPDATE).alias("action"),
+        _update_json(before).alias("old_values"), _update_json(after).alias("new_values"),
+        F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"),
+        F.col("seq"))
+    return ChangeSet(table=j.select(*cols), accepted=affected, audit=audit)
 
 
 def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
@@ -229,7 +245,14 @@ def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
         "id", "title", "description", "status", "priority", "due_date", "project_id",
         F.lit("").alias("project_name"), "assigned_to_id",
         F.lit(None).cast("string").alias("assigned_to_name"), "created_at", "completed_at")
-    return ChangeSet(table=rest.unionByName(updated), accepted=returned)
+    audit = hit.select(
+        F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"),
+        F.lit(S.AUDIT_UPDATE).alias("action"), audit_update_image().alias("old_values"),
+        _update_json({"title": F.col("title"), "status": F.lit(parsed),
+                      "priority": F.col("priority"),
+                      "assigned_to_id": F.col("assigned_to_id")}).alias("new_values"),
+        F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"))
+    return ChangeSet(table=rest.unionByName(updated), accepted=returned, audit=audit)
 
 
 def _parse_literal(text: str, names: list[str]) -> str | None:

@@ -179,6 +179,10 @@ register("set_task_status")(
     lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).table)
 register("set_task_status_affected")(
     lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).accepted)
+register("audit_set_status")(
+    lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).audit)
+register("audit_bulk_update")(
+    lambda d: changes.bulk_update_status(d.tasks, d.bulk_ids, "InProgress", TASKS_AS_OF).audit)
 register("bulk_update_status")(
     lambda d: changes.bulk_update_status(d.tasks, d.bulk_ids, "InProgress", TASKS_AS_OF).accepted)
 register("delete_tasks")(lambda d: changes.delete_tasks(d.tasks, d.task_deletes, TASKS_AS_OF).table)
