@@ -32,9 +32,11 @@ def parse_enum(col: Column | str, names: list[str]) -> Column:
     Undefined digits and comma lists are rejected on purpose."""
     c = F.col(col) if isinstance(col, str) else col
     t = F.trim(c)
-    by_digit = F.element_at(F.array(*[F.lit(n) for n in names]), t.cast("int") + 1)
+    # try_cast: no ANSI cast error whatever order the predicates run in.
+    num = t.try_cast("int")
+    by_digit = F.element_at(F.array(*[F.lit(n) for n in names]), num + 1)
     return (F.when(t.isin(*names), t)
-            .when(t.rlike(r"^[0-9]{1,3}$") & (t.cast("int") < len(names)), by_digit))
+            .when(t.rlike(r"^[0-9]{1,3}$") & (num < len(names)), by_digit))
 
 
 def task_status(col: Column | str) -> Column:
