@@ -327,12 +327,23 @@ DOMAIN_TABLES = ["users", "roles", "user_roles", "projects", "tasks", "audit_log
                  "refresh_tokens"]
 
 
-def materialize(d: Domain, root: str) -> None:
+def materialize(d: Domain, root: str, concurrency: int = 4) -> None:
     """Write the mapped domain tables with their storage layout (the load
-    step of a deployment; queries then read stored tables)."""
+    step of a deployment; queries then read stored tables). The seven writes
+    are independent jobs, submitted from a few driver threads so that the
+    cluster runs them side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from workboard.sources.sinks import write_table
-    for t in DOMAIN_TABLES:
-        write_table(getattr(d, t), f"{root.rstrip('/')}/{t}", t, mode="overwrite")
+
+    # Build the plans on this thread (lazy properties are not thread-safe).
+    frames = {t: getattr(d, t) for t in DOMAIN_TABLES}
+
+    def write(t: str) -> None:
+        write_table(frames[t], f"{root.rstrip('/')}/{t}", t, mode="overwrite")
+
+    with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        list(pool.map(write, DOMAIN_TABLES))
 
 
 class StoredDomain(Domain):
