@@ -48,19 +48,25 @@ def task_details(tasks: DataFrame, projects: DataFrame, users: DataFrame,
         "created_at", "completed_at")
 
 
-def project_overview(projects: DataFrame, users: DataFrame, tasks: DataFrame) -> DataFrame:
+def project_overview(projects: DataFrame, users: DataFrame, tasks: DataFrame,
+                     bounded_input: bool = False) -> DataFrame:
     """Every project (inactive and empty ones too) with owner name ('' if
-    missing) and task count over all statuses."""
+    missing) and task count over all statuses. Owners are few and hot (one
+    user may own a large share of all projects), so the owner lookup is a
+    salted join unless the input is a page."""
     counts = tasks.groupBy("project_id").agg(F.count(F.lit(1)).cast("long").alias("__n"))
     owners = users.select(F.col("id").alias("__o_id"), F.col("first_name").alias("__o_first"),
                           F.col("last_name").alias("__o_last"))
-    j = (projects.join(owners, projects.owner_id == owners.__o_id, "left")
-         .join(counts, projects.id == counts.project_id, "left"))
+    if bounded_input:
+        po = projects.join(owners, projects.owner_id == owners.__o_id, "left")
+    else:
+        po = salted_join(projects, owners, "owner_id", "__o_id", "left", "id")
+    j = po.join(counts, po.id == counts.project_id, "left")
     owner_name = F.coalesce(
         dto_full_name(F.col("__o_id").isNotNull(), F.col("__o_first"), F.col("__o_last")),
         F.lit(""))
-    return j.select(projects.id, projects.name, projects.description, projects.owner_id,
-                    owner_name.alias("owner_name"), projects.is_active, projects.created_at,
+    return j.select("id", "name", "description", "owner_id",
+                    owner_name.alias("owner_name"), "is_active", "created_at",
                     F.coalesce(F.col("__n"), F.lit(0)).cast("long").alias("task_count"))
 
 
@@ -135,7 +141,7 @@ def project_page(projects: DataFrame, users: DataFrame, tasks: DataFrame, page:
     # The page's ids restrict the task count aggregation before the shuffle.
     page_tasks = tasks.join(ordered.select(F.col("id").alias("__pg")),
                             tasks.project_id == F.col("__pg"), "left_semi")
-    return project_overview(ordered, users, page_tasks).orderBy(*newest)
+    return project_overview(ordered, users, page_tasks, bounded_input=True).orderBy(*newest)
 
 
 def user_page(users: DataFrame, user_roles: DataFrame, roles: DataFrame, page: int = 1,
