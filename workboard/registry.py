@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from workboard.plans import reports
-from workboard.sources.fixtures import TASKS_AS_OF, Domain
+from workboard.functions.exprs import conform
+from workboard.plans import audit as audit_plans
+from workboard.plans import changes, quality, reports, views
+from workboard.sources import schemas as S
+from workboard.sources.fixtures import PREVIOUS_CHECK, TASKS_AS_OF, TOKENS_AS_OF, Domain
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -64,11 +68,6 @@ def _dashboard_stats(d: Domain) -> DataFrame:
 
 
 # ---------------------------------------------------------------- views
-from pyspark.sql import functions as F  # noqa: E402
-
-from workboard.functions.exprs import conform  # noqa: E402
-from workboard.plans import views  # noqa: E402
-from workboard.sources import schemas as S  # noqa: E402
 
 
 @register("task_details")
@@ -140,9 +139,6 @@ def _report_conform(d: Domain) -> DataFrame:
 
 
 # ---------------------------------------------------------------- change sets
-from workboard.plans import audit as audit_plans  # noqa: E402
-from workboard.plans import changes  # noqa: E402
-from workboard.sources.fixtures import PREVIOUS_CHECK, TOKENS_AS_OF  # noqa: E402
 
 
 def _create_tasks(d: Domain) -> changes.ChangeSet:
@@ -227,7 +223,6 @@ register("overdue_since")(
 register("audit_lines")(lambda d: audit_plans.audit_lines(d.audit_logs))
 
 # ---------------------------------------------------------------- quality
-from workboard.plans import quality  # noqa: E402
 
 
 def _all_tables(d: Domain, users: DataFrame | None = None,
