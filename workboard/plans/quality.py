@@ -1,7 +1,7 @@
 """Data-quality reports from the declared constraints.
 
-* ``unique_violations``: every unique key of every table is projected to
-  ``(table, constraint, key text)`` and all of them are counted in **one**
+* ``unique_violations``: one scan per table emits every unique key of the
+  row as ``(table, constraint, key text)``; all of them are counted in **one**
   aggregate (partial counts per task first, so a hot key is combined before
   the shuffle); keys seen more than once are reported.
 * ``fk_violations``: child keys are pre-aggregated to ``(key, rows)`` before
@@ -49,13 +49,18 @@ def unique_violations(users: DataFrame, roles: DataFrame, user_roles: DataFrame,
                       projects: DataFrame, tasks: DataFrame, audit_logs: DataFrame,
                       refresh_tokens: DataFrame) -> DataFrame:
     """Q1: (table_name, constraint_name, key_value, n) for keys seen n > 1 times."""
-    parts = [df.select(F.lit(t).alias("table_name"), F.lit(k).alias("constraint_name"),
-                       key.alias("key_value"))
-             for df, t, k, key in unique_keys(users, roles, user_roles, projects, tasks,
-                                              audit_logs, refresh_tokens)]
-    allk = parts[0]
-    for p in parts[1:]:
-        allk = allk.unionByName(p)
+    # One scan per table: each row emits all of its table's keys.
+    by_frame: dict[int, tuple[DataFrame, str, list[tuple[str, Column]]]] = {}
+    for df, t, k, key in unique_keys(users, roles, user_roles, projects, tasks, audit_logs,
+                                     refresh_tokens):
+        by_frame.setdefault(id(df), (df, t, []))[2].append((k, key))
+    allk = None
+    for df, t, keys in by_frame.values():
+        part = df.select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("constraint_name"), key.alias("key_value"))
+            for k, key in keys])).alias("u")).select(
+            F.lit(t).alias("table_name"), "u.constraint_name", "u.key_value")
+        allk = part if allk is None else allk.unionByName(part)
     counted = allk.groupBy("table_name", "constraint_name", "key_value").agg(
         F.count(F.lit(1)).cast("long").alias("n"))
     return counted.where(F.col("n") > 1)
