@@ -144,3 +144,22 @@ def test_keyset_pages_chain_equals_offset_pages(spark):
         after = (rows[-1].created_at, rows[-1].id)
         seen += [r.id for r in rows]
     assert len(set(seen)) == 150
+
+
+def test_audit_history_filters_and_trail(spark):
+    from pyspark.sql import Window
+    from conftest import SF_SMALL
+    from workboard.plans import audit
+    from workboard.sources.fixtures import Domain
+    logs = Domain(spark, SF_SMALL).audit_logs
+    got = audit.audit_history(logs, entity_name="TaskItem", entity_id=7,
+                              since="2024-01-05 00:00:00", until="2024-01-25 00:00:00")
+    w = Window.partitionBy("entity_name", "entity_id").orderBy(F.col("performed_at").desc(),
+                                                              F.col("id").desc())
+    exp = (logs.where((F.col("entity_id") == 7)
+                      & (F.col("performed_at") >= F.lit("2024-01-05").cast("timestamp_ntz"))
+                      & (F.col("performed_at") < F.lit("2024-01-25").cast("timestamp_ntz")))
+           .withColumn("trail_position", F.row_number().over(w).cast("long")))
+    rows = got.collect()
+    assert rows == sorted(rows, key=lambda r: (r.performed_at, r.id), reverse=True)
+    assert sorted(rows) == sorted(exp.collect()) and len(rows) > 0
