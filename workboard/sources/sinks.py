@@ -86,14 +86,22 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+def _clustered(d: DataFrame, lay: Layout) -> DataFrame:
+    """Range-partition on (partition columns, sort columns), then sort within
+    each task. A big partition value (a busy day, a large bucket) is cut
+    across many write tasks instead of landing in one, each task writes few
+    directories, and every file is sorted, which keeps parquet min/max
+    statistics tight for skipping."""
+    cols = [*lay.partition_by, *lay.sort_by]
+    if not cols:
+        return d
+    return d.repartitionByRange(*[F.col(c) for c in cols]).sortWithinPartitions(*cols)
+
+
 def write_table(df: DataFrame, path: str, table: str, mode: str = "errorifexists") -> None:
-    """Write a whole snapshot with the table's layout. Rows are clustered by
-    the partition columns so that each task writes few files."""
+    """Write a whole snapshot with the table's layout."""
     lay = LAYOUTS[table]
-    d = with_layout_columns(df, table)
-    if lay.partition_by:
-        d = d.repartition(*[F.col(c) for c in lay.partition_by])
-    d = d.sortWithinPartitions(*lay.partition_by, *lay.sort_by)
+    d = _clustered(with_layout_columns(df, table), lay)
     w = d.write.mode(mode)
     if lay.partition_by:
         w = w.partitionBy(*lay.partition_by)
@@ -118,8 +126,7 @@ def rewrite_touched(spark: SparkSession, path: str, table: str, new_table: DataF
     changed = with_layout_columns(new_table, table)
     changed = changed.join(touched, changed[BUCKET_COL] == F.col("__b"), "left_semi")
     # Materialise first: the next write replaces files this plan reads.
-    (changed.repartition(F.col(BUCKET_COL))
-     .sortWithinPartitions(BUCKET_COL, *lay.sort_by)
+    (_clustered(changed, lay)
      .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(staging_path))
     # Known schema: the staging directory may hold no file at all when every
     # touched bucket became empty.
