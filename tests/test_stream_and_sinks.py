@@ -68,3 +68,22 @@ def test_delete_can_empty_a_bucket(spark, scratch):
     sinks.rewrite_touched(spark, path, "tasks", cs.table, ids, os.path.join(scratch, "stg"))
     assert sorted(sinks.read_table(spark, path, "tasks").collect()) == expected
     assert not os.path.exists(os.path.join(path, f"{sinks.BUCKET_COL}={victim_bucket}"))
+
+
+def test_bucket_pruned_read(spark, scratch):
+    import contextlib
+    import io
+    d = Domain(spark, SF_SMALL)
+    path = os.path.join(scratch, "tasks")
+    sinks.write_table(d.tasks, path, "tasks")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    pruned = sinks.read_table(spark, path, "tasks", only_ids=ids)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        pruned.explain(mode="formatted")
+    part = [ln for ln in buf.getvalue().splitlines() if "PartitionFilters" in ln]
+    assert part and "id_bucket" in part[0] and " IN " in part[0], part
+    full = sinks.read_table(spark, path, "tasks")
+    assert sorted(pruned.join(ids, "id", "left_semi").collect()) == sorted(
+        full.join(ids, "id", "left_semi").collect())
+    assert pruned.count() < full.count()

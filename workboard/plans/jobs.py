@@ -1,8 +1,10 @@
 """Change-set batch jobs over stored tables: requests + snapshot ->
 (rejected rows, audit rows, new snapshot), written in a safe order.
 
-The rejected and audit plans read the stored task table, so they are written
-*before* the touched task buckets are swapped; the swap itself stages the new
+Only the buckets holding requested ids are read (partition pruning), so a
+batch costs O(touched buckets), not O(table). The rejected and audit plans
+read those stored buckets, so they are written *before* the buckets are
+swapped; the swap itself stages the new
 bucket contents first (see ``sources.sinks.rewrite_touched``). A failed run
 can be repeated: the outputs are versioned by ``run_id`` and the swap happens
 last.
@@ -49,7 +51,9 @@ def _append_audit(spark: SparkSession, audit: DataFrame, path: str) -> None:
 def run_task_patches(spark: SparkSession, root: str, requests: DataFrame,
                      as_of: str | datetime, run_id: str) -> None:
     p = _paths(root, run_id)
-    stored = sinks.read_table(spark, p["tasks"], "tasks")
+    # Every requested id lives in one bucket, so the touched buckets hold all
+    # rows the patch can read or change: existence, folds and audit images.
+    stored = sinks.read_table(spark, p["tasks"], "tasks", only_ids=requests.select("id"))
     cs = changes.patch_tasks(stored, requests, as_of)
     cs.rejected.write.mode("overwrite").parquet(p["rejected"])
     _append_audit(spark, cs.audit, p["audit"])
@@ -61,7 +65,7 @@ def run_task_patches(spark: SparkSession, root: str, requests: DataFrame,
 def run_task_deletes(spark: SparkSession, root: str, task_ids: DataFrame,
                      as_of: str | datetime, run_id: str) -> None:
     p = _paths(root, run_id)
-    stored = sinks.read_table(spark, p["tasks"], "tasks")
+    stored = sinks.read_table(spark, p["tasks"], "tasks", only_ids=task_ids.select("id"))
     cs = changes.delete_tasks(stored, task_ids, as_of)
     cs.rejected.write.mode("overwrite").parquet(p["rejected"])
     _append_audit(spark, cs.audit.withColumn("seq", F.lit(None).cast("long")), p["audit"])
