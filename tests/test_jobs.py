@@ -29,8 +29,22 @@ def test_patch_then_delete_job(spark, scratch):
     assert ids.distinct().count() == audit.count()  # identity values stay unique
     assert spark.read.parquet(os.path.join(root, "rejected", "run=r1")).count() == 1
 
+    # Repeating the run does not append its audit rows again.
+    jobs.run_task_patches(spark, root, d.task_patches, TASKS_AS_OF, run_id="r1")
+    assert sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs").count() == \
+        n_before + n_audit
+    assert sorted(sinks.read_table(spark, tasks_path, "tasks").collect()) == expected
+    top = sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs") \
+        .agg(F.max("id")).first()[0]
+
+    after = sinks.read_table(spark, tasks_path, "tasks")  # files were rewritten: re-list
     dels = after.where(F.col("status") == "Cancelled").select("id")
     dels = spark.createDataFrame(dels.collect(), "id long")
     exp2 = sorted(changes.delete_tasks(after, dels, TASKS_AS_OF).table.collect())
     jobs.run_task_deletes(spark, root, dels, TASKS_AS_OF, run_id="r2")
     assert sorted(sinks.read_table(spark, tasks_path, "tasks").collect()) == exp2
+    audit2 = sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs")
+    new_ids = [r.id for r in audit2.where(F.col("action") == "DELETE")
+               .where(F.col("performed_at") == F.lit(TASKS_AS_OF).cast("timestamp_ntz")).collect()]
+    assert new_ids and min(new_ids) == top + 1  # identities continue densely
+    assert audit2.select("id").distinct().count() == audit2.count()

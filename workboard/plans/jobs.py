@@ -5,9 +5,10 @@ Only the buckets holding requested ids are read (partition pruning), so a
 batch costs O(touched buckets), not O(table). The rejected and audit plans
 read those stored buckets, so they are written *before* the buckets are
 swapped; the swap itself stages the new
-bucket contents first (see ``sources.sinks.rewrite_touched``). A failed run
-can be repeated: the outputs are versioned by ``run_id`` and the swap happens
-last.
+bucket contents first (see ``sources.sinks.rewrite_touched``). Rejected rows
+are written per ``run_id`` (overwrite), audit identities continue from a
+high-water-mark table, and a run already recorded there does not append its
+audit rows again.
 """
 
 from __future__ import annotations
@@ -34,18 +35,50 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
 
 
-def _append_audit(spark: SparkSession, audit: DataFrame, path: str) -> None:
-    """Audit rows get identity values after the stored maximum, in request
-    order (dense, skew-safe numbering; no single-partition sort)."""
-    start = F.lit(0).cast("long")
+def _seq_path(root: str, table: str) -> str:
+    return f"{root.rstrip('/')}/_sequences/{table}"
+
+
+def _committed(spark: SparkSession, root: str, table: str, run_id: str) -> bool:
+    sp = _seq_path(root, table)
+    return _exists(spark, sp) and spark.read.parquet(sp).where(
+        F.col("run_id") == F.lit(run_id)).limit(1).count() > 0
+
+
+def _start_id(spark: SparkSession, root: str, table: str, path: str):
+    """Next identity base: the high-water mark of earlier runs (a tiny table,
+    one row per run). Only the very first run scans the table's ids."""
+    sp = _seq_path(root, table)
+    if _exists(spark, sp):
+        return F.coalesce(spark.read.parquet(sp).select(F.max("last_id")).scalar(),
+                          F.lit(0)).cast("long")
     if _exists(spark, path):
-        start = F.coalesce(sinks.read_table(spark, path, "audit_logs")
-                           .select(F.max("id")).scalar(), F.lit(0)).cast("long")
+        return F.coalesce(sinks.read_table(spark, path, table).select(F.max("id")).scalar(),
+                          F.lit(0)).cast("long")
+    return F.lit(0).cast("long")
+
+
+def _append_audit(spark: SparkSession, audit: DataFrame, root: str, path: str,
+                  run_id: str) -> None:
+    """Append audit rows with identity values after the high-water mark, in
+    request order (dense, skew-safe numbering; no single-partition sort). A
+    run whose rows were already committed is skipped, so repeating a run does
+    not duplicate them (plain parquet has no atomic commit: a crash between
+    the append and the marker can still repeat a run's rows)."""
+    if _committed(spark, root, "audit_logs", run_id):
+        return
+    start = _start_id(spark, root, "audit_logs", path)
     order = [F.coalesce(F.col("seq"), F.lit(-1)).asc(), F.col("entity_id").asc(),
              F.col("action").asc()]
-    rows = assign_ids(audit, order, start, out="id")
-    sinks.append_rows(rows.select(*[f.name for f in sinks.S.AUDIT_LOGS.fields]), path,
-                      "audit_logs")
+    rows = assign_ids(audit, order, start, out="id").select(
+        *[f.name for f in sinks.S.AUDIT_LOGS.fields])
+    sinks.append_rows(rows, path, "audit_logs")
+    # Marker / high-water mark from the rows just written (the numbering is
+    # persisted by the keyed scan, so this reads the same ids).
+    (rows.agg(F.max("id").alias("last_id"))
+     .select(F.lit(run_id).alias("run_id"),
+             F.coalesce(F.col("last_id"), start).alias("last_id"))
+     .write.mode("append").parquet(_seq_path(root, "audit_logs")))
 
 
 def run_task_patches(spark: SparkSession, root: str, requests: DataFrame,
@@ -56,7 +89,7 @@ def run_task_patches(spark: SparkSession, root: str, requests: DataFrame,
     stored = sinks.read_table(spark, p["tasks"], "tasks", only_ids=requests.select("id"))
     cs = changes.patch_tasks(stored, requests, as_of)
     cs.rejected.write.mode("overwrite").parquet(p["rejected"])
-    _append_audit(spark, cs.audit, p["audit"])
+    _append_audit(spark, cs.audit, root, p["audit"], run_id)
     sinks.rewrite_touched(spark, p["tasks"], "tasks", cs.table,
                           requests.select("id"), p["staging"])
     release()
@@ -68,6 +101,7 @@ def run_task_deletes(spark: SparkSession, root: str, task_ids: DataFrame,
     stored = sinks.read_table(spark, p["tasks"], "tasks", only_ids=task_ids.select("id"))
     cs = changes.delete_tasks(stored, task_ids, as_of)
     cs.rejected.write.mode("overwrite").parquet(p["rejected"])
-    _append_audit(spark, cs.audit.withColumn("seq", F.lit(None).cast("long")), p["audit"])
+    _append_audit(spark, cs.audit.withColumn("seq", F.lit(None).cast("long")), root,
+                  p["audit"], run_id)
     sinks.rewrite_touched(spark, p["tasks"], "tasks", cs.table, task_ids, p["staging"])
     release()
