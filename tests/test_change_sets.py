@@ -80,3 +80,12 @@ def test_patch_users_status_and_email_clash(spark):
     assert (rows[1].status, rows[1].first_name) == ("Suspended", "Sys")
     assert rows[2].email == "john@example.test" and rows[2].updated_at is None
     assert [tuple(r) for r in cs.rejected.collect()] == [(2, 2, "CONFLICT")]
+
+
+def test_create_with_given_identity_start(spark):
+    from pyspark.sql import functions as F
+    users, _, _, projects, tasks = seed_frames(spark)
+    reqs = spark.createDataFrame([(2, "x", None, "Low", None, 1, None),
+                                  (1, "y", None, "Low", None, 1, None)], S.TASK_CREATE_REQUESTS)
+    cs = changes.create_tasks(tasks, projects, users, reqs, SEED_TIME, start=F.lit(500))
+    assert sorted((r.id, r.title) for r in cs.accepted.collect()) == [(501, "y"), (502, "x")]

@@ -57,6 +57,11 @@ def _max_id(df: DataFrame, col: str = "id") -> Column:
     return F.coalesce(df.select(F.max(col)).scalar(), F.lit(0)).cast("long")
 
 
+def _start(table: DataFrame, start: Column | None) -> Column:
+    """Identity base: a caller-supplied high-water mark, else ``max(id)``."""
+    return start.cast("long") if start is not None else _max_id(table)
+
+
 def fold_latest(requests: DataFrame, key: str, fields: list[str], seq: str = "seq",
                 extra_aggs: list[Column] | None = None) -> DataFrame:
     """Per key, the latest non-NULL value of each field by ``seq`` (NULL means
@@ -86,10 +91,11 @@ def _apply_fold(table: DataFrame, folded: DataFrame, key: str, fields: list[str]
 
 # ====================================================================== tasks
 def create_tasks(tasks: DataFrame, projects: DataFrame, users: DataFrame,
-                 requests: DataFrame, as_of: AsOf) -> ChangeSet:
+                 requests: DataFrame, as_of: AsOf, start: Column | None = None) -> ChangeSet:
     """Project must exist (NOT_FOUND); an assignee that is not a user fails
     the foreign key (FK_VIOLATION); an unparseable priority becomes Medium;
-    status is Pending; ids continue from max(id) in ``seq`` order."""
+    status is Pending; ids continue from ``start`` (default: max(id) of the
+    table) in ``seq`` order."""
     now = as_ts(as_of)
     ok_project = requests.join(projects.select(F.col("id").alias("__pid")),
                                requests.project_id == F.col("__pid"), "left_semi")
@@ -101,7 +107,7 @@ def create_tasks(tasks: DataFrame, projects: DataFrame, users: DataFrame,
     good = (ok_project.where(F.col("assigned_to_id").isNull())
             .unionByName(assigned.join(users.select(F.col("id").alias("__uid")),
                                        assigned.assigned_to_id == F.col("__uid"), "left_semi")))
-    numbered = assign_ids(good, [F.col("seq")], _max_id(tasks), out="id")
+    numbered = assign_ids(good, [F.col("seq")], _start(tasks, start), out="id")
     created = numbered.select(
         "id", "title", "description", F.lit("Pending").alias("status"),
         F.coalesce(task_priority("priority"), F.lit("Medium")).alias("priority"),
@@ -295,13 +301,13 @@ def delete_projects(projects: DataFrame, tasks: DataFrame, project_ids: DataFram
 
 
 def create_projects(projects: DataFrame, users: DataFrame, requests: DataFrame,
-                    as_of: AsOf) -> ChangeSet:
+                    as_of: AsOf, start: Column | None = None) -> ChangeSet:
     """C10 create: the owner must be a user (FK); active; ids continue."""
     now = as_ts(as_of)
     uid = users.select(F.col("id").alias("__uid"))
     good = requests.join(uid, requests.owner_id == F.col("__uid"), "left_semi")
     bad = requests.join(uid, requests.owner_id == F.col("__uid"), "left_anti")
-    numbered = assign_ids(good, [F.col("seq")], _max_id(projects), out="id")
+    numbered = assign_ids(good, [F.col("seq")], _start(projects, start), out="id")
     created = numbered.select("id", "name", "description", "owner_id", now.alias("created_at"),
                               F.lit(None).cast("timestamp_ntz").alias("updated_at"),
                               F.lit(True).alias("is_active"))
@@ -324,7 +330,7 @@ def patch_projects(projects: DataFrame, requests: DataFrame, as_of: AsOf) -> Cha
 
 # ====================================================================== users
 def create_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
-                 requests: DataFrame, as_of: AsOf) -> ChangeSet:
+                 requests: DataFrame, as_of: AsOf, start: Column | None = None) -> ChangeSet:
     """A username OR email already taken (case-insensitive, trailing blanks
     ignored) is a CONFLICT. Inside the batch a request is accepted if it is the
     first by ``seq`` in both its username group and its email group among the
@@ -345,7 +351,7 @@ def create_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
     good = good.select(*requests.columns)
     rejected = requests.join(good.select(F.col("seq").alias("__ok")),
                              requests.seq == F.col("__ok"), "left_anti")
-    numbered = assign_ids(good, [F.col("seq")], _max_id(users), out="id")
+    numbered = assign_ids(good, [F.col("seq")], _start(users, start), out="id")
     created = numbered.select(
         "id", "username", "email", "password_hash", "first_name", "last_name",
         F.lit("Active").alias("status"), now.alias("created_at"),
