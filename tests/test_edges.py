@@ -163,3 +163,14 @@ def test_audit_history_filters_and_trail(spark):
     rows = got.collect()
     assert rows == sorted(rows, key=lambda r: (r.performed_at, r.id), reverse=True)
     assert sorted(rows) == sorted(exp.collect()) and len(rows) > 0
+
+
+def test_audit_line_format_and_bad_rows(spark):
+    from datetime import datetime
+    from workboard.plans import audit
+    rows = [(1, "TaskItem", 5, "UPDATE", None, None, "user-3", datetime(2024, 1, 2, 3, 4, 5, 600000)),
+            (2, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, S.AUDIT_LOGS)
+    got = {r.id: r.line for r in audit.audit_lines(df).collect()}
+    assert got[1] == "[AUDIT] UPDATE on TaskItem#5 by user-3 at 2024-01-02T03:04:05.600000"
+    assert got[2].startswith("[AUDIT] null on null#null by (null) at")  # formatted, not dropped
