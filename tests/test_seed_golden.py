@@ -93,3 +93,11 @@ def test_task_view_names(spark):
     orphan = tasks.where("id = 1").withColumn("project_id", F.lit(99).cast("long"))
     r = views.task_details(orphan, projects, users).collect()[0]
     assert r.project_name == ""
+
+
+def test_severity_priority_order_option(spark):
+    users, _, _, projects, tasks = seed_frames(spark)
+    rows = reports.tasks_with_details(tasks, projects, users, priority_order="severity").collect()
+    assert [r.priority for r in rows] == ["Critical", "Critical", "High", "High", "Medium", "Low"]
+    # Ties on priority fall back to due date ascending, then id.
+    assert [r.id for r in rows[:2]] == [2, 3]
