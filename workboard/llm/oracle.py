@@ -35,18 +35,18 @@ SQL["op1_line_dedup"] = LINE_DEDUP.format(docs="documents")
 
 # A document word is hit if it lies in an occurrence of an item's window.
 _WORDS = ("list_filter(string_split_regex(" + _LOWER.format("coalesce(text, '')")
-          + ", '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '')")
+          + ", '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')")
 CONTAMINATION = """
 with d as (select doc_id, text, """ + _WORDS + """ as ws from {docs}),
 b as (select item_id, """ + _WORDS + """ as ws from benchmark),
 bw as (select distinct item_id, least(13, len(ws)) as n,
               unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2),
-                                    i -> array_to_string(ws[i : i + least(13, len(ws)) - 1], ' '))) as gram
+                                    lambda i: array_to_string(ws[i : i + least(13, len(ws)) - 1], ' '))) as gram
        from b where len(ws) > 0),
 sizes as (select distinct n from bw),
 dw as (select d.doc_id, s.n, unnest(range(1, len(d.ws) - s.n + 2)) as pos,
               unnest(list_transform(range(1, len(d.ws) - s.n + 2),
-                                    i -> array_to_string(d.ws[i : i + s.n - 1], ' '))) as gram
+                                    lambda i: array_to_string(d.ws[i : i + s.n - 1], ' '))) as gram
        from d, sizes s where len(d.ws) >= s.n),
 hit as (select dw.doc_id, dw.pos, dw.n, bw.item_id from dw join bw on bw.n = dw.n and bw.gram = dw.gram),
 cover as (select doc_id, count(distinct p) as n_hit

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.llm import chat, line_dedup, minhash, winnowing
+from workboard.llm import chat, line_dedup, minhash, multi_index, sentencepiece, toxicity, winnowing
 from workboard.llm.common import table
 
 
@@ -15,6 +15,24 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.concat_ws(",", F.col("input_ids").cast("array<string>"))
+    return sentencepiece.encode(docs).select(
+        "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return winnowing.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -36,6 +54,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_multi_index": op6_multi_index,
     "op7_winnowing": op7_winnowing,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
