@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workboard.llm.common import stored
+from workboard.llm.common import hash_sample, stored
 
 CODES = 16
 SHARE = 0.7
@@ -177,7 +177,7 @@ def search(vectors: DataFrame, query_filter: Column, id_col: str = "vec_id", vec
     rows = (vectors.filter(_usable(F.col(vec_col)) & F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                     F.coalesce(query_filter, F.lit(False)).alias("asks")))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
+    sample = hash_sample(rows.select("id", "vec"), "id", SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = np.diff(sample.offsets.to_numpy())

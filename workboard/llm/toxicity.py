@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.llm.common import stored, whole_text
+from workboard.llm.common import hash_sample, stored, whole_text
 
 SAMPLE = 10_000
 CANDIDATES = 4_000
@@ -161,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model: ``features``, ``weights``, ``thresholds`` (a few hundred numbers)."""
     none = {"features": (), "weights": np.zeros(0), "thresholds": np.zeros(0)}
     graded = "severity" in labels.columns
-    some = (labels.select(F.col(id_col).alias("i"), F.col("severity" if graded else label_col).cast("int").alias("y"))
-            .filter("i is not null and y is not null").orderBy(F.xxhash64("i"), "i", F.desc("y")).limit(SAMPLE))
+    some = hash_sample(labels.select(F.col(id_col).alias("i"), F.col("severity" if graded else label_col).cast("int").alias("y"))
+                       .filter("i is not null and y is not null"), "i", SAMPLE)
     sample = stored(
         docs.select(F.col(id_col).alias("i"), text_col).join(F.broadcast(some), "i")  # at most SAMPLE rows
         .filter(F.col(text_col).isNotNull()).select(normal(F.col(text_col)).alias("t"), "y")
