@@ -1,7 +1,9 @@
 """Line deduplication over overlapping three-line windows.
 
 Every run of three consecutive non-blank lines of a text is a window; a text
-with one or two non-blank lines is one window. Windows are compared over the
+with one or two non-blank lines is one window. So that a passage written on one
+or two long lines is seen too, a line of more than LONG_WORDS words is a window
+of its own, and else two lines that hold more together. Windows are compared over the
 whole table by a 128-bit hash. Of each repeated window the first occurrence, by
 document id and then position, stays; the lines that any later occurrence
 covers go. Blank lines are in no window and stay while a line of the text
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from workboard.llm.common import let, stored, text_key
 
 WINDOW_LINES = 3
+LONG_WORDS = 50
 
 
 def _windows(lines: Column) -> Column:
@@ -31,10 +34,18 @@ def _windows(lines: Column) -> Column:
                         F.xxhash64(F.lit(1), words).alias("b"))
 
     def windows(full: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(full) - (WINDOW_LINES - 1), F.lit(1)))
-        return F.when(F.size(full) > 0, F.transform(starts, lambda s: window(F.slice(full, s, WINDOW_LINES))))
+        n = F.size(full)
 
-    numbered = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l")))
+        def at(s: Column) -> Column:
+            one, two = F.get(full, s - 1)["w"], F.get(full, s)["w"]
+            long = F.when(one > LONG_WORDS, 1).when(one + two > LONG_WORDS, 2)
+            return F.array(F.when(s <= F.greatest(n - (WINDOW_LINES - 1), F.lit(1)), window(F.slice(full, s, WINDOW_LINES))),
+                           F.when(long.isNotNull(), window(F.slice(full, s, long))))
+
+        return F.when(n > 0, F.array_compact(F.flatten(F.transform(F.sequence(F.lit(1), n), at))))
+
+    numbered = F.transform(lines, lambda l, i: F.struct(
+        i.alias("i"), l.alias("l"), F.regexp_count(l, F.lit("[^ ]+")).alias("w")))
     return let(F.filter(numbered, lambda x: F.trim(x["l"]) != ""), windows)
 
 

@@ -6,21 +6,26 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 SQL: dict[str, str] = {}
 
-# Windows of three non-blank lines (or all of fewer); of a repeated window all but
+# Windows of three non-blank lines (or all of fewer), and one or two lines of more
+# than 50 words; of a repeated window all but
 # the first occurrence lose their lines.
 LINE_DEDUP = """
 with docs as (select doc_id, text, string_split(text, chr(10)) as ls from {docs}),
 lines as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as l from docs),
-full_ as (select doc_id, i, l, row_number() over (partition by doc_id order by i) as r,
+full_ as (select doc_id, i, l, len(regexp_extract_all(l, '[^ ]+')) as w, row_number() over (partition by doc_id order by i) as r,
                  count(*) over (partition by doc_id) as n
           from lines where trim(l, ' ') <> ''),
-win as (select a.doc_id, a.i as i1, b.i as i2, c.i as i3,
+win as (select a.doc_id, a.i as i1, b.i as i2, c.i as i3, a.w as w1, a.w + b.w as w2, a.r, a.n,
+               a.l as l1, a.l || chr(10) || b.l as l2,
                a.l || chr(10) || coalesce(b.l, chr(0)) || chr(10) || coalesce(c.l, chr(0)) as w
         from full_ a
         left join full_ b on b.doc_id = a.doc_id and b.r = a.r + 1
         left join full_ c on c.doc_id = a.doc_id and c.r = a.r + 2
-        where a.r <= greatest(a.n - 2, 1)),
-ranked as (select *, row_number() over (partition by w order by doc_id, i1) as k from win),
+       ),
+every as (select doc_id, i1, i2, i3, w from win where r <= greatest(n - 2, 1)
+          union select doc_id, i1, null, null, l1 || chr(10) || chr(0) || chr(10) || chr(0) from win where w1 > 50
+          union select doc_id, i1, i2, null, l2 || chr(10) || chr(0) from win where w1 <= 50 and w2 > 50),
+ranked as (select *, row_number() over (partition by w order by doc_id, i1) as k from every),
 gone as (select distinct doc_id, unnest([i1, i2, i3]) as i from ranked where k > 1),
 kept as (select l.doc_id, string_agg(l.l, chr(10) order by l.i) as text,
                 bool_or(trim(l.l, ' ') <> '') as has
