@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, sentencepiece, toxicity, winnowing
+from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, sentencepiece, suffix_tree, toxicity, winnowing
 from workboard.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_tree.score(docs).withColumnRenamed("id", "doc_id")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, words=4).withColumnRenamed("id", "doc_id")
@@ -70,6 +75,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_multi_index": op6_multi_index,
     "op7_winnowing": op7_winnowing,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
 }
