@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, sentencepiece, suffix_tree, toxicity, winnowing
 from workboard.llm.common import table
@@ -61,9 +60,9 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)],
-        T.StructType([T.StructField(c, turns.schema[c].dataType) for c in turns.columns]))
+    extra = spark.range(2).select(
+        F.lit(-1).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.digest(chat.format_examples(turns.unionByName(extra)))
 
 
