@@ -75,3 +75,11 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
         share = min(1.0, rows / n * 1.1 + 20 / n)
         df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
     return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(rows)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,8 +1,8 @@
 """Main text of web pages by a linear-chain CRF over DOM leaf blocks.
 
 Each block is main text or not. Emission weights are of features of the ancestor
-tags, the words of their class, id and role, the text (length, links, marks) and
-the place on the page; transition weights join neighbours. Training maximises
+tags (the nearest landmark among them), the words of their class, id and role and
+the text (length, links, marks); transition weights join neighbours. Training maximises
 the likelihood of labelled pages, decoding is by Viterbi. The main text is the
 blocks labelled main, in page order, joined by line breaks.
 
@@ -35,6 +35,7 @@ from workboard.llm.html_blocks import Block, blocks
 SAMPLE = 200
 LAYOUTS = 3
 SIZE = 1 << 14
+LANDMARKS = frozenset("article main nav aside header footer form section".split())
 # Words that notices and page furniture are made of.
 CUES = frozenset("""cookie cookies subscribe newsletter login sign share comment comments reply advertisement sponsored
 copyright privacy terms menu home search related accept rights reserved posted follow""".split())
@@ -47,17 +48,14 @@ def features(page: list[Block]) -> list[list[str]]:
         words = b.text.split()
         n = len(b.text)
         f = ["bias", f"parent:{b.tags[-1] if b.tags else ''}", f"words:{min(len(words), 255).bit_length()}", f"links:{4 * b.links // n}",
-             f"ends:{b.text[-1] in '.!?…»”'}", f"place:{4 * i // len(page)}", f"commas:{min(b.text.count(','), 7).bit_length()}"]
-        f += [f"in:{t}" for t in set(b.tags)]
+             f"ends:{b.text[-1] in '.!?…»”'}", f"commas:{min(b.text.count(','), 7).bit_length()}"]
+        f.append(f"near:{next((t for t in reversed(b.tags) if t in LANDMARKS), '')}")
+        f += [f"in:{t}" for t in set(b.tags) - {"html", "body"}]
         f += [f"name:{w}" for w in b.names]
         if len(words) <= 40:
             f += [f"cue:{w}" for w in {w.strip(".,:!?").lower() for w in words} & CUES]
         if "©" in b.text:
             f.append("copyright")
-        if i == 0:
-            f.append("first")
-        if i == len(page) - 1:
-            f.append("last")
         if i and page[i - 1].tags == b.tags:
             f.append("same place as before")
         out.append(f)
@@ -97,6 +95,8 @@ def layout(g, main: list[str], other: list[str]) -> tuple[str, list[int]]:
     """A page of ``main`` paragraphs and ``other`` texts in a random common layout, and its labels."""
     out: list[str] = []
     labels: list[int] = []
+    if g.random() < 0.2:  # short articles too
+        main = [" ".join(p.split()[: int(g.integers(1, 12))]) for p in main[: int(g.integers(1, 4))]]
 
     def text(n: int) -> str:
         words = " ".join(other).split() or ["text"]
@@ -153,10 +153,15 @@ def layout(g, main: list[str], other: list[str]) -> tuple[str, list[int]]:
             if g.random() < 0.06:
                 advert()
 
+    bare = g.random() < 0.12  # nothing but the article
+
+    def chance(p: float) -> bool:
+        return not bare and g.random() < p
+
     out.append("<html><body>")
-    if g.random() < 0.4:
+    if chance(0.4):
         box("div", f'class="{_pick(g, "cookie-notice", "cookie-banner", "notice", "consent", "alert", "gdpr")}"', 1, 3)
-    if g.random() < 0.7:
+    if chance(0.7):
         top, foot = [("<header>", "</header>"), ('<div class="header">', "</div>"), ('<div id="header">', "</div>"),
                      ('<div class="masthead top">', "</div>")][int(g.integers(0, 4))]
         out.append(top)
@@ -164,13 +169,13 @@ def layout(g, main: list[str], other: list[str]) -> tuple[str, list[int]]:
         if g.random() < 0.5:
             menu("nav", "") if g.random() < 0.5 else menu("div", f'class="{_pick(g, "menu", "navbar", "navigation", "nav main-nav", "topbar")}"')
         out.append(foot)
-    else:
+    elif chance(0.6):
         menu("nav", "")
-    if g.random() < 0.4:
+    if chance(0.4):
         form(f'class="{_pick(g, "search", "searchform", "login", "search-box")}"')
-    if g.random() < 0.4:
+    if chance(0.4):
         advert()
-    if g.random() < 0.4:
+    if chance(0.4):
         box(_pick(g, "aside", "div"), f'class="{_pick(g, "sidebar", "side", "sidebar left", "widget", "rail", "related")}"', 2, 6)
     start, end = [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
                   ('<div class="article">', "</div>"), ('<div class="content">', "</div>"), ('<div id="content" class="post">', "</div>"),
@@ -180,15 +185,15 @@ def layout(g, main: list[str], other: list[str]) -> tuple[str, list[int]]:
     if g.random() < 0.7 and main:
         put("h1", html.escape(main[0][:70]), 1)
     paragraphs(main)
-    if g.random() < 0.3:
+    if chance(0.3):
         box("div", f'class="{_pick(g, "share", "social", "tags", "author-box", "byline", "meta")}"', 1, 3, 6)
-    if g.random() < 0.25:
+    if chance(0.25):
         form(f'class="{_pick(g, "newsletter", "subscribe", "signup")}"')
     comments = f'{_pick(g, "class", "id")}="{_pick(g, "comments", "comment-list", "responses", "discussion", "comments-area")}"'
     inside = g.random() < 0.2
     if not inside:
         out.append(end)
-    if g.random() < 0.5:
+    if chance(0.5):
         tag = _pick(g, "section", "div", "ol")
         out.append(f"<{tag} {comments}>")
         for _ in some(1, 6):
@@ -200,9 +205,9 @@ def layout(g, main: list[str], other: list[str]) -> tuple[str, list[int]]:
         out.append(f"</{tag}>")
     if inside:
         out.append(end)
-    if g.random() < 0.4:
+    if chance(0.4):
         box(_pick(g, "aside", "div"), f'class="{_pick(g, "sidebar", "sidebar right", "related", "recommended", "widget", "more")}"', 2, 6)
-    if g.random() < 0.85:
+    if chance(0.75):
         top, foot = [("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div id="footer">', "</div>")][int(g.integers(0, 3))]
         out.append(top)
         for _ in some(1, 4):
@@ -285,7 +290,7 @@ def train_crf(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, rid
         for k, x in g.items():
             m[k] = 0.9 * m[k] + 0.1 * x
             v[k] = 0.99 * v[k] + 0.01 * x * x
-            p[k] = p[k] - 0.1 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
+            p[k] = p[k] - 0.2 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
     return p
 
 

@@ -82,18 +82,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of these names are replaced.
     """
     gone = removed_lines(docs, id_col, text_col).select(
-        F.col("row.id").alias("_gone_id"), F.col("row.k").alias("_gone_k"), "gone")
-    text = F.col(text_col)
-    rows = docs.withColumn("_k", text_key(text))
-    joined = rows.join(gone, rows[id_col].eqNullSafe(F.col("_gone_id"))
-                       & (rows["_k"] == F.col("_gone_k")), "left")
-    lines = F.split(text, "\n")
+        F.col("row.id").alias("gone_id"), F.col("row.k").alias("gone_k"), "gone")
+    # The input columns travel by number, whatever they are called.
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in (text_col, "n_lines", "n_removed")}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(id_col).alias("id"),
+                       F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("k"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("k") == F.col("gone_k")), "left")
+    text, lines = F.col("text"), F.split("text", "\n")
     kept = let(lines, lambda ls: F.transform(
         F.array_except(F.sequence(F.lit(1), F.size(ls)), F.transform("gone", lambda i: i + 1)),
         lambda i: F.element_at(ls, i)))
     cut = let(kept, lambda ls: F.when(F.exists(ls, lambda l: F.trim(l) != ""), F.array_join(ls, "\n")).otherwise(""))
-    return (joined
-            .withColumn("n_lines", F.when(text.isNotNull(), F.size(lines)).cast("long"))
-            .withColumn("n_removed", F.when(text.isNotNull(), F.coalesce(F.size("gone"), F.lit(0))).cast("long"))
-            .withColumn(text_col, F.when(F.col("gone").isNull(), text).otherwise(cut))
-            .select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed"))
+    new = F.when(F.col("gone").isNull(), text).otherwise(cut)
+    return joined.select(
+        *[(new if c == text_col else F.col(own[c])).alias(c) for c in docs.columns if c in own or c == text_col],
+        F.when(text.isNotNull(), F.size(lines)).cast("long").alias("n_lines"),
+        F.when(text.isNotNull(), F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_removed"))

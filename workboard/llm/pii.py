@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from workboard.llm import bilstm_crf
-from workboard.llm.common import hash_sample
+from workboard.llm.common import free_name, hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STEP = 64, 32
@@ -286,9 +286,10 @@ def find(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFra
     """All rows and columns of ``docs`` with the columns :data:`RESULT`."""
     text = F.col(text_col)
     # Texts that can hold no span do not go to Python.
-    rows = docs.drop(*RESULT).withColumn("_searched", F.when(text.rlike("[0-9@]"), text))
+    extra = free_name(docs, "searched")
+    rows = docs.drop(*RESULT).withColumn(extra, F.when(text.rlike("[0-9@]"), text))
     long, string = T.LongType(), T.StringType()
     kinds = [long, long, long, long, string, string, long]
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "_searched"],
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != extra],
                            *[T.StructField(n, k) for n, k in zip(RESULT, kinds)]])
-    return rows.mapInArrow(_finder(pickle.dumps(model), rows.columns.index("_searched")), schema)
+    return rows.mapInArrow(_finder(pickle.dumps(model), rows.columns.index(extra)), schema)

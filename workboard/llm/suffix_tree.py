@@ -40,7 +40,7 @@ P_MIN = 1e-3
 DEPTH = 3
 FREQUENT = 250_000
 #: A task that counts words sends what it has when it holds this many.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 500_000
 END = b""
 
 
@@ -48,7 +48,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _documents(column: pa.Array, size: int = 1000):
+def _documents(column: pa.Array, size: int = 500):
     """Token lists of a text column, some documents at a time."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     for at in range(0, len(column), size):

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.llm.common import hash_sample, stored, whole_text
+from workboard.llm.common import free_name, hash_sample, stored, whole_text
 
 SAMPLE = 10_000
 CANDIDATES = 4_000
@@ -224,9 +224,10 @@ def _scorer(model: bytes, at: int):
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``severity``, ``p_toxic`` and ``toxic``."""
-    rows = docs.drop("severity", "p_toxic", "toxic").withColumn("_normal", normal(F.col(text_col)))
-    at = rows.columns.index("_normal")
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "_normal"],
+    extra = free_name(docs, "normal")
+    rows = docs.drop("severity", "p_toxic", "toxic").withColumn(extra, normal(F.col(text_col)))
+    at = rows.columns.index(extra)
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != extra],
                            T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())])
     return (rows.mapInArrow(_scorer(pickle.dumps(model), at), schema)
             .withColumn("toxic", F.col("p_toxic") >= 0.5))

@@ -111,14 +111,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
               .select("id", "k", F.col("item_id").cast("string").alias("item")).distinct()
               .groupBy("id", "k").agg(F.array_sort(F.collect_list("item")).alias("items")))
     found = words.join(listed, words["id"].eqNullSafe(listed["id"]) & (words["k"] == listed["k"]), "left").select(
-        words["id"].alias("_id"), words["k"].alias("_hit_k"), "n_hit", "items")
+        words["id"].alias("hit_id"), words["k"].alias("hit_k"), "n_hit", "items")
 
-    base = docs.drop(*RESULT)
-    base = base.withColumn("_k", text_key(whole_text(F.col(text_col)))).withColumn("n_words", count_words(F.col(text_col)))
+    # The input columns travel by number, whatever they are called.
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in RESULT}
+    base = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(id_col).alias("id"), text_key(whole_text(F.col(text_col))).alias("k"), count_words(F.col(text_col)).alias("n_words"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
-    return (base.join(found, base[id_col].eqNullSafe(found["_id"]) & (base["_k"] == found["_hit_k"]), "left")
-            .withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)).cast("long"))
-            .withColumn("items_sha256", F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256))
-            .withColumn("contaminated", (n_hit > 0) & (20 * n_hit >= F.col("n_words")))
-            .withColumn("n_hit", n_hit)
-            .select(*[c for c in docs.columns if c not in RESULT], *RESULT))
+    return (base.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("k") == F.col("hit_k")), "left")
+            .select(*[F.col(n).alias(c) for c, n in own.items()], "n_words", n_hit.alias("n_hit"),
+                    F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+                    F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+                    ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")))
