@@ -18,9 +18,9 @@ vectors have equal scores whatever block they are in; ties go to the smaller id.
 
 Defined results: a vector that is null, empty or zero, or holds a null or a
 non-finite component, takes no part, nor does one whose length is not the most
-common length of the sample; a row with a null id is left out; rows that share an
-id are candidates of their own, but never of that id. Fewer candidates than TOP:
-all of them are ranked. Empty tables give no rows. Extra columns are ignored.
+common length of the sample; a row with a null id is left out; of rows that share
+an id the smallest vector (by its first differing component) counts. Fewer
+candidates than TOP: all of them are ranked. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,7 +176,8 @@ def search(vectors: DataFrame, query_filter: Column, id_col: str = "vec_id", vec
     spark = vectors.sparkSession
     rows = (vectors.filter(_usable(F.col(vec_col)) & F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                    F.coalesce(query_filter, F.lit(False)).alias("asks")))
+                    F.coalesce(query_filter, F.lit(False)).alias("asks"))
+            .groupBy("id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks")))
     sample = hash_sample(rows.select("id", "vec"), "id", SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
