@@ -37,14 +37,14 @@ def test_enum_parse(spark):
 
 
 def test_repeated_patches_fold_in_order(spark):
-    _, _, _, _, tasks = seed_frames(spark)
+    users, _, _, _, tasks = seed_frames(spark)
     reqs = spark.createDataFrame([
         (1, 4, "T-a", None, "Completed", None, None, None),
         (2, 4, None, None, "Bogus", "nope", None, None),
         (3, 4, None, None, "OnHold", "Low", None, 1),
         (4, 99, None, None, "Completed", None, None, None),
     ], S.TASK_PATCH_REQUESTS)
-    cs = changes.patch_tasks(tasks, reqs, SEED_TIME)
+    cs = changes.patch_tasks(tasks, users, reqs, SEED_TIME)
     row = cs.table.where("id = 4").collect()[0]
     assert (row.title, row.status, row.priority, row.assigned_to_id) == ("T-a", "OnHold", "Low", 1)
     assert row.completed_at == SEED_TIME and row.updated_at == SEED_TIME  # not cleared
@@ -67,9 +67,85 @@ def test_duplicate_usernames_in_batch_case_insensitive(spark):
     ], S.USER_CREATE_REQUESTS)
     cs = changes.create_users(users, user_roles, roles, reqs, SEED_TIME)
     assert sorted((r.id, r.username) for r in cs.accepted.collect()) == [(3, "NewGuy"), (4, "third")]
-    assert sorted(r.seq for r in cs.rejected.collect()) == [2, 3]
-    assert sorted((r.user_id, r.role_id) for r in cs.extra["new_links"].collect()) == [
-        (3, 2), (4, 1)]
+    # The links of "third" fail as one insert; the user is made.
+    assert sorted((r.seq, r.reason) for r in cs.rejected.collect()) == [(2, "CONFLICT"), (3, "CONFLICT"), (4, "FK_VIOLATION")]
+    assert sorted((r.user_id, r.role_id) for r in cs.extra["new_links"].collect()) == [(3, 2)]
+
+
+def test_create_users_one_by_one(spark):
+    import random
+    users, roles, user_roles, _, _ = seed_frames(spark)
+    rnd = random.Random(5)
+    rows = [(1, "u1", "e1"), (2, "u1", "e2"), (3, "u3", "e2")]
+    rows += [(k, f"n{rnd.randrange(25)}", f"m{rnd.randrange(25)}") for k in range(4, 120)]
+    rows += [(k, "hot", f"h{k}") for k in range(200, 260)]
+    reqs = spark.createDataFrame([(s, u, f"{e}@x", "h", "A", "B", [2]) for s, u, e in rows], S.USER_CREATE_REQUESTS)
+    names, mails, want = set(), set(), set()
+    for s, u, e in rows:
+        if u not in names and e not in mails:
+            names.add(u), mails.add(e), want.add(s)
+    cs = changes.create_users(users, user_roles, roles, reqs, SEED_TIME)
+    assert {r.seq for r in cs.rejected.collect()} == {s for s, *_ in rows} - want and {1, 3} <= want
+
+
+def test_patch_users_one_by_one(spark):
+    import random
+    users, *_ = seed_frames(spark)
+    base = users.first().asDict()
+    rnd = random.Random(7)
+    people = {i: f"p{i}@x" for i in range(1, 13)}
+    frame = spark.createDataFrame([{**base, "id": i, "username": f"p{i}", "email": e} for i, e in people.items()], users.schema)
+    rows = [(1, 1, "new@x"), (2, 2, "NEW@x "), (3, 3, "free@x"), (4, 4, "p3@x"), (5, 1, "new@X")]
+    rows += [(10 + k, rnd.randrange(1, 13), rnd.choice([None, f"p{rnd.randrange(1, 13)}@x", f"q{rnd.randrange(5)}@x"])) for k in range(120)]
+    rows += [(500 + k, 1 + k % 12, "hot@x") for k in range(40)]
+    now, lost = dict(people), set()
+    for s, i, e in rows:
+        if e is not None:
+            if any(j != i and now[j].rstrip().lower() == e.rstrip().lower() for j in now):
+                lost.add(s)
+            else:
+                now[i] = e
+    reqs = spark.createDataFrame([(s, i, e, f"f{s}", None, None) for s, i, e in rows], S.USER_PATCH_REQUESTS)
+    cs = changes.patch_users(frame, reqs, SEED_TIME)
+    rejected = {r.seq for r in cs.rejected.collect()}
+    assert rejected == lost and {r.seq for r in cs.accepted.collect()} == {s for s, *_ in rows} - lost and {2} <= lost and 4 not in lost
+    got = {r.id: r for r in cs.table.collect()}
+    assert {i: r.email for i, r in got.items()} == now
+    last = {i: max(s for s, j, _ in rows if j == i and s not in lost) for i in people}
+    assert {i: r.first_name for i, r in got.items()} == {i: f"f{s}" for i, s in last.items()}
+
+
+def test_patch_tasks_refuses_bad_rows(spark):
+    users, _, _, _, tasks = seed_frames(spark)
+    reqs = spark.createDataFrame([(1, 1, "x" * 201, None, None, None, None, None), (2, 1, None, None, None, None, None, 999),
+                                  (3, 1, "fine", None, None, None, None, None), (4, 99, "y", None, None, None, None, None)], S.TASK_PATCH_REQUESTS)
+    cs = changes.patch_tasks(tasks, users, reqs, SEED_TIME)
+    assert sorted((r.seq, r.reason) for r in cs.rejected.collect()) == [(1, "BAD_REQUEST"), (2, "FK_VIOLATION"), (4, "NOT_FOUND")]
+    assert [r.seq for r in cs.accepted.collect()] == [3] and cs.audit.count() == 1
+    assert cs.table.where("id = 1").first().title == "fine"
+
+
+def test_missing_status_changes_nothing(spark):
+    *_, tasks = seed_frames(spark)
+    reqs = spark.createDataFrame([(1, 1, None), (2, 2, "z" * 21)], "seq long, id long, status string")
+    cs = changes.set_task_status(tasks, reqs, SEED_TIME)
+    assert sorted(cs.table.collect()) == sorted(tasks.collect()) and cs.audit.count() == 0
+    assert sorted((r.seq, r.reason) for r in cs.rejected.collect()) == [(1, "BAD_REQUEST"), (2, "BAD_REQUEST")]
+    assert {r.rows_affected for r in cs.accepted.collect()} == {0}
+
+
+def test_repeated_delete_is_not_found(spark):
+    *_, tasks = seed_frames(spark)
+    ids = spark.createDataFrame([(1,), (1,), (1,), (77,)], "id long")
+    cs = changes.delete_tasks(tasks, ids, SEED_TIME)
+    assert sorted(r.id for r in cs.rejected.collect()) == [1, 1, 77] and cs.accepted.count() == 1
+
+
+def test_enum_literals_use_ascii_digits():
+    from workboard.functions.exprs import enum_literal
+    assert enum_literal(" 2 ", S.TASK_STATUSES) == S.TASK_STATUSES[2]
+    assert enum_literal("²", S.TASK_STATUSES) is None and enum_literal("99", S.TASK_STATUSES) is None
+    assert enum_literal("\tPending", S.TASK_STATUSES) is None
 
 
 def test_json_escapes_quotes(spark):

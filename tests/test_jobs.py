@@ -16,21 +16,22 @@ def test_patch_then_delete_job(spark, scratch):
     materialize(d, root)
     tasks_path = os.path.join(root, "tasks")
     stored = sinks.read_table(spark, tasks_path, "tasks")
-    expected = sorted(changes.patch_tasks(stored, d.task_patches, TASKS_AS_OF).table.collect())
-    n_audit = changes.patch_tasks(stored, d.task_patches, TASKS_AS_OF).audit.count()
+    expected = sorted(changes.patch_tasks(stored, d.users, d.task_patches, TASKS_AS_OF).table.collect())
+    n_audit = changes.patch_tasks(stored, d.users, d.task_patches, TASKS_AS_OF).audit.count()
     n_before = spark.read.parquet(os.path.join(root, "audit_logs")).count()
 
-    jobs.run_task_patches(spark, root, d.task_patches, TASKS_AS_OF, run_id="r1")
+    jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
     after = sinks.read_table(spark, tasks_path, "tasks")
     assert sorted(after.collect()) == expected
     audit = sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs")
     assert audit.count() == n_before + n_audit
     ids = audit.select("id")
     assert ids.distinct().count() == audit.count()  # identity values stay unique
-    assert spark.read.parquet(os.path.join(root, "rejected", "run=r1")).count() == 1
+    n_rejected = changes.patch_tasks(d.tasks, d.users, d.task_patches, TASKS_AS_OF).rejected.count()
+    assert spark.read.parquet(os.path.join(root, "rejected", "run=r1")).count() == n_rejected > 1
 
     # Repeating the run does not append its audit rows again.
-    jobs.run_task_patches(spark, root, d.task_patches, TASKS_AS_OF, run_id="r1")
+    jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
     assert sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs").count() == \
         n_before + n_audit
     assert sorted(sinks.read_table(spark, tasks_path, "tasks").collect()) == expected
@@ -48,3 +49,50 @@ def test_patch_then_delete_job(spark, scratch):
                .where(F.col("performed_at") == F.lit(TASKS_AS_OF).cast("timestamp_ntz")).collect()]
     assert new_ids and min(new_ids) == top + 1  # identities continue densely
     assert audit2.select("id").distinct().count() == audit2.count()
+
+    # A repeated delete run changes nothing: neither rows nor rejects.
+    before = spark.read.parquet(os.path.join(root, "rejected", "run=r2")).count()
+    jobs.run_task_deletes(spark, root, dels, TASKS_AS_OF, run_id="r2")
+    assert spark.read.parquet(os.path.join(root, "rejected", "run=r2")).count() == before
+    assert sorted(sinks.read_table(spark, tasks_path, "tasks").collect()) == exp2
+    assert not os.path.exists(os.path.join(root, "_staging", "run=r2"))
+
+
+def test_stopped_run_goes_on_from_its_staging(spark, scratch, monkeypatch):
+    d = Domain(spark, SF_SMALL)
+    root = os.path.join(scratch, "domain")
+    materialize(d, root)
+    path = os.path.join(root, "tasks")
+    expected = sorted(changes.patch_tasks(d.tasks, d.users, d.task_patches, TASKS_AS_OF).table.collect())
+
+    def stop(*a):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "_append_audit", stop)
+        try:
+            jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
+        except RuntimeError:
+            pass
+    jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
+    assert sorted(sinks.read_table(spark, path, "tasks").collect()) == expected
+
+
+def test_bucket_count_is_kept_with_the_table(spark, scratch):
+    import pytest
+    d = Domain(spark, SF_SMALL)
+    path = os.path.join(scratch, "tasks")
+    sinks.write_table(d.tasks, path, "tasks")
+    n = d.tasks.count()
+    one = d.task_patches.limit(1)
+    for asked in ("128", "16"):
+        spark.conf.set(sinks.BUCKETS_CONF, asked)
+        try:
+            with pytest.raises(ValueError):
+                cs = changes.patch_tasks(sinks.read_table(spark, path, "tasks"), d.users, one, TASKS_AS_OF)
+                sinks.rewrite_touched(spark, path, "tasks", cs.table, one.select("id"), os.path.join(scratch, "stg"))
+            with pytest.raises(ValueError):
+                sinks.read_table(spark, path, "tasks", only_ids=one.select("id"))
+        finally:
+            spark.conf.unset(sinks.BUCKETS_CONF)
+    assert sinks.read_table(spark, path, "tasks").count() == n

@@ -69,44 +69,19 @@ def test_histogram_rank_matches_rank(spark):
                                                       .alias("rk")).collect())
 
 
-def test_salted_join_equals_plain_join(spark):
-    from workboard.operators.joins import hot_keys, salted_join
+def test_lookup_join_equals_plain_join(spark):
+    from workboard.operators.joins import lookup_join
     rnd = random.Random(11)
-    rows = []
-    for i in range(3000):
-        k = 7 if i % 3 == 0 else rnd.choice([None, 1, 2, 3, 4, 5, 99])  # 7 holds a third
-        rows.append((i, k))
+    rows = [(i, 7 if i % 3 == 0 else rnd.choice([None, 1, 2, 3, 4, 5, 99, -3])) for i in range(3000)]
     fact = spark.createDataFrame(rows, "id long, k long")
-    dim = spark.createDataFrame([(k, f"d{k}") for k in [1, 2, 3, 4, 5, 7]], "dk long, name string")
-    hot = {r["__hot_k"]: r["__hot_s"] for r in hot_keys(fact, "k", 8).collect()}
-    assert 7 in hot and len(hot) <= 8 and hot[7] >= 2
+    dim = spark.createDataFrame([(k, f"d{k}") for k in [1, 2, 3, 4, 5, 7, *range(-40, 0)]], "dk long, name string")
     for how in ["inner", "left"]:
-        got = salted_join(fact, dim, "k", "dk", how, "id", num_partitions=8).select("id", "name")
+        got = lookup_join(fact, dim, "k", "dk", how, "id").select("id", "name")
         exp = fact.join(dim, fact.k == dim.dk, how).select("id", "name")
         assert sorted(got.collect()) == sorted(exp.collect())
 
 
-def test_salted_join_spreads_hot_key_over_reducers(spark):
-    from workboard.operators.joins import salted_join
-    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
-            "spark.sql.adaptive.coalescePartitions.enabled"]
-    old = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k in keys[:2]:
-            spark.conf.set(k, "-1")
-        spark.conf.set(keys[2], "false")
-        fact = spark.range(6000).select(
-            F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50)
-            .alias("k"))
-        dim = spark.range(50).select(F.col("id").alias("dk"), F.col("id").cast("string").alias("v"))
-        j = salted_join(fact, dim, "k", "dk", "inner", "id", num_partitions=8)
-        parts = (j.where("k = 7").select(F.spark_partition_id().alias("p"))
-                 .distinct().count())
-        assert parts > 1  # the hot key is not in one reducer
-        assert j.count() == 6000
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+def test_scan_leaves_nothing_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    keyed_scan(_frame(spark), ["k"], [F.col("o"), F.col("id")], row_number="rn").collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

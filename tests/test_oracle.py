@@ -6,6 +6,7 @@ import sys
 import pytest
 
 from conftest import ROOT, SF_SMALL
+from workboard.registry import QUERIES
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
@@ -13,7 +14,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 @pytest.fixture(scope="module")
 def results(spark):
     from check_oracle import compare
-    return compare(spark, SF_SMALL, verbose=False)
+    return compare(spark, SF_SMALL, list(QUERIES), verbose=False)
 
 
 def test_all_queries_match_oracle(results):

@@ -40,7 +40,7 @@ def test_copy_on_write_rewrites_touched_buckets(spark, scratch):
     path = os.path.join(scratch, "tasks")
     sinks.write_table(d.tasks, path, "tasks")
     stored = sinks.read_table(spark, path, "tasks")
-    cs = changes.patch_tasks(stored, d.task_patches, TASKS_AS_OF)
+    cs = changes.patch_tasks(stored, d.users, d.task_patches, TASKS_AS_OF)
     expected = sorted(cs.table.collect())
     before_files = {b: sorted(os.listdir(os.path.join(path, b)))
                     for b in os.listdir(path) if b.startswith(sinks.BUCKET_COL)}

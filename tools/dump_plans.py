@@ -14,7 +14,6 @@ sys.path.insert(0, HERE)
 
 
 def main() -> None:
-    from workboard.operators.keyed_scan import release
     from workboard.registry import BUILDERS
     from workboard.session import build_session
     from workboard.sources.fixtures import Domain, StoredDomain, materialize
@@ -39,7 +38,6 @@ def main() -> None:
         tree = buf.getvalue().split("\n\n\n")[0].replace("== Physical Plan ==\n", "")
         tree = tree.split("+- == Initial Plan ==")[0]
         out += [f"## {name}", "", "```", tree.rstrip(), "```", ""]
-        release()
     with open(os.path.join(HERE, "docs", "PLANS.md"), "w") as f:
         f.write("\n".join(out))
     spark.stop()

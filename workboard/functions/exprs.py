@@ -39,6 +39,16 @@ def parse_enum(col: Column | str, names: list[str]) -> Column:
             .when(t.rlike(r"^[0-9]{1,3}$") & (num < len(names)), by_digit))
 
 
+def enum_literal(text: str, names: list[str]) -> str | None:
+    """``parse_enum`` of one literal: the same trim (blanks only) and ASCII digits."""
+    s = text.strip(" ")
+    if s in names:
+        return s
+    if 0 < len(s) <= 3 and all(c in "0123456789" for c in s) and int(s) < len(names):
+        return names[int(s)]
+    return None
+
+
 def task_status(col: Column | str) -> Column:
     return parse_enum(col, S.TASK_STATUSES)
 

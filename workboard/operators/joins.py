@@ -1,97 +1,31 @@
-"""Join helpers that keep hot keys out of one task.
+"""Row-level lookups from a large table to a dimension with a unique key.
 
-* ``salted_join``: a many-to-one join (fact -> dimension with a unique key)
-  where one key may hold a third of the fact rows. Keys with more rows than
-  an average shuffle partition are "hot"; there are at most as many of them
-  as partitions (pigeonhole), so the hot-key table is broadcast with a proven
-  bound. Fact rows of a hot key spread over ``ceil(count / average)`` salts,
-  the matching dimension row is repeated once per salt (at most about twice
-  the partition count in total), and the join runs on (key, salt): no
-  reducer gets more than about one average partition of a hot key. NULL keys
-  (an unassigned task) get a spread salt too: they never match, and they are
-  never hashed into one partition. One pass over the fact rows, no union.
-* ``exists`` / ``not_exists``: ``left_semi`` / ``left_anti``. A multi-key OR
-  existence test is two joins, never one OR condition (which would plan as a
-  nested loop). Their hot keys are split by AQE's skew-join handling (enabled
-  in ``workboard.session``), which supports semi and anti joins with the
-  skewed side on the left.
+Hot keys are left to adaptive execution: both sides of the join are plain
+shuffles, so a partition that one key fills is split at run time, without a
+pass over the data to count keys. Only NULL keys (an unassigned task) are
+spread here: they never match, but would all hash to one partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: NULL keys spread over this many stand-in values.
+SPREAD = 1 << 20
 
-def exists(df: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
-    cond = _cond(df, other, on)
-    return df.join(other, cond, "left_semi")
-
-
-def not_exists(df: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
-    cond = _cond(df, other, on)
-    return df.join(other, cond, "left_anti")
-
-
-def _cond(df: DataFrame, other: DataFrame, on: Sequence[tuple[str, str]]) -> Column:
-    cond = None
-    for a, b in on:
-        c = df[a] == other[b]
-        cond = c if cond is None else cond & c
-    return cond
-
-
-def _parallelism(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def hot_keys_by(fact: DataFrame, keys: list[str], num_partitions: int | None = None
-                ) -> dict[str, DataFrame]:
-    """Hot keys of several key columns (of one type) from **one** aggregation
-    pass: ``{key: DataFrame(__hot_k, __hot_s)}``. A key value is hot when it
-    has more rows than ``total / num_partitions`` (total = rows of ``fact``),
-    so each result has at most ``num_partitions`` rows (pigeonhole) and its
-    salts ``ceil(count / average)`` sum to at most ``2 * num_partitions``.
-    Partial + final aggregate over the key columns only."""
-    n = num_partitions or _parallelism(fact)
-    tagged = fact.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("kind"), F.col(k).alias("k")) for i, k in enumerate(keys)]))
-        .alias("t")).select("t.kind", "t.k").where(F.col("k").isNotNull())
-    counts = tagged.groupBy("kind", "k").agg(F.count(F.lit(1)).alias("__hot_n"))
-    avg = F.coalesce(fact.select(F.count(F.lit(1))).scalar(), F.lit(0)) / F.lit(n)
-    hot = counts.where(F.col("__hot_n") > avg).select(
-        "kind", F.col("k").alias("__hot_k"),
-        F.ceil(F.col("__hot_n") / avg).cast("int").alias("__hot_s"))
-    return {k: hot.where(F.col("kind") == i).drop("kind") for i, k in enumerate(keys)}
-
-
-def hot_keys(fact: DataFrame, key: str, num_partitions: int | None = None) -> DataFrame:
-    """Hot keys of one key column; see ``hot_keys_by``."""
-    return hot_keys_by(fact, [key], num_partitions)[key]
 
+def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str,
+                row_id: str) -> DataFrame:
+    """``fact JOIN dim ON fact_key = dim_key`` (``how`` inner or left).
 
-def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                how: str, row_id: str, hot: DataFrame | None = None,
-                num_partitions: int | None = None) -> DataFrame:
-    """``fact JOIN dim ON fact_key = dim_key`` (``how`` inner or left) where
-    ``dim_key`` is unique in ``dim`` and ``row_id`` is unique in ``fact``.
-    ``hot`` may be precomputed (e.g. from a base table before earlier joins)."""
-    if how not in ("inner", "left"):
+    A NULL key is replaced by a value made from ``row_id`` for the shuffle
+    only; the condition still asks for a key, so a stand-in matches nothing.
+    """
+    if how == "inner":
+        return fact.join(dim, fact[fact_key] == dim[dim_key], "inner")
+    if how != "left":
         raise ValueError(how)
-    n = num_partitions or _parallelism(fact)
-    hb = F.broadcast(hot if hot is not None else hot_keys(fact, fact_key, n))
-    spread = F.pmod(F.xxhash64(F.col(row_id)), F.lit(n))
-    f = fact.join(hb, fact[fact_key] == F.col("__hot_k"), "left")
-    f = f.withColumn("__salt", F.when(F.col(fact_key).isNull(), spread)
-                     .when(F.col("__hot_s").isNotNull(),
-                           F.pmod(F.xxhash64(F.col(row_id)), F.col("__hot_s")))
-                     .otherwise(F.lit(0).cast("long"))).drop("__hot_k", "__hot_s")
-    d = dim.join(hb, dim[dim_key] == F.col("__hot_k"), "left")
-    salts = F.when(F.col("__hot_s").isNotNull(),
-                   F.sequence(F.lit(0).cast("long"), (F.col("__hot_s") - 1).cast("long"))
-                   ).otherwise(F.array(F.lit(0).cast("long")))
-    d = d.withColumn("__dsalt", F.explode(salts)).drop("__hot_k", "__hot_s")
-    j = f.join(d, (f[fact_key] == d[dim_key]) & (f["__salt"] == d["__dsalt"]), how)
-    return j.drop("__salt", "__dsalt")
+    key = fact[fact_key]
+    stand_in = F.coalesce(key, -1 - F.pmod(F.xxhash64(fact[row_id]), F.lit(SPREAD)))
+    return fact.join(dim, (stand_in == dim[dim_key]) & key.isNotNull(), "left")

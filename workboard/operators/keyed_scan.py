@@ -20,30 +20,22 @@ Two shuffles of the data (range + window), no single-partition exchange of
 data rows, no Python. ``order`` must be a total order within each key (append
 a unique column) so that results are deterministic under task retries.
 
-The locally numbered frame is persisted (memory and disk) before it is read
-twice (summary and join back): the two reads get pruned to different column
-sets, so without it each read would plan its own range exchange whose sampled
-bounds could differ. A lost cached block is rebuilt from the same range
-shuffle, whose partitioner is fixed once computed, so rows cannot move.
-``release()`` unpersists the frames once a result has been written.
+The locally numbered frame is written to the shared folder of
+``spark.checkpoint.dir`` before it is read twice (summary and join back): two
+reads of a plan would sample their own range bounds. Written rows cannot move,
+and a lost executor costs no recomputation of what came before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PID, _LRN, _KEY = "__ks_pid", "__ks_lrn", "__ks_key"
-_PERSISTED: list[DataFrame] = []
-
+from workboard.session import stage
 
-def release() -> None:
-    """Unpersist every frame persisted by scans so far."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+_PID, _LRN, _KEY = "__ks_pid", "__ks_lrn", "__ks_key"
 
 
 def _order_cols(order: Sequence[Column | str]) -> list[Column]:
@@ -97,8 +89,7 @@ def keyed_scan(
         local = local.withColumn(col, F.last(src, ignorenulls=True).over(w_run))
     for out, src in carry_before.items():
         local = local.withColumn(f"__ks_prev_{out}", F.last(src, ignorenulls=True).over(w_prev))
-    local = local.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(local)
+    local = stage(local, "keyed-scan")
 
     # One row per non-empty range partition.
     kstruct = F.struct(*[F.col(k) for k in key_names])

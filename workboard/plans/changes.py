@@ -29,10 +29,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.functions.exprs import (as_ts, audit_update_image, json_image, task_priority,
+from workboard.functions.exprs import (as_ts, audit_update_image, enum_literal, json_image, task_priority,
                                        task_status, text_key, user_status)
 from workboard.operators.keyed_scan import assign_ids, keyed_scan
 from workboard.plans.audit import audit_rows
+from workboard.session import stage
 from workboard.sources import schemas as S
 
 AsOf = str | datetime | Column
@@ -62,6 +63,20 @@ def _start(table: DataFrame, start: Column | None) -> Column:
     return start.cast("long") if start is not None else _max_id(table)
 
 
+def _too_long(table: str, columns: list[str]) -> Column:
+    """Some value is longer than its column allows (NULL is not)."""
+    limits = S.MAX_LENGTHS[table]
+    return F.coalesce(F.greatest(*[F.length(c) > limits[c] for c in columns], F.lit(False)), F.lit(False))
+
+
+def _repeats(ids: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row per repeated request for an id of ``existing`` (column ``id``):
+    the first one finds the row, the others do not any more."""
+    again = ids.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return again.join(existing.select("id"), "id", "left_semi").select(
+        "id", F.explode(F.sequence(F.lit(2).cast("long"), F.col("__n"))).alias("__k")).select("id")
+
+
 def fold_latest(requests: DataFrame, key: str, fields: list[str], seq: str = "seq",
                 extra_aggs: list[Column] | None = None) -> DataFrame:
     """Per key, the latest non-NULL value of each field by ``seq`` (NULL means
@@ -92,21 +107,18 @@ def _apply_fold(table: DataFrame, folded: DataFrame, key: str, fields: list[str]
 # ====================================================================== tasks
 def create_tasks(tasks: DataFrame, projects: DataFrame, users: DataFrame,
                  requests: DataFrame, as_of: AsOf, start: Column | None = None) -> ChangeSet:
-    """Project must exist (NOT_FOUND); an assignee that is not a user fails
-    the foreign key (FK_VIOLATION); an unparseable priority becomes Medium;
-    status is Pending; ids continue from ``start`` (default: max(id) of the
-    table) in ``seq`` order."""
+    """Project must exist (NOT_FOUND); a title that is missing or a text
+    that is too long is a BAD_REQUEST; an assignee that is not a user fails the
+    foreign key (FK_VIOLATION); an unparseable priority becomes Medium; status
+    is Pending; ids continue from ``start`` (default: max(id) of the table) in
+    ``seq`` order."""
     now = as_ts(as_of)
-    ok_project = requests.join(projects.select(F.col("id").alias("__pid")),
-                               requests.project_id == F.col("__pid"), "left_semi")
-    no_project = requests.join(projects.select(F.col("id").alias("__pid")),
-                               requests.project_id == F.col("__pid"), "left_anti")
-    assigned = ok_project.where(F.col("assigned_to_id").isNotNull())
-    bad_assignee = assigned.join(users.select(F.col("id").alias("__uid")),
-                                 assigned.assigned_to_id == F.col("__uid"), "left_anti")
-    good = (ok_project.where(F.col("assigned_to_id").isNull())
-            .unionByName(assigned.join(users.select(F.col("id").alias("__uid")),
-                                       assigned.assigned_to_id == F.col("__uid"), "left_semi")))
+    judged = (requests.join(projects.select(F.col("id").alias("__pid")), requests.project_id == F.col("__pid"), "left")
+              .join(users.select(F.col("id").alias("__uid")), F.col("assigned_to_id") == F.col("__uid"), "left")
+              .withColumn("__why", F.when(F.col("__pid").isNull(), S.NOT_FOUND)
+                          .when(F.col("title").isNull() | _too_long("tasks", ["title", "description"]), S.BAD_REQUEST)
+                          .when(F.col("assigned_to_id").isNotNull() & F.col("__uid").isNull(), S.FK_VIOLATION)))
+    good = judged.where(F.col("__why").isNull()).select(*requests.columns)
     numbered = assign_ids(good, [F.col("seq")], _start(tasks, start), out="id")
     created = numbered.select(
         "id", "title", "description", F.lit("Pending").alias("status"),
@@ -115,8 +127,7 @@ def create_tasks(tasks: DataFrame, projects: DataFrame, users: DataFrame,
         F.lit(None).cast("timestamp_ntz").alias("updated_at"),
         F.lit(None).cast("timestamp_ntz").alias("completed_at"),
         "seq")
-    rejected = (_reject(no_project, S.NOT_FOUND, ["seq", "project_id"])
-                .unionByName(_reject(bad_assignee, S.FK_VIOLATION, ["seq", "project_id"])))
+    rejected = judged.where(F.col("__why").isNotNull()).select("seq", "project_id", F.col("__why").alias("reason"))
     table = tasks.unionByName(created.drop("seq"))
     return ChangeSet(table=table, accepted=created, rejected=rejected,
                      audit=audit_rows(inserted=created.drop("seq"), as_of=now))
@@ -126,19 +137,23 @@ PATCH_FIELDS = ["title", "description", "status", "priority", "due_date", "assig
 IMAGE_FIELDS = ["title", "status", "priority", "assigned_to_id"]
 
 
-def patch_tasks(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet:
+def patch_tasks(tasks: DataFrame, users: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet:
     """NULL field = unchanged (so a due date or assignee can never be
     cleared); an unparseable status / priority is ignored; a Completed status
     stamps completed_at (leaving Completed later does not clear it);
-    updated_at is always set; unknown ids are NOT_FOUND. One audit UPDATE row
-    per accepted request, with the images before and after that request."""
+    updated_at is always set. Unknown ids are NOT_FOUND, texts that are too long
+    a BAD_REQUEST, an assignee that is not a user an FK_VIOLATION; such requests
+    change nothing. One audit UPDATE row per accepted request, with the images
+    before and after that request."""
     now = as_ts(as_of)
-    ids = tasks.select(F.col("id").alias("__tid"))
-    known = requests.join(ids, requests.id == F.col("__tid"), "left_semi")
-    missing = requests.join(ids, requests.id == F.col("__tid"), "left_anti")
-    # Unknown ids need no pre-filter here: the left join from tasks (new
-    # table) and the inner join with the stored rows (audit) drop them.
-    parsed = requests.withColumn("status", task_status("status")) \
+    judged = (requests.join(tasks.select(F.col("id").alias("__tid")), requests.id == F.col("__tid"), "left")
+              .join(users.select(F.col("id").alias("__uid")), F.col("assigned_to_id") == F.col("__uid"), "left")
+              .withColumn("__why", F.when(F.col("__tid").isNull(), S.NOT_FOUND)
+                          .when(_too_long("tasks", ["title", "description"]), S.BAD_REQUEST)
+                          .when(F.col("assigned_to_id").isNotNull() & F.col("__uid").isNull(), S.FK_VIOLATION)))
+    known = judged.where(F.col("__why").isNull()).select(*requests.columns)
+    rejected = judged.where(F.col("__why").isNotNull()).select("seq", "id", F.col("__why").alias("reason"))
+    parsed = known.withColumn("status", task_status("status")) \
                      .withColumn("priority", task_priority("priority"))
     done = F.max(F.coalesce(F.col("status") == "Completed", F.lit(False))).alias("__done")
     folded = fold_latest(parsed, "id", PATCH_FIELDS, extra_aggs=[done])
@@ -176,8 +191,7 @@ def patch_tasks(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet
         _update_json(before).alias("old_values"), _update_json(after).alias("new_values"),
         F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"),
         F.col("seq"))
-    return ChangeSet(table=table, accepted=known,
-                     rejected=_reject(missing, S.NOT_FOUND, ["seq", "id"]), audit=audit)
+    return ChangeSet(table=table, accepted=known, rejected=rejected, audit=audit)
 
 
 def _update_json(values: dict[str, Column]) -> Column:
@@ -187,9 +201,14 @@ def _update_json(values: dict[str, Column]) -> Column:
 
 
 def set_task_status(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet:
-    """C3 (procedure form): any status text is accepted; a 'Completed' request
-    stamps completed_at; per request the affected-row count (0 or 1)."""
+    """C3 (procedure form): any status text that fits the column is accepted; a
+    'Completed' request stamps completed_at; per request the affected-row count
+    (0 or 1). A missing or too long status is a BAD_REQUEST and affects nothing."""
     now = as_ts(as_of)
+    every = requests
+    bad = F.col("status").isNull() | _too_long("tasks", ["status"])
+    rejected = _reject(every.where(bad), S.BAD_REQUEST, ["seq", "id"])
+    requests = every.where(~bad)
     per_id = requests.groupBy("id").agg(
         F.max(F.struct("seq", "status")).getField("status").alias("__st"),
         F.max(F.coalesce(F.col("status") == "Completed", F.lit(False))).alias("__done"))
@@ -208,8 +227,8 @@ def set_task_status(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> Chang
         else:
             cols.append(F.col(c))
     ids = tasks.select(F.col("id").alias("__tid"))
-    affected = (requests.join(ids, requests.id == F.col("__tid"), "left")
-                .select("seq", "id", F.when(F.col("__tid").isNotNull(), 1).otherwise(0)
+    affected = (every.join(ids, every.id == F.col("__tid"), "left")
+                .select("seq", "id", F.when(F.col("__tid").isNotNull() & ~bad, 1).otherwise(0)
                         .cast("long").alias("rows_affected")))
     # The update trigger fires per statement: one audit row per request that
     # hit a task, with the status before and after that request.
@@ -227,7 +246,7 @@ def set_task_status(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> Chang
         _update_json(before).alias("old_values"), _update_json(after).alias("new_values"),
         F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"),
         F.col("seq"))
-    return ChangeSet(table=j.select(*cols), accepted=affected, audit=audit)
+    return ChangeSet(table=j.select(*cols), accepted=affected, rejected=rejected, audit=audit)
 
 
 def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
@@ -235,7 +254,7 @@ def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
     """C4: one status for many ids. An unparseable status rejects the whole
     call (ValueError = BAD_REQUEST); unknown ids are skipped. Returned rows
     carry '' as project name and NULL as assignee name (nothing is loaded)."""
-    parsed = _parse_literal(status, S.TASK_STATUSES)
+    parsed = enum_literal(status, S.TASK_STATUSES)
     if parsed is None:
         raise ValueError(f"{S.BAD_REQUEST}: invalid status {status!r}")
     now = as_ts(as_of)
@@ -261,24 +280,16 @@ def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
     return ChangeSet(table=rest.unionByName(updated), accepted=returned, audit=audit)
 
 
-def _parse_literal(text: str, names: list[str]) -> str | None:
-    s = text.strip()
-    if s in names:
-        return s
-    if s.isdigit() and int(s) < len(names):
-        return names[int(s)]
-    return None
-
-
 def delete_tasks(tasks: DataFrame, task_ids: DataFrame, as_of: AsOf) -> ChangeSet:
-    """Missing ids are NOT_FOUND; deleted rows produce audit DELETE rows."""
+    """Missing ids are NOT_FOUND, and so is an id asked for again; deleted
+    rows produce audit DELETE rows."""
     ids = task_ids.select(F.col("id").alias("__did"))
     gone = tasks.join(ids, tasks.id == F.col("__did"), "left_semi")
     table = tasks.join(ids, tasks.id == F.col("__did"), "left_anti")
     tid = tasks.select(F.col("id").alias("__tid"))
     missing = task_ids.join(tid, task_ids.id == F.col("__tid"), "left_anti")
     return ChangeSet(table=table, accepted=gone,
-                     rejected=_reject(missing, S.NOT_FOUND, ["id"]),
+                     rejected=_reject(missing.unionByName(_repeats(task_ids, tasks)), S.NOT_FOUND, ["id"]),
                      audit=audit_rows(deleted=gone, as_of=as_ts(as_of)))
 
 
@@ -295,7 +306,7 @@ def delete_projects(projects: DataFrame, tasks: DataFrame, project_ids: DataFram
     pid = projects.select(F.col("id").alias("__pid"))
     missing = project_ids.join(pid, project_ids.id == F.col("__pid"), "left_anti")
     return ChangeSet(table=new_projects, accepted=existing,
-                     rejected=_reject(missing, S.NOT_FOUND, ["id"]),
+                     rejected=_reject(missing.unionByName(_repeats(project_ids, projects)), S.NOT_FOUND, ["id"]),
                      audit=audit_rows(deleted=cascaded, as_of=as_ts(as_of)),
                      extra={"tasks": new_tasks})
 
@@ -332,41 +343,67 @@ def patch_projects(projects: DataFrame, requests: DataFrame, as_of: AsOf) -> Cha
 def create_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
                  requests: DataFrame, as_of: AsOf, start: Column | None = None) -> ChangeSet:
     """A username OR email already taken (case-insensitive, trailing blanks
-    ignored) is a CONFLICT. Inside the batch a request is accepted if it is the
-    first by ``seq`` in both its username group and its email group among the
-    requests that passed the table check (stricter than one-by-one only for
-    chains, where a rejected request still blocks a later one). New users are
-    Active; their role ids (existing roles only, duplicates once) are linked."""
+    ignored) is a CONFLICT, by the table or by an earlier accepted request; the
+    outcome is that of handling the requests one by one in ``seq`` order
+    (``_first_claims``). A missing or too long value is a BAD_REQUEST. A role id
+    that names no role (FK_VIOLATION) or stands twice (CONFLICT) fails the link
+    insert, as in the source: the user is made, its links are not. New users are
+    Active."""
     now = as_ts(as_of)
+    texts = ["username", "email", "password_hash", "first_name", "last_name"]
+    bad = F.coalesce(F.greatest(*[F.col(c).isNull() for c in texts], _too_long("users", texts)), F.lit(False))
     r = requests.withColumn("__ku", text_key("username")).withColumn("__ke", text_key("email"))
     taken_u = users.select(text_key("username").alias("__tu"))
     taken_e = users.select(text_key("email").alias("__te"))
-    free = (r.join(taken_u, r.__ku == F.col("__tu"), "left_anti")
+    free = (r.where(~bad).join(taken_u, r.__ku == F.col("__tu"), "left_anti")
             .join(taken_e, F.col("__ke") == F.col("__te"), "left_anti"))
-    first_u = free.groupBy(F.col("__ku").alias("__gu")).agg(F.min("seq").alias("__mu"))
-    first_e = free.groupBy(F.col("__ke").alias("__ge")).agg(F.min("seq").alias("__me"))
-    ranked = (free.join(first_u, free.__ku == F.col("__gu"), "inner")
-              .join(first_e, F.col("__ke") == F.col("__ge"), "inner"))
-    good = ranked.where((F.col("seq") == F.col("__mu")) & (F.col("seq") == F.col("__me")))
-    good = good.select(*requests.columns)
-    rejected = requests.join(good.select(F.col("seq").alias("__ok")),
-                             requests.seq == F.col("__ok"), "left_anti")
+    won = _first_claims(free.select("seq", F.col("__ku").alias("a"), F.col("__ke").alias("b")))
+    good = requests.join(won, "seq", "left_semi").select(*requests.columns)
+    lost = requests.where(~bad).join(won, "seq", "left_anti")
+    rejected = (_reject(requests.where(bad), S.BAD_REQUEST, ["seq", "username", "email"])
+                .unionByName(_reject(lost, S.CONFLICT, ["seq", "username", "email"])))
     numbered = assign_ids(good, [F.col("seq")], _start(users, start), out="id")
     created = numbered.select(
         "id", "username", "email", "password_hash", "first_name", "last_name",
         F.lit("Active").alias("status"), now.alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("updated_at"), "seq", "role_ids")
     links = created.select(F.col("id").alias("user_id"),
-                           F.explode(F.array_distinct("role_ids")).alias("role_id"))
-    links = links.join(roles.select(F.col("id").alias("__rid")),
-                       links.role_id == F.col("__rid"), "left_semi").select(
+                           F.explode(F.array_distinct("role_ids")).alias("role_id"), "seq", "username", "email")
+    rid = roles.select(F.col("id").alias("__rid"))
+    named = ["seq", "username", "email"]
+    unknown = links.join(rid, links.role_id == F.col("__rid"), "left_anti").select(*named).distinct()
+    twice = (created.where(F.size(F.array_distinct("role_ids")) < F.size("role_ids")).select(*named)
+             .join(unknown.select("seq"), "seq", "left_anti").select(*named))
+    rejected = (rejected.unionByName(_reject(unknown, S.FK_VIOLATION, named))
+                .unionByName(_reject(twice, S.CONFLICT, named)))
+    links = links.join(unknown.unionByName(twice).select("seq"), "seq", "left_anti").select(
         "user_id", "role_id", now.alias("assigned_at"))
     new_users = created.drop("seq", "role_ids")
     return ChangeSet(table=users.unionByName(new_users), accepted=new_users,
-                     rejected=_reject(rejected, S.CONFLICT, ["seq", "username", "email"]),
+                     rejected=rejected,
                      extra={"user_roles": user_roles.unionByName(links), "new_links": links})
 
 
+def _first_claims(claims: DataFrame) -> DataFrame:
+    """``seq`` of the winning claims: ``seq, a, b`` claims two keys, and wins if
+    no earlier winner has either.
+
+    In a round every claim that is the first open one for both its keys wins,
+    and all open claims that share a key with a winner are out, however many.
+    The earliest open claim always wins, so the rounds end; their number is the
+    length of the longest chain of claims that wait for one another."""
+    open_, won = stage(claims, "claims"), claims.select("seq").limit(0)
+    while not open_.isEmpty():
+        first_a = open_.groupBy(F.col("a").alias("ga")).agg(F.min("seq").alias("ma"))
+        first_b = open_.groupBy(F.col("b").alias("gb")).agg(F.min("seq").alias("mb"))
+        now = stage(open_.join(first_a, (F.col("a") == F.col("ga")) & (F.col("seq") == F.col("ma")))
+                    .join(first_b, (F.col("b") == F.col("gb")) & (F.col("seq") == F.col("mb"))).select("seq", "a", "b"), "winners")
+        won = won.unionByName(now.select("seq"))
+        open_ = stage(open_.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti")
+                      .select("seq", "a", "b"), "claims")
+    return won
+
+
 def register_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
                    requests: DataFrame, as_of: AsOf) -> ChangeSet:
     """C8, self-registration form: same checks as ``create_users``; every new
@@ -378,26 +415,55 @@ def register_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
 
 def patch_users(users: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet:
     """Email / first / last name / status; NULL = unchanged; an
-    unparseable status is ignored; unknown ids are NOT_FOUND. A new email that
-    another user already has fails the unique constraint (whole request
-    rejected, as the database would)."""
+    unparseable status is ignored; unknown ids are NOT_FOUND, texts that are too
+    long a BAD_REQUEST. An email that another user has when the request's turn
+    comes (by ``seq``, after the accepted requests before it) is a CONFLICT: that
+    request changes nothing, the user's other requests stand."""
     now = as_ts(as_of)
-    uid = users.select(F.col("id").alias("__uid"))
-    known = requests.join(uid, requests.id == F.col("__uid"), "left_semi")
-    missing = requests.join(uid, requests.id == F.col("__uid"), "left_anti")
-    parsed = known.withColumn("status", user_status("status"))
     fields = ["email", "first_name", "last_name", "status"]
-    folded = fold_latest(parsed, "id", fields)
-    others = users.select(F.col("id").alias("__oid"), text_key("email").alias("__oe"))
-    clash = folded.where(F.col("email").isNotNull()).join(
-        others, (text_key(F.col("email")) == F.col("__oe")) & (F.col("id") != F.col("__oid")),
-        "left_semi").select(F.col("id").alias("__cid"))
-    folded_ok = folded.join(clash, folded.id == F.col("__cid"), "left_anti")
-    clash_reqs = known.join(clash, known.id == F.col("__cid"), "left_semi")
-    table = _apply_fold(users, folded_ok, "id", fields, extra={"updated_at": now})
-    rejected = (_reject(missing, S.NOT_FOUND, ["seq", "id"])
-                .unionByName(_reject(clash_reqs, S.CONFLICT, ["seq", "id"])))
-    return ChangeSet(table=table, accepted=known, rejected=rejected)
+    judged = requests.join(users.select(F.col("id").alias("__uid")), requests.id == F.col("__uid"), "left").withColumn(
+        "__why", F.when(F.col("__uid").isNull(), S.NOT_FOUND)
+        .when(_too_long("users", ["email", "first_name", "last_name"]), S.BAD_REQUEST))
+    known = judged.where(F.col("__why").isNull()).select(*requests.columns)
+    lost = _email_conflicts(users, known)
+    accepted = known.join(lost, "seq", "left_anti").select(*requests.columns)
+    folded = fold_latest(accepted.withColumn("status", user_status("status")), "id", fields)
+    table = _apply_fold(users, folded, "id", fields, extra={"updated_at": now})
+    rejected = (judged.where(F.col("__why").isNotNull()).select("seq", "id", F.col("__why").alias("reason"))
+                .unionByName(_reject(known.join(lost, "seq", "left_semi"), S.CONFLICT, ["seq", "id"])))
+    return ChangeSet(table=table, accepted=accepted, rejected=rejected)
+
+
+def _email_conflicts(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """``seq`` of the requests whose email another user has at their turn.
+
+    Rounds over the open requests with an email, against a table of who holds the
+    emails asked for. All requests for a held email that come before the holder's
+    next open request are out at once. A request wins if it is its user's first
+    open one and the email is its user's own, or free and no earlier request asks
+    for it; the user's old email is free from then on. The earliest open request
+    is always decided, so the rounds end."""
+    asked = requests.where(F.col("email").isNotNull()).select("seq", "id", text_key("email").alias("k"))
+    open_ = stage(asked, "email-requests")
+    held = stage(users.select(text_key("email").alias("k"), F.col("id").alias("holder"))
+                 .join(open_.select("k").distinct(), "k", "left_semi"), "emails")
+    lost = open_.select("seq").limit(0)
+    while not open_.isEmpty():
+        by_user = open_.groupBy("id").agg(F.min("seq").alias("own_next"))
+        by_key = open_.groupBy("k").agg(F.min("seq").alias("key_next"))
+        holders = held.join(by_user.select(F.col("id").alias("holder"), F.col("own_next").alias("holder_next")), "holder", "left")
+        state = open_.join(holders, "k", "left").join(by_user, "id").join(by_key, "k")
+        mine, free = F.col("holder") == F.col("id"), F.col("holder").isNull()
+        out = ~mine & (F.col("holder_next").isNull() | (F.col("seq") < F.col("holder_next")))
+        wins = (F.col("seq") == F.col("own_next")) & (mine | (free & (F.col("seq") == F.col("key_next"))))
+        state = stage(state.select("seq", "id", "k", F.coalesce(wins, F.lit(False)).alias("wins"),
+                                   F.coalesce(out, F.lit(False)).alias("out")), "email-round")
+        won = state.where("wins").select("id", "k")
+        lost = lost.unionByName(state.where("out").select("seq"))
+        held = stage(held.join(won.select(F.col("id").alias("holder")), "holder", "left_anti").select("k", "holder")
+                     .unionByName(won.select("k", F.col("id").alias("holder"))), "emails")
+        open_ = stage(state.where("not wins and not out").select("seq", "id", "k"), "email-requests")
+    return lost
 
 
 def delete_users(users: DataFrame, projects: DataFrame, user_roles: DataFrame,
@@ -432,7 +498,8 @@ def delete_users(users: DataFrame, projects: DataFrame, user_roles: DataFrame,
                       "priority": F.col("priority"),
                       "assigned_to_id": F.lit(None).cast("long")}).alias("new_values"),
         F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"))
-    rejected = (_reject(missing, S.NOT_FOUND, ["id"])
+    again = _repeats(user_ids, gone.select(F.col("__gid").alias("id")))
+    rejected = (_reject(missing.unionByName(again), S.NOT_FOUND, ["id"])
                 .unionByName(_reject(blocked, S.FK_VIOLATION, ["id"])))
     return ChangeSet(table=new_users, accepted=gone.select(F.col("__gid").alias("id")),
                      rejected=rejected, audit=audit,

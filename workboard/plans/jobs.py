@@ -2,13 +2,17 @@
 (rejected rows, audit rows, new snapshot), written in a safe order.
 
 Only the buckets holding requested ids are read (partition pruning), so a
-batch costs O(touched buckets), not O(table). The rejected and audit plans
-read those stored buckets, so they are written *before* the buckets are
-swapped; the swap itself stages the new
-bucket contents first (see ``sources.sinks.rewrite_touched``). Rejected rows
-are written per ``run_id`` (overwrite), audit identities continue from a
-high-water-mark table, and a run already recorded there does not append its
-audit rows again.
+batch costs O(touched buckets), not O(table). A run goes in three steps:
+
+1. Rejected rows, audit rows and the new bucket contents are written under the
+   run's own folder, while every input is still unchanged.
+2. The buckets are swapped in and the audit rows appended, from there.
+3. The run is marked done and its staging removed.
+
+A repeated run that is done changes nothing; one that stopped in step 2 goes on
+with what step 1 left (swapping again is harmless). Audit identities continue
+from a high-water-mark table, and a run recorded there does not append its audit
+rows again.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workboard.operators.keyed_scan import assign_ids, release
+from workboard.operators.keyed_scan import assign_ids
 from workboard.plans import changes
 from workboard.sources import sinks
 
@@ -26,13 +30,8 @@ from workboard.sources import sinks
 def _paths(root: str, run_id: str) -> dict[str, str]:
     r = root.rstrip("/")
     return {"tasks": f"{r}/tasks", "audit": f"{r}/audit_logs",
-            "rejected": f"{r}/rejected/run={run_id}", "staging": f"{r}/_staging/run={run_id}"}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+            "rejected": f"{r}/rejected/run={run_id}", "staging": f"{r}/_staging/run={run_id}",
+            "done": f"{r}/_runs/{run_id}"}
 
 
 def _seq_path(root: str, table: str) -> str:
@@ -41,7 +40,7 @@ def _seq_path(root: str, table: str) -> str:
 
 def _committed(spark: SparkSession, root: str, table: str, run_id: str) -> bool:
     sp = _seq_path(root, table)
-    return _exists(spark, sp) and spark.read.parquet(sp).where(
+    return sinks.path_exists(spark, sp) and spark.read.parquet(sp).where(
         F.col("run_id") == F.lit(run_id)).limit(1).count() > 0
 
 
@@ -49,10 +48,10 @@ def _start_id(spark: SparkSession, root: str, table: str, path: str):
     """Next identity base: the high-water mark of earlier runs (a tiny table,
     one row per run). Only the very first run scans the table's ids."""
     sp = _seq_path(root, table)
-    if _exists(spark, sp):
+    if sinks.path_exists(spark, sp):
         return F.coalesce(spark.read.parquet(sp).select(F.max("last_id")).scalar(),
                           F.lit(0)).cast("long")
-    if _exists(spark, path):
+    if sinks.path_exists(spark, path):
         return F.coalesce(sinks.read_table(spark, path, table).select(F.max("id")).scalar(),
                           F.lit(0)).cast("long")
     return F.lit(0).cast("long")
@@ -73,35 +72,41 @@ def _append_audit(spark: SparkSession, audit: DataFrame, root: str, path: str,
     rows = assign_ids(audit, order, start, out="id").select(
         *[f.name for f in sinks.S.AUDIT_LOGS.fields])
     sinks.append_rows(rows, path, "audit_logs")
-    # Marker / high-water mark from the rows just written (the numbering is
-    # persisted by the keyed scan, so this reads the same ids).
+    # High-water mark of the rows just written (the numbering is stored by the
+    # keyed scan, so this reads the same ids).
     (rows.agg(F.max("id").alias("last_id"))
      .select(F.lit(run_id).alias("run_id"),
              F.coalesce(F.col("last_id"), start).alias("last_id"))
      .write.mode("append").parquet(_seq_path(root, "audit_logs")))
 
 
-def run_task_patches(spark: SparkSession, root: str, requests: DataFrame,
-                     as_of: str | datetime, run_id: str) -> None:
+def _run(spark: SparkSession, root: str, run_id: str, ids: DataFrame, change) -> None:
+    """One change set over the stored tasks, in the steps above. ``change`` maps
+    the stored rows of the touched buckets to a ChangeSet."""
     p = _paths(root, run_id)
-    # Every requested id lives in one bucket, so the touched buckets hold all
-    # rows the patch can read or change: existence, folds and audit images.
-    stored = sinks.read_table(spark, p["tasks"], "tasks", only_ids=requests.select("id"))
-    cs = changes.patch_tasks(stored, requests, as_of)
-    cs.rejected.write.mode("overwrite").parquet(p["rejected"])
-    _append_audit(spark, cs.audit, root, p["audit"], run_id)
-    sinks.rewrite_touched(spark, p["tasks"], "tasks", cs.table,
-                          requests.select("id"), p["staging"])
-    release()
+    if sinks.path_exists(spark, p["done"]):
+        return
+    if not sinks.path_exists(spark, f"{p['staging']}/_ready"):
+        # Every requested id lives in one bucket, so the touched buckets hold all
+        # rows the change can read or write: existence, folds and audit images.
+        cs = change(sinks.read_table(spark, p["tasks"], "tasks", only_ids=ids))
+        cs.rejected.write.mode("overwrite").parquet(p["rejected"])
+        audit = cs.audit if "seq" in cs.audit.columns else cs.audit.withColumn("seq", F.lit(None).cast("long"))
+        audit.write.mode("overwrite").parquet(f"{p['staging']}/audit")
+        sinks.stage_touched(spark, p["tasks"], "tasks", cs.table, ids, p["staging"])
+    sinks.swap_staged(spark, p["tasks"], "tasks", p["staging"])
+    _append_audit(spark, spark.read.parquet(f"{p['staging']}/audit"), root, p["audit"], run_id)
+    sinks.make_mark(spark, p["done"])
+    sinks.remove_path(spark, p["staging"])
+
+
+def run_task_patches(spark: SparkSession, root: str, requests: DataFrame, users: DataFrame,
+                     as_of: str | datetime, run_id: str) -> None:
+    _run(spark, root, run_id, requests.select("id"),
+         lambda tasks: changes.patch_tasks(tasks, users, requests, as_of))
 
 
 def run_task_deletes(spark: SparkSession, root: str, task_ids: DataFrame,
                      as_of: str | datetime, run_id: str) -> None:
-    p = _paths(root, run_id)
-    stored = sinks.read_table(spark, p["tasks"], "tasks", only_ids=task_ids.select("id"))
-    cs = changes.delete_tasks(stored, task_ids, as_of)
-    cs.rejected.write.mode("overwrite").parquet(p["rejected"])
-    _append_audit(spark, cs.audit.withColumn("seq", F.lit(None).cast("long")), root,
-                  p["audit"], run_id)
-    sinks.rewrite_touched(spark, p["tasks"], "tasks", cs.table, task_ids, p["staging"])
-    release()
+    _run(spark, root, run_id, task_ids.select("id"),
+         lambda tasks: changes.delete_tasks(tasks, task_ids, as_of))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.functions.exprs import (as_ts, count_if, is_overdue, proc_full_name)
-from workboard.operators.joins import hot_keys_by, salted_join
+from workboard.operators.joins import lookup_join
 from workboard.operators.keyed_scan import keyed_row_number
 from workboard.operators.rank import count_rank
 
@@ -91,12 +91,8 @@ def _detail_base(tasks: DataFrame, projects: DataFrame, users: DataFrame) -> Dat
     p = projects.select(F.col("id").alias("p_id"), F.col("name").alias("project_name"))
     u = users.select(F.col("id").alias("u_id"), F.col("first_name").alias("u_first"),
                      F.col("last_name").alias("u_last"))
-    # Hot keys come from the base table, so the second join does not
-    # recompute the first one to count its keys.
-    hot = hot_keys_by(tasks, ["project_id", "assigned_to_id"])
-    tp = salted_join(tasks, p, "project_id", "p_id", "inner", "id", hot=hot["project_id"])
-    return salted_join(tp, u, "assigned_to_id", "u_id", "left", "id",
-                       hot=hot["assigned_to_id"]).withColumn(
+    tp = lookup_join(tasks, p, "project_id", "p_id", "inner", "id")
+    return lookup_join(tp, u, "assigned_to_id", "u_id", "left", "id").withColumn(
         "assigned_to_name", proc_full_name(F.col("u_first"), F.col("u_last")))
 
 

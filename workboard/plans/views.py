@@ -1,7 +1,8 @@
 """Listing views: joined detail rows, overviews, paging.
 
-* to-one lookups from tasks (project, assignee) are salted joins: hot keys
-  and NULL keys are spread over several reducers (``salted_join``);
+* to-one lookups from tasks (project, assignee) read the tasks once; NULL keys
+  are spread over several reducers, hot keys are split by adaptive execution
+  (``lookup_join``);
 * to-many counts are pre-aggregated per key *before* the join (never
   join-then-count raw collections);
 * the role list is collected per user after the bridge join; each group is
@@ -13,32 +14,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.functions.exprs import dto_full_name, task_status
+from workboard.functions.exprs import dto_full_name, enum_literal, task_status
 from workboard.operators import paging
-from workboard.operators.joins import hot_keys_by, salted_join
+from workboard.operators.joins import lookup_join
+from workboard.sources.schemas import TASK_STATUSES
 
 TASK_DTO_COLUMNS = ["id", "title", "description", "status", "priority", "due_date",
                     "project_id", "project_name", "assigned_to_id", "assigned_to_name",
                     "created_at", "completed_at"]
 
 
-def task_details(tasks: DataFrame, projects: DataFrame, users: DataFrame,
-                 bounded_input: bool = False) -> DataFrame:
+def task_details(tasks: DataFrame, projects: DataFrame, users: DataFrame) -> DataFrame:
     """The task view. Project name is '' when the project is missing; the
-    assignee name is NULL when there is no assignee. ``bounded_input`` (a
-    page: at most page-size rows) skips hot-key salting, which only pays off
-    for large inputs."""
+    assignee name is NULL when there is no assignee."""
     p = projects.select(F.col("id").alias("__p_id"), F.col("name").alias("__p_name"))
     u = users.select(F.col("id").alias("__u_id"), F.col("first_name").alias("__u_first"),
                      F.col("last_name").alias("__u_last"))
-    if bounded_input:
-        tp = tasks.join(p, tasks.project_id == p.__p_id, "left")
-        j = tp.join(u, tp.assigned_to_id == u.__u_id, "left")
-    else:
-        hot = hot_keys_by(tasks, ["project_id", "assigned_to_id"])
-        tp = salted_join(tasks, p, "project_id", "__p_id", "left", "id", hot=hot["project_id"])
-        j = salted_join(tp, u, "assigned_to_id", "__u_id", "left", "id",
-                        hot=hot["assigned_to_id"])
+    tp = lookup_join(tasks, p, "project_id", "__p_id", "left", "id")
+    j = lookup_join(tp, u, "assigned_to_id", "__u_id", "left", "id")
     return j.select(
         "id", "title", "description", "status", "priority", "due_date", "project_id",
         F.coalesce(F.col("__p_name"), F.lit("")).alias("project_name"),
@@ -48,19 +41,13 @@ def task_details(tasks: DataFrame, projects: DataFrame, users: DataFrame,
         "created_at", "completed_at")
 
 
-def project_overview(projects: DataFrame, users: DataFrame, tasks: DataFrame,
-                     bounded_input: bool = False) -> DataFrame:
+def project_overview(projects: DataFrame, users: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every project (inactive and empty ones too) with owner name ('' if
-    missing) and task count over all statuses. Owners are few and hot (one
-    user may own a large share of all projects), so the owner lookup is a
-    salted join unless the input is a page."""
+    missing) and task count over all statuses."""
     counts = tasks.groupBy("project_id").agg(F.count(F.lit(1)).cast("long").alias("__n"))
     owners = users.select(F.col("id").alias("__o_id"), F.col("first_name").alias("__o_first"),
                           F.col("last_name").alias("__o_last"))
-    if bounded_input:
-        po = projects.join(owners, projects.owner_id == owners.__o_id, "left")
-    else:
-        po = salted_join(projects, owners, "owner_id", "__o_id", "left", "id")
+    po = lookup_join(projects, owners, "owner_id", "__o_id", "left", "id")
     j = po.join(counts, po.id == counts.project_id, "left")
     owner_name = F.coalesce(
         dto_full_name(F.col("__o_id").isNotNull(), F.col("__o_first"), F.col("__o_last")),
@@ -101,22 +88,12 @@ def filter_tasks(tasks: DataFrame, project_id: int | None = None,
     if project_id is not None:
         t = t.where(F.col("project_id") == F.lit(project_id))
     if status:
-        parsed = _parse_status_literal(status)
+        parsed = enum_literal(status, TASK_STATUSES)
         if parsed is not None:
             t = t.where(F.col("status") == F.lit(parsed))
     return t
 
 
-def _parse_status_literal(text: str) -> str | None:
-    from workboard.sources.schemas import TASK_STATUSES
-    s = text.strip()
-    if s in TASK_STATUSES:
-        return s
-    if s.isdigit() and int(s) < len(TASK_STATUSES):
-        return TASK_STATUSES[int(s)]
-    return None
-
-
 def task_page(tasks: DataFrame, projects: DataFrame, users: DataFrame, page: int = 1,
               page_size: int = 10, project_id: int | None = None,
               status: str | None = None) -> DataFrame:
@@ -125,7 +102,7 @@ def task_page(tasks: DataFrame, projects: DataFrame, users: DataFrame, page: int
     newest = [F.col("created_at").desc(), F.col("id").desc()]
     ordered = paging.page(t, newest, page, page_size)
     # Only the page's rows reach the joins; re-sorting them is trivial.
-    return task_details(ordered, projects, users, bounded_input=True).orderBy(*newest)
+    return task_details(ordered, projects, users).orderBy(*newest)
 
 
 def task_page_info(tasks: DataFrame, page: int = 1, page_size: int = 10,
@@ -141,7 +118,7 @@ def project_page(projects: DataFrame, users: DataFrame, tasks: DataFrame, page:
     # The page's ids restrict the task count aggregation before the shuffle.
     page_tasks = tasks.join(ordered.select(F.col("id").alias("__pg")),
                             tasks.project_id == F.col("__pg"), "left_semi")
-    return project_overview(ordered, users, page_tasks, bounded_input=True).orderBy(*newest)
+    return project_overview(ordered, users, page_tasks).orderBy(*newest)
 
 
 def user_page(users: DataFrame, user_roles: DataFrame, roles: DataFrame, page: int = 1,

@@ -146,7 +146,7 @@ def _create_tasks(d: Domain) -> changes.ChangeSet:
 
 
 def _patch_tasks(d: Domain) -> changes.ChangeSet:
-    return changes.patch_tasks(d.tasks, d.task_patches, TASKS_AS_OF)
+    return changes.patch_tasks(d.tasks, d.users, d.task_patches, TASKS_AS_OF)
 
 
 def _delete_projects(d: Domain) -> changes.ChangeSet:
@@ -173,6 +173,8 @@ register("patch_tasks_rejected")(lambda d: _patch_tasks(d).rejected)
 register("audit_update")(lambda d: _patch_tasks(d).audit)
 register("set_task_status")(
     lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).table)
+register("set_task_status_rejected")(
+    lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).rejected)
 register("set_task_status_affected")(
     lambda d: changes.set_task_status(d.tasks, d.task_status_sets, TASKS_AS_OF).accepted)
 register("audit_set_status")(

@@ -8,7 +8,10 @@ cluster); a caller-given fallback is only used where it is unset, as in tests.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -62,3 +65,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None) -> str | No
         if not current:
             spark.conf.set("spark.checkpoint.dir", chosen)
     return chosen
+
+
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to a folder of its own under ``spark.checkpoint.dir`` and
+    read it back: the lineage ends there, on storage that all executors share.
+    A local session without the setting gets a folder once."""
+    spark = df.sparkSession
+    root = checkpoint_dir(spark)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        root = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="workboard-"))
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

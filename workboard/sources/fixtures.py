@@ -156,14 +156,15 @@ class Domain:
         seg, bal, key = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_custkey")
         return c.select(
             key.alias("seq"),
-            F.concat(F.lit("New-"), key.cast("string")).alias("title"),
+            F.when(bal.between(4000, 4200), F.repeat(F.lit("t"), 201))
+            .when(~bal.between(4200, 4400), F.concat(F.lit("New-"), key.cast("string"))).alias("title"),
             seg.alias("description"),
             F.when(seg == "BUILDING", "High").when(seg == "AUTOMOBILE", "bogus")
             .when(seg == "MACHINERY", "Critical").when(seg == "HOUSEHOLD", " Low ")
             .otherwise("Low").alias("priority"),
             F.when(bal > 0, ts_lit("2000-06-01 00:00:00")).alias("due_date"),
             F.when(bal < 0, -1 - key).otherwise(key).alias("project_id"),
-            F.when(bal > 5000, key % 10).alias("assigned_to_id"),
+            F.when(bal > 9000, -1 - key).when(bal > 5000, key % 10).alias("assigned_to_id"),
         )
 
     @cached_property
@@ -187,11 +188,17 @@ class Domain:
             .alias("assigned_to_id"))
         unknown = self.spark.createDataFrame(
             [(-1, -1, None, None, "Completed", None, None, None)], S.TASK_PATCH_REQUESTS)
-        return first.unionByName(second).unionByName(unknown)
+        refused = t.where((st == "Completed") & pr.isin("Critical", "High")).select(
+            (F.col("id") * 2).alias("seq"), "id",
+            F.when(pr == "Critical", F.repeat(F.lit("x"), 201)).alias("title"), _null("string").alias("description"),
+            F.lit("OnHold").alias("status"), _null("string").alias("priority"), _null("timestamp_ntz").alias("due_date"),
+            F.when(pr == "High", -2 - F.col("id")).alias("assigned_to_id"))
+        return first.unionByName(second).unionByName(refused).unionByName(unknown)
 
     @cached_property
     def task_deletes(self) -> DataFrame:
         ids = self.tasks.where(F.col("status") == "Cancelled").select("id")
+        ids = ids.unionByName(ids.where(F.col("id") % 50 == 0))  # asked for again
         return ids.unionByName(self.spark.createDataFrame([(-1,)], "id long"))
 
     @cached_property
@@ -199,7 +206,9 @@ class Domain:
         """Procedure-form status requests: any text is accepted."""
         t = self.tasks.where((F.col("priority") == "Low") & (F.col("status") == "Pending"))
         reqs = t.select(F.col("id").alias("seq"), "id", F.lit("Archived").alias("status"))
-        return reqs.unionByName(
+        missing = self.tasks.where((F.col("priority") == "Low") & (F.col("status") == "OnHold")).select(
+            F.col("id").alias("seq"), "id", _null("string").alias("status"))
+        return reqs.unionByName(missing).unionByName(
             self.spark.createDataFrame([(-1, -1, "Archived")], "seq long, id long, status string"))
 
     @cached_property
@@ -250,7 +259,15 @@ class Domain:
             .alias("status"))
         unknown = self.spark.createDataFrame([(-1, -1, None, "Ghost", None, "Active")],
                                              S.USER_PATCH_REQUESTS)
-        return reqs.unionByName(unknown)
+        # Claims for one new email, and for the emails of two users back (taken,
+        # unless that user has left it before).
+        claims = s.where(bal.between(1000, 4000)).select(
+            (key + 1_000_000).alias("seq"), key.alias("id"),
+            F.when(bal < 2500, F.lit("Shared@new.test "))
+            .otherwise(F.concat(F.lit("supplier#"), F.lpad((key - 2).cast("string"), 9, "0"), F.lit("@example.test")))
+            .alias("email"), F.lit("Claim").alias("first_name"), _null("string").alias("last_name"),
+            _null("string").alias("status"))
+        return reqs.unionByName(claims).unionByName(unknown)
 
     @cached_property
     def project_creates(self) -> DataFrame:

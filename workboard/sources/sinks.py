@@ -9,7 +9,13 @@ Parquet has no MERGE / UPDATE, so a change set is applied copy-on-write:
   The new contents of those partitions are first written to a staging
   directory (this cuts the lineage to the files about to be replaced), then
   swapped in with dynamic partition overwrite. The path being read is never
-  the path being written in the same job.
+  the path being written in the same job. Staging that is complete can be
+  swapped in again, with the same outcome, after a crash half-way.
+
+The bucket count of a bucketed table is stored beside its data when the table is
+first written (``_layout/buckets=N``, which readers of the data pass over). Every
+later read and write takes it from there; a session that asks for another count
+is refused.
 
 Layouts (the source's secondary indexes re-aimed as write-time layout; parquet
 min/max statistics then skip row groups):
@@ -27,6 +33,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from workboard.sources import schemas as S
 
@@ -55,34 +62,75 @@ LAYOUTS = {
 BUCKETS_CONF = "spark.workboard.tasks.buckets"
 
 
-def bucket_count(spark: SparkSession, table: str) -> int:
-    """Buckets of a bucketed table: ``spark.workboard.tasks.buckets`` if set
-    (size it so one bucket holds about 1-2 GB at the target scale), else the
-    layout default. Writers and rewriters of one table must agree."""
+def _fs(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path as it knows it."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hp = _fs(spark, path)
+    return fs.exists(hp)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, hp = _fs(spark, path)
+    fs.delete(hp, True)
+
+
+def make_mark(spark: SparkSession, path: str) -> None:
+    """An empty folder whose being there is the message."""
+    fs, hp = _fs(spark, path)
+    fs.mkdirs(hp)
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count kept with a table, None if the folder has none."""
+    fs, hp = _fs(spark, f"{path.rstrip('/')}/_layout")
+    if not fs.exists(hp):
+        return None
+    names = [x.getPath().getName() for x in fs.listStatus(hp)]
+    return next((int(n.partition("=")[2]) for n in names if n.startswith("buckets=")), None)
+
+
+def bucket_count(spark: SparkSession, table: str, path: str, new: bool = False) -> int:
+    """Buckets of the bucketed table stored at ``path``; 0 for other tables.
+
+    A ``new`` table takes ``spark.workboard.tasks.buckets`` if set (size it so
+    one bucket holds about 1-2 GB at the target scale), else the layout default.
+    An existing one keeps the count it was written with: a different setting,
+    or a folder without the stored count, is an error."""
     lay = LAYOUTS[table]
     if not lay.buckets:
         return 0
-    return int(spark.conf.get(BUCKETS_CONF, str(lay.buckets)))
+    asked = spark.conf.get(BUCKETS_CONF, None)
+    if new:
+        return int(asked or lay.buckets)
+    kept = stored_buckets(spark, path)
+    if kept is None:
+        raise ValueError(f"{path} holds no bucket count: it was not written by write_table")
+    if asked is not None and int(asked) != kept:
+        raise ValueError(f"{path} has {kept} buckets, but {BUCKETS_CONF} is {asked}")
+    return kept
 
 
 def bucket_of(id_col, buckets: int):
     return F.pmod(F.xxhash64(id_col.cast("long")), F.lit(buckets)).cast("int")
 
 
-def with_layout_columns(df: DataFrame, table: str) -> DataFrame:
+def with_layout_columns(df: DataFrame, table: str, buckets: int) -> DataFrame:
     lay = LAYOUTS[table]
-    if lay.buckets:
-        df = df.withColumn(BUCKET_COL, bucket_of(F.col("id"), bucket_count(df.sparkSession, table)))
+    if buckets:
+        df = df.withColumn(BUCKET_COL, bucket_of(F.col("id"), buckets))
     if DATE_COL in lay.partition_by:
         df = df.withColumn(DATE_COL, F.to_date("performed_at"))
     return df
 
 
-def touched_buckets(spark: SparkSession, table: str, ids: DataFrame) -> list[int]:
+def touched_buckets(ids: DataFrame, buckets: int) -> list[int]:
     """Bucket numbers that hold the given ids (at most the bucket count, so a
     small list of metadata, not data)."""
-    b = bucket_of(F.col("id"), bucket_count(spark, table)).alias("b")
-    return sorted(r["b"] for r in ids.select(b).distinct().collect())
+    return sorted(r["b"] for r in ids.select(bucket_of(F.col("id"), buckets).alias("b")).distinct().collect())
 
 
 def read_table(spark: SparkSession, path: str, table: str,
@@ -94,7 +142,8 @@ def read_table(spark: SparkSession, path: str, table: str,
     schema = S.DOMAIN_SCHEMAS[table]
     df = spark.read.parquet(path)
     if only_ids is not None and LAYOUTS[table].buckets:
-        df = df.where(F.col(BUCKET_COL).isin(touched_buckets(spark, table, only_ids)))
+        buckets = bucket_count(spark, table, path)
+        df = df.where(F.col(BUCKET_COL).isin(touched_buckets(only_ids, buckets)))
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
@@ -112,12 +161,15 @@ def _clustered(d: DataFrame, lay: Layout) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, table: str, mode: str = "errorifexists") -> None:
     """Write a whole snapshot with the table's layout."""
-    lay = LAYOUTS[table]
-    d = _clustered(with_layout_columns(df, table), lay)
-    w = d.write.mode(mode)
+    lay, spark = LAYOUTS[table], df.sparkSession
+    new = mode != "append" or not path_exists(spark, path)
+    buckets = bucket_count(spark, table, path, new)
+    w = _clustered(with_layout_columns(df, table, buckets), lay).write.mode(mode)
     if lay.partition_by:
         w = w.partitionBy(*lay.partition_by)
     w.parquet(path)
+    if new and buckets:
+        make_mark(spark, f"{path.rstrip('/')}/_layout/buckets={buckets}")
 
 
 def append_rows(df: DataFrame, path: str, table: str) -> None:
@@ -125,36 +177,51 @@ def append_rows(df: DataFrame, path: str, table: str) -> None:
     write_table(df, path, table, mode="append")
 
 
-def rewrite_touched(spark: SparkSession, path: str, table: str, new_table: DataFrame,
-                    touched_ids: DataFrame, staging_path: str) -> None:
-    """Update / delete sink for a bucketed table: only buckets that hold a
-    touched id are rewritten. ``new_table`` is the new snapshot as a lazy plan
-    over the stored table; ``touched_ids`` has one ``id`` column."""
+def stage_touched(spark: SparkSession, path: str, table: str, new_table: DataFrame,
+                  touched_ids: DataFrame, staging_path: str) -> None:
+    """First half of an update / delete: write the new contents of the touched
+    buckets to ``staging_path``. ``new_table`` is the new snapshot as a lazy plan
+    over the stored table; ``touched_ids`` has one ``id`` column. The buckets
+    that became empty are listed under ``_emptied`` (metadata: at most one entry
+    per bucket), and ``_ready`` says that staging is whole."""
     lay = LAYOUTS[table]
     if not lay.buckets:
         raise ValueError(f"{table} is not bucketed; write a new snapshot instead")
-    touched = (touched_ids.select(bucket_of(F.col("id"), bucket_count(spark, table)).alias("__b"))
-               .distinct())
-    changed = with_layout_columns(new_table, table)
+    buckets = bucket_count(spark, table, path)
+    touched = touched_ids.select(bucket_of(F.col("id"), buckets).alias("__b")).distinct()
+    changed = with_layout_columns(new_table, table, buckets)
     changed = changed.join(touched, changed[BUCKET_COL] == F.col("__b"), "left_semi")
-    # Materialise first: the next write replaces files this plan reads.
-    (_clustered(changed, lay)
-     .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(staging_path))
-    # Known schema: the staging directory may hold no file at all when every
-    # touched bucket became empty.
-    staged = spark.read.schema(changed.schema).parquet(staging_path)
-    # Dynamic overwrite only replaces partitions present in the data: a
-    # touched bucket whose rows were all deleted is removed explicitly. The
-    # list is bounded by the bucket count (metadata, not data) and is taken
-    # before the swap, while every input is still unchanged.
-    present = staged.select(F.col(BUCKET_COL).alias("__p")).distinct()
-    emptied = [r["__b"] for r in touched.join(present, F.col("__b") == F.col("__p"),
-                                              "left_anti").collect()]
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    staging = staging_path.rstrip("/")
+    _clustered(changed, lay).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{staging}/rows")
+    present = _staged(spark, staging, table).select(F.col(BUCKET_COL).alias("__p")).distinct()
+    for r in touched.join(present, F.col("__b") == F.col("__p"), "left_anti").collect():
+        make_mark(spark, f"{staging}/_emptied/{r['__b']}")
+    make_mark(spark, f"{staging}/_ready")
+
+
+def _staged(spark: SparkSession, staging: str, table: str) -> DataFrame:
+    # Known schema: there may be no file at all when every touched bucket became empty.
+    schema = StructType([*S.DOMAIN_SCHEMAS[table].fields, StructField(BUCKET_COL, IntegerType())])
+    return spark.read.schema(schema).parquet(f"{staging}/rows")
+
+
+def swap_staged(spark: SparkSession, path: str, table: str, staging_path: str) -> None:
+    """Second half: put the staged buckets in place of the old ones. Repeating
+    it changes nothing, so a job that stopped half-way runs it again. Dynamic
+    overwrite replaces the buckets that have rows; emptied ones are removed."""
+    staging = staging_path.rstrip("/")
+    if not path_exists(spark, f"{staging}/_ready"):
+        raise ValueError(f"{staging} is not whole")
+    fs, hp = _fs(spark, f"{staging}/_emptied")
+    for b in [x.getPath().getName() for x in fs.listStatus(hp)] if fs.exists(hp) else []:
+        remove_path(spark, f"{path.rstrip('/')}/{BUCKET_COL}={b}")
+    (_staged(spark, staging, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BUCKET_COL).parquet(path))
-    if emptied:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for b in emptied:
-            part = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{BUCKET_COL}={b}")
-            part.getFileSystem(conf).delete(part, True)
+
+
+def rewrite_touched(spark: SparkSession, path: str, table: str, new_table: DataFrame,
+                    touched_ids: DataFrame, staging_path: str) -> None:
+    """Update / delete sink for a bucketed table: stage, swap, clear the staging."""
+    stage_touched(spark, path, table, new_table, touched_ids, staging_path)
+    swap_staged(spark, path, table, staging_path)
+    remove_path(spark, staging_path)
