@@ -41,13 +41,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = minhash.near_duplicates(docs, words=5)
     gone = groups.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    kept = stored(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), "kept")
     # Rows with an id of their own (all of them, as a rule) need no comparison.
-    twice = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    first = (kept.join(twice, "doc_id").groupBy("doc_id")
+    twice = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+                   .filter("n > 1").select("doc_id"), "repeated-ids")
+    first = (docs.join(twice, "doc_id").join(gone, "doc_id", "left_anti").groupBy("doc_id")
              .agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), text_key(F.col("text"))).alias("row"))
              .select("row.*"))
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    alone = docs.join(gone.unionByName(twice).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return alone.unionByName(first)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 4
 #: Members of one pivot that are verified together; a larger star is cut up.
 STAR_ROWS = 128
 #: Members, and shingles, of one side of a block; a larger bucket is cut into more blocks.
-BLOCK_ROWS, BLOCK_SHINGLES = 400, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 300, 2_000_000
 #: Of BANDS * ROWS coordinates; a pair at similarity 0.8 has 102 equal ones on average.
 LEAST_EQUAL = 82
 
