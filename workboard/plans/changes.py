@@ -265,7 +265,10 @@ def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
           else now.alias(c) if c == "updated_at"
           else (now if parsed == "Completed" else F.col(c)).alias(c) if c == "completed_at"
           else F.col(c) for c in tasks.columns])
-    rest = tasks.join(ids, tasks.id == F.col("__bid"), "left_anti")
+    touched = F.col("__bid").isNotNull()
+    new = {"status": F.lit(parsed), "updated_at": now, **({"completed_at": now} if parsed == "Completed" else {})}
+    table = tasks.join(ids.distinct(), tasks.id == F.col("__bid"), "left").select(
+        *[F.when(touched, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in tasks.columns])
     returned = updated.select(
         "id", "title", "description", "status", "priority", "due_date", "project_id",
         F.lit("").alias("project_name"), "assigned_to_id",
@@ -277,7 +280,7 @@ def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
                       "priority": F.col("priority"),
                       "assigned_to_id": F.col("assigned_to_id")}).alias("new_values"),
         F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"))
-    return ChangeSet(table=rest.unionByName(updated), accepted=returned, audit=audit)
+    return ChangeSet(table=table, accepted=returned, audit=audit)
 
 
 def delete_tasks(tasks: DataFrame, task_ids: DataFrame, as_of: AsOf) -> ChangeSet:
@@ -300,7 +303,9 @@ def delete_projects(projects: DataFrame, tasks: DataFrame, project_ids: DataFram
     ids = project_ids.select(F.col("id").alias("__did"))
     existing = projects.join(ids, projects.id == F.col("__did"), "left_semi")
     new_projects = projects.join(ids, projects.id == F.col("__did"), "left_anti")
-    gone_ids = existing.select(F.col("id").alias("__gid"))
+    # Stored, so that the join with the tasks is of two plain scans: a hot
+    # project's partition can be split at run time.
+    gone_ids = stage(existing.select(F.col("id").alias("__gid")), "deleted-projects")
     cascaded = tasks.join(gone_ids, tasks.project_id == F.col("__gid"), "left_semi")
     new_tasks = tasks.join(gone_ids, tasks.project_id == F.col("__gid"), "left_anti")
     pid = projects.select(F.col("id").alias("__pid"))
@@ -478,8 +483,8 @@ def delete_users(users: DataFrame, projects: DataFrame, user_roles: DataFrame,
     existing = users.join(req, users.id == F.col("__rid"), "left_semi").select("id")
     owners = projects.select(F.col("owner_id").alias("__own"))
     blocked = existing.join(owners, existing.id == F.col("__own"), "left_semi")
-    gone = existing.join(owners, existing.id == F.col("__own"), "left_anti") \
-                   .select(F.col("id").alias("__gid"))
+    gone = stage(existing.join(owners, existing.id == F.col("__own"), "left_anti")
+                 .select(F.col("id").alias("__gid")), "deleted-users")
     uid = users.select(F.col("id").alias("__uid"))
     missing = user_ids.join(uid, user_ids.id == F.col("__uid"), "left_anti")
     new_users = users.join(gone, users.id == F.col("__gid"), "left_anti")
@@ -487,10 +492,8 @@ def delete_users(users: DataFrame, projects: DataFrame, user_roles: DataFrame,
     new_tokens = refresh_tokens.join(gone, refresh_tokens.user_id == F.col("__gid"), "left_anti")
     assigned = tasks.where(F.col("assigned_to_id").isNotNull())
     hit = assigned.join(gone, assigned.assigned_to_id == F.col("__gid"), "left_semi")
-    nulled = hit.withColumn("assigned_to_id", F.lit(None).cast("long"))
-    keep = tasks.join(hit.select(F.col("id").alias("__hid")), tasks.id == F.col("__hid"),
-                      "left_anti")
-    new_tasks = keep.unionByName(nulled)
+    new_tasks = tasks.join(gone, tasks.assigned_to_id == F.col("__gid"), "left").withColumn(
+        "assigned_to_id", F.when(F.col("__gid").isNull(), F.col("assigned_to_id"))).select(*tasks.columns)
     audit = hit.select(
         F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"),
         F.lit(S.AUDIT_UPDATE).alias("action"), audit_update_image().alias("old_values"),
@@ -523,11 +526,8 @@ def assign_roles(user_roles: DataFrame, users: DataFrame, roles: DataFrame,
              .join(rid, F.col("role_id") == F.col("__rid"), "left_semi"))
     fk_bad = fresh.join(valid.select(F.col("seq").alias("__v")), fresh.seq == F.col("__v"),
                         "left_anti")
-    first = valid.groupBy(F.col("user_id").alias("__gu"), F.col("role_id").alias("__gr")) \
-                 .agg(F.min("seq").alias("__m"))
-    ranked = valid.join(first, (valid.user_id == F.col("__gu")) & (valid.role_id == F.col("__gr")))
-    accepted = ranked.where(F.col("seq") == F.col("__m")).select("seq", "user_id", "role_id")
-    repeats = ranked.where(F.col("seq") != F.col("__m")).select("seq", "user_id", "role_id")
+    accepted = valid.groupBy("user_id", "role_id").agg(F.min("seq").alias("seq")).select("seq", "user_id", "role_id")
+    repeats = valid.join(accepted.select("seq"), "seq", "left_anti").select("seq", "user_id", "role_id")
     links = accepted.select("user_id", "role_id", now.alias("assigned_at"))
     rejected = (_reject(dup_existing, S.CONFLICT, ["seq", "user_id", "role_id"])
                 .unionByName(_reject(repeats, S.CONFLICT, ["seq", "user_id", "role_id"]))
@@ -542,11 +542,8 @@ def remove_roles(user_roles: DataFrame, requests: DataFrame) -> ChangeSet:
     cond = (requests.user_id == F.col("__u")) & (requests.role_id == F.col("__r"))
     hit = requests.join(ur, cond, "left_semi")
     absent = requests.join(ur, cond, "left_anti")
-    first = hit.groupBy(F.col("user_id").alias("__gu"), F.col("role_id").alias("__gr")) \
-               .agg(F.min("seq").alias("__m"))
-    ranked = hit.join(first, (hit.user_id == F.col("__gu")) & (hit.role_id == F.col("__gr")))
-    removed = ranked.where(F.col("seq") == F.col("__m")).select("seq", "user_id", "role_id")
-    repeats = ranked.where(F.col("seq") != F.col("__m")).select("seq", "user_id", "role_id")
+    removed = hit.groupBy("user_id", "role_id").agg(F.min("seq").alias("seq")).select("seq", "user_id", "role_id")
+    repeats = hit.join(removed.select("seq"), "seq", "left_anti").select("seq", "user_id", "role_id")
     gone = removed.select(F.col("user_id").alias("__u2"), F.col("role_id").alias("__r2"))
     table = user_roles.join(gone, (user_roles.user_id == F.col("__u2"))
                             & (user_roles.role_id == F.col("__r2")), "left_anti")

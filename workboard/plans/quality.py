@@ -1,9 +1,8 @@
 """Data-quality reports from the declared constraints.
 
-* ``unique_violations``: one scan per table emits every unique key of the
-  row as ``(table, constraint, key text)``; all of them are counted in **one**
-  aggregate (partial counts per task first, so a hot key is combined before
-  the shuffle); keys seen more than once are reported.
+* ``unique_violations``: one aggregate per constraint over its typed key alone
+  (one pruned column is read, a number is shuffled as a number); only keys seen
+  more than once are labelled and turned into text.
 * ``fk_violations``: child keys are pre-aggregated to ``(key, rows)`` before
   the anti join with the parent keys, so the join sees one row per distinct
   key, never the hot key's rows.
@@ -26,22 +25,24 @@ def _key_text(*cols: Column) -> Column:
 
 def unique_keys(users: DataFrame, roles: DataFrame, user_roles: DataFrame,
                 projects: DataFrame, tasks: DataFrame, audit_logs: DataFrame,
-                refresh_tokens: DataFrame) -> list[tuple[DataFrame, str, str, Column]]:
-    """(frame, table, constraint, key) for every declared unique key. Text
-    keys compare case-insensitively and ignore trailing blanks."""
+                refresh_tokens: DataFrame) -> list[tuple[DataFrame, str, str, list[Column]]]:
+    """(frame, table, constraint, key columns) for every declared unique key.
+    Text keys compare case-insensitively and ignore trailing blanks; a token is
+    compared exactly (its letters carry information, so folding would report
+    different tokens)."""
     c = F.col
     return [
-        (users, "users", "pk_users", _key_text(c("id"))),
-        (users, "users", "uq_users_username", text_key("username")),
-        (users, "users", "uq_users_email", text_key("email")),
-        (roles, "roles", "pk_roles", _key_text(c("id"))),
-        (roles, "roles", "uq_roles_name", text_key("name")),
-        (user_roles, "user_roles", "pk_user_roles", _key_text(c("user_id"), c("role_id"))),
-        (projects, "projects", "pk_projects", _key_text(c("id"))),
-        (tasks, "tasks", "pk_tasks", _key_text(c("id"))),
-        (audit_logs, "audit_logs", "pk_audit_logs", _key_text(c("id"))),
-        (refresh_tokens, "refresh_tokens", "pk_refresh_tokens", _key_text(c("id"))),
-        (refresh_tokens, "refresh_tokens", "uq_refresh_tokens_token", c("token")),
+        (users, "users", "pk_users", [c("id")]),
+        (users, "users", "uq_users_username", [text_key("username")]),
+        (users, "users", "uq_users_email", [text_key("email")]),
+        (roles, "roles", "pk_roles", [c("id")]),
+        (roles, "roles", "uq_roles_name", [text_key("name")]),
+        (user_roles, "user_roles", "pk_user_roles", [c("user_id"), c("role_id")]),
+        (projects, "projects", "pk_projects", [c("id")]),
+        (tasks, "tasks", "pk_tasks", [c("id")]),
+        (audit_logs, "audit_logs", "pk_audit_logs", [c("id")]),
+        (refresh_tokens, "refresh_tokens", "pk_refresh_tokens", [c("id")]),
+        (refresh_tokens, "refresh_tokens", "uq_refresh_tokens_token", [c("token")]),
     ]
 
 
@@ -49,21 +50,15 @@ def unique_violations(users: DataFrame, roles: DataFrame, user_roles: DataFrame,
                       projects: DataFrame, tasks: DataFrame, audit_logs: DataFrame,
                       refresh_tokens: DataFrame) -> DataFrame:
     """Q1: (table_name, constraint_name, key_value, n) for keys seen n > 1 times."""
-    # One scan per table: each row emits all of its table's keys.
-    by_frame: dict[int, tuple[DataFrame, str, list[tuple[str, Column]]]] = {}
-    for df, t, k, key in unique_keys(users, roles, user_roles, projects, tasks, audit_logs,
-                                     refresh_tokens):
-        by_frame.setdefault(id(df), (df, t, []))[2].append((k, key))
-    allk = None
-    for df, t, keys in by_frame.values():
-        part = df.select(F.explode(F.array(*[
-            F.struct(F.lit(k).alias("constraint_name"), key.alias("key_value"))
-            for k, key in keys])).alias("u")).select(
-            F.lit(t).alias("table_name"), "u.constraint_name", "u.key_value")
-        allk = part if allk is None else allk.unionByName(part)
-    counted = allk.groupBy("table_name", "constraint_name", "key_value").agg(
-        F.count(F.lit(1)).cast("long").alias("n"))
-    return counted.where(F.col("n") > 1)
+    out = None
+    for df, t, name, key in unique_keys(users, roles, user_roles, projects, tasks, audit_logs, refresh_tokens):
+        names = [f"k{i}" for i in range(len(key))]
+        twice = (df.select(*[k.alias(n) for k, n in zip(key, names)]).groupBy(*names)
+                 .agg(F.count(F.lit(1)).cast("long").alias("n")).where("n > 1"))
+        part = twice.select(F.lit(t).alias("table_name"), F.lit(name).alias("constraint_name"),
+                            F.concat_ws(",", *[F.col(n).cast("string") for n in names]).alias("key_value"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fk_violations(users: DataFrame, roles: DataFrame, user_roles: DataFrame,

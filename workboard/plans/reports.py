@@ -23,6 +23,7 @@ from workboard.functions.exprs import (as_ts, count_if, is_overdue, proc_full_na
 from workboard.operators.joins import lookup_join
 from workboard.operators.keyed_scan import keyed_row_number
 from workboard.operators.rank import count_rank
+from workboard.session import stage
 
 
 def _priority_order(priority: Column, mode: str) -> Column:
@@ -80,7 +81,8 @@ def user_productivity(tasks: DataFrame, users: DataFrame) -> DataFrame:
         "user_id", "username",
         F.coalesce("assigned_tasks", F.lit(0)).cast("long").alias("assigned_tasks"),
         F.coalesce("completed_tasks", F.lit(0)).cast("long").alias("completed_tasks"))
-    ranked = count_rank(j, "completed_tasks", out="rank")
+    # Stored once: the ranking reads it twice, the tasks are read once.
+    ranked = count_rank(stage(j, "productivity"), "completed_tasks", out="rank")
     return (ranked.select("user_id", "username", "assigned_tasks", "completed_tasks", "rank")
             .orderBy("rank", "user_id"))
 

@@ -191,6 +191,13 @@ register("delete_projects_tasks")(lambda d: _delete_projects(d).extra["tasks"])
 register("audit_delete")(lambda d: _delete_projects(d).audit)
 register("create_projects")(
     lambda d: changes.create_projects(d.projects, d.users, d.project_creates, TASKS_AS_OF).accepted)
+register("create_projects_rejected")(
+    lambda d: changes.create_projects(d.projects, d.users, d.project_creates, TASKS_AS_OF).rejected)
+register("delete_projects_rejected")(lambda d: _delete_projects(d).rejected)
+register("delete_users_user_roles")(lambda d: _delete_users(d).extra["user_roles"])
+register("delete_users_tokens")(lambda d: _delete_users(d).extra["refresh_tokens"])
+register("tasks_with_details_project")(
+    lambda d: reports.tasks_with_details(d.tasks, d.projects, d.users, project_id=1))
 register("patch_projects")(
     lambda d: changes.patch_projects(d.projects, d.project_patches, TASKS_AS_OF).table)
 register("patch_projects_rejected")(
@@ -217,8 +224,7 @@ register("active_tokens_per_user")(
     lambda d: changes.active_tokens_per_user(d.refresh_tokens, TOKENS_AS_OF))
 
 # ---------------------------------------------------------------- audit
-register("audit_insert")(
-    lambda d: audit_plans.audit_insert(d.tasks, _create_tasks(d).table, TASKS_AS_OF))
+register("audit_insert")(lambda d: _create_tasks(d).audit)
 register("audit_history")(lambda d: audit_plans.audit_history(d.audit_logs))
 register("overdue_since")(
     lambda d: audit_plans.overdue_since(d.tasks, PREVIOUS_CHECK, TASKS_AS_OF))
@@ -244,4 +250,4 @@ register("fk_violations_staged")(lambda d: quality.fk_violations(
     d.staged_users, d.roles, d.user_roles, d.projects, d.staged_tasks, d.refresh_tokens))
 register("domain_violations")(lambda d: quality.domain_violations(_all_tables(d)))
 register("domain_violations_staged")(lambda d: quality.domain_violations(
-    {"users": d.staged_users, "tasks": d.staged_tasks}))
+    _all_tables(d, users=d.staged_users, tasks=d.staged_tasks)))

@@ -276,7 +276,8 @@ class Domain:
             F.col("s_suppkey").alias("seq"),
             F.concat(F.lit("Proj-"), F.col("s_suppkey").cast("string")).alias("name"),
             F.col("s_name").alias("description"),
-            F.col("s_suppkey").alias("owner_id"))
+            F.when(F.col("s_acctbal").between(2000, 2500), -F.col("s_suppkey"))
+            .otherwise(F.col("s_suppkey")).alias("owner_id"))
 
     @cached_property
     def project_patches(self) -> DataFrame:
