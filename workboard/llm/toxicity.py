@@ -28,6 +28,7 @@ Repeated texts train once. Extra columns pass through.
 from __future__ import annotations
 
 import functools
+import itertools
 import pickle
 
 import numpy as np
@@ -208,7 +209,7 @@ def _scorer(model: bytes, at: int):
     def score(batches):
         m = pickle.loads(model)
         features, w, th = m["features"], m["weights"], m["thresholds"]
-        for batch in batches:
+        for batch in itertools.chain.from_iterable((b.slice(k, 512) for k in range(0, b.num_rows, 512)) for b in batches):
             found = (count_features(t, features) for t in batch.column(at).to_pylist())
             z = np.array([sum(np.log1p(n) * w[i] + w[len(features) + i] for i, n in f.items()) for f in found], float)
             if len(th):
