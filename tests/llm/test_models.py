@@ -256,3 +256,21 @@ def test_suffix_tree_empty(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = suffix_tree.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_suffix_tree_contexts_grow_with_the_corpus(spark, monkeypatch):
+    """Contexts far below a thousandth of the tokens count; scores by tables equal the tree in memory."""
+    g = np.random.default_rng(9)
+    rows = [(i, " ".join(f"a{k % 750} b{k % 500} c{k} z{g.integers(0, 3000)}" for k in g.integers(0, 1500, 25))) for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.filter(~suffix_tree.held_out(df.doc_id)).select("text")
+    tree, words = suffix_tree.learn(texts)
+    assert words.agg({"n": "max"}).first()[0] < 1e-1 * tree.n and len(tree.tables[0]["keys"]) > 2000
+    assert len(tree.tables[1]["keys"]) > 1000
+    for frequent in (suffix_tree.FREQUENT_PAIRS, 0):
+        monkeypatch.setattr(suffix_tree, "FREQUENT_PAIRS", frequent)
+        out = {r.id: r.score for r in suffix_tree.score(df).collect()}
+        for i, text in rows[:200]:
+            _, cls = tree.classes([text.encode().split()])
+            p = np.log10(tree.probs[tree.states(cls), cls]).sum()
+            assert abs(out[i] - p) < 1e-6, i

@@ -4,18 +4,22 @@ Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and
 one end. The root of the tree predicts by the words' counts, with absolute
 discounting: what the discounts free belongs to words never seen in training.
 Below it stand contexts of one to DEPTH words, each read from the latest word
-backwards. A context is tried if it makes up at least P_MIN of the training
-tokens (so there are at most 1 / P_MIN on each level) and kept if its next words
-diverge from those of its suffix, the context without its oldest word: if
-``n * KL`` is above ``d / 2 * ln(n)`` for n occurrences with d different next
-words. A kept context is smoothed with its longest kept suffix (Witten-Bell). A
-token is scored in the longest kept context that the words before it end with.
-
-Contexts tell frequent words (frequency P_MIN or more), the end and "any other
-word" apart; among other words the root's shares hold. So the tree is bounded,
-whatever the corpus; word counts are not, and live in a table. The counts of the
-most frequent words (at most FREQUENT) go to the tasks that read the texts, the
-other words of a document are joined with the table.
+backwards, over all words. A context is tried if training has it MIN_COUNT times
+or more, whatever the size of the corpus, and kept if its next words diverge from
+those of its suffix, the context without its oldest word: if ``n * KL`` is above
+``d / 2 * ln(n)`` for n occurrences with d different next words. A kept context is
+smoothed with its longest kept suffix (Witten-Bell). A token is scored in the
+longest kept context that the words before it end with.
+
+The tree lies in tables, per level one of contexts and one of (context, next
+word) pairs, in which a word, and a context, is a 64-bit hash (a pair has two).
+A kept context changes a token's log-probability by ``log10(p / p of its longest
+kept suffix)``; the changes of all kept contexts before a token add up to its
+score in the longest one. So the pairs of a document are joined with the tables
+level by level and summed. Tasks skip contexts by a bit map of fixed size, which
+never misses one that is tried (or kept); the others it lets through fall out of
+the joins. The counts of the most frequent words (at most FREQUENT) and pairs (at
+most FREQUENT_PAIRS) go to the tasks that read the texts, all others are joined.
 
 Defined results: a null text is empty (its only token is the end); a null id is
 in training; rows are scored one by one, also when ids or texts repeat. Without
@@ -26,7 +30,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +37,32 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.llm.common import stored
+from workboard.llm import common
+from workboard.llm.hashing import U, mix64, word_hashes
 
-P_MIN = 1e-3
+MIN_COUNT = 16
 DEPTH = 3
 FREQUENT = 250_000
+FREQUENT_PAIRS = 1_000_000
+#: A task that counts pairs combines this many tokens before it sends them.
+HELD_TOKENS = 2_000_000
+#: Bits of the map by which tasks skip contexts, as a power of two.
+MAP_BITS = 26
 #: A task that counts words sends what it has when it holds this many.
 HELD_WORDS = 500_000
 END = b""
+END_CODE = mix64(U(0x5DEECE66D) + np.zeros(1, np.uint64))[0]
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``common.stored``; the shuffle files behind the table go when it is written."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return common.stored(df, tag)
+    finally:
+        conf.set(name, before)
 
 
 def held_out(id_col: Column) -> Column:
@@ -75,47 +96,215 @@ def _count_words(batches):
         yield send()
 
 
-# The tree.
+# Contexts and pairs.
 
-class Tree:
-    """Classes, contexts and smoothed next-class probabilities.
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context and the word after it."""
+    return mix64(context * U(0x9E3779B97F4A7C15) + word)
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of all texts in a row: hashes, numbers of their texts, places in these."""
+    codes, first = word_hashes(column)
+    codes = np.insert(codes, first[1:], END_CODE)
+    lens = np.diff(first) + 1
+    doc = np.repeat(np.arange(len(column)), lens)
+    return codes, doc, np.arange(len(codes)) - (np.cumsum(lens) - lens)[doc]
+
+
+def _contexts(codes: np.ndarray):
+    """Per level the hash of the ``level`` tokens before each token (of its text from place ``level`` on)."""
+    gram = codes
+    for _ in range(DEPTH):
+        context = np.concatenate([gram[:1], gram[:-1]])
+        yield context
+        gram = _joined(context, codes)
+
+
+def _map_of(table: DataFrame, column: str) -> np.ndarray:
+    """A bit map of the hashes in ``column``: 2 ** MAP_BITS bits, whatever their number."""
+    at = F.shiftrightunsigned(column, 64 - MAP_BITS)
+    rows = (table.groupBy(F.shiftright(at, 15).alias("part"))
+            .agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect())
+    out = np.zeros((1 << MAP_BITS - 15, 4096), np.uint8)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> U(64 - MAP_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _count_pairs(level: int, tried):
+    def count(batches):
+        def send():
+            context, word = (np.concatenate(x) for x in zip(*held))
+            _, first, n = np.unique(_joined(context, word), return_index=True, return_counts=True)
+            for at in range(0, len(first), 100_000):
+                some = first[at: at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(context[some].view(np.int64)), pa.array(word[some].view(np.int64)),
+                                                  pa.array(n[at: at + 100_000])], names=["ctx", "w", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                codes, _, place = _tokens(batch.column(0).slice(at, 2000))
+                context = next(itertools.islice(_contexts(codes), level - 1, None))
+                hit = (place >= level) & _has(tried.value, context)
+                held.append((context[hit], codes[hit]))
+                size += int(hit.sum())
+                if size > HELD_TOKENS:
+                    yield from send()
+                    held, size = [], 0
+        if size:
+            yield from send()
+
+    return count
 
-    Class 0 is any other word, 1 to K the frequent words, K + 1 the end. A
-    context's key has one digit (base K + 2) per word, the latest word last.
-    """
 
-    def __init__(self, n: int, v: int, once: int, twice: int, words: list[bytes], counts: np.ndarray):
-        self.n, self.v = n, v
+def _longer(batches):
+    """Contexts one word longer, from ``ctx, suf, w`` (``suf`` null on the first level)."""
+    for batch in batches:
+        context, word = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 2))
+        none = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        suffix = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        suffix = np.where(none, word, _joined(suffix, word))
+        yield pa.RecordBatch.from_arrays([pa.array(_joined(context, word).view(np.int64)), pa.array(suffix.view(np.int64))],
+                                         names=["ctx", "suf"])
+
+
+def _hash_words(batches):
+    for batch in batches:
+        codes = np.full(batch.num_rows, END_CODE)
+        codes[np.array([w != END for w in batch.column(0).to_pylist()], bool)] = word_hashes(batch.column(0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column(1)], names=["w", "c"])
+
+
+def _most(table: DataFrame, limit: int) -> Column:
+    """True for the rows with the largest ``n``, at most ``limit``, from a histogram by eighths of an octave."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, None
+    for r in sorted(table.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        if held + r["count"] > limit:
+            break
+        held, least = held + r["count"], r["s"]
+    return step >= least if least is not None else F.lit(False)
+
+
+class Root:
+    """Figures of all training words, and the counts of the most frequent ones."""
+
+    def __init__(self, words: DataFrame):
+        self.n, self.v, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1),
+                                                F.count_if(F.col("n") == 2)).first()
         self.discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
-        self.counts = counts
-        order = [i for i in np.argsort(-counts, kind="stable") if words[i] != END and counts[i] >= P_MIN * n]
-        self.k = len(order)
-        self.spot = {w: i for i, w in enumerate(words)}  # place in counts
-        self.class_of = np.zeros(len(words) + 1, np.int64)
-        self.class_of[order] = np.arange(1, self.k + 1)
+        rows = words.filter(_most(words, FREQUENT) | (F.col("word") == END)).toArrow()
+        order = np.argsort(-rows["n"].to_numpy(), kind="stable")
+        self.counts = rows["n"].to_numpy()[order].astype(float)
+        self.spot = {rows["word"][int(i)].as_py(): k for k, i in enumerate(order)}  # place in counts
+
+    def unseen(self) -> float:
+        """The root's probability of a word that training does not have."""
+        return self.discount * self.v / self.n if self.n else 1.0
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    return stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def grow(texts: DataFrame, words: DataFrame, root: Root) -> list[tuple[DataFrame, DataFrame]]:
+    """Per level the tables of tried contexts (``ctx, suf, total, d, kept``) and their pairs (``ctx, w, n, s, p``).
+
+    ``s`` is the pair's probability in the longest kept suffix, ``p`` that in the
+    longest kept context; ``p`` follows from the stored columns.
+    """
+    end = int(END_CODE.view(np.int64))
+    codes = stored(words.mapInArrow(_hash_words, "w long, c long"), "codes")
+    tried = codes.filter((F.col("c") >= MIN_COUNT) & (F.col("w") != end)).select(F.col("w").alias("ctx"), F.lit(None).cast("long").alias("suf"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for level in range(1, DEPTH + 1):
+        if tried.isEmpty():
+            break
+        bits = texts.sparkSession.sparkContext.broadcast(_map_of(tried, "ctx"))
+        pairs = texts.mapInArrow(_count_pairs(level, bits), "ctx long, w long, n long").groupBy("ctx", "w").agg(F.sum("n").alias("n"))
+        if level == 1:
+            share = (F.col("c") - root.discount) / root.n
+            pairs = pairs.join(codes, "w").select("ctx", "w", "n", share.alias("q"), share.alias("s"))
+        else:
+            above = levels[-1][1].select(F.col("ctx").alias("suf"), "w", (F.col("n") / F.col("total")).alias("q"), F.col("p").alias("s"))
+            pairs = (stored(pairs, "pairs").join(tried, "ctx").join(above, ["suf", "w"])
+                     .select("ctx", "w", "n", "q", "s"))
+        pairs = stored(pairs, "pairs")
+        tests = pairs.groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("d"),
+                                         F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))).alias("x"))
+        gain = F.col("x") - F.col("total") * F.ln("total")  # total * KL
+        contexts = stored(tried.join(tests, "ctx").select(
+            "ctx", "suf", "total", "d", (gain > 0.5 * F.col("d") * F.ln("total")).alias("kept")), "contexts")
+        smooth = (F.col("n") + F.col("d") * F.col("s")) / (F.col("total") + F.col("d"))
+        pairs = stored(pairs.join(contexts, "ctx").select(
+            "ctx", "suf", "w", "n", "total", "d", "kept", "s"), "pairs").withColumn("p", F.when(F.col("kept"), smooth).otherwise(F.col("s")))
+        levels.append((contexts, pairs))
+        if level < DEPTH:
+            tried = stored(pairs.filter((F.col("n") >= MIN_COUNT) & (F.col("w") != end)).select("ctx", "suf", "w")
+                           .mapInArrow(_longer, "ctx long, suf long"), "tried")
+    return levels
+
+
+class Tree(Root):
+    """The tree of a small corpus in memory, to look at; scoring reads the tables.
+
+    Class 0 is any word that training does not have, 1 to K its words, K + 1 the
+    end. A context's key has one digit (base K + 2) per word, the latest word last.
+    """
+
+    def __init__(self, words: DataFrame, levels: list[tuple[DataFrame, DataFrame]]):
+        super().__init__(words)
+        own = [i for w, i in self.spot.items() if w != END]
+        self.k = len(own)
         self.base = self.k + 2
+        self.class_of = np.zeros(len(self.spot) + 1, np.int64)
+        self.class_of[own] = np.arange(1, self.k + 1)
         if END in self.spot:
             self.class_of[self.spot[END]] = self.k + 1
         root = np.zeros(self.base)
-        own = self.class_of[:-1]
-        np.add.at(root, own[own > 0], (counts[own > 0] - self.discount) / max(n, 1))
-        root[0] = max(1 - root.sum(), 1e-300)
-        self.root = root
+        np.add.at(root, self.class_of[:-1], (self.counts - self.discount) / max(self.n, 1))
+        root[0] = self.unseen()
         self.tables: list[dict] = []  # per level: keys (sorted), rows (into probs)
-        self.probs = root[None, :]
-
-    def unseen(self) -> float:
-        """The root's probability of a word that training does not have."""
-        return self.discount * self.v / self.n if self.n else 1.0
+        probs, state = [root], {}
+        classes = {int(END_CODE): self.k + 1}
+        for w, i in self.spot.items():
+            if w != END:
+                classes[int(word_hashes(pa.array([w]))[0][0])] = int(self.class_of[i])
+        keys = {h: c for h, c in classes.items() if c <= self.k}
+        for contexts, pairs in levels:
+            counts: dict[int, np.ndarray] = {}
+            longer = {}
+            for r in pairs.collect():
+                h, w = r["ctx"] % (1 << 64), r["w"] % (1 << 64)
+                counts.setdefault(h, np.zeros(self.base))[classes[w]] = r["n"]
+                if classes[w] <= self.k:
+                    longer[int(_joined(np.array([h], np.uint64), np.array([w], np.uint64))[0])] = keys[h] * self.base + classes[w]
+            rows = {}
+            for r in contexts.collect():
+                h = r["ctx"] % (1 << 64)
+                above = state[r["suf"] % (1 << 64)] if r["suf"] is not None else 0
+                state[h] = above
+                if r["kept"]:
+                    state[h] = rows[keys[h]] = len(probs)
+                    probs.append((counts[h] + r["d"] * probs[above]) / (r["total"] + r["d"]))
+            self.tables.append({"keys": np.array(sorted(rows), np.int64), "rows": np.array([rows[k] for k in sorted(rows)], np.int64)})
+            keys = longer
+        self.probs = np.vstack(probs)
 
     def classes(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Places and classes of the tokens of all documents in a row, an end after each."""
-        get, none, end = self.spot.get, len(self.counts), self.spot.get(END, -1)
-        flat = np.fromiter(itertools.chain.from_iterable((*(get(w, none) for w in d), end) for d in docs), np.int64)
-        return flat, np.where(flat == end, self.k + 1, self.class_of[flat])
+        flat = _places(self, docs)
+        return flat, np.where(flat == self.spot.get(END, -1), self.k + 1, self.class_of[flat])
 
     def contexts(self, cls: np.ndarray, level: int) -> np.ndarray:
-        """Key of the ``level`` classes before each token; -1 where one is no frequent word of the document."""
+        """Key of the ``level`` classes before each token; -1 where one is no training word of the document."""
         key = np.zeros(len(cls), np.int64)
         good = np.ones(len(cls), bool)
         for back in range(level, 0, -1):
@@ -135,113 +324,51 @@ class Tree:
                 out = np.where(t["keys"][at] == key, t["rows"][at], out)
         return out
 
-    def grow(self, keys: np.ndarray, counts: np.ndarray, parents: dict[int, np.ndarray]) -> None:
-        """Add the contexts of one level whose next words diverge from their suffix's."""
-        level = len(self.tables) + 1
-        kept, rows, added = [], [], []
-        below = self.base ** (level - 1)
-        for key, c in zip(keys.tolist(), counts):
-            total = c.sum()
-            if not total:
-                continue
-            suffix = parents[key % below] if level > 1 else self.root
-            q = suffix / suffix.sum()
-            seen = c > 0
-            p = c[seen] / total
-            kl = float((p * np.log(p / np.maximum(q[seen], 1e-300))).sum())
-            if total * kl > 0.5 * seen.sum() * np.log(total):
-                row = 0  # the longest kept suffix; only shorter ones are there yet
-                for up in range(level - 1, 0, -1):
-                    t = self.tables[up - 1]
-                    at = np.searchsorted(t["keys"], key % self.base ** up)
-                    if at < len(t["keys"]) and t["keys"][at] == key % self.base ** up:
-                        row = int(t["rows"][at])
-                        break
-                weight = float(seen.sum())
-                kept.append(key)
-                rows.append(len(self.probs) + len(added))
-                added.append((c + weight * self.probs[row]) / (total + weight))
-        self.tables.append({"keys": np.array(kept, np.int64), "rows": np.array(rows, np.int64)})
-        if added:
-            self.probs = np.vstack([self.probs, *added])
-
-
-@functools.lru_cache(maxsize=1)
-def _tree(data: bytes) -> Tree:
-    return pickle.loads(data)
-
-
-def _count_next(tree: bytes, level: int, keys: np.ndarray):
-    def count(batches):
-        t = _tree(tree)
-        total = np.zeros(len(keys) * t.base, np.int64)
-        for batch in batches:
-            for docs in _documents(batch.column(0)):
-                _, cls = t.classes(docs)
-                key = t.contexts(cls, level)
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[at] == key
-                found, n = np.unique(at[hit] * t.base + cls[hit], return_counts=True)
-                total[found] += n
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
 
-    return count
+def learn(texts: DataFrame) -> tuple[Tree, DataFrame]:
+    """The tree of a small corpus and the table ``word, n`` of its words; ``texts`` has one column."""
+    words = _words(texts)
+    return Tree(words, grow(texts, words, Root(words))), words
 
 
-def learn(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree and the table ``word, n`` of all training words; ``texts`` has one column."""
-    words = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n, v, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1),
-                                  F.count_if(F.col("n") == 2)).first()
-    # The least count that at most FREQUENT words reach, from a histogram by eighths of an octave.
-    step = F.floor(F.log2("n") * 8).cast("int")
-    held, least = 0, None
-    for r in sorted(words.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
-        if held + r["count"] > FREQUENT:
-            break
-        held, least = held + r["count"], r["s"]
-    top = words.filter(step >= least) if least is not None else words.limit(0)
-    rows = top.unionByName(words.filter((F.col("word") == END) & (step < least if least is not None else F.lit(True)))).toArrow()
-    order = np.argsort(-rows["n"].to_numpy(), kind="stable")
-    tree = Tree(n, v, once, twice, [rows["word"][int(i)].as_py() for i in order], rows["n"].to_numpy()[order].astype(float))
-    keys, parents = np.arange(1, tree.k + 1, dtype=np.int64), {}
-    for level in range(1, DEPTH + 1):
-        if not len(keys):
-            break
-        counted = (texts.mapInArrow(_count_next(pickle.dumps(tree), level, keys), "at long, n long")
-                   .groupBy("at").agg(F.sum("n").alias("n")).toArrow())  # at most (1 / P_MIN) ** 2 rows
-        counts = np.zeros(len(keys) * tree.base)
-        counts[counted["at"].to_numpy()] = counted["n"].to_numpy()
-        counts = counts.reshape(len(keys), tree.base)
-        tree.grow(keys, counts, parents)
-        # Longer contexts: an occurrence of a context followed by a frequent word.
-        parents = dict(zip(keys.tolist(), counts))
-        a, b = np.nonzero(counts[:, 1: tree.k + 1] >= P_MIN * n)
-        keys = np.sort(keys[a] * tree.base + b + 1)
-    return tree, words
-
-
-def _scorer(tree: bytes):
+def _places(root: Root, docs: list[list[bytes]]) -> np.ndarray:
+    """Places of the tokens of all documents in a row, an end after each."""
+    get, none, end = root.spot.get, len(root.counts), root.spot.get(END, -1)
+    return np.fromiter(itertools.chain.from_iterable((*(get(w, none) for w in d), end) for d in docs), np.int64)
+
+
+def _scorer(model):
     def score(batches):
-        t = _tree(tree)
+        t, maps, grams, change = model.value
         n, none = t.n, len(t.counts)
-        log_p = np.log10(t.probs)
         c = np.append(t.counts, 0.0)
-        known = c > 0
         log_base = np.log10(c + 1)
-        log_root = np.where(known, np.log10(np.maximum(c - t.discount, 1e-300) / max(n, 1)), 0.0) - log_p[0, 0]
+        log_root = np.where(c > 0, np.log10(np.maximum(c - t.discount, 1e-300) / max(n, 1)), 0.0)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
             for docs in _documents(batch.column(2)):
-                flat, cls = t.classes(docs)
-                each = log_p[t.states(cls), cls] if n else np.zeros(len(cls))
+                m = len(docs)
+                flat = _places(t, docs)
                 seen = flat < none if n else np.zeros(len(flat), bool)
-                other = seen & (cls == 0)
-                each = each + np.where(other, log_root[flat], 0.0)
                 ends = np.cumsum([len(d) + 1 for d in docs])
                 first = ends - [len(d) + 1 for d in docs]
+                each = np.where(seen, log_root[flat], 0.0)
+                codes, doc, place = _tokens(batch.column(2).slice(at, m))
+                asked = []
+                for level, (bits, context) in enumerate(zip(maps, _contexts(codes)), 1):
+                    hit = np.flatnonzero((place >= level) & _has(bits, context))
+                    gram = _joined(context[hit], codes[hit])
+                    spot = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
+                    known = grams[spot] == gram if len(grams) else np.zeros(len(hit), bool)
+                    each[hit[known]] += change[spot[known]]
+                    hit, gram = hit[~known], gram[~known]
+                    _, one, times = np.unique(_joined(gram, doc[hit].astype(np.uint64)), return_index=True, return_counts=True)
+                    asked.append((doc[hit[one]], context[hit[one]].view(np.int64), codes[hit[one]].view(np.int64), times.astype(np.int32)))
+                empty = np.zeros(0, np.int64)
+                owner, *asked = (np.concatenate(x) for x in zip((empty, empty, empty, empty.astype(np.int32)), *asked))
+                order = np.argsort(owner, kind="stable")
+                offsets = pa.array(np.searchsorted(owner[order], np.arange(m + 1)).astype(np.int32))
                 sums = [np.add.reduceat(x, first) for x in (each, np.where(seen, log_base[flat], 0.0), seen.astype(np.int64))]
                 rare, times = [], []
                 for d, a, b in zip(docs, first.tolist(), ends.tolist()):
@@ -250,38 +377,65 @@ def _scorer(tree: bytes):
                         found[d[k]] = found.get(d[k], 0) + 1
                     rare.append(list(found))
                     times.append(list(found.values()))
-                m = len(docs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(uid, uid + m)), batch.column(0).slice(at, m), batch.column(1).slice(at, m),
                      pa.array((ends - first).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]),
-                     pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                    names=["uid", "id", "held_out", "n_tokens", "score", "base", "known", "rare", "times"])
+                     pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())),
+                     *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in asked)],
+                    names=["uid", "id", "held_out", "n_tokens", "score", "base", "known", "rare", "times", "ctx", "w", "m"])
                 uid, at = uid + m, at + m
 
     return score
 
 
+def _changes(part: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``uid, change``: the sum over a document's pairs of what kept contexts change."""
+    asked = part.select("uid", F.inline(F.arrays_zip("ctx", "w", "m")))
+    found = asked.join(pairs, ["ctx", "w"], "left")
+    # Pairs that training does not have are left with their context, by which they back off.
+    found = stored(found.groupBy("uid", F.when(F.col("change").isNull(), F.col("ctx")).alias("ctx"))
+                   .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("change")).alias("change")), "found")
+    back = found.filter("ctx is not null").select("uid", "ctx", "m").join(contexts, "ctx")
+    return (found.filter("ctx is null").select("uid", "change")
+            .unionByName(back.select("uid", (F.col("m") * F.log10(F.col("d") / (F.col("total") + F.col("d")))).alias("change")))
+            .groupBy("uid").agg(F.sum("change").alias("change")))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    tree, words = learn(rows.filter("not held_out").select("text"))
+    texts = rows.filter("not held_out").select("text")
+    words = _words(texts)
+    root = Root(words)
+    levels = grow(texts, words, root)
+    spark = docs.sparkSession
+    change = F.log10(F.col("p") / F.col("s"))
+    pairs = functools.reduce(DataFrame.unionByName, [p.filter("kept").select("ctx", "w", "n", change.alias("change")) for _, p in levels],
+                             spark.createDataFrame([], "ctx long, w long, n long, change double"))
+    contexts = functools.reduce(DataFrame.unionByName, [c.filter("kept").select("ctx", "total", "d") for c, _ in levels],
+                                spark.createDataFrame([], "ctx long, total long, d long"))
+    top = pairs.filter(_most(pairs, FREQUENT_PAIRS)).drop("n").toArrow()
+    grams = _joined(top["ctx"].to_numpy().view(np.uint64), top["w"].to_numpy().view(np.uint64))
+    order = np.argsort(grams)
+    maps = [_map_of(c.filter("kept"), "ctx") for c, _ in levels]
+    model = spark.sparkContext.broadcast((root, maps, grams[order], top["change"].to_numpy()[order]))
     kind = rows.schema["id"].dataType.simpleString()
-    part = stored(rows.mapInArrow(_scorer(pickle.dumps(tree)), (
+    part = stored(rows.mapInArrow(_scorer(model), (
         f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long, "
-        "rare array<binary>, times array<int>")), "scored")
+        "rare array<binary>, times array<int>, ctx array<long>, w array<long>, m array<int>")), "scored")
+    changes = _changes(part, pairs.drop("n"), contexts)
     # Words beyond the most frequent ones: their counts come by a join.
     rare = (part.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x"))
             .select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
             .join(words, "word", "left"))
-    other = float(np.log10(tree.probs[0, 0]))
-    root = F.when(F.col("n").isNotNull(), F.log10((F.col("n") - tree.discount) / max(tree.n, 1))).otherwise(float(np.log10(tree.unseen())))
+    share = F.when(F.col("n").isNotNull(), F.log10((F.col("n") - root.discount) / max(root.n, 1))).otherwise(float(np.log10(root.unseen())))
     rest = rare.groupBy("uid").agg(
-        F.sum(F.col("times") * (root - other) if tree.n else F.lit(0.0)).alias("more"),
+        F.sum(F.col("times") * share if root.n else F.lit(0.0)).alias("more"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
     zero = F.lit(0.0)
-    return part.join(rest, "uid", "left").select(
+    return part.drop("rare", "times", "ctx", "w", "m").join(rest, "uid", "left").join(changes, "uid", "left").select(
         "id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * float(np.log10(tree.n + tree.v + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", zero)).alias("score"))
+        F.lit(root.n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * float(np.log10(root.n + root.v + 1))).alias("base_score"),
+        (F.col("score") + F.coalesce("more", zero) + F.coalesce("change", zero)).alias("score"))
