@@ -110,6 +110,21 @@ def test_blocks_find_links_that_stars_miss(spark, monkeypatch):
     assert grouped(spark, rows) == want
 
 
+def test_blocks_compare_every_pair_that_shares_a_band():
+    """Pairs with few equal coordinates are compared on the full sets too."""
+    g = np.random.default_rng(12)
+    found = 0
+    for _ in range(200):
+        words = g.integers(0, 2**63, 160).astype(np.uint64)
+        sets = [np.unique(words[:125]), np.unique(words[35:])]  # 90 of 160 in common
+        equal = minhash.signature(sets[0]) == minhash.signature(sets[1])
+        bands = np.flatnonzero(equal.reshape(minhash.BANDS, minhash.ROWS).all(axis=1))
+        if len(bands) and equal.sum() < 80:
+            found += 1
+            assert list(minhash._block_links([1, 2], [1, 2], [True, True], int(bands[0]), sets, 50)) == [(1, 2)]
+    assert found > 20
+
+
 def test_near_duplicates_empty(spark):
     assert grouped(spark, []) == []
     assert grouped(spark, [(1, None)]) == [(1, 0, 1, True)]

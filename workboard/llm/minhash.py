@@ -14,8 +14,8 @@ components of these links are known, the pairs of one bucket that still lie in
 different components are compared, all of them, in blocks whose tasks return only
 links, and each pair in the first band it shares. Every link is confirmed on the
 full sets: ``100 * intersection >= percent * union``. At a similarity of 0.8 a
-pair misses all 32 bands with probability 5e-8; in blocks, pairs with fewer than
-LEAST_EQUAL equal coordinates are not confirmed (probability 5e-6 at 0.8).
+pair misses all 32 bands with probability 5e-8; every pair that shares a band and
+still lies in different components is compared exactly.
 
 Defined results: rows that share an id are one document (linked); a row with a
 null id is linked with nothing, has a null component and is kept; null and empty
@@ -40,8 +40,6 @@ BANDS, ROWS = 32, 4
 STAR_ROWS = 128
 #: Members, and shingles, of one side of a block; a larger bucket is cut into more blocks.
 BLOCK_ROWS, BLOCK_SHINGLES = 300, 2_000_000
-#: Of BANDS * ROWS coordinates; a pair at similarity 0.8 has 102 equal ones on average.
-LEAST_EQUAL = 82
 
 
 def _permute32(x: np.ndarray) -> np.ndarray:
@@ -140,7 +138,7 @@ def _block_links(ids: list, groups: list, minor: list, band: int, sets: list, pe
             continue
         equal = signs == signs[i]
         same = equal.reshape(len(ids), BANDS, ROWS).all(axis=2)
-        near = (equal.sum(axis=1) >= LEAST_EQUAL) & (same.argmax(axis=1) == band) & same[:, band]
+        near = (same.argmax(axis=1) == band) & same[:, band]
         for j in np.flatnonzero(near):
             if (j > i or not minor[j]) and root(groups[i]) != root(groups[j]) and similar(sets[i], sets[j], percent):
                 parent[root(groups[i])] = root(groups[j])
