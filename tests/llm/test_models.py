@@ -162,6 +162,14 @@ def test_extract_edges(spark):
     assert html_crf.fit(empty) == {} and html_crf.extract(empty, {}).collect() == []
 
 
+def test_crf_fit_finds_rare_marked_pages(spark, monkeypatch):
+    """The bound is one of marked pages: one such page among many others gives a model."""
+    monkeypatch.setattr(html_crf, "SAMPLE", 1)
+    rows = [(i, "<div><p>not marked</p></div>") for i in range(50)]
+    rows += [(99, "<nav>m</nav><ARTICLE class=x><p>This is the text of the page.</p></ARTICLE>"), (100, None)]
+    assert html_crf.fit(spark.createDataFrame(rows, "page_id long, html string"))
+
+
 # Toxicity
 
 def test_ordinal_regression_recovers_grades():

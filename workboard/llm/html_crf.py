@@ -27,6 +27,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from workboard.llm.common import hash_sample
@@ -321,8 +322,9 @@ def main_text(page: str, model: dict) -> str:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict:
-    """The model, from at most SAMPLE pages of the table."""
-    rows = hash_sample(pages.select(id_col, html_col).filter(f"{html_col} is not null"), id_col, SAMPLE).collect()
+    """The model, from at most SAMPLE pages of the table that hold an article or main tag."""
+    marked = F.col(html_col).rlike(r"(?i)<(article|main)[\s/>]")
+    rows = hash_sample(pages.select(id_col, html_col).filter(marked), id_col, SAMPLE).collect()
     return train_crf(training_pages([r[html_col] for r in rows]))
 
 
