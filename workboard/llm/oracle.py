@@ -90,3 +90,38 @@ select conv_id, cast(count(*) as bigint) as n_turns,
        cast(sum(upto) filter (role = 'assistant' or r = n) as bigint) as formatted_chars
 from p group by conv_id
 """
+
+# CRC-32 by the table of its reflected polynomial; {} is a list of byte values.
+_CRC_TABLE = """crc as (select list(v order by i) as t from (
+  select i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+  from (select unnest(range(256)) as i)))"""
+_CRC = ("xor(list_reduce(list_prepend(4294967295, {}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+# A prefix is named by the chained digests of its turns; a node's ancestors are
+# the prefixes of its smallest member up to its depth.
+SQL["op11_prefix_trie"] = "with " + _CRC_TABLE + """,
+t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as p
+      from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+ids as (select conv_id, conv_id - conv_id % 100 as base,
+               """ + _CRC.format("list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))") + """ % 6 as h
+        from (select distinct conv_id from t), crc),
+size as (select conv_id as base, count(*) as n from t group by 1),
+built as (select i.conv_id, t.p, t.role, t.text from ids i join t on t.conv_id = i.base and t.p <= i.h
+          union all
+          select i.conv_id, t.p - i.h + least(i.h, coalesce(s.n, 0)), t.role, t.text
+          from ids i join t on t.conv_id = i.conv_id and t.p > i.h left join size s on s.base = i.base),
+pre as (select conv_id, p as d, length(text) as chars,
+               string_agg(sha256(role) || sha256(text), '' order by p) over (partition by conv_id order by p) as name from built
+        union all select conv_id, 0, 0, '' from ids),
+nodes as (select name, d, count(*) as n, min(conv_id) as m, min(chars) as chars from pre group by name, d),
+kids as (select left(name, length(name) - 128) as name, count(*) as k from nodes where d > 0 group by 1),
+sub as (select a.name, count(*) filter (k.k is null) as n_leaves, sum((v.n - 1) * v.chars) as saved
+        from nodes v join pre a on a.conv_id = v.m and a.d <= v.d left join kids k on k.name = v.name group by a.name),
+ends as (select name, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+         from (select conv_id, arg_max(name, d) as name from pre group by conv_id) group by name)
+select v.m as conv_id, cast(v.d as bigint) as depth, up.m as parent_conv_id, cast(v.n as bigint) as n_convs,
+       cast(coalesce(k.k, 0) as bigint) as n_children, cast(s.n_leaves as bigint) as n_leaves,
+       cast(s.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes v join sub s using (name) left join kids k using (name) left join ends e using (name)
+left join nodes up on v.d > 0 and up.name = left(v.name, length(v.name) - 128)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, sentencepiece, suffix_tree, toxicity, winnowing
+from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, prefix_trie, sentencepiece, suffix_tree, toxicity, winnowing
 from workboard.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_examples(turns.unionByName(extra)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.number_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.share_first_turns(turns))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
@@ -77,4 +82,5 @@ QUERIES = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
+    "op11_prefix_trie": op11_prefix_trie,
 }
