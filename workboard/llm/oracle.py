@@ -125,3 +125,32 @@ select v.m as conv_id, cast(v.d as bigint) as depth, up.m as parent_conv_id, cas
 from nodes v join sub s using (name) left join kids k using (name) left join ends e using (name)
 left join nodes up on v.d > 0 and up.name = left(v.name, length(v.name) - 128)
 """
+
+# Letters beyond ASCII are U+00C0 to U+00FF: two bytes, the first of them 195.
+_UTF8 = ("flatten(list_transform(string_split({}, ''), lambda x: case when ord(x) < 128 then [cast(ord(x) as bigint)] "
+         "else [cast(195 as bigint), cast(ord(x) - 64 as bigint)] end))")
+
+# Near words share what is left when one letter goes: both without the letter at
+# the same place, or one without a letter and the other whole.
+SQL["op12_spelling"] = "with recursive " + _CRC_TABLE + """,
+docs as (select coalesce(cast(doc_id as varchar), '') as id, """ + _LOWER.format("coalesce(text, '')") + """ as text from documents),
+runs as (select id, unnest(regexp_extract_all(text, '[a-z\u00C0-\u00FF]+')) as run from docs),
+some as (select id, run, count(*) as k from runs group by id, run),
+hashed as (select run, k, """ + _CRC.format(_UTF8.format("id || ':' || run")) + """ as h from some, crc),
+words as (select case when h % 97 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from hashed),
+voc as (select word, cast(sum(k) as bigint) as n from words where length(word) >= 5 group by word having sum(k) >= 3),
+cut as (select word, i, left(word, i - 1) || substr(word, i + 1) as rest
+        from (select word, unnest(range(1, length(word) + 1)) as i from voc)),
+near as (select a.word, b.word as near from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+         union select word, rest from cut where rest in (select word from voc)
+         union select rest, word from cut where rest in (select word from voc)),
+best as (select near.word, count(*) as n_near, arg_min(near, (-v.n, near)) as near, max(v.n) as near_n
+         from near join voc v on v.word = near.near group by near.word),
+forms as (select v.word, v.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 2 * v.n then b.near end as form,
+                 case when b.near_n >= 2 * v.n then b.near_n end as form_n
+          from voc v left join best b using (word)),
+chain as (select word, word as at, form as next from forms
+          union all select c.word, f.word, f.form from chain c join forms f on f.word = c.next)
+select f.word, f.form, c.at as root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
+from forms f join chain c on c.word = f.word and c.next is null
+"""

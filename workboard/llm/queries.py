@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, prefix_trie, sentencepiece, suffix_tree, toxicity, winnowing
+from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, prefix_trie, sentencepiece, spelling, suffix_tree, toxicity, winnowing
 from workboard.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.share_first_turns(turns))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents"))
+    return spelling.group(spelling.vocabulary(spelling.drop_letters(found, 97)))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
@@ -83,4 +88,5 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling": op12_spelling,
 }
