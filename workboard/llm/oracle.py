@@ -135,8 +135,8 @@ _UTF8 = ("flatten(list_transform(string_split({}, ''), lambda x: case when ord(x
 SQL["op12_spelling"] = "with recursive " + _CRC_TABLE + """,
 docs as (select coalesce(cast(doc_id as varchar), '') as id, """ + _LOWER.format("coalesce(text, '')") + """ as text from documents),
 runs as (select id, unnest(regexp_extract_all(text, '[a-z\u00C0-\u00FF]+')) as run from docs),
-some as (select id, run, count(*) as k from runs group by id, run),
-hashed as (select run, k, """ + _CRC.format(_UTF8.format("id || ':' || run")) + """ as h from some, crc),
+counted as (select id, run, count(*) as k from runs group by id, run),
+hashed as (select run, k, """ + _CRC.format(_UTF8.format("id || ':' || run")) + """ as h from counted, crc),
 words as (select case when h % 97 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from hashed),
 voc as (select word, cast(sum(k) as bigint) as n from words where length(word) >= 5 group by word having sum(k) >= 3),
 cut as (select word, i, left(word, i - 1) || substr(word, i + 1) as rest

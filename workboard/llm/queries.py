@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, prefix_trie, sentencepiece, spelling, suffix_tree, toxicity, winnowing
+from workboard.llm import chat, html_crf, line_dedup, minhash, multi_index, pii, prefix_trie, quality, sentencepiece, spelling, suffix_tree, toxicity, winnowing
 from workboard.llm.common import table
 
 
@@ -76,6 +76,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.vocabulary(spelling.drop_letters(found, 97)))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
@@ -89,4 +93,5 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_spelling": op12_spelling,
+    "op13_quality": op13_quality,
 }
