@@ -85,3 +85,35 @@ def test_scan_leaves_nothing_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     keyed_scan(_frame(spark), ["k"], [F.col("o"), F.col("id")], row_number="rn").collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_slices_match_windows(spark):
+    """Large groups cut by quantiles: by ties, by NULLs, falling orders, several passes."""
+    df = _frame(spark).withColumn("t", F.timestamp_seconds(F.when(F.col("o") > 5, F.col("o") % 3)).cast("timestamp_ntz"))
+    w = Window.partitionBy("k").orderBy(F.col("t").desc_nulls_last(), F.col("o"), F.col("id").desc())
+    got = keyed_scan(df, ["k"], [("t", "desc"), "o", ("id", "desc")], row_number="rn", carry={"last_v": "v"},
+                     carry_before={"prev_v": "v"}, num_partitions=64, slice_rows=20)
+    exp = (df.withColumn("rn", F.row_number().over(w).cast("long"))
+           .withColumn("last_v", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("prev_v", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    cols = ["id", "rn", "last_v", "prev_v"]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got.select(cols).collect(), key=key) == sorted(exp.select(cols).collect(), key=key)
+
+
+def test_slices_are_bounded_and_need_no_range_sampling(spark):
+    from workboard.operators import keyed_scan as ks
+    df = _frame(spark).withColumns({"i": F.col("id"), "o": F.col("o") % 3})
+    cuts = ks._cut(df.select("k", "o", "i"), ["k"], ["o", "i"], 64, 50)
+    assert len(cuts) >= 2  # o has three values, so ties are cut by i
+    sizes = ks._sliced(df, ["k"], ["o", "i"], cuts).groupBy("k", ks._SLICE).count()
+    assert sizes.agg({"count": "max"}).first()[0] <= max(50, -(-4000 // 64))
+    got = keyed_scan(df, ["k"], ["o", "id"], row_number="rn", num_partitions=64, slice_rows=50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Window" in plan
+
+
+def test_global_ids_by_slices(spark):
+    df = _frame(spark, n=1000)
+    got = keyed_scan(df, [], [("id", "desc")], row_number="rn", num_partitions=100, slice_rows=10)
+    assert sorted((r.id, r.rn) for r in got.select("id", "rn").collect()) == [(i, 1000 - i) for i in range(1000)]

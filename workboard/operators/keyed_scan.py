@@ -3,43 +3,54 @@
 ``ROW_NUMBER() OVER (PARTITION BY k ORDER BY o)`` and "last non-NULL value so
 far" are plain window functions in Spark, but a window puts each key group in
 one task: if one key holds a third of all rows, one task sorts and buffers a
-third of the data. This operator splits hot groups instead:
-
-1. ``repartitionByRange`` on ``(k, o)``: a hot key is cut across many range
-   partitions; every partition holds a contiguous slice of the global order.
-2. A local window per ``(partition id, k)``: every window group is bounded by
-   one range partition.
-3. A summary with **one row per range partition** (first key, last key, and the
-   scan state at the partition's last row) is scanned in order. Only the first
-   key of a partition can continue a group from earlier partitions, so the
-   carried state is one row per partition.
-4. The summary is broadcast (its size is bounded by the partition count, not
-   by the data) and joined back on ``(partition id, first key)``.
-
-Two shuffles of the data (range + window), no single-partition exchange of
-data rows, no Python. ``order`` must be a total order within each key (append
-a unique column) so that results are deterministic under task retries.
-
-The locally numbered frame is written to the shared folder of
-``spark.checkpoint.dir`` before it is read twice (summary and join back): two
-reads of a plan would sample their own range bounds. Written rows cannot move,
-and a lost executor costs no recomputation of what came before.
+third of the data. This operator cuts large groups into slices instead:
+
+1. Groups are counted (a partial aggregate over key and order columns alone).
+   Without a group above the slice size the plan is the plain window.
+2. A larger group is cut at the quantiles of its first order column that is not
+   constant (``percentile_approx``: a mergeable summary of fixed size, combined
+   on the map side). The cuts are stored, so they are the same for every reader.
+   Slices that are still too large, by ties or by number, are cut again, by the
+   next column where the first is constant.
+3. Every row learns its slice from the stored cuts (broadcast: at most one row per
+   shuffle partition and pass) and the window runs per ``(key, slice)``: one
+   shuffle of the data, no range sampling, no copy of the rows in storage.
+4. Per slice of a cut group the row count and the last values are aggregated and
+   scanned in slice order; what comes from the slices before is joined back.
+
+``order`` must be a total order within each key (append a unique column) so that
+results are deterministic under task retries. Order columns are names, or
+``(name, "desc")``; NULL is smallest. Orders over other types than numbers and
+times (or given as Column expressions) take the older way, ``_ranged_scan``: a
+range partitioning whose locally numbered frame is stored once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from workboard.session import stage
 
 _PID, _LRN, _KEY = "__ks_pid", "__ks_lrn", "__ks_key"
+_SLICE, _CUTS = "__ks_slice", 64
+#: Rows of a slice, about; more only where the shuffle has fewer partitions than slices.
+SLICE_ROWS = 100_000
+
+OrderCol = Column | str | tuple[str, str]
 
 
-def _order_cols(order: Sequence[Column | str]) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+def _falls(o: OrderCol) -> bool:
+    return isinstance(o, tuple) and o[1] == "desc"
+
+
+def _order_cols(order: Sequence[OrderCol]) -> list[Column]:
+    return [o if isinstance(o, Column) else F.col(o) if isinstance(o, str)
+            else F.col(o[0]).desc_nulls_last() if _falls(o) else F.col(o[0]) for o in order]
 
 
 def _parallelism(df: DataFrame, num_partitions: int | None) -> int:
@@ -48,21 +59,149 @@ def _parallelism(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _images(df: DataFrame, order: Sequence[OrderCol]) -> list[Column] | None:
+    """Order columns as long integers that sort alike; None if one has no such image."""
+    out = []
+    for o in order:
+        if isinstance(o, Column):
+            return None
+        name = o if isinstance(o, str) else o[0]
+        kind, c = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.TimestampNTZType):
+            image = F.unix_micros(c.cast("timestamp"))
+        elif isinstance(kind, T.TimestampType):
+            image = F.unix_micros(c)
+        elif isinstance(kind, T.DateType):
+            image = F.unix_date(c).cast("long")
+        elif isinstance(kind, T.IntegralType):
+            image = c.cast("long")
+        else:
+            return None
+        image = F.coalesce(image, F.lit(-(1 << 63)))
+        out.append(image.bitwiseXOR(F.lit(-1).cast("long")) if _falls(o) else image)
+    return out
+
+
+def _same(keys: Sequence[str], names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+
+
+def _sliced(df: DataFrame, keys: list[str], images: list[str], cuts: list[DataFrame]) -> DataFrame:
+    """``df`` with the slice of each row; rows of groups that were not cut are in slice 0."""
+    df = df.withColumn(_SLICE, F.lit(0).cast("long"))
+    names = [f"__ks_ck_{i}" for i in range(len(keys) + 1)]
+    for cut in cuts:
+        named = cut.select(*[F.col(k).alias(n) for k, n in zip([*keys, _SLICE], names)], "__ks_at", "__ks_bounds")
+        value = F.element_at(F.array(*images), F.col("__ks_at"))
+        below = F.size(F.filter("__ks_bounds", lambda b: b < value))
+        df = (df.join(F.broadcast(named), _same([*keys, _SLICE], names), "left")
+              .withColumn(_SLICE, F.col(_SLICE) * _CUTS + F.coalesce(F.when(F.col("__ks_bounds").isNotNull(), below), F.lit(0)))
+              .drop(*names, "__ks_at", "__ks_bounds"))
+    return df
+
+
+def _cut(narrow: DataFrame, keys: list[str], images: list[str], partitions: int, slice_rows: int) -> list[DataFrame]:
+    """Stored cuts of the groups with too many rows, pass by pass; empty if there are none."""
+    cuts: list[DataFrame] = []
+    most = None
+    while True:
+        rows = _sliced(narrow, keys, images, cuts)
+        # The first image that is not constant; 0 if all are.
+        spread = [F.when(F.min(c) < F.max(c), F.lit(i)) for i, c in enumerate(images, 1)]
+        sizes = rows.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("n"), F.coalesce(*spread, F.lit(0)).alias("__ks_at"))
+        if most is None:
+            total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+            most = max(slice_rows, -(-(total or 0) // partitions))
+            if (largest or 0) <= most:
+                return cuts
+        large = sizes.where((F.col("n") > most) & (F.col("__ks_at") > 0)).drop("n")
+        large = stage(large, "large-groups")
+        if large.isEmpty():
+            return cuts
+        names = [f"__ks_lk_{i}" for i in range(len(keys) + 1)]
+        named = large.select(*[F.col(k).alias(n) for k, n in zip([*keys, _SLICE], names)], "__ks_at")
+        inside = rows.join(F.broadcast(named), _same([*keys, _SLICE], names)).drop(*names)
+        shares = [i / _CUTS for i in range(1, _CUTS)]
+        bounds = F.percentile_approx(F.element_at(F.array(*images), F.col("__ks_at")), F.lit(shares), F.lit(2000))
+        # A value below the largest is always among the cuts, so that a pass makes progress.
+        least = F.min(F.element_at(F.array(*images), F.col("__ks_at")))
+        cuts.append(stage(inside.groupBy(*keys, _SLICE, "__ks_at").agg(
+            F.slice(F.array_union(F.array(least), bounds), 1, _CUTS - 1).alias("__ks_bounds")), "cuts"))
+
+
 def keyed_scan(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[OrderCol],
     *,
     row_number: str | None = None,
     carry: Mapping[str, str] | None = None,
     carry_before: Mapping[str, str] | None = None,
     num_partitions: int | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add ``row_number`` (1-based position within the key group in ``order``);
     for each ``out -> src`` in ``carry`` the last non-NULL value of ``src`` up
     to and including the row; for each ``out -> src`` in ``carry_before`` the
     same strictly before the row. ``keys=[]`` scans the whole frame as one
     group (dense global numbering)."""
+    images = _images(df, order)
+    if images is None:
+        return _ranged_scan(df, keys, order, row_number=row_number, carry=carry, carry_before=carry_before,
+                            num_partitions=num_partitions)
+    carry, carry_before = dict(carry or {}), dict(carry_before or {})
+    sources = sorted(set(carry.values()) | set(carry_before.values()))
+    keys = list(keys)
+    work = df
+    if not keys:
+        work, keys = work.withColumn(_KEY, F.lit(0)), [_KEY]
+    image_names = [f"__ks_i{i}" for i in range(len(images))]
+    work = work.withColumns(dict(zip(image_names, images)))
+    cuts = _cut(work.select(*keys, *image_names), keys, image_names, _parallelism(df, num_partitions), slice_rows)
+    rows = _sliced(work, keys, image_names, cuts)
+    ordered = Window.partitionBy(*keys, _SLICE).orderBy(*_order_cols(order))
+    upto, before = (ordered.rowsBetween(Window.unboundedPreceding, last) for last in (Window.currentRow, -1))
+    if not cuts:
+        rows = rows.withColumns({
+            **({row_number: F.row_number().over(ordered).cast("long")} if row_number else {}),
+            **{out: F.last(src, ignorenulls=True).over(upto) for out, src in carry.items()},
+            **{out: F.last(src, ignorenulls=True).over(before) for out, src in carry_before.items()}})
+        return rows.drop(_KEY, _SLICE, *image_names)
+    # What each slice of a cut group hands on: its row count and its last values.
+    names = [f"__ks_sk_{i}" for i in range(len(keys) + 1)]
+    whole = cuts[0].select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    place = F.struct(*image_names)
+    states = (_sliced(work, keys, image_names, cuts).join(F.broadcast(whole), _same(keys, names), "left_semi")
+              .groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("n"),
+                                          *[F.max_by(s, F.when(F.col(s).isNotNull(), place)).alias(f"__ks_l{i}")
+                                            for i, s in enumerate(sources)]))
+    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    handed = stage(states.select(
+        *[F.col(k).alias(n) for k, n in zip([*keys, _SLICE], names)], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__ks_off"),
+        *[F.last(f"__ks_l{i}", ignorenulls=True).over(earlier).alias(f"__ks_in{i}") for i in range(len(sources))]), "handed-on")
+    rows = rows.withColumns({
+        _LRN: F.row_number().over(ordered),
+        **{f"__ks_u{i}": F.last(s, ignorenulls=True).over(upto) for i, s in enumerate(sources)},
+        **{f"__ks_b{i}": F.last(s, ignorenulls=True).over(before) for i, s in enumerate(sources)}})
+    rows = rows.join(F.broadcast(handed), _same([*keys, _SLICE], names), "left")
+    if row_number:
+        rows = rows.withColumn(row_number, (F.col(_LRN) + F.coalesce("__ks_off", F.lit(0))).cast("long"))
+    at = {s: i for i, s in enumerate(sources)}
+    for prefix, wanted in (("u", carry), ("b", carry_before)):
+        for out, src in wanted.items():
+            rows = rows.withColumn(out, F.coalesce(F.col(f"__ks_{prefix}{at[src]}"), F.col(f"__ks_in{at[src]}")))
+    outputs = {row_number, *carry, *carry_before}
+    return rows.drop(*[c for c in rows.columns if c.startswith("__ks_") and c not in outputs])
+
+
+def _ranged_scan(df: DataFrame, keys: Sequence[str], order: Sequence[OrderCol], *, row_number: str | None,
+                 carry: Mapping[str, str] | None, carry_before: Mapping[str, str] | None,
+                 num_partitions: int | None) -> DataFrame:
+    """The same by range partitions on ``(k, o)``, for orders without an integer
+    image. Each partition holds a contiguous part of the global order and is
+    scanned on its own; a summary of one row per partition carries on what the
+    first key of a partition continues. The locally numbered frame is stored, as
+    two reads of a plan would sample their own range bounds."""
     carry = dict(carry or {})
     carry_before = dict(carry_before or {})
     sources = sorted(set(carry.values()) | set(carry_before.values()))
@@ -136,12 +275,12 @@ def keyed_scan(
     return joined.drop(*helper)
 
 
-def keyed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
+def keyed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[OrderCol],
                      out: str, num_partitions: int | None = None) -> DataFrame:
     return keyed_scan(df, keys, order, row_number=out, num_partitions=num_partitions)
 
 
-def assign_ids(df: DataFrame, order: Sequence[Column | str], start: Column, out: str = "id",
+def assign_ids(df: DataFrame, order: Sequence[OrderCol], start: Column, out: str = "id",
                num_partitions: int | None = None) -> DataFrame:
     """Dense identity values ``start + 1, start + 2, ...`` in ``order`` without a
     single-partition sort (``start`` is typically a scalar subquery of max id)."""

@@ -95,7 +95,7 @@ def audit_history(audit_logs: DataFrame, entity_name: str | None = None,
     if until is not None:
         a = a.where(F.col("performed_at") < as_ts(until))
     trail = keyed_row_number(a, ["entity_name", "entity_id"],
-                             [F.col("performed_at").desc(), F.col("id").desc()],
+                             [("performed_at", "desc"), ("id", "desc")],
                              out="trail_position")
     return trail.orderBy(F.col("performed_at").desc(), F.col("id").desc())
 

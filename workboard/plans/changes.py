@@ -119,7 +119,7 @@ def create_tasks(tasks: DataFrame, projects: DataFrame, users: DataFrame,
                           .when(F.col("title").isNull() | _too_long("tasks", ["title", "description"]), S.BAD_REQUEST)
                           .when(F.col("assigned_to_id").isNotNull() & F.col("__uid").isNull(), S.FK_VIOLATION)))
     good = judged.where(F.col("__why").isNull()).select(*requests.columns)
-    numbered = assign_ids(good, [F.col("seq")], _start(tasks, start), out="id")
+    numbered = assign_ids(good, ["seq"], _start(tasks, start), out="id")
     created = numbered.select(
         "id", "title", "description", F.lit("Pending").alias("status"),
         F.coalesce(task_priority("priority"), F.lit("Medium")).alias("priority"),
@@ -177,7 +177,7 @@ def patch_tasks(tasks: DataFrame, users: DataFrame, requests: DataFrame, as_of:
     # Per-request images: running last non-NULL value per field, before and
     # including the request, on top of the stored row.
     scanned = keyed_scan(
-        parsed.select("seq", "id", *IMAGE_FIELDS), ["id"], [F.col("seq")],
+        parsed.select("seq", "id", *IMAGE_FIELDS), ["id"], ["seq"],
         carry={f"__a_{c}": c for c in IMAGE_FIELDS},
         carry_before={f"__b_{c}": c for c in IMAGE_FIELDS})
     stored = tasks.select(F.col("id").alias("__sid"),
@@ -232,7 +232,7 @@ def set_task_status(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> Chang
                         .cast("long").alias("rows_affected")))
     # The update trigger fires per statement: one audit row per request that
     # hit a task, with the status before and after that request.
-    scanned = keyed_scan(requests.select("seq", "id", "status"), ["id"], [F.col("seq")],
+    scanned = keyed_scan(requests.select("seq", "id", "status"), ["id"], ["seq"],
                          carry={"__a_status": "status"}, carry_before={"__b_status": "status"})
     stored = tasks.select(F.col("id").alias("__sid"),
                           *[F.col(c).alias(f"__s_{c}") for c in IMAGE_FIELDS])
@@ -323,7 +323,7 @@ def create_projects(projects: DataFrame, users: DataFrame, requests: DataFrame,
     uid = users.select(F.col("id").alias("__uid"))
     good = requests.join(uid, requests.owner_id == F.col("__uid"), "left_semi")
     bad = requests.join(uid, requests.owner_id == F.col("__uid"), "left_anti")
-    numbered = assign_ids(good, [F.col("seq")], _start(projects, start), out="id")
+    numbered = assign_ids(good, ["seq"], _start(projects, start), out="id")
     created = numbered.select("id", "name", "description", "owner_id", now.alias("created_at"),
                               F.lit(None).cast("timestamp_ntz").alias("updated_at"),
                               F.lit(True).alias("is_active"))
@@ -367,7 +367,7 @@ def create_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
     lost = requests.where(~bad).join(won, "seq", "left_anti")
     rejected = (_reject(requests.where(bad), S.BAD_REQUEST, ["seq", "username", "email"])
                 .unionByName(_reject(lost, S.CONFLICT, ["seq", "username", "email"])))
-    numbered = assign_ids(good, [F.col("seq")], _start(users, start), out="id")
+    numbered = assign_ids(good, ["seq"], _start(users, start), out="id")
     created = numbered.select(
         "id", "username", "email", "password_hash", "first_name", "last_name",
         F.lit("Active").alias("status"), now.alias("created_at"),

@@ -111,7 +111,7 @@ def tasks_with_details(tasks: DataFrame, projects: DataFrame, users: DataFrame,
         t = t.where(F.col("status") == F.lit(status))
     base = _detail_base(t, projects, users)
     numbered = keyed_row_number(base, ["project_id"],
-                                [F.col("created_at").desc(), F.col("id").desc()],
+                                [("created_at", "desc"), ("id", "desc")],
                                 out="task_row_num")
     out = numbered.select("id", "title", "description", "status", "priority", "due_date",
                           "created_at", "completed_at", "project_name", "assigned_to_name",
