@@ -3,7 +3,12 @@
 Each job takes table snapshots plus a table of requests (``seq`` orders them)
 and returns a ``ChangeSet``: the new snapshot(s), the accepted rows, the
 rejected requests with a reason, and the audit rows the database triggers
-would have written. Everything is lazy; nothing is collected.
+would have written. Each part is planned when it is first asked for: asking for
+the rejects of a batch does not number, store or resolve its other parts. A part
+that needs new ids or per-request images runs one counting job when it is
+planned (``keyed_scan``), cascades store the ids that go, and outcomes that depend
+on the order of requests (C8, C9) are resolved in rounds; all others are lazy.
+Nothing is collected.
 
 Scale rules used throughout:
 
@@ -23,8 +28,9 @@ Scale rules used throughout:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +38,7 @@ from pyspark.sql import functions as F
 from workboard.functions.exprs import (as_ts, audit_update_image, enum_literal, json_image, task_priority,
                                        task_status, text_key, user_status)
 from workboard.operators.keyed_scan import assign_ids, keyed_scan
+from workboard.operators.pointers import follow
 from workboard.plans.audit import audit_rows
 from workboard.session import stage
 from workboard.sources import schemas as S
@@ -39,13 +46,39 @@ from workboard.sources import schemas as S
 AsOf = str | datetime | Column
 
 
-@dataclass
+Part = DataFrame | Callable[[], DataFrame] | None
+
+
+class _Parts(Mapping):
+    """Named frames; one given as a function is made when it is first asked for."""
+
+    def __init__(self, parts: Mapping[str, Part]):
+        self._parts = dict(parts)
+
+    def __getitem__(self, name: str) -> DataFrame | None:
+        if callable(self._parts[name]):
+            self._parts[name] = self._parts[name]()
+        return self._parts[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+
 class ChangeSet:
-    table: DataFrame | None = None
-    accepted: DataFrame | None = None
-    rejected: DataFrame | None = None
-    audit: DataFrame | None = None
-    extra: dict[str, DataFrame] = field(default_factory=dict)
+    """The outcome of a batch: new snapshot, accepted rows, rejects, audit rows, other tables."""
+
+    def __init__(self, table: Part = None, accepted: Part = None, rejected: Part = None, audit: Part = None,
+                 extra: Mapping[str, Part] | None = None):
+        self._parts = _Parts({"table": table, "accepted": accepted, "rejected": rejected, "audit": audit})
+        self.extra = _Parts(extra or {})
+
+    table = property(lambda self: self._parts["table"])
+    accepted = property(lambda self: self._parts["accepted"])
+    rejected = property(lambda self: self._parts["rejected"])
+    audit = property(lambda self: self._parts["audit"])
 
 
 def _reject(df: DataFrame, reason: str, cols: list[str]) -> DataFrame:
@@ -119,18 +152,21 @@ def create_tasks(tasks: DataFrame, projects: DataFrame, users: DataFrame,
                           .when(F.col("title").isNull() | _too_long("tasks", ["title", "description"]), S.BAD_REQUEST)
                           .when(F.col("assigned_to_id").isNotNull() & F.col("__uid").isNull(), S.FK_VIOLATION)))
     good = judged.where(F.col("__why").isNull()).select(*requests.columns)
-    numbered = assign_ids(good, ["seq"], _start(tasks, start), out="id")
-    created = numbered.select(
-        "id", "title", "description", F.lit("Pending").alias("status"),
-        F.coalesce(task_priority("priority"), F.lit("Medium")).alias("priority"),
-        "due_date", "project_id", "assigned_to_id", now.alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"),
-        F.lit(None).cast("timestamp_ntz").alias("completed_at"),
-        "seq")
+
+    @cache
+    def created() -> DataFrame:
+        numbered = assign_ids(good, ["seq"], _start(tasks, start), out="id")
+        return numbered.select(
+            "id", "title", "description", F.lit("Pending").alias("status"),
+            F.coalesce(task_priority("priority"), F.lit("Medium")).alias("priority"),
+            "due_date", "project_id", "assigned_to_id", now.alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+            F.lit(None).cast("timestamp_ntz").alias("completed_at"),
+            "seq")
+
     rejected = judged.where(F.col("__why").isNotNull()).select("seq", "project_id", F.col("__why").alias("reason"))
-    table = tasks.unionByName(created.drop("seq"))
-    return ChangeSet(table=table, accepted=created, rejected=rejected,
-                     audit=audit_rows(inserted=created.drop("seq"), as_of=now))
+    return ChangeSet(table=lambda: tasks.unionByName(created().drop("seq")), accepted=created, rejected=rejected,
+                     audit=lambda: audit_rows(inserted=created().drop("seq"), as_of=now))
 
 
 PATCH_FIELDS = ["title", "description", "status", "priority", "due_date", "assigned_to_id"]
@@ -174,24 +210,27 @@ def patch_tasks(tasks: DataFrame, users: DataFrame, requests: DataFrame, as_of:
             cols.append(F.col(c))
     table = j.select(*cols)
 
-    # Per-request images: running last non-NULL value per field, before and
-    # including the request, on top of the stored row.
-    scanned = keyed_scan(
-        parsed.select("seq", "id", *IMAGE_FIELDS), ["id"], ["seq"],
-        carry={f"__a_{c}": c for c in IMAGE_FIELDS},
-        carry_before={f"__b_{c}": c for c in IMAGE_FIELDS})
-    stored = tasks.select(F.col("id").alias("__sid"),
-                          *[F.col(c).alias(f"__s_{c}") for c in IMAGE_FIELDS])
-    imgs = scanned.join(stored, scanned.id == stored.__sid, "inner")
-    before = {c: F.coalesce(F.col(f"__b_{c}"), F.col(f"__s_{c}")) for c in IMAGE_FIELDS}
-    after = {c: F.coalesce(F.col(f"__a_{c}"), F.col(f"__s_{c}")) for c in IMAGE_FIELDS}
-    audit = imgs.select(
+    return ChangeSet(table=table, accepted=known, rejected=rejected,
+                     audit=lambda: _request_audit(tasks, parsed, IMAGE_FIELDS, now))
+
+
+def _request_audit(tasks: DataFrame, requests: DataFrame, fields: list[str], now: Column) -> DataFrame:
+    """One UPDATE row per request that hits a task, with the images before and
+    after that request: per field the running last non-NULL value, up to the
+    request and before it, on top of the stored row."""
+    scanned = keyed_scan(requests.select("seq", "id", *fields), ["id"], ["seq"],
+                         carry={f"__a_{c}": c for c in fields}, carry_before={f"__b_{c}": c for c in fields})
+    stored = tasks.select(F.col("id").alias("__sid"), *[F.col(c).alias(f"__s_{c}") for c in IMAGE_FIELDS])
+    images = scanned.join(stored, scanned.id == stored.__sid, "inner")
+
+    def image(prefix: str) -> Column:
+        return _update_json({c: F.coalesce(F.col(f"{prefix}{c}"), F.col(f"__s_{c}")) if c in fields else F.col(f"__s_{c}")
+                             for c in IMAGE_FIELDS})
+
+    return images.select(
         F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"),
-        F.lit(S.AUDIT_UPDATE).alias("action"),
-        _update_json(before).alias("old_values"), _update_json(after).alias("new_values"),
-        F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"),
-        F.col("seq"))
-    return ChangeSet(table=table, accepted=known, rejected=rejected, audit=audit)
+        F.lit(S.AUDIT_UPDATE).alias("action"), image("__b_").alias("old_values"), image("__a_").alias("new_values"),
+        F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"), F.col("seq"))
 
 
 def _update_json(values: dict[str, Column]) -> Column:
@@ -230,23 +269,9 @@ def set_task_status(tasks: DataFrame, requests: DataFrame, as_of: AsOf) -> Chang
     affected = (every.join(ids, every.id == F.col("__tid"), "left")
                 .select("seq", "id", F.when(F.col("__tid").isNotNull() & ~bad, 1).otherwise(0)
                         .cast("long").alias("rows_affected")))
-    # The update trigger fires per statement: one audit row per request that
-    # hit a task, with the status before and after that request.
-    scanned = keyed_scan(requests.select("seq", "id", "status"), ["id"], ["seq"],
-                         carry={"__a_status": "status"}, carry_before={"__b_status": "status"})
-    stored = tasks.select(F.col("id").alias("__sid"),
-                          *[F.col(c).alias(f"__s_{c}") for c in IMAGE_FIELDS])
-    imgs = scanned.join(stored, scanned.id == stored.__sid, "inner")
-    keep = {c: F.col(f"__s_{c}") for c in IMAGE_FIELDS if c != "status"}
-    before = {**keep, "status": F.coalesce(F.col("__b_status"), F.col("__s_status"))}
-    after = {**keep, "status": F.coalesce(F.col("__a_status"), F.col("__s_status"))}
-    audit = imgs.select(
-        F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"),
-        F.lit(S.AUDIT_UPDATE).alias("action"),
-        _update_json(before).alias("old_values"), _update_json(after).alias("new_values"),
-        F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"),
-        F.col("seq"))
-    return ChangeSet(table=j.select(*cols), accepted=affected, rejected=rejected, audit=audit)
+    # The update trigger fires per statement, also where nothing changes.
+    return ChangeSet(table=j.select(*cols), accepted=affected, rejected=rejected,
+                     audit=lambda: _request_audit(tasks, requests, ["status"], now))
 
 
 def bulk_update_status(tasks: DataFrame, task_ids: DataFrame, status: str,
@@ -305,43 +330,52 @@ def delete_projects(projects: DataFrame, tasks: DataFrame, project_ids: DataFram
     new_projects = projects.join(ids, projects.id == F.col("__did"), "left_anti")
     # Stored, so that the join with the tasks is of two plain scans: a hot
     # project's partition can be split at run time.
-    gone_ids = stage(existing.select(F.col("id").alias("__gid")), "deleted-projects")
-    cascaded = tasks.join(gone_ids, tasks.project_id == F.col("__gid"), "left_semi")
-    new_tasks = tasks.join(gone_ids, tasks.project_id == F.col("__gid"), "left_anti")
+    gone_ids = cache(lambda: stage(existing.select(F.col("id").alias("__gid")), "deleted-projects"))
+
+    def of_gone(how: str) -> DataFrame:
+        return tasks.join(gone_ids(), tasks.project_id == F.col("__gid"), how)
+
     pid = projects.select(F.col("id").alias("__pid"))
     missing = project_ids.join(pid, project_ids.id == F.col("__pid"), "left_anti")
     return ChangeSet(table=new_projects, accepted=existing,
                      rejected=_reject(missing.unionByName(_repeats(project_ids, projects)), S.NOT_FOUND, ["id"]),
-                     audit=audit_rows(deleted=cascaded, as_of=as_ts(as_of)),
-                     extra={"tasks": new_tasks})
+                     audit=lambda: audit_rows(deleted=of_gone("left_semi"), as_of=as_ts(as_of)),
+                     extra={"tasks": lambda: of_gone("left_anti")})
 
 
 def create_projects(projects: DataFrame, users: DataFrame, requests: DataFrame,
                     as_of: AsOf, start: Column | None = None) -> ChangeSet:
-    """C10 create: the owner must be a user (FK); active; ids continue."""
+    """C10 create: a name that is missing or a text that is too long is a
+    BAD_REQUEST, an owner that is not a user an FK_VIOLATION; active; ids continue."""
     now = as_ts(as_of)
-    uid = users.select(F.col("id").alias("__uid"))
-    good = requests.join(uid, requests.owner_id == F.col("__uid"), "left_semi")
-    bad = requests.join(uid, requests.owner_id == F.col("__uid"), "left_anti")
-    numbered = assign_ids(good, ["seq"], _start(projects, start), out="id")
-    created = numbered.select("id", "name", "description", "owner_id", now.alias("created_at"),
-                              F.lit(None).cast("timestamp_ntz").alias("updated_at"),
-                              F.lit(True).alias("is_active"))
-    return ChangeSet(table=projects.unionByName(created), accepted=created,
-                     rejected=_reject(bad, S.FK_VIOLATION, ["seq", "owner_id"]))
+    judged = (requests.join(users.select(F.col("id").alias("__uid")), requests.owner_id == F.col("__uid"), "left")
+              .withColumn("__why", F.when(F.col("name").isNull() | _too_long("projects", ["name", "description"]), S.BAD_REQUEST)
+                          .when(F.col("__uid").isNull(), S.FK_VIOLATION)))
+    good = judged.where(F.col("__why").isNull()).select(*requests.columns)
+
+    @cache
+    def created() -> DataFrame:
+        return assign_ids(good, ["seq"], _start(projects, start), out="id").select(
+            "id", "name", "description", "owner_id", now.alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.lit(True).alias("is_active"))
+
+    return ChangeSet(table=lambda: projects.unionByName(created()), accepted=created,
+                     rejected=judged.where(F.col("__why").isNotNull()).select("seq", "owner_id", F.col("__why").alias("reason")))
 
 
 def patch_projects(projects: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet:
-    """C10 patch: name / description / is_active; NULL = unchanged."""
+    """C10 patch: name / description / is_active; NULL = unchanged. Unknown ids
+    are NOT_FOUND, texts that are too long a BAD_REQUEST; such requests change nothing."""
     now = as_ts(as_of)
-    pid = projects.select(F.col("id").alias("__pid"))
-    known = requests.join(pid, requests.id == F.col("__pid"), "left_semi")
-    missing = requests.join(pid, requests.id == F.col("__pid"), "left_anti")
+    judged = (requests.join(projects.select(F.col("id").alias("__pid")), requests.id == F.col("__pid"), "left")
+              .withColumn("__why", F.when(F.col("__pid").isNull(), S.NOT_FOUND)
+                          .when(_too_long("projects", ["name", "description"]), S.BAD_REQUEST)))
+    known = judged.where(F.col("__why").isNull()).select(*requests.columns)
     fields = ["name", "description", "is_active"]
     table = _apply_fold(projects, fold_latest(known, "id", fields), "id", fields,
                         extra={"updated_at": now})
     return ChangeSet(table=table, accepted=known,
-                     rejected=_reject(missing, S.NOT_FOUND, ["seq", "id"]))
+                     rejected=judged.where(F.col("__why").isNotNull()).select("seq", "id", F.col("__why").alias("reason")))
 
 
 # ====================================================================== users
@@ -362,48 +396,76 @@ def create_users(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
     taken_e = users.select(text_key("email").alias("__te"))
     free = (r.where(~bad).join(taken_u, r.__ku == F.col("__tu"), "left_anti")
             .join(taken_e, F.col("__ke") == F.col("__te"), "left_anti"))
-    won = _first_claims(free.select("seq", F.col("__ku").alias("a"), F.col("__ke").alias("b")))
-    good = requests.join(won, "seq", "left_semi").select(*requests.columns)
-    lost = requests.where(~bad).join(won, "seq", "left_anti")
-    rejected = (_reject(requests.where(bad), S.BAD_REQUEST, ["seq", "username", "email"])
-                .unionByName(_reject(lost, S.CONFLICT, ["seq", "username", "email"])))
-    numbered = assign_ids(good, ["seq"], _start(users, start), out="id")
-    created = numbered.select(
-        "id", "username", "email", "password_hash", "first_name", "last_name",
-        F.lit("Active").alias("status"), now.alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"), "seq", "role_ids")
-    links = created.select(F.col("id").alias("user_id"),
-                           F.explode(F.array_distinct("role_ids")).alias("role_id"), "seq", "username", "email")
-    rid = roles.select(F.col("id").alias("__rid"))
     named = ["seq", "username", "email"]
-    unknown = links.join(rid, links.role_id == F.col("__rid"), "left_anti").select(*named).distinct()
-    twice = (created.where(F.size(F.array_distinct("role_ids")) < F.size("role_ids")).select(*named)
-             .join(unknown.select("seq"), "seq", "left_anti").select(*named))
-    rejected = (rejected.unionByName(_reject(unknown, S.FK_VIOLATION, named))
-                .unionByName(_reject(twice, S.CONFLICT, named)))
-    links = links.join(unknown.unionByName(twice).select("seq"), "seq", "left_anti").select(
-        "user_id", "role_id", now.alias("assigned_at"))
-    new_users = created.drop("seq", "role_ids")
-    return ChangeSet(table=users.unionByName(new_users), accepted=new_users,
-                     rejected=rejected,
-                     extra={"user_roles": user_roles.unionByName(links), "new_links": links})
+    won = cache(lambda: _first_claims(free.select("seq", F.col("__ku").alias("a"), F.col("__ke").alias("b"))))
+    good = cache(lambda: requests.join(won(), "seq", "left_semi").select(*requests.columns))
+
+    @cache
+    def failed_links() -> tuple[DataFrame, DataFrame]:
+        """Requests of new users with a role that does not exist, and of others with one that stands twice."""
+        asked = good().select(*named, F.explode(F.array_distinct("role_ids")).alias("role_id"))
+        rid = roles.select(F.col("id").alias("__rid"))
+        unknown = asked.join(rid, asked.role_id == F.col("__rid"), "left_anti").select(*named).distinct()
+        twice = (good().where(F.size(F.array_distinct("role_ids")) < F.size("role_ids")).select(*named)
+                 .join(unknown.select("seq"), "seq", "left_anti").select(*named))
+        return unknown, twice
+
+    def rejected() -> DataFrame:
+        lost = requests.where(~bad).join(won(), "seq", "left_anti")
+        unknown, twice = failed_links()
+        return (_reject(requests.where(bad), S.BAD_REQUEST, named).unionByName(_reject(lost, S.CONFLICT, named))
+                .unionByName(_reject(unknown, S.FK_VIOLATION, named)).unionByName(_reject(twice, S.CONFLICT, named)))
+
+    @cache
+    def created() -> DataFrame:
+        return assign_ids(good(), ["seq"], _start(users, start), out="id").select(
+            "id", "username", "email", "password_hash", "first_name", "last_name",
+            F.lit("Active").alias("status"), now.alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("updated_at"), "seq", "role_ids")
+
+    @cache
+    def links() -> DataFrame:
+        unknown, twice = failed_links()
+        return (created().select(F.col("id").alias("user_id"), F.explode(F.array_distinct("role_ids")).alias("role_id"), "seq")
+                .join(unknown.unionByName(twice).select("seq"), "seq", "left_anti")
+                .select("user_id", "role_id", now.alias("assigned_at")))
+
+    new_users = cache(lambda: created().drop("seq", "role_ids"))
+    return ChangeSet(table=lambda: users.unionByName(new_users()), accepted=new_users, rejected=rejected,
+                     extra={"user_roles": lambda: user_roles.unionByName(links()), "new_links": links})
 
 
 def _first_claims(claims: DataFrame) -> DataFrame:
     """``seq`` of the winning claims: ``seq, a, b`` claims two keys, and wins if
     no earlier winner has either.
 
-    In a round every claim that is the first open one for both its keys wins,
-    and all open claims that share a key with a winner are out, however many.
-    The earliest open claim always wins, so the rounds end; their number is the
-    length of the longest chain of claims that wait for one another."""
-    open_, won = stage(claims, "claims"), claims.select("seq").limit(0)
+    In a round every claim that is the first open one for both its keys wins, and
+    all open claims that share a key with a winner are out, however many. From the
+    second round on, claims with one earlier rival alone are decided with it,
+    however long the chain: such a claim wins if its rival does not, so the outcome
+    at the chain's end (``pointers.follow``) and the parity of the way decide it.
+    The earliest open claim always wins, so the rounds end."""
+    open_, won, chains = stage(claims, "claims"), claims.select("seq").limit(0), False
     while not open_.isEmpty():
-        first_a = open_.groupBy(F.col("a").alias("ga")).agg(F.min("seq").alias("ma"))
-        first_b = open_.groupBy(F.col("b").alias("gb")).agg(F.min("seq").alias("mb"))
-        now = stage(open_.join(first_a, (F.col("a") == F.col("ga")) & (F.col("seq") == F.col("ma")))
-                    .join(first_b, (F.col("b") == F.col("gb")) & (F.col("seq") == F.col("mb"))).select("seq", "a", "b"), "winners")
-        won = won.unionByName(now.select("seq"))
+        state = (open_.join(open_.groupBy("a").agg(F.min("seq").alias("ma")), "a")
+                 .join(open_.groupBy("b").agg(F.min("seq").alias("mb")), "b"))
+        first = (F.col("seq") == F.col("ma")) & (F.col("seq") == F.col("mb"))
+        if not chains:
+            now = stage(state.where(first).select("seq", "a", "b"), "winners")
+        else:
+            state = stage(state.select("seq", "a", "b", "ma", "mb"), "claims-round")
+            second_a = state.where("seq > ma").groupBy("a").agg(F.min("seq").alias("sa"))
+            second_b = state.where("seq > mb").groupBy("b").agg(F.min("seq").alias("sb"))
+            one_a, one_b = F.col("seq") == F.col("sa"), F.col("seq") == F.col("sb")
+            rival = (F.when(one_a & (F.col("seq") == F.col("mb")), F.col("ma"))
+                     .when(one_b & (F.col("seq") == F.col("ma")), F.col("mb"))
+                     .when(one_a & one_b & (F.col("ma") == F.col("mb")), F.col("ma")))
+            links = (state.join(second_a, "a", "left").join(second_b, "b", "left")
+                     .select("seq", rival.alias("to"), F.lit(True).alias("odd"), F.lit(True).alias("sure")).where("to is not null"))
+            sure = state.where(first).select("seq")
+            even = follow(links).where("not odd").join(sure.select(F.col("seq").alias("to")), "to", "left_semi").select("seq")
+            now = stage(state.select("seq", "a", "b").join(sure.unionByName(even), "seq", "left_semi"), "winners")
+        won, chains = won.unionByName(now.select("seq")), True
         open_ = stage(open_.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti")
                       .select("seq", "a", "b"), "claims")
     return won
@@ -430,12 +492,17 @@ def patch_users(users: DataFrame, requests: DataFrame, as_of: AsOf) -> ChangeSet
         "__why", F.when(F.col("__uid").isNull(), S.NOT_FOUND)
         .when(_too_long("users", ["email", "first_name", "last_name"]), S.BAD_REQUEST))
     known = judged.where(F.col("__why").isNull()).select(*requests.columns)
-    lost = _email_conflicts(users, known)
-    accepted = known.join(lost, "seq", "left_anti").select(*requests.columns)
-    folded = fold_latest(accepted.withColumn("status", user_status("status")), "id", fields)
-    table = _apply_fold(users, folded, "id", fields, extra={"updated_at": now})
-    rejected = (judged.where(F.col("__why").isNotNull()).select("seq", "id", F.col("__why").alias("reason"))
-                .unionByName(_reject(known.join(lost, "seq", "left_semi"), S.CONFLICT, ["seq", "id"])))
+    lost = cache(lambda: _email_conflicts(users, known))
+    accepted = cache(lambda: known.join(lost(), "seq", "left_anti").select(*requests.columns))
+
+    def table() -> DataFrame:
+        folded = fold_latest(accepted().withColumn("status", user_status("status")), "id", fields)
+        return _apply_fold(users, folded, "id", fields, extra={"updated_at": now})
+
+    def rejected() -> DataFrame:
+        return (judged.where(F.col("__why").isNotNull()).select("seq", "id", F.col("__why").alias("reason"))
+                .unionByName(_reject(known.join(lost(), "seq", "left_semi"), S.CONFLICT, ["seq", "id"])))
+
     return ChangeSet(table=table, accepted=accepted, rejected=rejected)
 
 
@@ -447,12 +514,17 @@ def _email_conflicts(users: DataFrame, requests: DataFrame) -> DataFrame:
     next open request are out at once. A request wins if it is its user's first
     open one and the email is its user's own, or free and no earlier request asks
     for it; the user's old email is free from then on. The earliest open request
-    is always decided, so the rounds end."""
+    is always decided, so the rounds end.
+
+    From the second round on, requests that wait for one other are decided with it,
+    however long the chain (``pointers.follow``): a user's first open request, the
+    first for its email, wins if the holder's first open request stands before it
+    and wins; it is out if that one is, and the holder has no other before it."""
     asked = requests.where(F.col("email").isNotNull()).select("seq", "id", text_key("email").alias("k"))
     open_ = stage(asked, "email-requests")
     held = stage(users.select(text_key("email").alias("k"), F.col("id").alias("holder"))
                  .join(open_.select("k").distinct(), "k", "left_semi"), "emails")
-    lost = open_.select("seq").limit(0)
+    lost, chains = open_.select("seq").limit(0), False
     while not open_.isEmpty():
         by_user = open_.groupBy("id").agg(F.min("seq").alias("own_next"))
         by_key = open_.groupBy("k").agg(F.min("seq").alias("key_next"))
@@ -461,8 +533,22 @@ def _email_conflicts(users: DataFrame, requests: DataFrame) -> DataFrame:
         mine, free = F.col("holder") == F.col("id"), F.col("holder").isNull()
         out = ~mine & (F.col("holder_next").isNull() | (F.col("seq") < F.col("holder_next")))
         wins = (F.col("seq") == F.col("own_next")) & (mine | (free & (F.col("seq") == F.col("key_next"))))
-        state = stage(state.select("seq", "id", "k", F.coalesce(wins, F.lit(False)).alias("wins"),
+        state = stage(state.select("seq", "id", "k", "holder", "holder_next", "own_next", "key_next",
+                                   F.coalesce(wins, F.lit(False)).alias("wins"),
                                    F.coalesce(out, F.lit(False)).alias("out")), "email-round")
+        if chains:
+            waits = ((F.col("seq") == F.col("own_next")) & (F.col("seq") == F.col("key_next")) & (F.col("holder") != F.col("id"))
+                     & (F.col("holder_next") < F.col("seq")))
+            second = state.where("seq > own_next").groupBy(F.col("id").alias("holder")).agg(F.min("seq").alias("after"))
+            alone = F.coalesce(F.col("after") > F.col("seq"), F.lit(True))
+            ends = follow(state.where(waits).join(second, "holder", "left").select(
+                "seq", F.col("holder_next").alias("to"), F.lit(False).alias("odd"), alone.alias("sure")))
+            end = state.select(F.col("seq").alias("to"), F.col("wins").alias("__w"), F.col("out").alias("__o"))
+            told = ends.join(end, "to").select("seq", F.col("__w").alias("also_wins"), (F.col("__o") & F.col("sure")).alias("also_out"))
+            state = stage(state.join(told, "seq", "left").select(
+                "seq", "id", "k", (F.col("wins") | F.coalesce("also_wins", F.lit(False))).alias("wins"),
+                (F.col("out") | F.coalesce("also_out", F.lit(False))).alias("out")), "email-round")
+        chains = True
         won = state.where("wins").select("id", "k")
         lost = lost.unionByName(state.where("out").select("seq"))
         held = stage(held.join(won.select(F.col("id").alias("holder")), "holder", "left_anti").select("k", "holder")
@@ -483,31 +569,37 @@ def delete_users(users: DataFrame, projects: DataFrame, user_roles: DataFrame,
     existing = users.join(req, users.id == F.col("__rid"), "left_semi").select("id")
     owners = projects.select(F.col("owner_id").alias("__own"))
     blocked = existing.join(owners, existing.id == F.col("__own"), "left_semi")
-    gone = stage(existing.join(owners, existing.id == F.col("__own"), "left_anti")
-                 .select(F.col("id").alias("__gid")), "deleted-users")
+    free = existing.join(owners, existing.id == F.col("__own"), "left_anti").select(F.col("id").alias("__gid"))
+    # Stored, so that the joins below are of two plain scans: a hot assignee's
+    # partition can be split at run time.
+    gone = cache(lambda: stage(free, "deleted-users"))
     uid = users.select(F.col("id").alias("__uid"))
     missing = user_ids.join(uid, user_ids.id == F.col("__uid"), "left_anti")
-    new_users = users.join(gone, users.id == F.col("__gid"), "left_anti")
-    new_links = user_roles.join(gone, user_roles.user_id == F.col("__gid"), "left_anti")
-    new_tokens = refresh_tokens.join(gone, refresh_tokens.user_id == F.col("__gid"), "left_anti")
-    assigned = tasks.where(F.col("assigned_to_id").isNotNull())
-    hit = assigned.join(gone, assigned.assigned_to_id == F.col("__gid"), "left_semi")
-    new_tasks = tasks.join(gone, tasks.assigned_to_id == F.col("__gid"), "left").withColumn(
-        "assigned_to_id", F.when(F.col("__gid").isNull(), F.col("assigned_to_id"))).select(*tasks.columns)
-    audit = hit.select(
-        F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"),
-        F.lit(S.AUDIT_UPDATE).alias("action"), audit_update_image().alias("old_values"),
-        _update_json({"title": F.col("title"), "status": F.col("status"),
-                      "priority": F.col("priority"),
-                      "assigned_to_id": F.lit(None).cast("long")}).alias("new_values"),
-        F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"))
-    again = _repeats(user_ids, gone.select(F.col("__gid").alias("id")))
+
+    def without(table: DataFrame, key: str) -> Callable[[], DataFrame]:
+        return lambda: table.join(gone(), table[key] == F.col("__gid"), "left_anti")
+
+    def new_tasks() -> DataFrame:
+        return tasks.join(gone(), tasks.assigned_to_id == F.col("__gid"), "left").withColumn(
+            "assigned_to_id", F.when(F.col("__gid").isNull(), F.col("assigned_to_id"))).select(*tasks.columns)
+
+    def audit() -> DataFrame:
+        assigned = tasks.where(F.col("assigned_to_id").isNotNull())
+        hit = assigned.join(gone(), assigned.assigned_to_id == F.col("__gid"), "left_semi")
+        return hit.select(
+            F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"),
+            F.lit(S.AUDIT_UPDATE).alias("action"), audit_update_image().alias("old_values"),
+            _update_json({"title": F.col("title"), "status": F.col("status"), "priority": F.col("priority"),
+                          "assigned_to_id": F.lit(None).cast("long")}).alias("new_values"),
+            F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"))
+
+    again = _repeats(user_ids, free.select(F.col("__gid").alias("id")))
     rejected = (_reject(missing.unionByName(again), S.NOT_FOUND, ["id"])
                 .unionByName(_reject(blocked, S.FK_VIOLATION, ["id"])))
-    return ChangeSet(table=new_users, accepted=gone.select(F.col("__gid").alias("id")),
+    return ChangeSet(table=without(users, "id"), accepted=free.select(F.col("__gid").alias("id")),
                      rejected=rejected, audit=audit,
-                     extra={"user_roles": new_links, "refresh_tokens": new_tokens,
-                            "tasks": new_tasks})
+                     extra={"user_roles": without(user_roles, "user_id"),
+                            "refresh_tokens": without(refresh_tokens, "user_id"), "tasks": new_tasks})
 
 
 def assign_roles(user_roles: DataFrame, users: DataFrame, roles: DataFrame,

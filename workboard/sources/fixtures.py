@@ -274,8 +274,9 @@ class Domain:
         s = self.raw("supplier").where(F.col("s_acctbal") >= 1000)
         return s.select(
             F.col("s_suppkey").alias("seq"),
-            F.concat(F.lit("Proj-"), F.col("s_suppkey").cast("string")).alias("name"),
-            F.col("s_name").alias("description"),
+            F.when(F.col("s_acctbal").between(4000, 4500), F.repeat(F.lit("n"), 101))
+            .when(~F.col("s_acctbal").between(4500, 5000), F.concat(F.lit("Proj-"), F.col("s_suppkey").cast("string"))).alias("name"),
+            F.when(F.col("s_acctbal").between(5000, 5500), F.repeat(F.lit("d"), 501)).otherwise(F.col("s_name")).alias("description"),
             F.when(F.col("s_acctbal").between(2000, 2500), -F.col("s_suppkey"))
             .otherwise(F.col("s_suppkey")).alias("owner_id"))
 
@@ -285,8 +286,8 @@ class Domain:
         bal, seg = F.col("c_acctbal"), F.col("c_mktsegment")
         reqs = c.where((bal < 0) | (seg == "AUTOMOBILE")).select(
             F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("id"),
-            F.when(bal >= 0, F.upper("c_name")).alias("name"),
-            F.when(bal < 0, "reactivated").alias("description"),
+            F.when(bal >= 9000, F.repeat(F.lit("n"), 101)).when(bal >= 0, F.upper("c_name")).alias("name"),
+            F.when(bal < -900, F.repeat(F.lit("d"), 501)).when(bal < 0, "reactivated").alias("description"),
             F.when(bal < 0, F.lit(True)).alias("is_active"))
         unknown = self.spark.createDataFrame([(-1, -1, "Ghost", None, None)],
                                              S.PROJECT_PATCH_REQUESTS)
