@@ -152,7 +152,7 @@ def test_json_escapes_quotes(spark):
     _, _, _, _, tasks = seed_frames(spark)
     t = tasks.where("id = 1").withColumn("title", F.lit('say "hi"'))
     from workboard.plans import audit
-    row = audit.audit_insert(tasks.limit(0), t, SEED_TIME).collect()[0]
+    row = audit.audit_snapshot_diff(tasks.limit(0), t, SEED_TIME).collect()[0]
     assert row.new_values.startswith('{"Title":"say \\"hi\\""')
 
 

@@ -71,7 +71,7 @@ def test_bulk_update_then_summary(spark):
 def test_seed_load_gives_six_insert_audit_rows(spark):
     _, _, _, _, tasks = seed_frames(spark)
     empty = tasks.limit(0)
-    rows = audit.audit_insert(empty, tasks, SEED_TIME).collect()
+    rows = audit.audit_snapshot_diff(empty, tasks, SEED_TIME).collect()
     assert len(rows) == 6 and {r.action for r in rows} == {"INSERT"}
     one = [r for r in rows if r.entity_id == 5][0]
     assert one.new_values == ('{"Title":"Performance testing","Status":"Pending",'

@@ -1,5 +1,5 @@
 """Audit capture (the three task triggers) as change-data-capture over
-before / after images, plus the audit trail and the overdue check.
+before / after images or whole snapshots, plus the audit trail and the overdue check.
 
 * INSERT rows: keys Title, Status, Priority, ProjectId, AssignedToId.
 * UPDATE rows: old and new images with Title, Status, Priority,
@@ -52,32 +52,33 @@ def audit_rows(inserted: DataFrame | None = None, deleted: DataFrame | None = No
     return out
 
 
-def audit_insert(before: DataFrame, after: DataFrame, as_of: AsOf) -> DataFrame:
-    """A1: rows present after but not before (anti join on the key)."""
-    new = after.join(before.select(F.col("id").alias("__bid")),
-                     after.id == F.col("__bid"), "left_anti")
-    return audit_rows(inserted=new, as_of=as_of)
+def audit_snapshot_diff(before: DataFrame, after: DataFrame, as_of: AsOf) -> DataFrame:
+    """A1-A3 from two snapshots of the tasks: one row per id that came (INSERT),
+    went (DELETE) or whose row differs in any column (UPDATE; an update without
+    new values still moves updated_at).
 
-
-def audit_delete(before: DataFrame, after: DataFrame, as_of: AsOf) -> DataFrame:
-    """A3: rows present before but not after."""
-    gone = before.join(after.select(F.col("id").alias("__aid")),
-                       before.id == F.col("__aid"), "left_anti")
-    return audit_rows(deleted=gone, as_of=as_of)
-
-
-def audit_update(before: DataFrame, after: DataFrame, touched_ids: DataFrame,
-                 as_of: AsOf) -> DataFrame:
-    """A2 from snapshots: one row per touched id present on both sides (the
-    inserted x deleted self join on the key), even if nothing changed."""
+    One aggregate over both snapshots, tagged and united: each id's two rows meet
+    in a single shuffle, which all three actions share."""
     now = as_ts(as_of)
-    t = touched_ids.select(F.col("id").alias("__tid")).distinct()
-    b = before.join(t, before.id == F.col("__tid"), "left_semi").select(
-        F.col("id").alias("__bid"), *[F.col(c).alias(f"__b_{c}")
-                                      for c in ["title", "status", "priority", "assigned_to_id"]])
-    a = after.join(t, after.id == F.col("__tid"), "left_semi")
-    j = a.join(b, a.id == b.__bid, "inner")
-    return _rows(j, S.AUDIT_UPDATE, audit_update_image("__b_"), audit_update_image(), now)
+    names = before.columns
+    sides = before.select("id", F.struct(*names).alias("b"), F.lit(None).alias("a")).unionByName(
+        after.select("id", F.lit(None).alias("b"), F.struct(*[F.col(c) for c in names]).alias("a")))
+    met = (sides.groupBy("id").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+           .where(~F.col("a").eqNullSafe(F.col("b"))))
+    action = (F.when(F.col("b").isNull(), S.AUDIT_INSERT).when(F.col("a").isNull(), S.AUDIT_DELETE).otherwise(S.AUDIT_UPDATE))
+    flat = met.select("id", action.alias("action"), *[F.col("a")[c].alias(f"__a_{c}") for c in names],
+                      *[F.col("b")[c].alias(f"__b_{c}") for c in names])
+
+    def of(insert: Column | None, update: Column, delete: Column | None) -> Column:
+        kind = F.col("action")
+        parts = [(S.AUDIT_INSERT, insert), (S.AUDIT_UPDATE, update), (S.AUDIT_DELETE, delete)]
+        return F.coalesce(*[F.when(kind == name, image) for name, image in parts if image is not None])
+
+    return flat.select(
+        F.lit(S.AUDIT_ENTITY_TASK).alias("entity_name"), F.col("id").alias("entity_id"), "action",
+        of(None, audit_update_image("__b_"), audit_delete_image("__b_")).alias("old_values"),
+        of(audit_insert_image("__a_"), audit_update_image("__a_"), None).alias("new_values"),
+        F.lit(None).cast("string").alias("performed_by"), now.alias("performed_at"))
 
 
 def audit_history(audit_logs: DataFrame, entity_name: str | None = None,
@@ -112,6 +113,16 @@ def overdue_since(tasks: DataFrame, previous_as_of: AsOf, as_of: AsOf) -> DataFr
                     .alias("days_overdue")))
 
 
+def audit_problem() -> Column:
+    """What makes an audit entry unfit for the log; NULL if nothing does."""
+    needed = ["id", "entity_name", "entity_id", "action", "performed_at"]
+    missing = F.greatest(*[F.col(c).isNull() for c in needed])
+    known = [S.AUDIT_INSERT, S.AUDIT_UPDATE, S.AUDIT_DELETE]
+    broken = F.greatest(*[F.col(c).isNotNull() & F.try_parse_json(F.col(c)).isNull() for c in ["old_values", "new_values"]])
+    return (F.when(missing, "MISSING_VALUE").when(~F.col("action").isin(*known), "UNKNOWN_ACTION")
+            .when(broken, "BROKEN_VALUES"))
+
+
 # Fixed value: the drain's log template.
 AUDIT_LINE_TEMPLATE = "[AUDIT] %s on %s#%s by %s at %s"
 

@@ -60,9 +60,8 @@ def project_task_report(tasks: DataFrame, projects: DataFrame) -> DataFrame:
     active = projects.where(F.col("is_active")).select(
         F.col("id").alias("p_id"), F.col("name").alias("project_name"))
     j = per_project.join(active, per_project.project_id == active.p_id, "inner")
-    pct = F.when(F.col("total_tasks") == 0, F.lit(0.0)).otherwise(
-        F.round(F.col("completed_tasks").cast("double") / F.col("total_tasks").cast("double")
-                * 100, 2))
+    # A project in per_project has a task, so the total is never zero.
+    pct = F.round(F.col("completed_tasks") * F.lit(100.0) / F.col("total_tasks"), 2)
     return (j.select("project_id", "project_name", "total_tasks", "completed_tasks",
                      pct.alias("completion_percentage"))
             .orderBy(F.col("completion_percentage").desc(), F.col("project_id")))

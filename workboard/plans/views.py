@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.functions.exprs import dto_full_name, enum_literal, task_status
+from workboard.functions.exprs import dto_full_name, enum_literal
 from workboard.operators import paging
 from workboard.operators.joins import lookup_join
 from workboard.sources.schemas import TASK_STATUSES
@@ -105,6 +105,18 @@ def task_page(tasks: DataFrame, projects: DataFrame, users: DataFrame, page: int
     return task_details(ordered, projects, users).orderBy(*newest)
 
 
+def task_page_deep(tasks: DataFrame, projects: DataFrame, users: DataFrame, page: int, page_size: int = 10,
+                   project_id: int | None = None, status: str | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """L1 for pages far from the first: reads the key range between two page
+    anchors instead of gathering all rows before the page. ``anchors`` (of the same
+    filtered tasks, from ``paging.page_anchors``) may be kept between pages."""
+    t = filter_tasks(tasks, project_id, status)
+    order = [("created_at", "desc"), ("id", "desc")]
+    anchors = anchors if anchors is not None else paging.page_anchors(t, order)
+    rows = paging.anchored_page(t, order, anchors, page, page_size)
+    return task_details(rows, projects, users).orderBy(F.col("created_at").desc(), F.col("id").desc())
+
+
 def task_page_info(tasks: DataFrame, page: int = 1, page_size: int = 10,
                    project_id: int | None = None, status: str | None = None) -> DataFrame:
     """L2: TotalCount, TotalPages = ceil, HasPrevious, HasNext."""
@@ -136,9 +148,3 @@ def count(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     """One-row count, optionally of the rows matching ``predicate``."""
     d = df if predicate is None else df.where(predicate)
     return d.agg(F.count(F.lit(1)).cast("long").alias("n"))
-
-
-def status_filter_expr(status: str) -> Column:
-    """Column form of the lenient status parse, for callers that filter by a
-    column of status texts."""
-    return task_status(F.lit(status))

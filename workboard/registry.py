@@ -15,7 +15,7 @@ from workboard.functions.exprs import conform
 from workboard.plans import audit as audit_plans
 from workboard.plans import changes, quality, reports, views
 from workboard.sources import schemas as S
-from workboard.sources.fixtures import PREVIOUS_CHECK, TASKS_AS_OF, TOKENS_AS_OF, Domain
+from workboard.sources.fixtures import AUDIT_SINCE, AUDIT_UNTIL, AUDITED_ID, PREVIOUS_CHECK, TASKS_AS_OF, TOKENS_AS_OF, Domain
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -103,6 +103,17 @@ def _task_page_unparsed(d: Domain) -> DataFrame:
                            status="NotAStatus")
 
 
+@register("task_page_deep")
+def _task_page_deep(d: Domain) -> DataFrame:
+    return views.task_page_deep(d.tasks, d.projects, d.users, page=1000, page_size=10)
+
+
+@register("find_unassigned")
+def _find_unassigned(d: Domain) -> DataFrame:
+    return views.find(d.tasks, F.col("assigned_to_id").isNull() & (F.col("priority") == "High")
+                      & ~F.col("status").isin(*S.CLOSED_STATUSES))
+
+
 @register("task_page_info")
 def _task_page_info(d: Domain) -> DataFrame:
     return views.task_page_info(d.tasks, page=3, page_size=25, status="InProgress")
@@ -225,6 +236,17 @@ register("active_tokens_per_user")(
 
 # ---------------------------------------------------------------- audit
 register("audit_insert")(lambda d: _create_tasks(d).audit)
+@register("audit_snapshot_diff")
+def _audit_snapshot_diff(d: Domain) -> DataFrame:
+    # Patched, then without the deleted, with the created: all three actions.
+    patched = _patch_tasks(d).table
+    left = changes.delete_tasks(patched, d.task_deletes, TASKS_AS_OF).table
+    after = left.unionByName(_create_tasks(d).accepted.drop("seq"))
+    return audit_plans.audit_snapshot_diff(d.tasks, after, TASKS_AS_OF)
+
+
+register("audit_history_filtered")(lambda d: audit_plans.audit_history(
+    d.audit_logs, entity_name=S.AUDIT_ENTITY_TASK, entity_id=AUDITED_ID, since=AUDIT_SINCE, until=AUDIT_UNTIL))
 register("audit_history")(lambda d: audit_plans.audit_history(d.audit_logs))
 register("overdue_since")(
     lambda d: audit_plans.overdue_since(d.tasks, PREVIOUS_CHECK, TASKS_AS_OF))

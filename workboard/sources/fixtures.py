@@ -22,6 +22,9 @@ from workboard.sources import schemas as S
 TASKS_AS_OF = "2000-01-01 00:00:00"
 TOKENS_AS_OF = "2024-01-15 00:00:00"
 PREVIOUS_CHECK = "1999-12-01 00:00:00"
+# One entity's audit trail over a time range.
+AUDITED_ID = 41
+AUDIT_SINCE, AUDIT_UNTIL = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
 
 
 def _hours_after(base: str, n: Column) -> Column:

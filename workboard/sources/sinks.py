@@ -22,16 +22,21 @@ min/max statistics then skip row groups):
 
 * tasks: bucket of id as partition, rows sorted by (project_id, status,
   due_date) inside files;
-* audit_logs: partitioned by day of performed_at, sorted by (entity_name,
-  entity_id, performed_at);
-* users / projects / tokens: sorted by their lookup keys.
+* audit_logs: partitioned by day of performed_at; inside a day the rows follow a
+  space-filling curve (interleaved bits of a hash of the entity and of the time of
+  day), so that one order serves both indexes of the source: a filter on the entity
+  and one on the time each skip row groups (``read_audit``);
+* users / projects / tokens: sorted by their lookup keys, with Parquet bloom filters
+  on the columns of point lookups (user name, email, token);
+* ``save_bucketed``: a catalog table in buckets of its id, which joins on the id
+  without moving (change sets against the task table).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -39,6 +44,11 @@ from workboard.sources import schemas as S
 
 BUCKET_COL = "id_bucket"
 DATE_COL = "performed_date"
+ENTITY_COL = "entity_hash"
+#: performed_at as an integer: filters on timestamps without a zone do not reach Parquet's statistics.
+MICROS_COL = "performed_micros"
+#: Bits per dimension of the space-filling curve.
+CURVE_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -46,15 +56,17 @@ class Layout:
     partition_by: list[str] = field(default_factory=list)
     sort_by: list[str] = field(default_factory=list)
     buckets: int = 0  # > 0: partition by pmod(xxhash64(id), buckets)
+    curve: bool = False  # rows follow the curve of entity and time
+    blooms: list[str] = field(default_factory=list)  # columns with a bloom filter
 
 
 LAYOUTS = {
     "tasks": Layout([BUCKET_COL], ["project_id", "status", "due_date"], buckets=64),
-    "audit_logs": Layout([DATE_COL], ["entity_name", "entity_id", "performed_at"]),
-    "users": Layout([], ["id"]),
+    "audit_logs": Layout([DATE_COL], [], curve=True),
+    "users": Layout([], ["id"], blooms=["username", "email"]),
     "projects": Layout([], ["owner_id", "id"]),
     "user_roles": Layout([], ["user_id", "role_id"]),
-    "refresh_tokens": Layout([], ["user_id", "id"]),
+    "refresh_tokens": Layout([], ["user_id", "id"], blooms=["token"]),
     "roles": Layout([], ["id"]),
 }
 
@@ -124,9 +136,31 @@ def with_layout_columns(df: DataFrame, table: str, buckets: int) -> DataFrame:
         df = df.withColumn(BUCKET_COL, bucket_of(F.col("id"), buckets))
     if DATE_COL in lay.partition_by:
         df = df.withColumn(DATE_COL, F.to_date("performed_at"))
+    if lay.curve:
+        df = df.withColumns({ENTITY_COL: entity_hash(F.col("entity_name"), F.col("entity_id")),
+                             MICROS_COL: F.unix_micros(F.col("performed_at").cast("timestamp"))})
     return df
 
 
+def entity_hash(name: Column, entity_id: Column) -> Column:
+    return F.pmod(F.xxhash64(name, entity_id.cast("long")), F.lit(1 << CURVE_BITS)).cast("int")
+
+
+def _spread(bits: Column) -> Column:
+    """A 16-bit number with a zero between its bits."""
+    out = bits.cast("long")
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return out
+
+
+def curve_place(entity: Column, micros: Column) -> Column:
+    """Place on the curve: the bits of the entity's hash and of the time of day in turn."""
+    day = 24 * 3600 * 1_000_000
+    part = F.floor(F.pmod(micros, F.lit(day)) * (1 << CURVE_BITS) / day)
+    return F.shiftleft(_spread(entity), 1).bitwiseOR(_spread(F.coalesce(part, F.lit(0))))
+
+
 def touched_buckets(ids: DataFrame, buckets: int) -> list[int]:
     """Bucket numbers that hold the given ids (at most the bucket count, so a
     small list of metadata, not data)."""
@@ -147,6 +181,33 @@ def read_table(spark: SparkSession, path: str, table: str,
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+def read_audit(spark: SparkSession, path: str, entity_name: str | None = None, entity_id: int | None = None,
+               since: str | None = None, until: str | None = None) -> DataFrame:
+    """The stored audit rows of an entity and / or a time range. The day prunes
+    folders, the entity's hash and the time skip row groups."""
+    df = spark.read.parquet(path)
+    if entity_name is not None and entity_id is not None:
+        df = df.where(F.col(ENTITY_COL) == entity_hash(F.lit(entity_name), F.lit(entity_id)))
+    if entity_name is not None:
+        df = df.where(F.col("entity_name") == entity_name)
+    if entity_id is not None:
+        df = df.where(F.col("entity_id") == entity_id)
+    if since is not None:
+        at = F.lit(since).cast("timestamp_ntz")
+        df = df.where((F.col(DATE_COL) >= at.cast("date")) & (F.col(MICROS_COL) >= F.unix_micros(at.cast("timestamp"))))
+    if until is not None:
+        at = F.lit(until).cast("timestamp_ntz")
+        df = df.where((F.col(DATE_COL) <= at.cast("date")) & (F.col(MICROS_COL) < F.unix_micros(at.cast("timestamp"))))
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in S.AUDIT_LOGS.fields])
+
+
+def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "id") -> None:
+    """A catalog table in ``buckets`` buckets of ``key``, sorted by it. A join on the
+    key leaves the table where it is and shuffles the other side alone; size the
+    buckets as for the copy-on-write layout."""
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
 def _clustered(d: DataFrame, lay: Layout) -> DataFrame:
     """Range-partition on (partition columns, sort columns), then sort within
     each task. A big partition value (a busy day, a large bucket) is cut
@@ -154,6 +215,11 @@ def _clustered(d: DataFrame, lay: Layout) -> DataFrame:
     directories, and every file is sorted, which keeps parquet min/max
     statistics tight for skipping."""
     cols = [*lay.partition_by, *lay.sort_by]
+    if lay.curve:
+        place = "__place"
+        d = d.withColumn(place, curve_place(F.col(ENTITY_COL), F.col(MICROS_COL)))
+        cols = [*cols, place]
+        return d.repartitionByRange(*[F.col(c) for c in cols]).sortWithinPartitions(*cols).drop(place)
     if not cols:
         return d
     return d.repartitionByRange(*[F.col(c) for c in cols]).sortWithinPartitions(*cols)
@@ -165,6 +231,8 @@ def write_table(df: DataFrame, path: str, table: str, mode: str = "errorifexists
     new = mode != "append" or not path_exists(spark, path)
     buckets = bucket_count(spark, table, path, new)
     w = _clustered(with_layout_columns(df, table, buckets), lay).write.mode(mode)
+    for column in lay.blooms:
+        w = w.option(f"parquet.bloom.filter.enabled#{column}", "true")
     if lay.partition_by:
         w = w.partitionBy(*lay.partition_by)
     w.parquet(path)
