@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -10,76 +11,58 @@ from workboard.sources import sinks
 from workboard.sources.fixtures import TASKS_AS_OF, Domain, materialize
 
 
-def test_patch_then_delete_job(spark, scratch):
+def test_patch_then_delete_runs(spark, scratch):
     d = Domain(spark, SF_SMALL)
     root = os.path.join(scratch, "domain")
     materialize(d, root)
-    tasks_path = os.path.join(root, "tasks")
-    stored = sinks.read_table(spark, tasks_path, "tasks")
-    expected = sorted(changes.patch_tasks(stored, d.users, d.task_patches, TASKS_AS_OF).table.collect())
-    n_audit = changes.patch_tasks(stored, d.users, d.task_patches, TASKS_AS_OF).audit.count()
-    n_before = spark.read.parquet(os.path.join(root, "audit_logs")).count()
+    files = sorted(os.listdir(os.path.join(root, "tasks")))
+    cs = changes.patch_tasks(d.tasks, d.users, d.task_patches, TASKS_AS_OF)
+    expected = sorted(cs.table.collect())
+    base = jobs.audit_after(spark, root)
+    top = base.agg(F.max("id")).first()[0]
+    for _ in range(2):  # a repeated run gives the same
+        jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
+        assert sorted(jobs.tasks_after(spark, root, ["r1"]).collect()) == expected
+        audit = jobs.audit_after(spark, root, ["r1"])
+        assert audit.count() == base.count() + cs.audit.count() == audit.select("id").distinct().count()
+        assert audit.agg(F.max("id")).first()[0] == top + cs.audit.count()
+        n_rejected = spark.read.parquet(f"{jobs.run_folder(root, 'r1')}/rejected").count()
+        assert n_rejected == cs.rejected.count() > 1
+    # What was stored stays as it was.
+    assert sorted(os.listdir(os.path.join(root, "tasks"))) == files
+    assert sorted(jobs.tasks_after(spark, root).collect()) == sorted(d.tasks.collect())
 
-    jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
-    after = sinks.read_table(spark, tasks_path, "tasks")
-    assert sorted(after.collect()) == expected
-    audit = sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs")
-    assert audit.count() == n_before + n_audit
-    ids = audit.select("id")
-    assert ids.distinct().count() == audit.count()  # identity values stay unique
-    n_rejected = changes.patch_tasks(d.tasks, d.users, d.task_patches, TASKS_AS_OF).rejected.count()
-    assert spark.read.parquet(os.path.join(root, "rejected", "run=r1")).count() == n_rejected > 1
+    patched = jobs.tasks_after(spark, root, ["r1"])
+    dels = spark.createDataFrame(patched.where(F.col("status") == "Cancelled").select("id").collect(), "id long")
+    expected = sorted(changes.delete_tasks(patched, dels, TASKS_AS_OF).table.collect())
+    jobs.run_task_deletes(spark, root, dels, TASKS_AS_OF, run_id="r2", after=["r1"])
+    assert sorted(jobs.tasks_after(spark, root, ["r1", "r2"]).collect()) == expected
+    audit = jobs.audit_after(spark, root, ["r1", "r2"])
+    assert audit.select("id").distinct().count() == audit.count() == base.count() + cs.audit.count() + dels.count()
+    with pytest.raises(ValueError):
+        jobs.run_task_deletes(spark, root, dels, TASKS_AS_OF, run_id="r2", after=["r1", "r2"])
 
-    # Repeating the run does not append its audit rows again.
-    jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
-    assert sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs").count() == \
-        n_before + n_audit
-    assert sorted(sinks.read_table(spark, tasks_path, "tasks").collect()) == expected
-    top = sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs") \
-        .agg(F.max("id")).first()[0]
 
-    after = sinks.read_table(spark, tasks_path, "tasks")  # files were rewritten: re-list
-    dels = after.where(F.col("status") == "Cancelled").select("id")
-    dels = spark.createDataFrame(dels.collect(), "id long")
-    exp2 = sorted(changes.delete_tasks(after, dels, TASKS_AS_OF).table.collect())
-    jobs.run_task_deletes(spark, root, dels, TASKS_AS_OF, run_id="r2")
-    assert sorted(sinks.read_table(spark, tasks_path, "tasks").collect()) == exp2
-    audit2 = sinks.read_table(spark, os.path.join(root, "audit_logs"), "audit_logs")
-    new_ids = [r.id for r in audit2.where(F.col("action") == "DELETE")
-               .where(F.col("performed_at") == F.lit(TASKS_AS_OF).cast("timestamp_ntz")).collect()]
-    assert new_ids and min(new_ids) == top + 1  # identities continue densely
-    assert audit2.select("id").distinct().count() == audit2.count()
-
-    # A repeated delete run changes nothing: neither rows nor rejects.
-    before = spark.read.parquet(os.path.join(root, "rejected", "run=r2")).count()
-    jobs.run_task_deletes(spark, root, dels, TASKS_AS_OF, run_id="r2")
-    assert spark.read.parquet(os.path.join(root, "rejected", "run=r2")).count() == before
-    assert sorted(sinks.read_table(spark, tasks_path, "tasks").collect()) == exp2
-    assert not os.path.exists(os.path.join(root, "_staging", "run=r2"))
-
-
-def test_stopped_run_goes_on_from_its_staging(spark, scratch, monkeypatch):
+def test_emptied_buckets_and_stopped_runs(spark, scratch, monkeypatch):
     d = Domain(spark, SF_SMALL)
     root = os.path.join(scratch, "domain")
     materialize(d, root)
-    path = os.path.join(root, "tasks")
-    expected = sorted(changes.patch_tasks(d.tasks, d.users, d.task_patches, TASKS_AS_OF).table.collect())
+    every = d.tasks.select("id")
 
     def stop(*a):
         raise RuntimeError("stopped")
 
     with monkeypatch.context() as m:
-        m.setattr(jobs, "_append_audit", stop)
-        try:
-            jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
-        except RuntimeError:
-            pass
-    jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
-    assert sorted(sinks.read_table(spark, path, "tasks").collect()) == expected
+        m.setattr(sinks, "write_touched", stop)
+        with pytest.raises(RuntimeError):
+            jobs.run_task_deletes(spark, root, every, TASKS_AS_OF, run_id="r1")
+    assert jobs.tasks_after(spark, root).count() == d.tasks.count()
+    jobs.run_task_deletes(spark, root, every, TASKS_AS_OF, run_id="r1")
+    assert jobs.tasks_after(spark, root, ["r1"]).count() == 0
+    assert jobs.tasks_after(spark, root, ["r1"], only_ids=every.limit(3)).count() == 0
 
 
 def test_bucket_count_is_kept_with_the_table(spark, scratch):
-    import pytest
     d = Domain(spark, SF_SMALL)
     path = os.path.join(scratch, "tasks")
     sinks.write_table(d.tasks, path, "tasks")
@@ -89,8 +72,7 @@ def test_bucket_count_is_kept_with_the_table(spark, scratch):
         spark.conf.set(sinks.BUCKETS_CONF, asked)
         try:
             with pytest.raises(ValueError):
-                cs = changes.patch_tasks(sinks.read_table(spark, path, "tasks"), d.users, one, TASKS_AS_OF)
-                sinks.rewrite_touched(spark, path, "tasks", cs.table, one.select("id"), os.path.join(scratch, "stg"))
+                sinks.read_snapshot(spark, path, "tasks")
             with pytest.raises(ValueError):
                 sinks.read_table(spark, path, "tasks", only_ids=one.select("id"))
         finally:

@@ -38,39 +38,31 @@ def test_audit_stream_equals_batch(spark, scratch):
     assert sorted(spark.read.parquet(sink).collect()) == sorted(audit.audit_lines(logs).collect())
 
 
-def test_copy_on_write_rewrites_touched_buckets(spark, scratch):
+def test_copy_on_write_writes_touched_buckets(spark, scratch):
     d = Domain(spark, SF_SMALL)
-    path = os.path.join(scratch, "tasks")
+    path, out = os.path.join(scratch, "tasks"), os.path.join(scratch, "change")
     sinks.write_table(d.tasks, path, "tasks")
     stored = sinks.read_table(spark, path, "tasks")
-    cs = changes.patch_tasks(stored, d.users, d.task_patches, TASKS_AS_OF)
-    expected = sorted(cs.table.collect())
-    before_files = {b: sorted(os.listdir(os.path.join(path, b)))
-                    for b in os.listdir(path) if b.startswith(sinks.BUCKET_COL)}
-    sinks.rewrite_touched(spark, path, "tasks", cs.table, d.task_patches.select("id"),
-                          os.path.join(scratch, "staging"))
-    got = sorted(sinks.read_table(spark, path, "tasks").collect())
-    assert got == expected
-    after_files = {b: sorted(os.listdir(os.path.join(path, b)))
-                   for b in os.listdir(path) if b.startswith(sinks.BUCKET_COL)}
-    untouched = [b for b in before_files if before_files[b] == after_files.get(b)]
-    assert after_files.keys() == before_files.keys()
-    assert untouched or len(before_files) <= 64  # only touched buckets rewritten
+    some = d.task_patches.where("id % 50 = 0")
+    cs = changes.patch_tasks(stored, d.users, some, TASKS_AS_OF)
+    sinks.write_touched(spark, "tasks", cs.table, some.select("id"), 64, out)
+    assert sorted(sinks.read_snapshot(spark, path, "tasks", [out]).collect()) == sorted(cs.table.collect())
+    written = {int(x.split("=")[1]) for x in os.listdir(os.path.join(out, "rows")) if "=" in x}
+    assert written == set(sinks.touched_buckets(stored.join(some, "id", "left_semi"), 64)) and len(written) < 64
+    assert sorted(sinks.read_table(spark, path, "tasks").collect()) == sorted(stored.collect())
 
 
 def test_delete_can_empty_a_bucket(spark, scratch):
     d = Domain(spark, SF_SMALL)
-    path = os.path.join(scratch, "tasks")
+    path, out = os.path.join(scratch, "tasks"), os.path.join(scratch, "change")
     sinks.write_table(d.tasks, path, "tasks")
     stored = sinks.read_table(spark, path, "tasks")
-    victim_bucket = stored.select(sinks.bucket_of(F.col("id"), 64).alias("b")).first().b
-    ids = stored.where(sinks.bucket_of(F.col("id"), 64) == victim_bucket).select("id")
-    ids = spark.createDataFrame(ids.collect(), "id long")
+    victim = stored.select(sinks.bucket_of(F.col("id"), 64).alias("b")).first().b
+    ids = stored.where(sinks.bucket_of(F.col("id"), 64) == victim).select("id")
     cs = changes.delete_tasks(stored, ids, TASKS_AS_OF)
-    expected = sorted(cs.table.collect())
-    sinks.rewrite_touched(spark, path, "tasks", cs.table, ids, os.path.join(scratch, "stg"))
-    assert sorted(sinks.read_table(spark, path, "tasks").collect()) == expected
-    assert not os.path.exists(os.path.join(path, f"{sinks.BUCKET_COL}={victim_bucket}"))
+    sinks.write_touched(spark, "tasks", cs.table, ids, 64, out)
+    assert sorted(sinks.read_snapshot(spark, path, "tasks", [out]).collect()) == sorted(cs.table.collect())
+    assert sinks.read_snapshot(spark, path, "tasks", [out], only_ids=ids).count() == 0
 
 
 def test_bucket_pruned_read(spark, scratch):

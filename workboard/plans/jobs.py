@@ -1,22 +1,18 @@
-"""Change-set batch jobs over stored tables: requests + snapshot ->
-(rejected rows, audit rows, new snapshot), written in a safe order.
-
-Only the buckets holding requested ids are read (partition pruning), so a
-batch costs O(touched buckets), not O(table). A run goes in three steps:
-
-1. Rejected rows, audit rows and the new bucket contents are written under the
-   run's own folder, while every input is still unchanged.
-2. The buckets are swapped in and the audit rows appended, from there.
-3. The run is marked done and its staging removed.
-
-A repeated run that is done changes nothing; one that stopped in step 2 goes on
-with what step 1 left (swapping again is harmless). Audit identities continue
-from a high-water-mark table, and a run recorded there does not append its audit
-rows again.
+"""Change-set batch jobs over stored tables: requests + snapshot -> one folder.
+
+A run reads the stored tasks (with the folders of the earlier runs that count laid
+over them) and writes ``<root>/runs/<run_id>``: the new contents of the touched
+buckets, the audit rows and the rejected requests. Only the buckets that hold
+requested ids are read and written, so a batch costs O(touched buckets), not
+O(table). Nothing stored before is changed and every part is written with
+``overwrite``: repeating a run, whole or stopped half-way, gives the same folder.
+Which runs count, and in which order, is the list that readers pass; a table format
+keeps such a list as its log.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,89 +20,56 @@ from pyspark.sql import functions as F
 
 from workboard.operators.keyed_scan import assign_ids
 from workboard.plans import changes
+from workboard.session import stage
 from workboard.sources import sinks
 
 
-def _paths(root: str, run_id: str) -> dict[str, str]:
-    r = root.rstrip("/")
-    return {"tasks": f"{r}/tasks", "audit": f"{r}/audit_logs",
-            "rejected": f"{r}/rejected/run={run_id}", "staging": f"{r}/_staging/run={run_id}",
-            "done": f"{r}/_runs/{run_id}"}
-
-
-def _seq_path(root: str, table: str) -> str:
-    return f"{root.rstrip('/')}/_sequences/{table}"
-
-
-def _committed(spark: SparkSession, root: str, table: str, run_id: str) -> bool:
-    sp = _seq_path(root, table)
-    return sinks.path_exists(spark, sp) and spark.read.parquet(sp).where(
-        F.col("run_id") == F.lit(run_id)).limit(1).count() > 0
-
-
-def _start_id(spark: SparkSession, root: str, table: str, path: str):
-    """Next identity base: the high-water mark of earlier runs (a tiny table,
-    one row per run). Only the very first run scans the table's ids."""
-    sp = _seq_path(root, table)
-    if sinks.path_exists(spark, sp):
-        return F.coalesce(spark.read.parquet(sp).select(F.max("last_id")).scalar(),
-                          F.lit(0)).cast("long")
-    if sinks.path_exists(spark, path):
-        return F.coalesce(sinks.read_table(spark, path, table).select(F.max("id")).scalar(),
-                          F.lit(0)).cast("long")
-    return F.lit(0).cast("long")
-
-
-def _append_audit(spark: SparkSession, audit: DataFrame, root: str, path: str,
-                  run_id: str) -> None:
-    """Append audit rows with identity values after the high-water mark, in
-    request order (dense, skew-safe numbering; no single-partition sort). A
-    run whose rows were already committed is skipped, so repeating a run does
-    not duplicate them (plain parquet has no atomic commit: a crash between
-    the append and the marker can still repeat a run's rows)."""
-    if _committed(spark, root, "audit_logs", run_id):
-        return
-    start = _start_id(spark, root, "audit_logs", path)
-    order = [F.coalesce(F.col("seq"), F.lit(-1)).asc(), F.col("entity_id").asc(),
-             F.col("action").asc()]
-    rows = assign_ids(audit, order, start, out="id").select(
-        *[f.name for f in sinks.S.AUDIT_LOGS.fields])
-    sinks.append_rows(rows, path, "audit_logs")
-    # High-water mark of the rows just written (the numbering is stored by the
-    # keyed scan, so this reads the same ids).
-    (rows.agg(F.max("id").alias("last_id"))
-     .select(F.lit(run_id).alias("run_id"),
-             F.coalesce(F.col("last_id"), start).alias("last_id"))
-     .write.mode("append").parquet(_seq_path(root, "audit_logs")))
-
-
-def _run(spark: SparkSession, root: str, run_id: str, ids: DataFrame, change) -> None:
-    """One change set over the stored tasks, in the steps above. ``change`` maps
-    the stored rows of the touched buckets to a ChangeSet."""
-    p = _paths(root, run_id)
-    if sinks.path_exists(spark, p["done"]):
-        return
-    if not sinks.path_exists(spark, f"{p['staging']}/_ready"):
-        # Every requested id lives in one bucket, so the touched buckets hold all
-        # rows the change can read or write: existence, folds and audit images.
-        cs = change(sinks.read_table(spark, p["tasks"], "tasks", only_ids=ids))
-        cs.rejected.write.mode("overwrite").parquet(p["rejected"])
-        audit = cs.audit if "seq" in cs.audit.columns else cs.audit.withColumn("seq", F.lit(None).cast("long"))
-        audit.write.mode("overwrite").parquet(f"{p['staging']}/audit")
-        sinks.stage_touched(spark, p["tasks"], "tasks", cs.table, ids, p["staging"])
-    sinks.swap_staged(spark, p["tasks"], "tasks", p["staging"])
-    _append_audit(spark, spark.read.parquet(f"{p['staging']}/audit"), root, p["audit"], run_id)
-    sinks.make_mark(spark, p["done"])
-    sinks.remove_path(spark, p["staging"])
+def run_folder(root: str, run_id: str) -> str:
+    return f"{root.rstrip('/')}/runs/{run_id}"
+
+
+def tasks_after(spark: SparkSession, root: str, runs: Sequence[str] = (), only_ids: DataFrame | None = None) -> DataFrame:
+    """The tasks after the given runs, in their order."""
+    return sinks.read_snapshot(spark, f"{root.rstrip('/')}/tasks", "tasks",
+                               [f"{run_folder(root, r)}/tasks" for r in runs], only_ids)
+
+
+def audit_after(spark: SparkSession, root: str, runs: Sequence[str] = ()) -> DataFrame:
+    """The audit rows of the stored table and of the given runs."""
+    paths = [f"{root.rstrip('/')}/audit_logs", *(f"{run_folder(root, r)}/audit_logs" for r in runs)]
+    out = sinks.read_table(spark, paths[0], "audit_logs")
+    for path in paths[1:]:
+        out = out.unionByName(spark.read.schema(out.schema).parquet(path).select(*out.columns))
+    return out
+
+
+def _run(spark: SparkSession, root: str, run_id: str, after: Sequence[str], ids: DataFrame,
+         change: Callable[[DataFrame], changes.ChangeSet]) -> None:
+    """One change set over the stored tasks. Every requested id lies in one bucket,
+    so the touched buckets hold all rows that the change can read or write."""
+    if run_id in after:
+        raise ValueError(f"run {run_id!r} cannot come after itself")
+    out = run_folder(root, run_id)
+    cs = change(tasks_after(spark, root, after, only_ids=ids))
+    cs.rejected.write.mode("overwrite").parquet(f"{out}/rejected")
+    # New identities follow those of the table and of the earlier runs, in request order.
+    rows = cs.audit if "seq" in cs.audit.columns else cs.audit.withColumn("seq", F.lit(None).cast("long"))
+    kind = F.when(F.col("action") == sinks.S.AUDIT_DELETE, 1).otherwise(0)
+    rows = stage(rows.withColumn("kind", kind), "audit")
+    top = F.lit(audit_after(spark, root, after).agg(F.max("id")).first()[0] or 0).cast("long")
+    numbered = assign_ids(rows, ["seq", "entity_id", "kind"], top, out="id").select(*[f.name for f in sinks.S.AUDIT_LOGS.fields])
+    sinks.write_table(numbered, f"{out}/audit_logs", "audit_logs", mode="overwrite")
+    buckets = sinks.bucket_count(spark, "tasks", f"{root.rstrip('/')}/tasks")
+    sinks.write_touched(spark, "tasks", cs.table, ids, buckets, f"{out}/tasks")
 
 
 def run_task_patches(spark: SparkSession, root: str, requests: DataFrame, users: DataFrame,
-                     as_of: str | datetime, run_id: str) -> None:
-    _run(spark, root, run_id, requests.select("id"),
+                     as_of: str | datetime, run_id: str, after: Sequence[str] = ()) -> None:
+    _run(spark, root, run_id, after, requests.select("id"),
          lambda tasks: changes.patch_tasks(tasks, users, requests, as_of))
 
 
 def run_task_deletes(spark: SparkSession, root: str, task_ids: DataFrame,
-                     as_of: str | datetime, run_id: str) -> None:
-    _run(spark, root, run_id, task_ids.select("id"),
+                     as_of: str | datetime, run_id: str, after: Sequence[str] = ()) -> None:
+    _run(spark, root, run_id, after, task_ids.select("id"),
          lambda tasks: changes.delete_tasks(tasks, task_ids, as_of))

@@ -1,16 +1,14 @@
 """Table storage: scan with declared schemas, write with an access-path
-layout, and copy-on-write updates that rewrite only touched partitions.
+layout, and copy-on-write updates that write only touched partitions.
 
-Parquet has no MERGE / UPDATE, so a change set is applied copy-on-write:
-
-* appends (creates, audit rows) are ``mode("append")``;
-* updates / deletes rewrite only the partitions that hold touched keys
-  (tasks are partitioned by a hash bucket of ``id``; audit rows by date).
-  The new contents of those partitions are first written to a staging
-  directory (this cuts the lineage to the files about to be replaced), then
-  swapped in with dynamic partition overwrite. The path being read is never
-  the path being written in the same job. Staging that is complete can be
-  swapped in again, with the same outcome, after a crash half-way.
+Parquet has no MERGE / UPDATE, so a change set is applied copy-on-write: the new
+contents of the partitions that hold touched keys (tasks are partitioned by a hash
+bucket of ``id``) go to a folder of their own (``write_touched``), beside the list
+of those partitions. Nothing that is stored already is written to, so a job that
+stops half-way leaves only an unfinished folder that nobody names, and running it
+again writes the same. ``read_snapshot`` reads a table with such folders laid over
+it, in the order in which they are named; which of them count is the caller's (or a
+table format's) decision.
 
 The bucket count of a bucketed table is stored beside its data when the table is
 first written (``_layout/buckets=N``, which readers of the data pass over). Every
@@ -34,7 +32,9 @@ min/max statistics then skip row groups):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,11 +85,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hp)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    fs, hp = _fs(spark, path)
-    fs.delete(hp, True)
-
-
 def make_mark(spark: SparkSession, path: str) -> None:
     """An empty folder whose being there is the message."""
     fs, hp = _fs(spark, path)
@@ -245,51 +240,39 @@ def append_rows(df: DataFrame, path: str, table: str) -> None:
     write_table(df, path, table, mode="append")
 
 
-def stage_touched(spark: SparkSession, path: str, table: str, new_table: DataFrame,
-                  touched_ids: DataFrame, staging_path: str) -> None:
-    """First half of an update / delete: write the new contents of the touched
-    buckets to ``staging_path``. ``new_table`` is the new snapshot as a lazy plan
-    over the stored table; ``touched_ids`` has one ``id`` column. The buckets
-    that became empty are listed under ``_emptied`` (metadata: at most one entry
-    per bucket), and ``_ready`` says that staging is whole."""
-    lay = LAYOUTS[table]
-    if not lay.buckets:
+def write_touched(spark: SparkSession, table: str, new_table: DataFrame, touched_ids: DataFrame, buckets: int,
+                  out: str) -> None:
+    """Update / delete sink: the new contents of the touched buckets to
+    ``out/rows`` and the numbers of all touched buckets, also emptied ones, to
+    ``out/buckets``. ``new_table`` is the new snapshot as a lazy plan; ``touched_ids``
+    has one ``id`` column."""
+    if not LAYOUTS[table].buckets:
         raise ValueError(f"{table} is not bucketed; write a new snapshot instead")
-    buckets = bucket_count(spark, table, path)
-    touched = touched_ids.select(bucket_of(F.col("id"), buckets).alias("__b")).distinct()
-    changed = with_layout_columns(new_table, table, buckets)
-    changed = changed.join(touched, changed[BUCKET_COL] == F.col("__b"), "left_semi")
-    staging = staging_path.rstrip("/")
-    _clustered(changed, lay).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{staging}/rows")
-    present = _staged(spark, staging, table).select(F.col(BUCKET_COL).alias("__p")).distinct()
-    for r in touched.join(present, F.col("__b") == F.col("__p"), "left_anti").collect():
-        make_mark(spark, f"{staging}/_emptied/{r['__b']}")
-    make_mark(spark, f"{staging}/_ready")
-
-
-def _staged(spark: SparkSession, staging: str, table: str) -> DataFrame:
-    # Known schema: there may be no file at all when every touched bucket became empty.
-    schema = StructType([*S.DOMAIN_SCHEMAS[table].fields, StructField(BUCKET_COL, IntegerType())])
-    return spark.read.schema(schema).parquet(f"{staging}/rows")
-
-
-def swap_staged(spark: SparkSession, path: str, table: str, staging_path: str) -> None:
-    """Second half: put the staged buckets in place of the old ones. Repeating
-    it changes nothing, so a job that stopped half-way runs it again. Dynamic
-    overwrite replaces the buckets that have rows; emptied ones are removed."""
-    staging = staging_path.rstrip("/")
-    if not path_exists(spark, f"{staging}/_ready"):
-        raise ValueError(f"{staging} is not whole")
-    fs, hp = _fs(spark, f"{staging}/_emptied")
-    for b in [x.getPath().getName() for x in fs.listStatus(hp)] if fs.exists(hp) else []:
-        remove_path(spark, f"{path.rstrip('/')}/{BUCKET_COL}={b}")
-    (_staged(spark, staging, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BUCKET_COL).parquet(path))
-
-
-def rewrite_touched(spark: SparkSession, path: str, table: str, new_table: DataFrame,
-                    touched_ids: DataFrame, staging_path: str) -> None:
-    """Update / delete sink for a bucketed table: stage, swap, clear the staging."""
-    stage_touched(spark, path, table, new_table, touched_ids, staging_path)
-    swap_staged(spark, path, table, staging_path)
-    remove_path(spark, staging_path)
+    touched = touched_ids.select(bucket_of(F.col("id"), buckets).alias("bucket")).distinct()
+    rows = with_layout_columns(new_table, table, buckets)
+    rows = rows.join(touched, rows[BUCKET_COL] == F.col("bucket"), "left_semi")
+    _clustered(rows, LAYOUTS[table]).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{out.rstrip('/')}/rows")
+    touched.write.mode("overwrite").parquet(f"{out.rstrip('/')}/buckets")
+
+
+def read_snapshot(spark: SparkSession, path: str, table: str, changes: Sequence[str] = (),
+                  only_ids: DataFrame | None = None) -> DataFrame:
+    """The table at ``path`` with the folders of ``write_touched`` laid over it, in
+    order: each bucket is read from the last folder that touched it. With ``only_ids``
+    only the buckets holding those ids are read."""
+    fields = S.DOMAIN_SCHEMAS[table].fields
+    wanted = set(range(bucket_count(spark, table, path)))
+    if only_ids is not None:
+        wanted &= set(touched_buckets(only_ids, len(wanted)))
+    parts = []
+    for folder in reversed(changes):
+        root = folder.rstrip("/")
+        # At most one row per bucket: metadata, not data.
+        own = wanted & {r["bucket"] for r in spark.read.schema("bucket int").parquet(f"{root}/buckets").collect()}
+        wanted -= own
+        # Known schema: there is no file at all where every touched bucket became empty.
+        schema = StructType([*fields, StructField(BUCKET_COL, IntegerType())])
+        parts.append(spark.read.schema(schema).parquet(f"{root}/rows").where(F.col(BUCKET_COL).isin(sorted(own))))
+    parts.append(spark.read.parquet(path).where(F.col(BUCKET_COL).isin(sorted(wanted))))
+    cut = [x.select(*[F.col(f.name).cast(f.dataType) for f in fields]) for x in parts]
+    return reduce(DataFrame.unionByName, cut)
