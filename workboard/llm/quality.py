@@ -50,6 +50,8 @@ SETTLED = 1e-2
 REWEIGHT = 0.975
 #: Bins to an octave of the squared distance, and its least octave.
 FINE, LOWEST = 4, -10
+#: The rows of a cell meet its estimate in this many parts, where they are shuffled for it.
+SALTS = 64
 #: Width of a bin when medians are counted off.
 WIDTH = 0.005
 
@@ -221,6 +223,12 @@ def _nearer(bins: DataFrame, share: float) -> DataFrame:
                                                *[F.sum(F.col("f") * F.col(c)).alias(c) for c in ["n", *SUMS, *PRODUCTS]])
 
 
+def _with(usable: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Every row with each estimate of its cell. A cell may hold a third of all rows: it is joined in SALTS parts."""
+    parts = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return usable.join(parts, ["cell", "salt"])
+
+
 def _starts(usable: DataFrame) -> DataFrame:
     """Two estimates per cell: medians with fixed scales, and with the spatial-sign covariance."""
     places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) / WIDTH).alias("bin")) for i, x in enumerate(X)]))
@@ -231,7 +239,7 @@ def _starts(usable: DataFrame) -> DataFrame:
               .groupBy("cell", "i").agg(((F.min("bin") + 0.5) * WIDTH).alias("m")))
     medians = stored(median.groupBy("cell").agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(m) for i, m in enumerate(CENTRES)]),
                      "medians")
-    scaled = usable.join(medians, "cell").select("cell", *CENTRES, *[((F.col(x) - F.col(m)) / float(f)).alias(x)
+    scaled = _with(usable, medians).select("cell", *CENTRES, *[((F.col(x) - F.col(m)) / float(f)).alias(x)
                                                                      for x, m, f in zip(X, CENTRES, FLOOR)])
     norm = sum((F.col(x) * F.col(x) for x in X), F.lit(1e-12))
     signs = scaled.groupBy("cell").agg(*[F.first(m).alias(m) for m in CENTRES], F.count(F.lit(1)).alias("n"),
@@ -257,11 +265,11 @@ def fit(measured: DataFrame, of: DataFrame) -> DataFrame:
     """One reweighted MCD estimate per cell (stored): ``cell``, centre, weights of the distance, ``logdet``."""
     usable = stored(measured.filter("not base_failed").join(of, [measured["lang"].eqNullSafe(of["lang"]),
                                                                  measured["source"].eqNullSafe(of["source"])])
-                    .select("cell", *X), "usable")
+                    .select("cell", (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"), *X), "usable")
     estimates = _starts(usable)
     octave = F.log2(F.greatest(distance(), F.lit(2.0 ** LOWEST)))
     for _ in range(STEPS):
-        bins = (usable.join(estimates, "cell").groupBy("cell", "start", F.floor(octave * FINE).alias("bin"))
+        bins = (_with(usable, estimates).groupBy("cell", "start", F.floor(octave * FINE).alias("bin"))
                 .agg(F.min("logdet").alias("before"), *_moments()))
         new = stored(_nearer(bins, 0.5).mapInPandas(_estimates(consistency(0.5)), FIT + ", before double"), "estimates")
         drop_stored(estimates)
@@ -269,7 +277,7 @@ def fit(measured: DataFrame, of: DataFrame) -> DataFrame:
         if new.filter(f"before - logdet > {SETTLED}").isEmpty():
             break
     best = estimates.groupBy("cell").agg(F.min_by(F.struct("start", "logdet", *CENTRES, *WEIGHTS), F.struct("logdet", "start")).alias("x")).select("cell", "x.*")
-    near = usable.join(best, "cell").filter(distance() <= chi2_quantile(REWEIGHT, P)).groupBy("cell").agg(*_moments())
+    near = _with(usable, best).filter(distance() <= chi2_quantile(REWEIGHT, P)).groupBy("cell").agg(*_moments())
     whole = near.withColumns({"start": F.lit(0), "before": F.lit(0.0), "n": F.col("n").cast("double")})
     return stored(whole.mapInPandas(_estimates(consistency(REWEIGHT)), FIT + ", before double").drop("before", "start"), "fit")
 
