@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from workboard.plans import changes, jobs
+from workboard.session import checkpoint_dir, run_scope, stage
 from workboard.sources import sinks
 from workboard.sources.fixtures import TASKS_AS_OF, Domain, materialize
 
@@ -62,6 +63,20 @@ def test_emptied_buckets_and_stopped_runs(spark, scratch, monkeypatch):
     assert jobs.tasks_after(spark, root, ["r1"], only_ids=every.limit(3)).count() == 0
 
 
+def test_a_run_leaves_no_staged_tables(spark, scratch):
+    d = Domain(spark, SF_SMALL)
+    root = os.path.join(scratch, "domain")
+    materialize(d, root)
+    base = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    jobs.run_task_patches(spark, root, d.task_patches, d.users, TASKS_AS_OF, run_id="r1")
+    assert set(os.listdir(base)) == before
+    with run_scope(spark) as folder:
+        kept = stage(d.users, "kept")
+        assert kept.count() == d.users.count() and os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
 def test_bucket_count_is_kept_with_the_table(spark, scratch):
     d = Domain(spark, SF_SMALL)
     path = os.path.join(scratch, "tasks")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from workboard.operators.keyed_scan import assign_ids
 from workboard.plans import changes
-from workboard.session import stage
+from workboard.session import run_scope, stage
 from workboard.sources import sinks
 
 
@@ -49,18 +49,19 @@ def _run(spark: SparkSession, root: str, run_id: str, after: Sequence[str], ids:
     so the touched buckets hold all rows that the change can read or write."""
     if run_id in after:
         raise ValueError(f"run {run_id!r} cannot come after itself")
-    out = run_folder(root, run_id)
-    cs = change(tasks_after(spark, root, after, only_ids=ids))
-    cs.rejected.write.mode("overwrite").parquet(f"{out}/rejected")
-    # New identities follow those of the table and of the earlier runs, in request order.
-    rows = cs.audit if "seq" in cs.audit.columns else cs.audit.withColumn("seq", F.lit(None).cast("long"))
-    kind = F.when(F.col("action") == sinks.S.AUDIT_DELETE, 1).otherwise(0)
-    rows = stage(rows.withColumn("kind", kind), "audit")
-    top = F.lit(audit_after(spark, root, after).agg(F.max("id")).first()[0] or 0).cast("long")
-    numbered = assign_ids(rows, ["seq", "entity_id", "kind"], top, out="id").select(*[f.name for f in sinks.S.AUDIT_LOGS.fields])
-    sinks.write_table(numbered, f"{out}/audit_logs", "audit_logs", mode="overwrite")
-    buckets = sinks.bucket_count(spark, "tasks", f"{root.rstrip('/')}/tasks")
-    sinks.write_touched(spark, "tasks", cs.table, ids, buckets, f"{out}/tasks")
+    with run_scope(spark):  # what is staged on the way goes at the end
+        out = run_folder(root, run_id)
+        cs = change(tasks_after(spark, root, after, only_ids=ids))
+        cs.rejected.write.mode("overwrite").parquet(f"{out}/rejected")
+        # New identities follow those of the table and of the earlier runs, in request order.
+        rows = cs.audit if "seq" in cs.audit.columns else cs.audit.withColumn("seq", F.lit(None).cast("long"))
+        kind = F.when(F.col("action") == sinks.S.AUDIT_DELETE, 1).otherwise(0)
+        rows = stage(rows.withColumn("kind", kind), "audit")
+        top = F.lit(audit_after(spark, root, after).agg(F.max("id")).first()[0] or 0).cast("long")
+        numbered = assign_ids(rows, ["seq", "entity_id", "kind"], top, out="id").select(*[f.name for f in sinks.S.AUDIT_LOGS.fields])
+        sinks.write_table(numbered, f"{out}/audit_logs", "audit_logs", mode="overwrite")
+        buckets = sinks.bucket_count(spark, "tasks", f"{root.rstrip('/')}/tasks")
+        sinks.write_touched(spark, "tasks", cs.table, ids, buckets, f"{out}/tasks")
 
 
 def run_task_patches(spark: SparkSession, root: str, requests: DataFrame, users: DataFrame,

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,16 +70,43 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None) -> str | No
     return chosen
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a folder of its own under ``spark.checkpoint.dir`` and
-    read it back: the lineage ends there, on storage that all executors share.
-    A local session without the setting gets a folder once."""
-    spark = df.sparkSession
+#: Folder of the run that is under way, below the checkpoint directory.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def _stage_root(spark: SparkSession) -> str:
     root = checkpoint_dir(spark)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         root = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="workboard-"))
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Everything that ``stage`` writes inside goes below one folder, which is
+    removed at the end. Write or collect the results inside; a frame that was
+    planned inside and is read later has lost its staged tables."""
+    if _RUN.get() is not None:  # the outer run removes what is staged here
+        yield _RUN.get()
+        return
+    folder = f"{_stage_root(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to a folder of its own under ``spark.checkpoint.dir`` and
+    read it back: the lineage ends there, on storage that all executors share.
+    A local session without the setting gets a folder once. Inside a
+    ``run_scope`` the folder goes with the run."""
+    spark = df.sparkSession
+    path = f"{_RUN.get() or _stage_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
