@@ -154,3 +154,25 @@ chain as (select word, word as at, form as next from forms
 select f.word, f.form, c.at as root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
 from forms f join chain c on c.word = f.word and c.next is null
 """
+
+# Every pair of documents that shares a shingle, compared on full sets; components
+# by what can be reached over links.
+SQL["op9_minhash"] = """
+with recursive docs as (
+  select doc_id, list_filter(string_split_regex(""" + _LOWER.format("coalesce(text, '')") + """, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws
+  from documents),
+grams as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) end) as gram
+  from docs),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as k
+           from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+links as (select u, v from shared join sizes a on a.doc_id = u join sizes b on b.doc_id = v
+          where 100 * k >= 80 * (a.n + b.n - k)),
+both_ways as (select u, v from links union all select v, u from links),
+reach as (select doc_id as u, doc_id as v from docs
+          union select r.u, b.v from reach r join both_ways b on b.u = r.v)
+select doc_id, coalesce(n, 0) as n_shingles, c.m as component_id, doc_id = c.m as kept
+from docs left join sizes using (doc_id) join (select u as doc_id, min(v) as m from reach group by u) c using (doc_id)
+"""
