@@ -224,30 +224,62 @@ def test_suffix_tree_base_figures(spark):
     assert all(r.score <= 0 and math.isfinite(r.score) for r in out)
 
 
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+class Brute:
+    """The suffix tree from its definition, by dictionaries over whole words."""
+
+    def __init__(self, texts, least=suffix_tree.MIN_COUNT):
+        docs = [tokens(t) for t in texts]
+        self.words = collections.Counter(w for d in docs for w in d)
+        self.n, once, twice = sum(self.words.values()), *(sum(c == k for c in self.words.values()) for k in (1, 2))
+        self.discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+        self.next = collections.defaultdict(collections.Counter)
+        for d in docs:
+            for i, w in enumerate(d):
+                for k in range(1, min(i, suffix_tree.DEPTH) + 1):
+                    self.next[tuple(d[i - k: i])][w] += 1
+        self.kept = set()
+        for context, after in self.next.items():
+            total = sum(after.values())
+            if total >= least:
+                share = self.words if len(context) == 1 else self.next[context[1:]]
+                whole = sum(share.values())
+                q = lambda w: (share[w] - self.discount) / self.n if len(context) == 1 else share[w] / whole  # noqa: B023, E731
+                if sum(n * math.log(n / total / q(w)) for w, n in after.items()) > 0.5 * len(after) * math.log(total):
+                    self.kept.add(context)
+
+    def p(self, context, w):
+        while context and context not in self.kept:
+            context = context[1:]
+        if not context:
+            return ((self.words[w] - self.discount if self.words[w] else self.discount * len(self.words)) / self.n) if self.n else 1.0
+        after = self.next[context]
+        return (after[w] + len(after) * self.p(context[1:], w)) / (sum(after.values()) + len(after))
+
+    def score(self, text):
+        d = tokens(text)
+        return sum(math.log10(self.p(tuple(d[max(i - suffix_tree.DEPTH, 0): i]), w)) for i, w in enumerate(d))
+
+
+def phrases():
+    g = np.random.default_rng(9)
+    rows = [(i, " ".join(f"a{k % 750} b{k % 500} c{k} z{g.integers(0, 3000)}" for k in g.integers(0, 1500, 25))) for i in range(2400)]
+    return rows + [(2400, None), (2401, ""), (None, "a1 b1 c1"), (None, "a1 b1 c1"), (5, "b7 " * 5000), (7, rows[7][1]), (2402, "a1 never b1 " * 40)]
+
+
 def test_suffix_tree_is_a_distribution_and_learns_contexts(spark):
     g = np.random.default_rng(4)
     text = lambda: " ".join("a b c a c b".split() if g.random() < 0.5 else "d e f d".split())
-    df = spark.createDataFrame([(i, " ".join(text() for _ in range(20))) for i in range(200)], "doc_id long, text string")
-    tree, words = suffix_tree.learn(df.select("text"))
-    assert np.allclose(tree.probs.sum(axis=1), 1) and len(tree.tables[0]["keys"]) > 3
-    # Longest kept suffix, by hand.
-    docs = [b"a b c x a b".split(), [], b"f d e".split()]
-    flat, cls = tree.classes(docs)
-    states = tree.states(cls)
-    seq = [[*tree.class_of[[tree.spot.get(w, len(tree.counts)) for w in d]].tolist(), tree.k + 1] for d in docs]
-    at = 0
-    for d in seq:
-        for i in range(len(d)):
-            row = 0
-            for level, t in enumerate(tree.tables, 1):
-                before = d[i - level: i] if i >= level else []
-                if before and all(1 <= x <= tree.k for x in before):
-                    key = sum(x * tree.base ** (level - 1 - j) for j, x in enumerate(before))
-                    found = np.flatnonzero(t["keys"] == key)
-                    row = int(t["rows"][found[0]]) if len(found) else row
-            assert states[at] == row
-            at += 1
-    out = suffix_tree.score(df).toPandas()
+    rows = [(i, " ".join(text() for _ in range(20))) for i in range(200)]
+    tree = Brute([t for i, t in rows if not held(i)])
+    assert len(tree.kept) > 3
+    for context in [(), *tree.kept]:
+        seen = sum(tree.p(context, w) for w in tree.words)
+        assert abs(seen + tree.p(context, b"never") - 1) < 1e-9
+    out = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert (out[out.held_out].score > out[out.held_out].base_score).all()
 
 
@@ -266,19 +298,19 @@ def test_suffix_tree_empty(spark):
     assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
 
 
-def test_suffix_tree_contexts_grow_with_the_corpus(spark, monkeypatch):
-    """Contexts far below a thousandth of the tokens count; scores by tables equal the tree in memory."""
-    g = np.random.default_rng(9)
-    rows = [(i, " ".join(f"a{k % 750} b{k % 500} c{k} z{g.integers(0, 3000)}" for k in g.integers(0, 1500, 25))) for i in range(2400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = df.filter(~suffix_tree.held_out(df.doc_id)).select("text")
-    tree, words = suffix_tree.learn(texts)
-    assert words.agg({"n": "max"}).first()[0] < 1e-1 * tree.n and len(tree.tables[0]["keys"]) > 2000
-    assert len(tree.tables[1]["keys"]) > 1000
-    for frequent in (suffix_tree.FREQUENT_PAIRS, 0):
-        monkeypatch.setattr(suffix_tree, "FREQUENT_PAIRS", frequent)
-        out = {r.id: r.score for r in suffix_tree.score(df).collect()}
-        for i, text in rows[:200]:
-            _, cls = tree.classes([text.encode().split()])
-            p = np.log10(tree.probs[tree.states(cls), cls]).sum()
-            assert abs(out[i] - p) < 1e-6, i
+@pytest.mark.parametrize("sent", ["all", "none", "some"])
+def test_suffix_tree_equals_its_definition(spark, monkeypatch, sent):
+    """Contexts far below a thousandth of the tokens count, also with little or nothing settled in place."""
+    rows = phrases()
+    tree = Brute([t for i, t in rows if not held(i)])
+    assert max(tree.words.values()) < 1e-1 * tree.n
+    assert all(sum(len(c) == k for c in tree.kept) > 500 for k in (1, 2))
+    if sent != "all":
+        for name, some in (("FREQUENT", 500), ("FREQUENT_PAIRS", 1000), ("FREQUENT_CONTEXTS", 800), ("HELD_TOKENS", 20_000), ("HELD_OPEN", 5000),
+                           ("BUCKET_TOKENS", 1000), ("PIECE", 30_000), ("MAP_BITS", (16, 16))):
+            monkeypatch.setattr(suffix_tree, name, 0 if sent == "none" and name.startswith("FREQ") else some)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, id string, uid int").repartition(5)
+    got = sorted((repr(r.id), round(r.score, 5)) for r in suffix_tree.score(df).collect())
+    want = sorted((repr(i), round(tree.score(t), 5)) for i, t in rows)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert all(abs(a[1] - b[1]) < 1e-4 for a, b in zip(got, want))

@@ -11,28 +11,32 @@ those of its suffix, the context without its oldest word: if ``n * KL`` is above
 smoothed with its longest kept suffix (Witten-Bell). A token is scored in the
 longest kept context that the words before it end with.
 
-The tree lies in tables, per level one of contexts and one of (context, next
-word) pairs, in which a word, and a context, is a 64-bit hash (a pair has two).
-A kept context changes a token's log-probability by ``log10(p / p of its longest
-kept suffix)``; the changes of all kept contexts before a token add up to its
-score in the longest one. So the pairs of a document are joined with the tables
-level by level and summed. Tasks skip contexts by a bit map of fixed size, which
-never misses one that is tried (or kept); the others it lets through fall out of
-the joins. The counts of the most frequent words (at most FREQUENT) and pairs (at
-most FREQUENT_PAIRS) go to the tasks that read the texts, all others are joined.
+A 64-bit hash stands for a word, a context and a (context, next word) pair. Tasks
+combine the pairs of some million tokens and send them in rows of arrays to
+buckets, dealt by the last two words of a pair (by its next word alone if that is
+not among the FREQUENT most frequent ones; such a word has at most tokens /
+FREQUENT occurrences). A pair thus meets its suffixes, and the count of its next
+word, in its bucket. Buckets hold about BUCKET_TOKENS tokens each, whatever the
+size of the corpus. Pairs of held-out documents travel along with a count of zero.
+A pair that training has once, and no held-out document has, is not stored: a pair
+of a training document that no table has is one of these, and counts one.
+
+Scoring resolves in place what the most frequent words, pairs and kept contexts
+(at most FREQUENT, FREQUENT_PAIRS and FREQUENT_CONTEXTS) and a bit map of the stored
+pairs settle; all other tokens are sent to their bucket. A bit map never misses
+what it holds, and what it lets through wrongly is settled in the bucket.
 
 Defined results: a null text is empty (its only token is the end); a null id is
 in training; rows are scored one by one, also when ids or texts repeat. Without
-training tokens every probability is one. Extra columns are ignored.
+training tokens every probability is one. A very long text is hashed in one piece
+by one task. Extra columns are ignored, also when called like columns of the result.
 """
 
 from __future__ import annotations
 
-import functools
-import itertools
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,14 +48,21 @@ MIN_COUNT = 16
 DEPTH = 3
 FREQUENT = 250_000
 FREQUENT_PAIRS = 1_000_000
-#: A task that counts pairs combines this many tokens before it sends them.
+FREQUENT_CONTEXTS = 500_000
+#: A task combines the pairs of this many tokens before it sends them.
 HELD_TOKENS = 2_000_000
-#: Bits of the map by which tasks skip contexts, as a power of two.
-MAP_BITS = 26
-#: A task that counts words sends what it has when it holds this many.
-HELD_WORDS = 500_000
-END = b""
+#: A task that scores sends its open tokens when it holds this many.
+HELD_OPEN = 500_000
+#: Tokens of the corpus per bucket.
+BUCKET_TOKENS = 100_000
+#: Bits of a map, as a power of two: sixteen per entry between these bounds.
+MAP_BITS = (16, 28)
+#: Bytes of text that a task hashes at a time (or one text).
+PIECE = 8_000_000
 END_CODE = mix64(U(0x5DEECE66D) + np.zeros(1, np.uint64))[0]
+ARRAYS = "w array<long>, n array<long>, " + ", ".join(f"c{k} array<long>" for k in range(1, DEPTH + 1))
+#: Kinds of rows in a bucket: counts of words, then stored pairs and contexts per level, then pairs or open tokens.
+WORDS, PAIRS, CONTEXTS, SENT = 0, 10, 20, 30
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -69,40 +80,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _documents(column: pa.Array, size: int = 500):
-    """Token lists of a text column, some documents at a time."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    for at in range(0, len(column), size):
-        # Bytes: lower() changes A-Z only, split() splits at ASCII white space only.
-        yield [x.lower().split() for x in column.slice(at, size).to_pylist()]
-
-
-def _count_words(batches):
-    def send():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-                                          names=["word", "n"])
-
-    counts: dict[bytes, int] = {}
-    for batch in batches:
-        for docs in _documents(batch.column(0)):
-            for words in docs:
-                for w in words:
-                    counts[w] = counts.get(w, 0) + 1
-            counts[END] = counts.get(END, 0) + len(docs)
-            if len(counts) > HELD_WORDS:
-                yield send()
-                counts = {}
-    if counts:
-        yield send()
-
-
-# Contexts and pairs.
+# Tokens, contexts and pairs.
 
 def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a context and the word after it."""
     return mix64(context * U(0x9E3779B97F4A7C15) + word)
 
 
+def _pieces(column: pa.Array):
+    """(first, number) of runs of texts of at most PIECE bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = int(ends[at - 1]) if at else 0
+        to = max(int(np.searchsorted(ends, before + PIECE, "right")), at + 1)
+        yield at, to - at
+        at = to
+
+
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the tokens of all texts in a row: hashes, numbers of their texts, places in these."""
     codes, first = word_hashes(column)
@@ -112,85 +107,61 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, doc, np.arange(len(codes)) - (np.cumsum(lens) - lens)[doc]
 
 
-def _contexts(codes: np.ndarray):
+def _contexts(codes: np.ndarray, depth: int) -> list[np.ndarray]:
     """Per level the hash of the ``level`` tokens before each token (of its text from place ``level`` on)."""
-    gram = codes
-    for _ in range(DEPTH):
-        context = np.concatenate([gram[:1], gram[:-1]])
-        yield context
-        gram = _joined(context, codes)
+    out, gram = [], codes
+    for _ in range(depth):
+        out.append(np.concatenate([gram[:1], gram[:-1]]))
+        gram = _joined(out[-1], codes)
+    return out
 
 
-def _map_of(table: DataFrame, column: str) -> np.ndarray:
-    """A bit map of the hashes in ``column``: 2 ** MAP_BITS bits, whatever their number."""
-    at = F.shiftrightunsigned(column, 64 - MAP_BITS)
-    rows = (table.groupBy(F.shiftright(at, 15).alias("part"))
-            .agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect())
-    out = np.zeros((1 << MAP_BITS - 15, 4096), np.uint8)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` in the sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
-def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> U(64 - MAP_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
-def _count_pairs(level: int, tried):
-    def count(batches):
-        def send():
-            context, word = (np.concatenate(x) for x in zip(*held))
-            _, first, n = np.unique(_joined(context, word), return_index=True, return_counts=True)
-            for at in range(0, len(first), 100_000):
-                some = first[at: at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(context[some].view(np.int64)), pa.array(word[some].view(np.int64)),
-                                                  pa.array(n[at: at + 100_000])], names=["ctx", "w", "n"])
-
-        held, size = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                codes, _, place = _tokens(batch.column(0).slice(at, 2000))
-                context = next(itertools.islice(_contexts(codes), level - 1, None))
-                hit = (place >= level) & _has(tried.value, context)
-                held.append((context[hit], codes[hit]))
-                size += int(hit.sum())
-                if size > HELD_TOKENS:
-                    yield from send()
-                    held, size = [], 0
-        if size:
-            yield from send()
-
-    return count
-
-
-def _longer(batches):
-    """Contexts one word longer, from ``ctx, suf, w`` (``suf`` null on the first level)."""
-    for batch in batches:
-        context, word = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 2))
-        none = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        suffix = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        suffix = np.where(none, word, _joined(suffix, word))
-        yield pa.RecordBatch.from_arrays([pa.array(_joined(context, word).view(np.int64)), pa.array(suffix.view(np.int64))],
-                                         names=["ctx", "suf"])
+class Map:
+    """A bit map of hashes; its size follows their number up to a bound."""
 
+    def __init__(self, hashes: DataFrame, count: int):
+        self.bits = bits = min(max(int(16 * count).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+        at = F.shiftrightunsigned("h", 64 - bits)
+        rows = (hashes.groupBy(F.shiftright(at, 15).alias("part"))
+                .agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect()) if count else []
+        out = np.zeros((1 << bits - 15, 4096), np.uint8)
+        for r in rows:
+            out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        self.map = out.reshape(-1)
 
-def _hash_words(batches):
-    for batch in batches:
-        codes = np.full(batch.num_rows, END_CODE)
-        codes[np.array([w != END for w in batch.column(0).to_pylist()], bool)] = word_hashes(batch.column(0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column(1)], names=["w", "c"])
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> U(64 - self.bits)).astype(np.int64)
+        return (self.map[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def _most(table: DataFrame, limit: int) -> Column:
     """True for the rows with the largest ``n``, at most ``limit``, from a histogram by eighths of an octave."""
     step = F.floor(F.log2("n") * 8).cast("int")
     held, least = 0, None
-    for r in sorted(table.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+    for r in sorted(table.filter("n > 0").groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
         if held + r["count"] > limit:
             break
         held, least = held + r["count"], r["s"]
-    return step >= least if least is not None else F.lit(False)
+    return (F.col("n") > 0) & (step >= least) if least is not None else F.lit(False)
+
+
+def _sorted(table: pa.Table, key: str, *others: str) -> tuple[np.ndarray, ...]:
+    keys = table[key].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], *(table[c].to_numpy()[order] for c in others)
 
 
 class Root:
@@ -200,242 +171,336 @@ class Root:
         self.n, self.v, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1),
                                                 F.count_if(F.col("n") == 2)).first()
         self.discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
-        rows = words.filter(_most(words, FREQUENT) | (F.col("word") == END)).toArrow()
-        order = np.argsort(-rows["n"].to_numpy(), kind="stable")
-        self.counts = rows["n"].to_numpy()[order].astype(float)
-        self.spot = {rows["word"][int(i)].as_py(): k for k, i in enumerate(order)}  # place in counts
+        self.buckets = max(64, -(-self.n // BUCKET_TOKENS))
+        most = words.filter(_most(words, FREQUENT) | (F.col("w") == int(END_CODE.view(np.int64))))
+        self.words, self.counts = _sorted(most.toArrow(), "w", "n")
 
-    def unseen(self) -> float:
-        """The root's probability of a word that training does not have."""
-        return self.discount * self.v / self.n if self.n else 1.0
+    def share(self, c: np.ndarray) -> np.ndarray:
+        """The root's probability of words that training has ``c`` times (of any unseen word: one class)."""
+        if not self.n:
+            return np.ones(len(c))
+        return np.where(c > 0, c - self.discount, self.discount * self.v) / self.n
 
+    def bucket(self, frequent: np.ndarray, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return (np.where(frequent, _joined(before, words), mix64(words)) % U(self.buckets)).astype(np.int32)
 
-def _words(texts: DataFrame) -> DataFrame:
-    return stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
+def _count_words(batches):
+    def send():
+        words, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(words)
+        first = _runs(words[order])
+        return pa.RecordBatch.from_arrays([pa.array(words[order][first].view(np.int64)), pa.array(np.add.reduceat(n[order], first))],
+                                          names=["w", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        column = batch.column(0)
+        for at, m in _pieces(column):
+            words, n = np.unique(_tokens(column.slice(at, m))[0], return_counts=True)
+            held.append((words, n))
+            size += len(words)
+            if size > HELD_TOKENS:
+                yield send()
+                held, size = [], 0
+    if held:
+        yield send()
+
+
+def _packed(buckets: np.ndarray, arrays: list[np.ndarray]):
+    """Arrays (w, n, c1, ...; missing ones empty) in rows per bucket, as columns of a record batch."""
+    order = np.lexsort((arrays[2] if len(arrays) > 2 else arrays[0], buckets))
+    first = _runs(buckets[order])
+    offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+    empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(first) + 1, np.int32)), pa.array([], pa.int64()))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].view(np.int64))) for x in arrays]
+    return [pa.array(buckets[order][first]), *lists, *[empty] * (2 + DEPTH - len(lists))]
+
+
+NAMES = ["w", "n", *(f"c{k}" for k in range(1, DEPTH + 1))]
+
+
+def _rare_words(root):
+    """Rows per bucket of the words that are not sent along, from ``w, n``."""
+    def pack(batches):
+        r = root.value
+        for batch in batches:
+            words, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            none = ~_find(r.words, words)[1]
+            words, n = words[none], n[none]
+            if len(words):
+                yield pa.RecordBatch.from_arrays(_packed(r.bucket(np.zeros(len(words), bool), words, words), [words, n]), names=["b", *NAMES])
+
+    return pack
+
+
+def _count_pairs(level: int, tried, root):
+    """Rows per bucket of pairs after tried contexts, from ``held_out, text``; ``n``: twice the count, and one if a held-out text has it."""
+    def count(batches):
+        r, tries = root.value, tried.value
+
+        def send():
+            gram, words, n, held, *contexts = (np.concatenate(x) for x in zip(*kept))
+            order = np.argsort(gram)
+            first = _runs(gram[order])
+            some = order[first]
+            n = 2 * np.add.reduceat(n[order], first) + np.maximum.reduceat(held[order], first)
+            words, contexts = words[some], [c[some] for c in contexts]
+            b = r.bucket(_find(r.words, words)[1], contexts[0], words)
+            return pa.RecordBatch.from_arrays(_packed(b, [words, n, *contexts]), names=["b", *NAMES])
+
+        kept, size = [], 0
+        for batch in batches:
+            column, out = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, m in _pieces(column):
+                codes, doc, place = _tokens(column.slice(at, m))
+                contexts = _contexts(codes, level)
+                hit = np.flatnonzero((place >= level) & tries.has(contexts[-1]))
+                away = out[at + doc[hit]]
+                kept.append((_joined(contexts[-1][hit], codes[hit]), codes[hit], 1 - away, away, *(c[hit] for c in contexts)))
+                size += len(hit)
+                if size > HELD_TOKENS:
+                    yield send()
+                    kept, size = [], 0
+        if size:
+            yield send()
+
+    return count
 
-def grow(texts: DataFrame, words: DataFrame, root: Root) -> list[tuple[DataFrame, DataFrame]]:
-    """Per level the tables of tried contexts (``ctx, suf, total, d, kept``) and their pairs (``ctx, w, n, s, p``).
 
-    ``s`` is the pair's probability in the longest kept suffix, ``p`` that in the
-    longest kept context; ``p`` follows from the stored columns.
-    """
-    end = int(END_CODE.view(np.int64))
-    codes = stored(words.mapInArrow(_hash_words, "w long, c long"), "codes")
-    tried = codes.filter((F.col("c") >= MIN_COUNT) & (F.col("w") != end)).select(F.col("w").alias("ctx"), F.lit(None).cast("long").alias("suf"))
-    levels: list[tuple[DataFrame, DataFrame]] = []
+class Bucket:
+    """The words, pairs and contexts that stand in one bucket."""
+
+    def __init__(self, table: pa.Table, root: Root):
+        kinds = table["kind"].to_numpy()
+        self.root = root
+
+        def of(kind, *names):
+            rows = table.filter(pa.array(kinds == kind))
+            return [rows[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in names]
+
+        def by_key(kind, *names):
+            keys, *others = of(kind, *names)
+            order = np.argsort(keys.view(np.uint64))
+            return [keys.view(np.uint64)[order], *(x[order] for x in others)]
+
+        self.rare = by_key(WORDS, "w", "n")
+        self.pairs = [by_key(PAIRS + k, "w", "n") for k in range(1, DEPTH + 1)]
+        self.contexts = [by_key(CONTEXTS + k, "w", "n", "c1", "c2") for k in range(1, DEPTH + 1)]
+        self.sent = [x.view(np.uint64) if k != 1 else x for k, x in enumerate(of(SENT, *NAMES))]
+
+    def counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, and which of them are sent along to all tasks."""
+        at, frequent = _find(self.root.words, words)
+        spot, there = _find(self.rare[0], words)
+        rare = np.where(there, self.rare[1][spot], 0) if len(self.rare[0]) else np.zeros(len(words), np.int64)
+        return np.where(frequent, self.root.counts[at], rare) if len(self.root.words) else rare, frequent
+
+    def predict(self, words: np.ndarray, contexts: list[np.ndarray], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability after the longest kept one of the contexts, and share after the last one given.
+
+        ``least`` is the count of a pair that is not stored.
+        """
+        p = q = self.root.share(self.counts(words)[0])
+        for context, (grams, n), (keys, total, d, kept) in zip(contexts, self.pairs, self.contexts):
+            at, there = _find(keys, context)
+            if len(keys):
+                spot, found = _find(grams, _joined(context, words))
+                count = np.where(found, n[spot], least) if len(grams) else least
+                q = np.where(there, count / np.maximum(total[at], 1), q)
+                p = np.where(there & (kept[at] > 0), (count + d[at] * p) / (total[at] + d[at]), p)
+        return p, q
+
+
+def _settle(level: int, root):
+    """Of a bucket: the pairs to store, and its part of the figures of the contexts of this level."""
+    def settle(key, table):
+        here = Bucket(table, root.value)
+        words, n, *contexts = here.sent[: 2 + level]
+        gram = _joined(contexts[-1], words)
+        order = np.argsort(gram)
+        first = _runs(gram[order])
+        some = order[first]
+        held = np.maximum.reduceat((n & 1)[order], first) if len(first) else n
+        n = np.add.reduceat((n >> 1)[order], first) if len(first) else n
+        gram, words, contexts = gram[some], words[some], [c[some] for c in contexts]
+        _, q = here.predict(words, contexts[:-1], np.ones(len(n), np.int64))
+        x = np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(q, 1e-300)), 0.0)
+        store = (n > 1) | ((n == 1) & (held > 0))
+        longer = gram[(n >= MIN_COUNT) & (words != END_CODE)] if level < DEPTH else gram[:0]
+        order = np.argsort(contexts[-1])
+        first = _runs(contexts[-1][order])
+        sums = [np.add.reduceat(y[order], first) if len(first) else y[:0] for y in (n, (n > 0).astype(np.int64), x)]
+        lists = [gram[store].view(np.int64), n[store], contexts[-1][order][first].view(np.int64), *sums, longer.view(np.int64)]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([y], pa.list_(pa.from_numpy_dtype(y.dtype))) for y in lists)],
+                        names=["b", "w", "n", "ctx", "total", "d", "x", "longer"])
+
+    return settle
+
+
+def _rows(df: DataFrame, kind: int) -> DataFrame:
+    """Rows of arrays of one kind; what they lack is empty."""
+    none = F.array().cast("array<long>")
+    return df.select("b", F.lit(kind).alias("kind"), *((F.col(c) if c in df.columns else none).alias(c) for c in NAMES))
+
+
+def _in_buckets(parts: list[DataFrame], fn, schema: str) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("b").applyInArrow(fn, schema)
+
+
+class Level:
+    """The stored pairs of one level, the figures of its contexts, and both as rows of the buckets."""
+
+    def __init__(self, level: int, settled: DataFrame):
+        self.settled = settled
+        parts = settled.select("b", F.inline(F.arrays_zip("ctx", "total", "d", "x")))
+        whole = parts.groupBy("ctx").agg(F.sum("total").alias("total"), F.sum("d").alias("d"), F.sum("x").alias("x"))
+        gain = F.col("x") - F.col("total") * F.ln("total")  # total * KL
+        self.contexts = stored(whole.filter(F.col("total") >= MIN_COUNT).select(
+            "ctx", "total", "d", (gain > 0.5 * F.col("d") * F.ln("total")).alias("kept")), "contexts")
+        back = (parts.select("b", "ctx").join(self.contexts, "ctx")
+                .select("b", F.struct("ctx", "total", "d", F.col("kept").cast("long").alias("kept")).alias("x"))
+                .groupBy("b").agg(F.collect_list("x").alias("x")))
+        self.back = stored(back.select("b", F.col("x.ctx").alias("w"), F.col("x.total").alias("n"), F.col("x.d").alias("c1"),
+                                       F.col("x.kept").alias("c2")), "back")
+        self.pairs = settled.select(F.inline(F.arrays_zip("w", "n"))).withColumnRenamed("w", "h")
+        self.parts = [_rows(settled.select("b", "w", "n"), PAIRS + level), _rows(self.back, CONTEXTS + level)]
+
+
+def grow(rows: DataFrame, rare: DataFrame, codes: DataFrame, root: Root, shared) -> list[Level]:
+    """The levels of the tree over the rows ``held_out, text``."""
+    context = rows.sparkSession.sparkContext
+    tried = codes.filter((F.col("n") >= MIN_COUNT) & (F.col("w") != int(END_CODE.view(np.int64)))).select(F.col("w").alias("h"))
+    levels: list[Level] = []
     for level in range(1, DEPTH + 1):
-        if tried.isEmpty():
+        count = tried.count()
+        if not count:
             break
-        bits = texts.sparkSession.sparkContext.broadcast(_map_of(tried, "ctx"))
-        pairs = texts.mapInArrow(_count_pairs(level, bits), "ctx long, w long, n long").groupBy("ctx", "w").agg(F.sum("n").alias("n"))
-        if level == 1:
-            share = (F.col("c") - root.discount) / root.n
-            pairs = pairs.join(codes, "w").select("ctx", "w", "n", share.alias("q"), share.alias("s"))
-        else:
-            above = levels[-1][1].select(F.col("ctx").alias("suf"), "w", (F.col("n") / F.col("total")).alias("q"), F.col("p").alias("s"))
-            pairs = (stored(pairs, "pairs").join(tried, "ctx").join(above, ["suf", "w"])
-                     .select("ctx", "w", "n", "q", "s"))
-        pairs = stored(pairs, "pairs")
-        tests = pairs.groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("d"),
-                                         F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))).alias("x"))
-        gain = F.col("x") - F.col("total") * F.ln("total")  # total * KL
-        contexts = stored(tried.join(tests, "ctx").select(
-            "ctx", "suf", "total", "d", (gain > 0.5 * F.col("d") * F.ln("total")).alias("kept")), "contexts")
-        smooth = (F.col("n") + F.col("d") * F.col("s")) / (F.col("total") + F.col("d"))
-        pairs = stored(pairs.join(contexts, "ctx").select(
-            "ctx", "suf", "w", "n", "total", "d", "kept", "s"), "pairs").withColumn("p", F.when(F.col("kept"), smooth).otherwise(F.col("s")))
-        levels.append((contexts, pairs))
-        if level < DEPTH:
-            tried = stored(pairs.filter((F.col("n") >= MIN_COUNT) & (F.col("w") != end)).select("ctx", "suf", "w")
-                           .mapInArrow(_longer, "ctx long, suf long"), "tried")
+        sent = rows.select("held_out", "text").mapInArrow(_count_pairs(level, context.broadcast(Map(tried, count)), shared), f"b int, {ARRAYS}")
+        settled = stored(_in_buckets([_rows(sent, SENT), rare, *(p for x in levels for p in x.parts)], _settle(level, shared),
+                                     "b int, w array<long>, n array<long>, ctx array<long>, total array<long>, d array<long>, "
+                                     "x array<double>, longer array<long>"), "pairs")
+        levels.append(Level(level, settled))
+        tried = settled.select(F.explode("longer").alias("h"))
     return levels
 
 
-class Tree(Root):
-    """The tree of a small corpus in memory, to look at; scoring reads the tables.
-
-    Class 0 is any word that training does not have, 1 to K its words, K + 1 the
-    end. A context's key has one digit (base K + 2) per word, the latest word last.
-    """
-
-    def __init__(self, words: DataFrame, levels: list[tuple[DataFrame, DataFrame]]):
-        super().__init__(words)
-        own = [i for w, i in self.spot.items() if w != END]
-        self.k = len(own)
-        self.base = self.k + 2
-        self.class_of = np.zeros(len(self.spot) + 1, np.int64)
-        self.class_of[own] = np.arange(1, self.k + 1)
-        if END in self.spot:
-            self.class_of[self.spot[END]] = self.k + 1
-        root = np.zeros(self.base)
-        np.add.at(root, self.class_of[:-1], (self.counts - self.discount) / max(self.n, 1))
-        root[0] = self.unseen()
-        self.tables: list[dict] = []  # per level: keys (sorted), rows (into probs)
-        probs, state = [root], {}
-        classes = {int(END_CODE): self.k + 1}
-        for w, i in self.spot.items():
-            if w != END:
-                classes[int(word_hashes(pa.array([w]))[0][0])] = int(self.class_of[i])
-        keys = {h: c for h, c in classes.items() if c <= self.k}
-        for contexts, pairs in levels:
-            counts: dict[int, np.ndarray] = {}
-            longer = {}
-            for r in pairs.collect():
-                h, w = r["ctx"] % (1 << 64), r["w"] % (1 << 64)
-                counts.setdefault(h, np.zeros(self.base))[classes[w]] = r["n"]
-                if classes[w] <= self.k:
-                    longer[int(_joined(np.array([h], np.uint64), np.array([w], np.uint64))[0])] = keys[h] * self.base + classes[w]
-            rows = {}
-            for r in contexts.collect():
-                h = r["ctx"] % (1 << 64)
-                above = state[r["suf"] % (1 << 64)] if r["suf"] is not None else 0
-                state[h] = above
-                if r["kept"]:
-                    state[h] = rows[keys[h]] = len(probs)
-                    probs.append((counts[h] + r["d"] * probs[above]) / (r["total"] + r["d"]))
-            self.tables.append({"keys": np.array(sorted(rows), np.int64), "rows": np.array([rows[k] for k in sorted(rows)], np.int64)})
-            keys = longer
-        self.probs = np.vstack(probs)
-
-    def classes(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and classes of the tokens of all documents in a row, an end after each."""
-        flat = _places(self, docs)
-        return flat, np.where(flat == self.spot.get(END, -1), self.k + 1, self.class_of[flat])
-
-    def contexts(self, cls: np.ndarray, level: int) -> np.ndarray:
-        """Key of the ``level`` classes before each token; -1 where one is no training word of the document."""
-        key = np.zeros(len(cls), np.int64)
-        good = np.ones(len(cls), bool)
-        for back in range(level, 0, -1):
-            before = np.zeros(len(cls), np.int64)
-            before[back:] = cls[:-back]
-            key = key * self.base + before
-            good &= (before > 0) & (before <= self.k)
-        return np.where(good, key, -1)
-
-    def states(self, cls: np.ndarray) -> np.ndarray:
-        """Row (into probs) of the longest kept context before each token."""
-        out = np.zeros(len(cls), np.int64)
-        for level, t in enumerate(self.tables, 1):
-            if len(t["keys"]):
-                key = self.contexts(cls, level)
-                at = np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)
-                out = np.where(t["keys"][at] == key, t["rows"][at], out)
-        return out
-
-
-def learn(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of a small corpus and the table ``word, n`` of its words; ``texts`` has one column."""
-    words = _words(texts)
-    return Tree(words, grow(texts, words, Root(words))), words
-
-
-def _places(root: Root, docs: list[list[bytes]]) -> np.ndarray:
-    """Places of the tokens of all documents in a row, an end after each."""
-    get, none, end = root.spot.get, len(root.counts), root.spot.get(END, -1)
-    return np.fromiter(itertools.chain.from_iterable((*(get(w, none) for w in d), end) for d in docs), np.int64)
+class Settled(Root):
+    """What scoring tasks know without asking: frequent words, pairs and kept contexts, and maps of all that exist."""
+
+    def __init__(self, root: Root, levels: list[Level], spark):
+        self.__dict__.update(root.__dict__)
+        pairs, contexts = spark.createDataFrame([], "h long, n long"), spark.createDataFrame([], "ctx long, n long, d long")
+        self.maps = []
+        for x in levels:
+            kept = x.contexts.filter("kept").select("ctx", F.col("total").alias("n"), "d")
+            pairs, contexts = pairs.unionByName(x.pairs), contexts.unionByName(kept)
+            self.maps.append(Map(kept.select(F.col("ctx").alias("h")), kept.count()))
+        count = pairs.count()
+        self.pair_map = Map(pairs.select("h"), count)
+        self.grams, self.times = _sorted(pairs.filter(_most(pairs, FREQUENT_PAIRS)).toArrow(), "h", "n")
+        self.keys, self.total, self.d = _sorted(contexts.filter(_most(contexts, FREQUENT_CONTEXTS)).toArrow(), "ctx", "n", "d")
+        self.all_contexts = len(self.keys) == contexts.count()
 
 
 def _scorer(model):
+    """Per text a row with the sums of its settled tokens, and rows per bucket of the others (``n``: twice the text, and one in training)."""
     def score(batches):
-        t, maps, grams, change = model.value
-        n, none = t.n, len(t.counts)
-        c = np.append(t.counts, 0.0)
-        log_base = np.log10(c + 1)
-        log_root = np.where(c > 0, np.log10(np.maximum(c - t.discount, 1e-300) / max(n, 1)), 0.0)
+        t = model.value
         uid = TaskContext.get().partitionId() << 40
+        names = ["uid", "id", "held_out", "n_tokens", "score", "base", "known", "b", *NAMES]
+        left, size = [], 0
+
+        def send(kind):
+            words, n, *contexts = (np.concatenate(x) for x in zip(*left))
+            b = t.bucket(_find(t.words, words)[1], contexts[0], words)
+            columns = _packed(b, [words, n, *contexts])
+            m = len(columns[0])
+            empty = [pa.nulls(m, x) for x in (pa.int64(), kind, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*empty, *columns], names=names)
+
+        kind = pa.null()
         for batch in batches:
-            at = 0
-            for docs in _documents(batch.column(2)):
-                m = len(docs)
-                flat = _places(t, docs)
-                seen = flat < none if n else np.zeros(len(flat), bool)
-                ends = np.cumsum([len(d) + 1 for d in docs])
-                first = ends - [len(d) + 1 for d in docs]
-                each = np.where(seen, log_root[flat], 0.0)
-                codes, doc, place = _tokens(batch.column(2).slice(at, m))
-                asked = []
-                for level, (bits, context) in enumerate(zip(maps, _contexts(codes)), 1):
-                    hit = np.flatnonzero((place >= level) & _has(bits, context))
+            kind, column = batch.column(0).type, batch.column(2)
+            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, m in _pieces(column):
+                codes, doc, place = _tokens(column.slice(first, m))
+                at, frequent = _find(t.words, codes)
+                c = np.where(frequent, t.counts[at], 0) if len(t.words) else np.zeros(len(codes), np.int64)
+                p, closed = t.share(c), frequent.copy()
+                least = np.where(held[first + doc], 0, 1)
+                contexts = _contexts(codes, DEPTH)
+                for level, (bits, context) in enumerate(zip(t.maps, contexts), 1):
+                    hit = np.flatnonzero((place >= level) & bits.has(context))
+                    spot, there = _find(t.keys, context[hit])
+                    if not t.all_contexts:
+                        closed[hit[~there]] = False
+                    hit, spot = hit[there], spot[there]
                     gram = _joined(context[hit], codes[hit])
-                    spot = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
-                    known = grams[spot] == gram if len(grams) else np.zeros(len(hit), bool)
-                    each[hit[known]] += change[spot[known]]
-                    hit, gram = hit[~known], gram[~known]
-                    _, one, times = np.unique(_joined(gram, doc[hit].astype(np.uint64)), return_index=True, return_counts=True)
-                    asked.append((doc[hit[one]], context[hit[one]].view(np.int64), codes[hit[one]].view(np.int64), times.astype(np.int32)))
-                empty = np.zeros(0, np.int64)
-                owner, *asked = (np.concatenate(x) for x in zip((empty, empty, empty, empty.astype(np.int32)), *asked))
-                order = np.argsort(owner, kind="stable")
-                offsets = pa.array(np.searchsorted(owner[order], np.arange(m + 1)).astype(np.int32))
-                sums = [np.add.reduceat(x, first) for x in (each, np.where(seen, log_base[flat], 0.0), seen.astype(np.int64))]
-                rare, times = [], []
-                for d, a, b in zip(docs, first.tolist(), ends.tolist()):
-                    found: dict[bytes, int] = {}
-                    for k in np.flatnonzero(flat[a: b - 1] == none).tolist():
-                        found[d[k]] = found.get(d[k], 0) + 1
-                    rare.append(list(found))
-                    times.append(list(found.values()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + m)), batch.column(0).slice(at, m), batch.column(1).slice(at, m),
-                     pa.array((ends - first).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]),
-                     pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())),
-                     *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in asked)],
-                    names=["uid", "id", "held_out", "n_tokens", "score", "base", "known", "rare", "times", "ctx", "w", "m"])
-                uid, at = uid + m, at + m
+                    where, found = _find(t.grams, gram)
+                    closed[hit[~found & t.pair_map.has(gram)]] = False
+                    n = np.where(found, t.times[where], least[hit]) if len(t.grams) else least[hit]
+                    p[hit] = (n + t.d[spot] * p[hit]) / (t.total[spot] + t.d[spot])
+                starts = np.flatnonzero(place == 0)
+                sums = [np.add.reduceat(x, starts) for x in (np.where(closed, np.log10(p), 0.0), np.where(frequent, np.log10(c + 1.0), 0.0),
+                                                             frequent.astype(np.int64))]
+                some = np.flatnonzero(~closed)
+                left.append((codes[some], 2 * (uid + doc[some]) + least[some],
+                             *(np.where(place[some] >= k, x[some], U(0)) for k, x in enumerate(contexts, 1))))
+                size += len(some)
+                own = [pa.array(np.arange(uid, uid + m)), batch.column(0).slice(first, m), batch.column(1).slice(first, m),
+                       pa.array(np.bincount(doc, minlength=m)), *map(pa.array, sums), pa.nulls(m, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(m, pa.list_(pa.int64()))] * len(NAMES)], names=names)
+                uid += m
+                if size > HELD_OPEN:
+                    yield send(kind)
+                    left, size = [], 0
+        if size:
+            yield send(kind)
 
     return score
 
 
-def _changes(part: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``uid, change``: the sum over a document's pairs of what kept contexts change."""
-    asked = part.select("uid", F.inline(F.arrays_zip("ctx", "w", "m")))
-    found = asked.join(pairs, ["ctx", "w"], "left")
-    # Pairs that training does not have are left with their context, by which they back off.
-    found = stored(found.groupBy("uid", F.when(F.col("change").isNull(), F.col("ctx")).alias("ctx"))
-                   .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("change")).alias("change")), "found")
-    back = found.filter("ctx is not null").select("uid", "ctx", "m").join(contexts, "ctx")
-    return (found.filter("ctx is null").select("uid", "change")
-            .unionByName(back.select("uid", (F.col("m") * F.log10(F.col("d") / (F.col("total") + F.col("d")))).alias("change")))
-            .groupBy("uid").agg(F.sum("change").alias("change")))
+def _answer(root):
+    """Of a bucket: per text the sums of its open tokens."""
+    def answer(key, table):
+        here = Bucket(table, root.value)
+        words, n, *contexts = here.sent
+        p, _ = here.predict(words, contexts, n & 1)
+        c, frequent = here.counts(words)
+        order = np.argsort(n >> 1)
+        uid = (n >> 1)[order]
+        first = _runs(uid)
+        sums = [np.add.reduceat(x[order], first) if len(first) else x for x in (
+            np.log10(p), np.where(frequent, 0.0, np.log10(c + 1.0)), (~frequent & (c > 0)).astype(np.int64))]
+        return pa.table([pa.array(x) for x in (uid[first], *sums)], names=["uid", "more", "more_base", "more_known"])
+
+    return answer
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.filter("not held_out").select("text")
-    words = _words(texts)
-    root = Root(words)
-    levels = grow(texts, words, root)
     spark = docs.sparkSession
-    change = F.log10(F.col("p") / F.col("s"))
-    pairs = functools.reduce(DataFrame.unionByName, [p.filter("kept").select("ctx", "w", "n", change.alias("change")) for _, p in levels],
-                             spark.createDataFrame([], "ctx long, w long, n long, change double"))
-    contexts = functools.reduce(DataFrame.unionByName, [c.filter("kept").select("ctx", "total", "d") for c, _ in levels],
-                                spark.createDataFrame([], "ctx long, total long, d long"))
-    top = pairs.filter(_most(pairs, FREQUENT_PAIRS)).drop("n").toArrow()
-    grams = _joined(top["ctx"].to_numpy().view(np.uint64), top["w"].to_numpy().view(np.uint64))
-    order = np.argsort(grams)
-    maps = [_map_of(c.filter("kept"), "ctx") for c, _ in levels]
-    model = spark.sparkContext.broadcast((root, maps, grams[order], top["change"].to_numpy()[order]))
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    counted = rows.filter("not held_out").select("text").mapInArrow(_count_words, "w long, n long")
+    codes = stored(counted.groupBy("w").agg(F.sum("n").alias("n")), "words")
+    root = Root(codes)
+    shared = spark.sparkContext.broadcast(root)
+    rare = _rows(stored(codes.mapInArrow(_rare_words(shared), f"b int, {ARRAYS}"), "rare"), WORDS)
+    levels = grow(rows, rare, codes, root, shared)
+    model = spark.sparkContext.broadcast(Settled(root, levels, spark))
     kind = rows.schema["id"].dataType.simpleString()
     part = stored(rows.mapInArrow(_scorer(model), (
-        f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long, "
-        "rare array<binary>, times array<int>, ctx array<long>, w array<long>, m array<int>")), "scored")
-    changes = _changes(part, pairs.drop("n"), contexts)
-    # Words beyond the most frequent ones: their counts come by a join.
-    rare = (part.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x"))
-            .select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-            .join(words, "word", "left"))
-    share = F.when(F.col("n").isNotNull(), F.log10((F.col("n") - root.discount) / max(root.n, 1))).otherwise(float(np.log10(root.unseen())))
-    rest = rare.groupBy("uid").agg(
-        F.sum(F.col("times") * share if root.n else F.lit(0.0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
+        f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long, b int, {ARRAYS}")), "scored")
+    more = _in_buckets([_rows(part.filter("b is not null"), SENT), rare, *(p for x in levels for p in x.parts)], _answer(shared),
+                       "uid long, more double, more_base double, more_known long")
+    more = more.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("more", "more_base", "more_known")))
     zero = F.lit(0.0)
-    return part.drop("rare", "times", "ctx", "w", "m").join(rest, "uid", "left").join(changes, "uid", "left").select(
+    return part.filter("uid is not null").select("uid", "id", "held_out", "n_tokens", "score", "base", "known").join(more, "uid", "left").select(
         "id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(root.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * float(np.log10(root.n + root.v + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", zero) + F.coalesce("change", zero)).alias("score"))
+        (F.col("score") + F.coalesce("more", zero)).alias("score"))
