@@ -30,6 +30,8 @@ Defined results: a null text is empty (its only token is the end); a null id is
 in training; rows are scored one by one, also when ids or texts repeat. Without
 training tokens every probability is one. A very long text is hashed in one piece
 by one task. Extra columns are ignored, also when called like columns of the result.
+Texts are numbered by partition and place, so ``docs`` must give the same rows in the
+same order when a lost task is run again, as a stored table does.
 """
 
 from __future__ import annotations
@@ -47,14 +49,14 @@ from workboard.llm.hashing import U, mix64, word_hashes
 MIN_COUNT = 16
 DEPTH = 3
 FREQUENT = 250_000
-FREQUENT_PAIRS = 1_000_000
+FREQUENT_PAIRS = 3_000_000
 FREQUENT_CONTEXTS = 500_000
 #: A task combines the pairs of this many tokens before it sends them.
 HELD_TOKENS = 2_000_000
 #: A task that scores sends its open tokens when it holds this many.
 HELD_OPEN = 500_000
 #: Tokens of the corpus per bucket.
-BUCKET_TOKENS = 100_000
+BUCKET_TOKENS = 400_000
 #: Bits of a map, as a power of two: sixteen per entry between these bounds.
 MAP_BITS = (16, 28)
 #: Bytes of text that a task hashes at a time (or one text).
@@ -62,7 +64,7 @@ PIECE = 8_000_000
 END_CODE = mix64(U(0x5DEECE66D) + np.zeros(1, np.uint64))[0]
 ARRAYS = "w array<long>, n array<long>, " + ", ".join(f"c{k} array<long>" for k in range(1, DEPTH + 1))
 #: Kinds of rows in a bucket: counts of words, then stored pairs and contexts per level, then pairs or open tokens.
-WORDS, PAIRS, CONTEXTS, SENT = 0, 10, 20, 30
+WORDS, PAIRS, CONTEXTS, SENT, TEXT = 0, 10, 20, 30, 40
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -116,12 +118,32 @@ def _contexts(codes: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``asked`` in the sorted ``keys``, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
+class Keys:
+    """Sorted hashes with an index by their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(len(keys).bit_length(), 1)
+        self.shift = U(64 - bits)
+        self.starts = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __len__(self):
+        return len(self.keys)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``asked`` (0 if missing), and whether they are there."""
+        at, there = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        if not len(self.keys) or not len(asked):
+            return at, there
+        slot = (asked >> self.shift).astype(np.int64)
+        spot, end, open_ = self.starts[slot], self.starts[slot + 1], np.arange(len(asked))
+        while len(open_):
+            some = spot < end
+            open_, spot, end = open_[some], spot[some], end[some]
+            hit = self.keys[spot] == asked[open_]
+            at[open_[hit]], there[open_[hit]] = spot[hit], True
+            open_, spot, end = open_[~hit], spot[~hit] + 1, end[~hit]
+        return at, there
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -173,7 +195,8 @@ class Root:
         self.discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
         self.buckets = max(64, -(-self.n // BUCKET_TOKENS))
         most = words.filter(_most(words, FREQUENT) | (F.col("w") == int(END_CODE.view(np.int64))))
-        self.words, self.counts = _sorted(most.toArrow(), "w", "n")
+        words, self.counts = _sorted(most.toArrow(), "w", "n")
+        self.words = Keys(words)
 
     def share(self, c: np.ndarray) -> np.ndarray:
         """The root's probability of words that training has ``c`` times (of any unseen word: one class)."""
@@ -218,6 +241,7 @@ def _packed(buckets: np.ndarray, arrays: list[np.ndarray]):
 
 
 NAMES = ["w", "n", *(f"c{k}" for k in range(1, DEPTH + 1))]
+RESULT = ["uid", "id", "held_out", "n_tokens", "score", "base", "known"]
 
 
 def _rare_words(root):
@@ -226,7 +250,7 @@ def _rare_words(root):
         r = root.value
         for batch in batches:
             words, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            none = ~_find(r.words, words)[1]
+            none = ~r.words.find(words)[1]
             words, n = words[none], n[none]
             if len(words):
                 yield pa.RecordBatch.from_arrays(_packed(r.bucket(np.zeros(len(words), bool), words, words), [words, n]), names=["b", *NAMES])
@@ -246,7 +270,7 @@ def _count_pairs(level: int, tried, root):
             some = order[first]
             n = 2 * np.add.reduceat(n[order], first) + np.maximum.reduceat(held[order], first)
             words, contexts = words[some], [c[some] for c in contexts]
-            b = r.bucket(_find(r.words, words)[1], contexts[0], words)
+            b = r.bucket(r.words.find(words)[1], contexts[0], words)
             return pa.RecordBatch.from_arrays(_packed(b, [words, n, *contexts]), names=["b", *NAMES])
 
         kept, size = [], 0
@@ -282,7 +306,7 @@ class Bucket:
         def by_key(kind, *names):
             keys, *others = of(kind, *names)
             order = np.argsort(keys.view(np.uint64))
-            return [keys.view(np.uint64)[order], *(x[order] for x in others)]
+            return [Keys(keys.view(np.uint64)[order]), *(x[order] for x in others)]
 
         self.rare = by_key(WORDS, "w", "n")
         self.pairs = [by_key(PAIRS + k, "w", "n") for k in range(1, DEPTH + 1)]
@@ -291,8 +315,8 @@ class Bucket:
 
     def counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words, and which of them are sent along to all tasks."""
-        at, frequent = _find(self.root.words, words)
-        spot, there = _find(self.rare[0], words)
+        at, frequent = self.root.words.find(words)
+        spot, there = self.rare[0].find(words)
         rare = np.where(there, self.rare[1][spot], 0) if len(self.rare[0]) else np.zeros(len(words), np.int64)
         return np.where(frequent, self.root.counts[at], rare) if len(self.root.words) else rare, frequent
 
@@ -303,9 +327,9 @@ class Bucket:
         """
         p = q = self.root.share(self.counts(words)[0])
         for context, (grams, n), (keys, total, d, kept) in zip(contexts, self.pairs, self.contexts):
-            at, there = _find(keys, context)
+            at, there = keys.find(context)
             if len(keys):
-                spot, found = _find(grams, _joined(context, words))
+                spot, found = grams.find(_joined(context, words))
                 count = np.where(found, n[spot], least) if len(grams) else least
                 q = np.where(there, count / np.maximum(total[at], 1), q)
                 p = np.where(there & (kept[at] > 0), (count + d[at] * p) / (total[at] + d[at]), p)
@@ -401,8 +425,9 @@ class Settled(Root):
             self.maps.append(Map(kept.select(F.col("ctx").alias("h")), kept.count()))
         count = pairs.count()
         self.pair_map = Map(pairs.select("h"), count)
-        self.grams, self.times = _sorted(pairs.filter(_most(pairs, FREQUENT_PAIRS)).toArrow(), "h", "n")
-        self.keys, self.total, self.d = _sorted(contexts.filter(_most(contexts, FREQUENT_CONTEXTS)).toArrow(), "ctx", "n", "d")
+        grams, self.times = _sorted(pairs.filter(_most(pairs, FREQUENT_PAIRS)).toArrow(), "h", "n")
+        keys, self.total, self.d = _sorted(contexts.filter(_most(contexts, FREQUENT_CONTEXTS)).toArrow(), "ctx", "n", "d")
+        self.grams, self.keys = Keys(grams), Keys(keys)
         self.all_contexts = len(self.keys) == contexts.count()
 
 
@@ -411,16 +436,16 @@ def _scorer(model):
     def score(batches):
         t = model.value
         uid = TaskContext.get().partitionId() << 40
-        names = ["uid", "id", "held_out", "n_tokens", "score", "base", "known", "b", *NAMES]
+        names = [*RESULT, "b", "kind", *NAMES]
         left, size = [], 0
 
         def send(kind):
             words, n, *contexts = (np.concatenate(x) for x in zip(*left))
-            b = t.bucket(_find(t.words, words)[1], contexts[0], words)
+            b = t.bucket(t.words.find(words)[1], contexts[0], words)
             columns = _packed(b, [words, n, *contexts])
             m = len(columns[0])
             empty = [pa.nulls(m, x) for x in (pa.int64(), kind, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-            return pa.RecordBatch.from_arrays([*empty, *columns], names=names)
+            return pa.RecordBatch.from_arrays([*empty, columns[0], pa.array(np.full(m, SENT, np.int32)), *columns[1:]], names=names)
 
         kind = pa.null()
         for batch in batches:
@@ -428,31 +453,37 @@ def _scorer(model):
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for first, m in _pieces(column):
                 codes, doc, place = _tokens(column.slice(first, m))
-                at, frequent = _find(t.words, codes)
+                at, frequent = t.words.find(codes)
                 c = np.where(frequent, t.counts[at], 0) if len(t.words) else np.zeros(len(codes), np.int64)
                 p, closed = t.share(c), frequent.copy()
                 least = np.where(held[first + doc], 0, 1)
+                # Deeper contexts are sent where they may be kept, the first always: it names the bucket.
+                sent = [np.zeros(len(codes), np.uint64) for _ in range(DEPTH)]
                 contexts = _contexts(codes, DEPTH)
+                sent[0] = np.where(place >= 1, contexts[0], U(0))
                 for level, (bits, context) in enumerate(zip(t.maps, contexts), 1):
                     hit = np.flatnonzero((place >= level) & bits.has(context))
-                    spot, there = _find(t.keys, context[hit])
+                    sent[level - 1][hit] = context[hit]
+                    spot, there = t.keys.find(context[hit])
                     if not t.all_contexts:
                         closed[hit[~there]] = False
                     hit, spot = hit[there], spot[there]
                     gram = _joined(context[hit], codes[hit])
-                    where, found = _find(t.grams, gram)
-                    closed[hit[~found & t.pair_map.has(gram)]] = False
-                    n = np.where(found, t.times[where], least[hit]) if len(t.grams) else least[hit]
+                    known = np.flatnonzero(t.pair_map.has(gram))
+                    where, found = t.grams.find(gram[known])
+                    closed[hit[known[~found]]] = False
+                    n = least[hit]
+                    n[known[found]] = t.times[where[found]]
                     p[hit] = (n + t.d[spot] * p[hit]) / (t.total[spot] + t.d[spot])
                 starts = np.flatnonzero(place == 0)
                 sums = [np.add.reduceat(x, starts) for x in (np.where(closed, np.log10(p), 0.0), np.where(frequent, np.log10(c + 1.0), 0.0),
                                                              frequent.astype(np.int64))]
                 some = np.flatnonzero(~closed)
-                left.append((codes[some], 2 * (uid + doc[some]) + least[some],
-                             *(np.where(place[some] >= k, x[some], U(0)) for k, x in enumerate(contexts, 1))))
+                left.append((codes[some], 2 * (uid + doc[some]) + least[some], *(x[some] for x in sent)))
                 size += len(some)
                 own = [pa.array(np.arange(uid, uid + m)), batch.column(0).slice(first, m), batch.column(1).slice(first, m),
-                       pa.array(np.bincount(doc, minlength=m)), *map(pa.array, sums), pa.nulls(m, pa.int32())]
+                       pa.array(np.bincount(doc, minlength=m)), *map(pa.array, sums),
+                       pa.array((np.arange(uid, uid + m) % t.buckets).astype(np.int32)), pa.array(np.full(m, TEXT, np.int32))]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(m, pa.list_(pa.int64()))] * len(NAMES)], names=names)
                 uid += m
                 if size > HELD_OPEN:
@@ -465,7 +496,7 @@ def _scorer(model):
 
 
 def _answer(root):
-    """Of a bucket: per text the sums of its open tokens."""
+    """Of a bucket: its texts, and per text the sums of its open tokens."""
     def answer(key, table):
         here = Bucket(table, root.value)
         words, n, *contexts = here.sent
@@ -476,7 +507,10 @@ def _answer(root):
         first = _runs(uid)
         sums = [np.add.reduceat(x[order], first) if len(first) else x for x in (
             np.log10(p), np.where(frequent, 0.0, np.log10(c + 1.0)), (~frequent & (c > 0)).astype(np.int64))]
-        return pa.table([pa.array(x) for x in (uid[first], *sums)], names=["uid", "more", "more_base", "more_known"])
+        texts = table.filter(pc.equal(table["kind"], TEXT)).select(RESULT)
+        columns = {"uid": uid[first], **dict(zip(RESULT[-3:], sums))}
+        return pa.concat_tables([texts, pa.table([pa.array(columns[f.name]) if f.name in columns else pa.nulls(len(first), f.type)
+                                                  for f in texts.schema], schema=texts.schema)])
 
     return answer
 
@@ -493,14 +527,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     levels = grow(rows, rare, codes, root, shared)
     model = spark.sparkContext.broadcast(Settled(root, levels, spark))
     kind = rows.schema["id"].dataType.simpleString()
-    part = stored(rows.mapInArrow(_scorer(model), (
-        f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long, b int, {ARRAYS}")), "scored")
-    more = _in_buckets([_rows(part.filter("b is not null"), SENT), rare, *(p for x in levels for p in x.parts)], _answer(shared),
-                       "uid long, more double, more_base double, more_known long")
-    more = more.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("more", "more_base", "more_known")))
-    zero = F.lit(0.0)
-    return part.filter("uid is not null").select("uid", "id", "held_out", "n_tokens", "score", "base", "known").join(more, "uid", "left").select(
-        "id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(root.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * float(np.log10(root.n + root.v + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", zero)).alias("score"))
+    result = f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long"
+    sent = rows.mapInArrow(_scorer(model), f"{result}, b int, kind int, {ARRAYS}")
+    parts = [p.select(*(F.lit(None).cast(sent.schema[c].dataType).alias(c) for c in RESULT), "*") for p in (rare, *(p for x in levels for p in x.parts))]
+    return (_in_buckets([sent, *parts], _answer(shared), result).groupBy("uid")
+            .agg(F.first("id", True).alias("id"), F.bool_or("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+                 *(F.sum(c).alias(c) for c in ("known", "base", "score")))
+            .select("id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(root.n).cast("long").alias("train_tokens"),
+                    (F.col("base") - F.col("n_tokens") * float(np.log10(root.n + root.v + 1))).alias("base_score"), "score"))
