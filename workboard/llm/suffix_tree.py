@@ -49,14 +49,14 @@ from workboard.llm.hashing import U, mix64, word_hashes
 MIN_COUNT = 16
 DEPTH = 3
 FREQUENT = 250_000
-FREQUENT_PAIRS = 3_000_000
+FREQUENT_PAIRS = 1_000_000
 FREQUENT_CONTEXTS = 500_000
 #: A task combines the pairs of this many tokens before it sends them.
 HELD_TOKENS = 2_000_000
 #: A task that scores sends its open tokens when it holds this many.
 HELD_OPEN = 500_000
 #: Tokens of the corpus per bucket.
-BUCKET_TOKENS = 400_000
+BUCKET_TOKENS = 1_000_000
 #: Bits of a map, as a power of two: sixteen per entry between these bounds.
 MAP_BITS = (16, 28)
 #: Bytes of text that a task hashes at a time (or one text).
@@ -125,7 +125,11 @@ class Keys:
         self.keys = keys
         bits = max(len(keys).bit_length(), 1)
         self.shift = U(64 - bits)
-        self.starts = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+    def __reduce__(self):  # the index is made again
+        return Keys, (self.keys,)
 
     def __len__(self):
         return len(self.keys)
@@ -193,7 +197,7 @@ class Root:
         self.n, self.v, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1),
                                                 F.count_if(F.col("n") == 2)).first()
         self.discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
-        self.buckets = max(64, -(-self.n // BUCKET_TOKENS))
+        self.buckets = max(24, -(-self.n // BUCKET_TOKENS))
         most = words.filter(_most(words, FREQUENT) | (F.col("w") == int(END_CODE.view(np.int64))))
         words, self.counts = _sorted(most.toArrow(), "w", "n")
         self.words = Keys(words)
@@ -425,9 +429,10 @@ class Settled(Root):
             self.maps.append(Map(kept.select(F.col("ctx").alias("h")), kept.count()))
         count = pairs.count()
         self.pair_map = Map(pairs.select("h"), count)
-        grams, self.times = _sorted(pairs.filter(_most(pairs, FREQUENT_PAIRS)).toArrow(), "h", "n")
+        grams, times = _sorted(pairs.filter(_most(pairs, FREQUENT_PAIRS)).toArrow(), "h", "n")
         keys, self.total, self.d = _sorted(contexts.filter(_most(contexts, FREQUENT_CONTEXTS)).toArrow(), "ctx", "n", "d")
         self.grams, self.keys = Keys(grams), Keys(keys)
+        self.times = times if times.max(initial=0) >= 1 << 31 else times.astype(np.int32)
         self.all_contexts = len(self.keys) == contexts.count()
 
 
