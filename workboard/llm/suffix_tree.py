@@ -52,15 +52,15 @@ FREQUENT = 250_000
 FREQUENT_PAIRS = 1_000_000
 FREQUENT_CONTEXTS = 500_000
 #: A task combines the pairs of this many tokens before it sends them.
-HELD_TOKENS = 2_000_000
+HELD_TOKENS = 1_000_000
 #: A task that scores sends its open tokens when it holds this many.
-HELD_OPEN = 500_000
+HELD_OPEN = 300_000
 #: Tokens of the corpus per bucket.
 BUCKET_TOKENS = 1_000_000
 #: Bits of a map, as a power of two: sixteen per entry between these bounds.
 MAP_BITS = (16, 28)
 #: Bytes of text that a task hashes at a time (or one text).
-PIECE = 8_000_000
+PIECE = 4_000_000
 END_CODE = mix64(U(0x5DEECE66D) + np.zeros(1, np.uint64))[0]
 ARRAYS = "w array<long>, n array<long>, " + ", ".join(f"c{k} array<long>" for k in range(1, DEPTH + 1))
 #: Kinds of rows in a bucket: counts of words, then stored pairs and contexts per level, then pairs or open tokens.
@@ -268,28 +268,30 @@ def _count_pairs(level: int, tried, root):
         r, tries = root.value, tried.value
 
         def send():
-            gram, words, n, held, *contexts = (np.concatenate(x) for x in zip(*kept))
+            words, away, *contexts = (np.concatenate(x) for x in zip(*kept))
+            kept.clear()
+            gram = _joined(contexts[-1], words)
             order = np.argsort(gram)
             first = _runs(gram[order])
+            away = away[order]
+            n = 2 * np.add.reduceat(~away, first, dtype=np.int64) + np.maximum.reduceat(away, first)
             some = order[first]
-            n = 2 * np.add.reduceat(n[order], first) + np.maximum.reduceat(held[order], first)
             words, contexts = words[some], [c[some] for c in contexts]
             b = r.bucket(r.words.find(words)[1], contexts[0], words)
             return pa.RecordBatch.from_arrays(_packed(b, [words, n, *contexts]), names=["b", *NAMES])
 
         kept, size = [], 0
         for batch in batches:
-            column, out = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            column, out = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             for at, m in _pieces(column):
                 codes, doc, place = _tokens(column.slice(at, m))
                 contexts = _contexts(codes, level)
                 hit = np.flatnonzero((place >= level) & tries.has(contexts[-1]))
-                away = out[at + doc[hit]]
-                kept.append((_joined(contexts[-1][hit], codes[hit]), codes[hit], 1 - away, away, *(c[hit] for c in contexts)))
+                kept.append((codes[hit], out[at + doc[hit]], *(c[hit] for c in contexts)))
                 size += len(hit)
                 if size > HELD_TOKENS:
                     yield send()
-                    kept, size = [], 0
+                    size = 0
         if size:
             yield send()
 
@@ -305,7 +307,7 @@ class Bucket:
 
         def of(kind, *names):
             rows = table.filter(pa.array(kinds == kind))
-            return [rows[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in names]
+            return [rows[c].combine_chunks().flatten().to_numpy() for c in names]
 
         def by_key(kind, *names):
             keys, *others = of(kind, *names)
