@@ -62,7 +62,10 @@ MAP_BITS = (16, 28)
 #: Bytes of text that a task hashes at a time (or one text).
 PIECE = 4_000_000
 END_CODE = mix64(U(0x5DEECE66D) + np.zeros(1, np.uint64))[0]
-ARRAYS = "w array<long>, n array<long>, " + ", ".join(f"c{k} array<long>" for k in range(1, DEPTH + 1))
+#: Columns of the rows in a bucket: words or other keys, counts, contexts; each an array of 64-bit numbers, packed.
+NAMES = ["w", "n", *(f"c{k}" for k in range(1, DEPTH + 1))]
+ARRAYS = ", ".join(f"{c} binary" for c in NAMES)
+RESULT = ["uid", "id", "held_out", "n_tokens", "score", "base", "known"]
 #: Kinds of rows in a bucket: counts of words, then stored pairs and contexts per level, then pairs or open tokens.
 WORDS, PAIRS, CONTEXTS, SENT, TEXT = 0, 10, 20, 30, 40
 
@@ -208,6 +211,15 @@ class Root:
             return np.ones(len(c))
         return np.where(c > 0, c - self.discount, self.discount * self.v) / self.n
 
+    def short(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' places among those sent along, or the words (as hashes, these are larger), and which are places."""
+        at, there = self.words.find(words)
+        return np.where(there, at.astype(np.uint64), words), there
+
+    def full(self, words: np.ndarray) -> np.ndarray:
+        there = words < U(len(self.words))
+        return np.where(there, self.words.keys[np.where(there, words, U(0)).astype(np.int64)], words) if len(self.words) else words
+
     def bucket(self, frequent: np.ndarray, before: np.ndarray, words: np.ndarray) -> np.ndarray:
         return (np.where(frequent, _joined(before, words), mix64(words)) % U(self.buckets)).astype(np.int32)
 
@@ -234,18 +246,25 @@ def _count_words(batches):
         yield send()
 
 
-def _packed(buckets: np.ndarray, arrays: list[np.ndarray]):
-    """Arrays (w, n, c1, ...; missing ones empty) in rows per bucket, as columns of a record batch."""
-    order = np.lexsort((arrays[2] if len(arrays) > 2 else arrays[0], buckets))
-    first = _runs(buckets[order])
-    offsets = pa.array(np.append(first, len(order)).astype(np.int32))
-    empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(first) + 1, np.int32)), pa.array([], pa.int64()))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].view(np.int64))) for x in arrays]
-    return [pa.array(buckets[order][first]), *lists, *[empty] * (2 + DEPTH - len(lists))]
+def _pack(x: np.ndarray) -> bytes:
+    """An array of 64-bit numbers, compressed by byte planes."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-NAMES = ["w", "n", *(f"c{k}" for k in range(1, DEPTH + 1))]
-RESULT = ["uid", "id", "held_out", "n_tokens", "score", "base", "known"]
+def _unpack(x: bytes) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
+
+
+def _packed(buckets: np.ndarray, arrays: list[np.ndarray]) -> list[pa.Array]:
+    """Arrays (w, n, c1, ...; missing ones null) in rows per bucket, as columns of a record batch."""
+    order = np.lexsort((arrays[2] if len(arrays) > 2 else arrays[0], buckets))
+    first = _runs(buckets[order])
+    ends = np.append(first, len(order))
+    rows = [pa.array([_pack(y[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()) for x in arrays for y in [x[order]]]
+    return [pa.array(buckets[order][first], pa.int32()), *rows, *[pa.nulls(len(first), pa.binary())] * (2 + DEPTH - len(rows))]
 
 
 def _rare_words(root):
@@ -277,8 +296,8 @@ def _count_pairs(level: int, tried, root):
             n = 2 * np.add.reduceat(~away, first, dtype=np.int64) + np.maximum.reduceat(away, first)
             some = order[first]
             words, contexts = words[some], [c[some] for c in contexts]
-            b = r.bucket(r.words.find(words)[1], contexts[0], words)
-            return pa.RecordBatch.from_arrays(_packed(b, [words, n, *contexts]), names=["b", *NAMES])
+            short, frequent = r.short(words)
+            return pa.RecordBatch.from_arrays(_packed(r.bucket(frequent, contexts[0], words), [short, n, *contexts]), names=["b", *NAMES])
 
         kept, size = [], 0
         for batch in batches:
@@ -306,8 +325,8 @@ class Bucket:
         self.root = root
 
         def of(kind, *names):
-            rows = table.filter(pa.array(kinds == kind))
-            return [rows[c].combine_chunks().flatten().to_numpy() for c in names]
+            rows = table.filter(pa.array(kinds == kind)).select(list(names))
+            return [np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py()) for x in c if x.is_valid)]) for c in rows.columns]
 
         def by_key(kind, *names):
             keys, *others = of(kind, *names)
@@ -317,7 +336,8 @@ class Bucket:
         self.rare = by_key(WORDS, "w", "n")
         self.pairs = [by_key(PAIRS + k, "w", "n") for k in range(1, DEPTH + 1)]
         self.contexts = [by_key(CONTEXTS + k, "w", "n", "c1", "c2") for k in range(1, DEPTH + 1)]
-        self.sent = [x.view(np.uint64) if k != 1 else x for k, x in enumerate(of(SENT, *NAMES))]
+        words, n, *contexts = of(SENT, *NAMES)
+        self.sent = [root.full(words.view(np.uint64)), n, *(x.view(np.uint64) for x in contexts)]
 
     def counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words, and which of them are sent along to all tasks."""
@@ -361,8 +381,10 @@ def _settle(level: int, root):
         order = np.argsort(contexts[-1])
         first = _runs(contexts[-1][order])
         sums = [np.add.reduceat(y[order], first) if len(first) else y[:0] for y in (n, (n > 0).astype(np.int64), x)]
-        lists = [gram[store].view(np.int64), n[store], contexts[-1][order][first].view(np.int64), *sums, longer.view(np.int64)]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([y], pa.list_(pa.from_numpy_dtype(y.dtype))) for y in lists)],
+        lists = [contexts[-1][order][first].view(np.int64), *sums, longer.view(np.int64)]
+        by_gram = np.flatnonzero(store)
+        pairs = [pa.array([_pack(x[by_gram])], pa.binary()) for x in (gram, n)]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *pairs, *(pa.array([y], pa.list_(pa.from_numpy_dtype(y.dtype))) for y in lists)],
                         names=["b", "w", "n", "ctx", "total", "d", "x", "longer"])
 
     return settle
@@ -370,7 +392,7 @@ def _settle(level: int, root):
 
 def _rows(df: DataFrame, kind: int) -> DataFrame:
     """Rows of arrays of one kind; what they lack is empty."""
-    none = F.array().cast("array<long>")
+    none = F.lit(None).cast("binary")
     return df.select("b", F.lit(kind).alias("kind"), *((F.col(c) if c in df.columns else none).alias(c) for c in NAMES))
 
 
@@ -391,13 +413,33 @@ class Level:
         gain = F.col("x") - F.col("total") * F.ln("total")  # total * KL
         self.contexts = stored(whole.filter(F.col("total") >= MIN_COUNT).select(
             "ctx", "total", "d", (gain > 0.5 * F.col("d") * F.ln("total")).alias("kept")), "contexts")
-        back = (parts.select("b", "ctx").join(self.contexts, "ctx")
-                .select("b", F.struct("ctx", "total", "d", F.col("kept").cast("long").alias("kept")).alias("x"))
-                .groupBy("b").agg(F.collect_list("x").alias("x")))
-        self.back = stored(back.select("b", F.col("x.ctx").alias("w"), F.col("x.total").alias("n"), F.col("x.d").alias("c1"),
-                                       F.col("x.kept").alias("c2")), "back")
-        self.pairs = settled.select(F.inline(F.arrays_zip("w", "n"))).withColumnRenamed("w", "h")
-        self.parts = [_rows(settled.select("b", "w", "n"), PAIRS + level), _rows(self.back, CONTEXTS + level)]
+        back = parts.select("b", "ctx").join(self.contexts, "ctx").select("b", "ctx", "total", "d", F.col("kept").cast("long").alias("kept"))
+        self.back = stored(back.groupBy("b").applyInArrow(_pack_contexts, "b int, all boolean, w binary, n binary, c1 binary, c2 binary"), "back")
+        self.pairs = settled.select("w", "n").mapInArrow(_pair_rows, "h long, n long")
+        self.level = level
+
+    def parts(self, every: bool = False) -> list[DataFrame]:
+        """Rows of the buckets: the stored pairs and the contexts, kept ones or all."""
+        back = self.back.filter(F.col("all") if every else ~F.col("all"))
+        return [_rows(self.settled.select("b", "w", "n"), PAIRS + self.level), _rows(back, CONTEXTS + self.level)]
+
+
+def _pack_contexts(key, table):
+    """Of a bucket a row of all contexts and one of the kept ones."""
+    out = []
+    for every in (True, False):
+        some = table if every else table.filter(pc.equal(table["kept"], 1))
+        out.append([key[0].as_py(), every, *(_pack(some[c].to_numpy()) for c in ("ctx", "total", "d", "kept"))])
+    kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["b", "all", "w", "n", "c1", "c2"])
+
+
+def _pair_rows(batches):
+    for batch in batches:
+        for w, n in zip(batch.column(0), batch.column(1)):
+            w, n = _unpack(w.as_py()), _unpack(n.as_py())
+            for at in range(0, len(w), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(w[at: at + 100_000]), pa.array(n[at: at + 100_000])], names=["h", "n"])
 
 
 def grow(rows: DataFrame, rare: DataFrame, codes: DataFrame, root: Root, shared) -> list[Level]:
@@ -410,8 +452,8 @@ def grow(rows: DataFrame, rare: DataFrame, codes: DataFrame, root: Root, shared)
         if not count:
             break
         sent = rows.select("held_out", "text").mapInArrow(_count_pairs(level, context.broadcast(Map(tried, count)), shared), f"b int, {ARRAYS}")
-        settled = stored(_in_buckets([_rows(sent, SENT), rare, *(p for x in levels for p in x.parts)], _settle(level, shared),
-                                     "b int, w array<long>, n array<long>, ctx array<long>, total array<long>, d array<long>, "
+        settled = stored(_in_buckets([_rows(sent, SENT), rare, *(p for x in levels for p in x.parts(x is levels[-1]))], _settle(level, shared),
+                                     "b int, w binary, n binary, ctx array<long>, total array<long>, d array<long>, "
                                      "x array<double>, longer array<long>"), "pairs")
         levels.append(Level(level, settled))
         tried = settled.select(F.explode("longer").alias("h"))
@@ -448,8 +490,9 @@ def _scorer(model):
 
         def send(kind):
             words, n, *contexts = (np.concatenate(x) for x in zip(*left))
-            b = t.bucket(t.words.find(words)[1], contexts[0], words)
-            columns = _packed(b, [words, n, *contexts])
+            left.clear()
+            short, frequent = t.short(words)
+            columns = _packed(t.bucket(frequent, contexts[0], words), [short, n, *contexts])
             m = len(columns[0])
             empty = [pa.nulls(m, x) for x in (pa.int64(), kind, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
             return pa.RecordBatch.from_arrays([*empty, columns[0], pa.array(np.full(m, SENT, np.int32)), *columns[1:]], names=names)
@@ -491,11 +534,11 @@ def _scorer(model):
                 own = [pa.array(np.arange(uid, uid + m)), batch.column(0).slice(first, m), batch.column(1).slice(first, m),
                        pa.array(np.bincount(doc, minlength=m)), *map(pa.array, sums),
                        pa.array((np.arange(uid, uid + m) % t.buckets).astype(np.int32)), pa.array(np.full(m, TEXT, np.int32))]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(m, pa.list_(pa.int64()))] * len(NAMES)], names=names)
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(m, pa.binary())] * len(NAMES)], names=names)
                 uid += m
                 if size > HELD_OPEN:
                     yield send(kind)
-                    left, size = [], 0
+                    size = 0
         if size:
             yield send(kind)
 
@@ -536,7 +579,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = rows.schema["id"].dataType.simpleString()
     result = f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long"
     sent = rows.mapInArrow(_scorer(model), f"{result}, b int, kind int, {ARRAYS}")
-    parts = [p.select(*(F.lit(None).cast(sent.schema[c].dataType).alias(c) for c in RESULT), "*") for p in (rare, *(p for x in levels for p in x.parts))]
+    parts = [p.select(*(F.lit(None).cast(sent.schema[c].dataType).alias(c) for c in RESULT), "*") for p in (rare, *(p for x in levels for p in x.parts()))]
     return (_in_buckets([sent, *parts], _answer(shared), result).groupBy("uid")
             .agg(F.first("id", True).alias("id"), F.bool_or("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
                  *(F.sum(c).alias(c) for c in ("known", "base", "score")))
