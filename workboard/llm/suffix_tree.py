@@ -62,7 +62,7 @@ MAP_BITS = (16, 28)
 #: Bytes of text that a task hashes at a time (or one text).
 PIECE = 4_000_000
 END_CODE = mix64(U(0x5DEECE66D) + np.zeros(1, np.uint64))[0]
-#: Columns of the rows in a bucket: words or other keys, counts, contexts; each an array of 64-bit numbers, packed.
+#: Columns of the rows in a bucket: words or other keys, counts, words before (the latest first); each an array of 64-bit numbers, packed.
 NAMES = ["w", "n", *(f"c{k}" for k in range(1, DEPTH + 1))]
 ARRAYS = ", ".join(f"{c} binary" for c in NAMES)
 RESULT = ["uid", "id", "held_out", "n_tokens", "score", "base", "known"]
@@ -112,6 +112,26 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, doc, np.arange(len(codes)) - (np.cumsum(lens) - lens)[doc]
 
 
+#: Stands for a word before that is not sent.
+NONE = U(0xFFFFFFFFFFFFFFFF)
+
+
+def _before(codes: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Per level the word that is ``level`` places before each token (of its text from place ``level`` on)."""
+    return [np.concatenate([codes[:k], codes[:-k]])[: len(codes)] for k in range(1, depth + 1)]
+
+
+def _of_words(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Contexts from the words before, the latest first; 0 from the first one that is not sent."""
+    out = []
+    for k in range(1, len(before) + 1):
+        context = before[k - 1]
+        for w in reversed(before[: k - 1]):
+            context = _joined(context, w)
+        out.append(np.where(before[k - 1] == NONE, U(0), context))
+    return out
+
+
 def _contexts(codes: np.ndarray, depth: int) -> list[np.ndarray]:
     """Per level the hash of the ``level`` tokens before each token (of its text from place ``level`` on)."""
     out, gram = [], codes
@@ -287,17 +307,18 @@ def _count_pairs(level: int, tried, root):
         r, tries = root.value, tried.value
 
         def send():
-            words, away, *contexts = (np.concatenate(x) for x in zip(*kept))
+            words, away, *before = (np.concatenate(x) for x in zip(*kept))
             kept.clear()
-            gram = _joined(contexts[-1], words)
+            gram = _joined(_of_words(before)[-1], words)
             order = np.argsort(gram)
             first = _runs(gram[order])
             away = away[order]
             n = 2 * np.add.reduceat(~away, first, dtype=np.int64) + np.maximum.reduceat(away, first)
             some = order[first]
-            words, contexts = words[some], [c[some] for c in contexts]
+            words, before = words[some], [c[some] for c in before]
             short, frequent = r.short(words)
-            return pa.RecordBatch.from_arrays(_packed(r.bucket(frequent, contexts[0], words), [short, n, *contexts]), names=["b", *NAMES])
+            b = r.bucket(frequent, before[0], words)
+            return pa.RecordBatch.from_arrays(_packed(b, [short, n, *(r.short(x)[0] for x in before)]), names=["b", *NAMES])
 
         kept, size = [], 0
         for batch in batches:
@@ -306,7 +327,7 @@ def _count_pairs(level: int, tried, root):
                 codes, doc, place = _tokens(column.slice(at, m))
                 contexts = _contexts(codes, level)
                 hit = np.flatnonzero((place >= level) & tries.has(contexts[-1]))
-                kept.append((codes[hit], out[at + doc[hit]], *(c[hit] for c in contexts)))
+                kept.append((codes[hit], out[at + doc[hit]], *(c[hit] for c in _before(codes, level))))
                 size += len(hit)
                 if size > HELD_TOKENS:
                     yield send()
@@ -337,7 +358,8 @@ class Bucket:
         self.pairs = [by_key(PAIRS + k, "w", "n") for k in range(1, DEPTH + 1)]
         self.contexts = [by_key(CONTEXTS + k, "w", "n", "c1", "c2") for k in range(1, DEPTH + 1)]
         words, n, *contexts = of(SENT, *NAMES)
-        self.sent = [root.full(words.view(np.uint64)), n, *(x.view(np.uint64) for x in contexts)]
+        before = [root.full(x.view(np.uint64)) for x in contexts if len(x) == len(words)]
+        self.sent = [root.full(words.view(np.uint64)), n, *_of_words(before)]
 
     def counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words, and which of them are sent along to all tasks."""
@@ -489,10 +511,10 @@ def _scorer(model):
         left, size = [], 0
 
         def send(kind):
-            words, n, *contexts = (np.concatenate(x) for x in zip(*left))
+            words, n, *before = (np.concatenate(x) for x in zip(*left))
             left.clear()
             short, frequent = t.short(words)
-            columns = _packed(t.bucket(frequent, contexts[0], words), [short, n, *contexts])
+            columns = _packed(t.bucket(frequent, before[0], words), [short, n, *(t.short(x)[0] for x in before)])
             m = len(columns[0])
             empty = [pa.nulls(m, x) for x in (pa.int64(), kind, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
             return pa.RecordBatch.from_arrays([*empty, columns[0], pa.array(np.full(m, SENT, np.int32)), *columns[1:]], names=names)
@@ -507,13 +529,12 @@ def _scorer(model):
                 c = np.where(frequent, t.counts[at], 0) if len(t.words) else np.zeros(len(codes), np.int64)
                 p, closed = t.share(c), frequent.copy()
                 least = np.where(held[first + doc], 0, 1)
-                # Deeper contexts are sent where they may be kept, the first always: it names the bucket.
-                sent = [np.zeros(len(codes), np.uint64) for _ in range(DEPTH)]
+                # The words of the longest context that may be kept are sent, the first always: it names the bucket.
+                sent, deepest = _before(codes, DEPTH), np.ones(len(codes), np.int8)
                 contexts = _contexts(codes, DEPTH)
-                sent[0] = np.where(place >= 1, contexts[0], U(0))
                 for level, (bits, context) in enumerate(zip(t.maps, contexts), 1):
                     hit = np.flatnonzero((place >= level) & bits.has(context))
-                    sent[level - 1][hit] = context[hit]
+                    deepest[hit] = level
                     spot, there = t.keys.find(context[hit])
                     if not t.all_contexts:
                         closed[hit[~there]] = False
@@ -529,7 +550,7 @@ def _scorer(model):
                 sums = [np.add.reduceat(x, starts) for x in (np.where(closed, np.log10(p), 0.0), np.where(frequent, np.log10(c + 1.0), 0.0),
                                                              frequent.astype(np.int64))]
                 some = np.flatnonzero(~closed)
-                left.append((codes[some], 2 * (uid + doc[some]) + least[some], *(x[some] for x in sent)))
+                left.append((codes[some], 2 * (uid + doc[some]) + least[some], *(np.where(np.minimum(deepest, place)[some] >= k, x[some], NONE) for k, x in enumerate(sent, 1))))
                 size += len(some)
                 own = [pa.array(np.arange(uid, uid + m)), batch.column(0).slice(first, m), batch.column(1).slice(first, m),
                        pa.array(np.bincount(doc, minlength=m)), *map(pa.array, sums),
