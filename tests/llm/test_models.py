@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from workboard.llm import bilstm_crf, html_blocks, html_crf, pii, suffix_tree, toxicity
+from workboard.llm.common import hash_sample
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -144,13 +145,45 @@ def test_crf_on_held_out_layouts(spark):
 def test_crf_viterbi_is_best():
     import itertools
     g = np.random.default_rng(1)
-    page = [html_blocks.Block(t, ("div",), frozenset(), 0) for t in ("one.", "two", "three words here", "x")]
+    page = [html_blocks.Block(t, place, 0) for place in [html_blocks.blocks("<div>x")[0].place]
+            for t in ("one.", "two", "three words here", "x")]
     model = {"w": g.normal(0, 1, html_crf.SIZE), "tr": g.normal(0, 1, (2, 2)), "first": g.normal(0, 1, 2)}
     e = [sum(model["w"][s] for s in slots) for slots in html_crf._slots(page)]
     value = lambda y: model["first"][y[0]] + sum(e[i] * y[i] for i in range(4)) + sum(model["tr"][a, b] for a, b in zip(y, y[1:]))
     assert tuple(html_crf.decode(page, model)) == max(itertools.product((0, 1), repeat=4), key=value)
 
 
+def test_emissions_equal_the_sums_of_features(spark):
+    g = np.random.default_rng(4)
+    w = g.normal(0, 1, html_crf.SIZE).tolist()
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").orderBy("page_id").limit(20).collect()]
+    tags = "div p b a ul li section table td h1 form custom-x".split()
+    for _ in range(200):  # broken markup too
+        pages.append("".join(g.choice([f"<{t} class='n{int(g.integers(0, 4))}'>", f"</{t}>", " word © ", "tail."])
+                             for t in g.choice(tags, 40)))
+    for page in pages:
+        read = html_blocks.blocks(page)
+        wanted = [sum(w[s] for s in slots) for slots in html_crf._slots(read)]
+        assert np.allclose(html_crf.emissions(read, w), wanted)
+
+
+@pytest.mark.parametrize("page", [
+    "<article>" + "<div>" * 100_000 + "x", "<b><p>word " * 50_000, "".join(f"<x{i} class=c{i}>t" for i in range(50_000)) + "<p>end",
+    "<li><ul>" + "<div>" * 30_000 + "<option>a</option>" * 30_000, "<p>word</p> " * 100_000, "<table>" + "<tr><td>w" * 50_000,
+])
+def test_pages_of_any_depth_and_length_take_linear_time(page):
+    import time
+    model = {"w": [0.1] * html_crf.SIZE, "tr": np.zeros((2, 2)), "first": np.zeros(2)}
+    start = time.process_time()
+    assert html_crf.main_text(page, model) == "\n".join(b.text for b in html_blocks.blocks(page))
+    assert time.process_time() - start < 20
+
+
+def test_deep_and_long_pages_do_not_train(spark):
+    rows = [(1, "<article>" + "<i>" * 5_000 + "<p>x"), (2, "<article><p>" + "x" * html_crf.LONGEST)]
+    assert html_crf.fit(spark.createDataFrame(rows, "page_id long, html string")) == {}
+
+
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>", "k"), (2, None, None, "k"), (3, "u", "", "k"), (1, "u", "<nav>m</nav>", "k")],
                                "page_id long, url string, html string, text string")
@@ -194,6 +227,86 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(0 <= r.severity <= len(model["thresholds"]) for r in rows)
 
 
+def test_toxicity_features_and_score_equal_brute_force(spark):
+    """Evidence counted context by context, features counted word by word, severity from the definition."""
+    texts = []
+    g = np.random.default_rng(8)
+    plain = [f"{a}{b}" for a in "bcdfg" for b in ("alo", "eni", "ort", "usk", "imp")]
+    for i in range(400):
+        words = list(g.choice(plain, 30))
+        if i % 4 == 0:
+            words = [x for w in words for x in (w, str(g.choice(["vile", "vilest", "grobian"])))][:50]
+        texts.append((i, " ".join(words).title() + "!", int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(None, None), (900, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    sample = {re.sub(r"[^a-z0-9]+", " ", t.lower()).strip(): y for _, t, y in texts}
+    contexts = collections.defaultdict(lambda: 1)
+    for t, y in sample.items():
+        ws = t.split()
+        for before, w in zip(["", *ws], ws):
+            contexts[before, w] = min(contexts[before, w], y)
+    n, k = collections.Counter(), collections.Counter()
+    for (_, w), toxic in contexts.items():
+        for f in [f" {w} ", *(f" {w[:p]}" for p in toxicity.PREFIXES if len(w) >= p)]:
+            n[f] += 1
+            k[f] += toxic
+    N, K = len(contexts), sum(contexts.values())
+
+    def ratio(f):
+        def part(a, b, p):
+            return (a * math.log(p) if a else 0) + ((b - a) * math.log(1 - p) if b > a else 0)
+        p1, p2 = k[f] / n[f], (K - k[f]) / (N - n[f])
+        both = part(k[f], n[f], K / N) + part(K - k[f], N - n[f], K / N)
+        return 2 * (part(k[f], n[f], p1) + part(K - k[f], N - n[f], p2) - both) if p1 > p2 else 0.0
+
+    strong = [f for f in n if k[f] > 3 and k[f] * N > 2 * n[f] * K and ratio(f) >= toxicity.LEAST_EVIDENCE]
+    chosen = []
+    for f in sorted(strong, key=lambda f: (-round(ratio(f), 6), f.endswith(" "), -len(f), f)):
+        if not any(f.startswith(c) or c.startswith(f) for c in chosen):
+            chosen.append(f)
+    assert chosen and list(model["features"]) == chosen
+    for r in toxicity.score(docs, model).collect():
+        text = f" {re.sub(r'[^a-z0-9]+', ' ', (r.text or '').lower()).strip()} ".replace("  ", " ")
+        z = 0.0
+        for i, f in enumerate(chosen):
+            c = sum(text.startswith(f, at) for at in range(len(text)))
+            z += math.log1p(c) * model["weights"][i] + (c > 0) * model["weights"][len(chosen) + i]
+        over = [1 / (1 + math.exp(-(z - t))) for t in model["thresholds"]]
+        assert abs(r.severity - sum(over)) < 1e-9 and abs(r.p_toxic - over[0]) < 1e-9
+        assert r.toxic == (r.doc_id is not None and r.doc_id < 400 and r.doc_id % 4 == 0)
+
+
+def test_toxicity_sample_is_bounded_under_a_hot_id(spark, monkeypatch):
+    """One labelled id on most rows brings one document, the same under any partitioning."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    seen = []
+    monkeypatch.setattr(toxicity, "stored", lambda df, tag: seen.append(df.cache()) or seen[-1])
+    rows = [(0, f"text {i}") for i in range(2900)] + [(i, f"other {i}") for i in range(1, 100)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(0, 1), (None, 1)], "doc_id long, toxic int")
+    for parts in (1, 7):
+        toxicity.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), labels.repartition(parts))
+    assert seen[0].count() <= 10 and sorted(seen[0].collect()) == sorted(seen[1].collect())
+
+
+def test_toxicity_long_text(spark):
+    model = {"features": (" vile",), "weights": np.array([1.0, 1.0]), "thresholds": np.array([2.0])}
+    docs = spark.createDataFrame([(1, "vile " * 400_000), (2, "a" * 2_000_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert rows[1].toxic and not rows[2].toxic
+
+
+def test_hash_sample(spark):
+    """The same rows under any partitioning, nulls without advantage, repeated rows once."""
+    rows = [(None, f"n{i}") for i in range(1000)] + [(i, f"t{i}") for i in range(2000)] + [(7, "again")] * 1500
+    df = spark.createDataFrame(rows, "k long, t string")
+    first = hash_sample(df.repartition(3), 200).collect()
+    assert first == hash_sample(df.repartition(11, "t"), 200).collect()
+    assert 150 <= len(first) == len(set(first)) <= 200
+    assert 0.2 * len(first) < sum(r.k is None for r in first) < 0.48 * len(first)
+    assert len(hash_sample(df, 10_000).collect()) == 3001 and hash_sample(df.limit(0), 5).collect() == []
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (2, "x", "c"), (None, "y", "d")], "doc_id long, text string, normal string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -72,17 +72,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows of ``df``, those with the smallest hash of ``key``.
-
-    A filter on the hash leaves little more than ``rows`` before the ordering, so
-    each task and the driver see a bounded number whatever the size of the table.
+def hash_sample(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` different rows of ``df``, those with the smallest hash of all their columns.
+
+    The same rows under any partitioning: equal hashes are ordered by the columns, and
+    repeated rows count once. Rows with a null in some column are hashed by the
+    others, so that nulls have no advantage. A filter on the hash leaves little more
+    than ``rows`` before the ordering, so each task and the driver see a bounded number
+    whatever the size of the table.
     """
+    spot = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40))
     n = df.count()
     if n > rows:
         share = min(1.0, rows / n * 1.1 + 20 / n)
-        df = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
-    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(rows)
+        df = df.filter(spot < int(share * (1 << 40)))
+    return df.distinct().orderBy(spot, *df.columns).limit(rows)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -18,6 +18,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
           "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 # ... but not beyond these.
 SCOPE = frozenset("table ul ol dl select body html menu".split())
+LANDMARKS = frozenset("article main nav aside header footer form section".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[\"'>]")
@@ -25,10 +26,31 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _WORD = re.compile(r"[a-z]+")
 
 
+class Place:
+    """An open element, with a link to the one around it: what many blocks share is kept once."""
+
+    __slots__ = ("up", "tag", "names", "depth", "near", "path")
+
+    def __init__(self, up: Place | None, tag: str, names: tuple[str, ...], path: int):
+        self.up, self.tag, self.names, self.path = up, tag, names, path
+        self.depth: int = 0 if up is None else up.depth + 1
+        self.near: str = tag if tag in LANDMARKS else "" if up is None else up.near  # the nearest landmark
+
+    def above(self):
+        """This element and those around it, innermost first, without the page itself."""
+        at = self
+        while at.up is not None:
+            yield at
+            at = at.up
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        return tuple(p.tag for p in self.above())[::-1]
+
+
 class Block(NamedTuple):
     text: str
-    tags: tuple[str, ...]  # the block's ancestors, outermost first
-    names: frozenset[str]  # words of their class, id and role
+    place: Place  # the innermost element that holds it; equal ``path``, equal tags all the way up
     links: int  # characters inside links
 
 
@@ -53,10 +75,13 @@ def blocks(page: str) -> list[Block]:
     break is white space. White space becomes one space, references are decoded.
     Comments, scripts, styles and the head are dropped. Broken markup is read
     leniently: unclosed paragraphs end at the next block, unknown closing tags are
-    passed over.
+    passed over. The time is linear in the page, however deep its elements nest.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = [Place(None, "", (), 0)]
+    spots: dict[str, list[int]] = {}  # where in the stack each kind is open
+    scopes: list[int] = [0]  # where elements that closing does not pass are open
+    paths: dict[tuple[int, str], int] = {}
     pieces: list[str] = []
     linked = dropped = links = 0
 
@@ -66,24 +91,33 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                names = frozenset(w for _, own in stack for w in own)
-                out.append(Block(text, tuple(t for t, _ in stack), names, min(links, len(text))))
+                out.append(Block(text, stack[-1], min(links, len(text))))
         links = 0
 
+    def push(tag: str, names: tuple[str, ...]):
+        nonlocal linked, dropped
+        up = stack[-1]
+        spots.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append(Place(up, tag, names, paths.setdefault((up.path, tag), len(paths) + 1)))
+        linked += tag == "a"
+        dropped += tag in DROPPED
+
     def pop(to: int):
         nonlocal linked, dropped
-        for tag, _ in stack[to:]:
+        while len(stack) > to:
+            tag = stack.pop().tag
+            spots[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
             linked -= tag == "a"
             dropped -= tag in DROPPED
-        del stack[to:]
 
     def close(kinds) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in kinds:
-                pop(k)
-                return
-            if stack[k][0] in SCOPE:
-                return
+        last = max((spots[k][-1] for k in kinds if spots.get(k)), default=0)
+        if last > scopes[-1]:
+            pop(last)
 
     at, n = 0, len(page)
     while at < n:
@@ -118,17 +152,14 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
         if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if spots.get(tag):
+                pop(spots[tag][-1])
             continue
         attrs = page[m.end(): at - 1]
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in BLOCK:
-            if any(t == "p" for t, _ in stack):
-                close(("p",))
+            close(("p",))
             if tag in CLOSES:
                 for _ in CLOSES[tag]:
                     close(CLOSES[tag])
@@ -138,17 +169,15 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(f"</{tag}\\b", re.I).search(page, at)
             stop = end.start() if end else n
             if tag == "textarea" and not dropped:
-                stack.append((tag, ()))
+                push(tag, ())
                 pieces.append(page[at:stop])
                 flush()
-                stack.pop()
+                pop(len(stack) - 1)
             at = _tag_end(page, stop + 2) if end else n
             continue
         own: tuple[str, ...] = ()
         if "=" in attrs:
             own = tuple(w for a in _ATTR.finditer(attrs) for w in _WORD.findall((a.group(2) or a.group(3) or a.group(4) or "").lower()))
-        stack.append((tag, own))
-        linked += tag == "a"
-        dropped += tag in DROPPED
+        push(tag, own)
     flush()
     return out

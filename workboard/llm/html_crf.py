@@ -6,15 +6,18 @@ the text (length, links, marks); transition weights join neighbours. Training ma
 the likelihood of labelled pages, decoding is by Viterbi. The main text is the
 blocks labelled main, in page order, joined by line breaks.
 
-Labelled pages: at most SAMPLE pages of the table (smallest hash of the id; a
-documented bound) that mark their article with an element of that kind; each
-also lends its blocks to LAYOUTS other pages built from them, in which the same
+Labelled pages: at most SAMPLE pages of the table (smallest hash of id and html; a
+documented bound) that mark their article with an element of that kind, have at
+most LONGEST characters and nest at most DEEPEST elements; each also lends its blocks to LAYOUTS other pages built from them, in which the same
 texts stand in other common layouts (containers named by class only, side bars,
 notices, forms, reader comments, adverts inside the article), labelled by how
 they were built.
 
 Defined results: null html is empty; a page without blocks has the empty text;
-without any labelled page nothing is main text. Extra columns pass through.
+without any labelled page nothing is main text; repeated rows stay, each with its
+result, and train once; pages of any length and depth are read whole, in linear time
+(a page is one task's work). Extra columns pass through; input columns ``text`` and
+``n_chars`` give way to the results.
 """
 
 from __future__ import annotations
@@ -31,36 +34,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from workboard.llm.common import hash_sample
-from workboard.llm.html_blocks import Block, blocks
+from workboard.llm.html_blocks import Block, Place, blocks
 
 SAMPLE = 200
 LAYOUTS = 3
+LONGEST = 1 << 18
+DEEPEST = 100
 SIZE = 1 << 14
-LANDMARKS = frozenset("article main nav aside header footer form section".split())
 # Words that notices and page furniture are made of.
 CUES = frozenset("""cookie cookies subscribe newsletter login sign share comment comments reply advertisement sponsored
 copyright privacy terms menu home search related accept rights reserved posted follow""".split())
 
 
+def _own(b: Block, before: Block | None) -> list[str]:
+    """The features of a block but for those of the elements around it."""
+    words = b.text.split()
+    f = ["bias", f"parent:{b.place.tag}", f"words:{min(len(words), 255).bit_length()}", f"links:{4 * b.links // len(b.text)}",
+         f"ends:{b.text[-1] in '.!?…»”'}", f"commas:{min(b.text.count(','), 7).bit_length()}", f"near:{b.place.near}"]
+    if len(words) <= 40:
+        f += [f"cue:{w}" for w in {w.strip(".,:!?").lower() for w in words} & CUES]
+    if "©" in b.text:
+        f.append("copyright")
+    if before is not None and before.place.path == b.place.path:
+        f.append("same place as before")
+    return f
+
+
+def _around(place: Place) -> list[str]:
+    """The features that one element gives to all blocks inside it."""
+    return ([] if place.tag in ("html", "body") else [f"in:{place.tag}"]) + [f"name:{w}" for w in place.names]
+
+
 def features(page: list[Block]) -> list[list[str]]:
-    """The features of every block of a page."""
-    out = []
-    for i, b in enumerate(page):
-        words = b.text.split()
-        n = len(b.text)
-        f = ["bias", f"parent:{b.tags[-1] if b.tags else ''}", f"words:{min(len(words), 255).bit_length()}", f"links:{4 * b.links // n}",
-             f"ends:{b.text[-1] in '.!?…»”'}", f"commas:{min(b.text.count(','), 7).bit_length()}"]
-        f.append(f"near:{next((t for t in reversed(b.tags) if t in LANDMARKS), '')}")
-        f += [f"in:{t}" for t in set(b.tags) - {"html", "body"}]
-        f += [f"name:{w}" for w in b.names]
-        if len(words) <= 40:
-            f += [f"cue:{w}" for w in {w.strip(".,:!?").lower() for w in words} & CUES]
-        if "©" in b.text:
-            f.append("copyright")
-        if i and page[i - 1].tags == b.tags:
-            f.append("same place as before")
-        out.append(f)
-    return out
+    """The features of every block of a page (training; :func:`emissions` scores pages of any depth)."""
+    return [[*_own(b, page[i - 1] if i else None), *{f for p in b.place.above() for f in _around(p)}] for i, b in enumerate(page)]
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -76,15 +83,17 @@ _OFF_NAMES = frozenset("ad ads advert comment comments share sidebar related pro
 
 def own_labels(page: list[Block]) -> list[int] | None:
     """Labels of a page that marks its article itself; None if it doesn't."""
-    if not any("article" in b.tags or "main" in b.tags for b in page):
+    tags = {p.tag for b in page for p in b.place.above()}
+    if not tags & {"article", "main"}:
         return None
+    mark = "article" if "article" in tags else "main"
     out = []
-    mark = "article" if any("article" in b.tags for b in page) else "main"
     for b in page:
-        inside = b.tags[b.tags.index(mark) + 1:] if mark in b.tags else None
-        title = inside is not None and b.tags[-1] in ("h1", "h2")
-        off = inside is None or (any(t in _OFF for t in inside) and not title) or bool(b.names & _OFF_NAMES)
-        out.append(int(not off))
+        path = b.place.tags
+        inside = path[path.index(mark) + 1:] if mark in path else None
+        title = inside is not None and path[-1] in ("h1", "h2")
+        off = inside is None or (any(t in _OFF for t in inside) and not title)
+        out.append(int(not off and not any(_OFF_NAMES.intersection(p.names) for p in b.place.above())))
     return out
 
 
@@ -223,6 +232,8 @@ def training_pages(pages: list[str], seed: int = 5) -> list[tuple[list[Block], l
     out = []
     for page in pages:
         read = blocks(page)
+        if any(b.place.depth > DEEPEST for b in read):
+            continue
         labels = own_labels(read)
         if labels is None or not any(labels):
             continue
@@ -295,14 +306,50 @@ def train_crf(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, rid
     return p
 
 
+def emissions(page: list[Block], w) -> list[float]:
+    """The summed weights of every block's features, each slot once.
+
+    Blocks come in the order of the tree, so that leaving and entering elements from
+    one block to the next costs, over the page, a step per element and not per
+    element and block.
+    """
+    inside: dict[int, int] = {}  # slots of the elements around the current block
+    total, here, out = 0.0, None, []
+    for i, b in enumerate(page):
+        enter, leave, there = [], [], b.place
+        while here is not there:
+            if here is not None and here.depth >= there.depth:
+                leave.append(here)
+                here = here.up
+            else:
+                enter.append(there)
+                there = there.up
+                if there is None:
+                    break
+        for p in leave:
+            for s in {_slot(f) for f in _around(p)} if p.up is not None else ():
+                inside[s] -= 1
+                if not inside[s]:
+                    total -= w[s]
+                    del inside[s]
+        for p in enter:
+            for s in {_slot(f) for f in _around(p)} if p.up is not None else ():
+                if s not in inside:
+                    total += w[s]
+                inside[s] = inside.get(s, 0) + 1
+        total = total if inside else 0.0
+        here = b.place
+        out.append(total + sum(w[s] for s in {_slot(f) for f in _own(b, page[i - 1] if i else None)} if s not in inside))
+    return out
+
+
 def decode(page: list[Block], model: dict) -> list[int]:
     """The best label sequence (Viterbi)."""
     if not model or not page:
         return [0] * len(page)
     w, tr, first = model["w"], model["tr"].tolist(), model["first"].tolist()
     score, back = None, []
-    for slots in _slots(page):
-        e = sum(w[s] for s in slots)
+    for e in emissions(page, w):
         if score is None:
             score = (first[0], first[1] + e)
             continue
@@ -323,9 +370,10 @@ def main_text(page: str, model: dict) -> str:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict:
     """The model, from at most SAMPLE pages of the table that hold an article or main tag."""
-    marked = F.col(html_col).rlike(r"(?i)<(article|main)[\s/>]")
-    rows = hash_sample(pages.select(id_col, html_col).filter(marked), id_col, SAMPLE).collect()
-    return train_crf(training_pages([r[html_col] for r in rows]))
+    page = F.col(html_col)
+    marked = (F.length(page) <= LONGEST) & page.rlike(r"(?i)<(article|main)[\s/>]")
+    rows = hash_sample(pages.filter(marked).select(F.col(id_col).alias("i"), page.alias("h")), SAMPLE).collect()
+    return train_crf(training_pages([r.h for r in rows]))
 
 
 def _extractor(model: bytes, at: int):

@@ -178,7 +178,7 @@ def search(vectors: DataFrame, query_filter: Column, id_col: str = "vec_id", vec
             .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                     F.coalesce(query_filter, F.lit(False)).alias("asks"))
             .groupBy("id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks")))
-    sample = hash_sample(rows.select("id", "vec"), "id", SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
+    sample = hash_sample(rows.select("id", "vec"), SAMPLE).select("vec").toArrow()["vec"].combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = np.diff(sample.offsets.to_numpy())

@@ -6,10 +6,11 @@ labelled spans and adds what the patterns do not write down, such as other
 separators or a phone number without its plus sign. Base spans always stay; a
 model span that overlaps one is dropped.
 
-Labels: base spans of at most SAMPLE documents (those with the smallest hash of
-the id; a documented bound), in up to four short pieces each. Part of the training windows hold
-a variant of the span in another common notation, or a harmless number (date,
-version, amount, code) in its place.
+Labels: base spans of at most SAMPLE documents that hold a digit or an "@" (those with
+the smallest hash of id and pieces; a documented bound), in up to PIECES short pieces
+each; the first WINDOWS windows around them train (both bounds concern the fit alone).
+Part of the training windows hold a variant of the span in another common notation, or
+a harmless number (date, version, amount, code) in its place.
 
 The whole text is cut into windows of WIDTH characters that overlap by half.
 Every accepted span holds a digit or an "@", so windows with neither are passed
@@ -20,7 +21,9 @@ must look like its kind: see :func:`plausible`.
 
 Defined results: a null text is empty; positions are code points, end exclusive;
 rows without spans have the digest of the empty string. Without any base span to
-learn from, the model adds nothing. Extra columns pass through.
+learn from, the model adds nothing. Repeated rows stay, each with its result, and train
+once; null ids train like others. A very long text is one row's work, linear in its
+length. Extra columns pass through; input columns named like results give way to them.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ from workboard.llm.common import free_name, hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STEP = 64, 32
-SAMPLE = 20_000
+SAMPLE = 6_000
+PIECES = 4
 WINDOWS = 6_000
 RESULT = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
@@ -162,7 +166,7 @@ def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.n
     for text in texts:
         spans = base_spans(text)
         spots = [m.start() for m in re.finditer(r"[0-9@]+", text)]
-        for spot in spots[:4]:
+        for spot in spots[:PIECES]:
             if len(codes) >= WINDOWS:
                 break
             own = next((s for s in spans if s[1] <= spot < s[2]), None)
@@ -192,8 +196,8 @@ def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.n
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
     """The trained network, from pieces of at most SAMPLE documents."""
     text = F.col(text_col)
-    near = F.concat_ws("\n", F.slice(F.regexp_extract_all(text, F.lit(r"[^\n]{0,60}[0-9@][^\n]{0,100}"), F.lit(0)), 1, 4))
-    rows = hash_sample(docs.select(id_col, text_col), id_col, SAMPLE).filter(text.rlike("[0-9@]")).select(near.alias("t")).collect()
+    near = F.concat_ws("\n", F.slice(F.regexp_extract_all(text, F.lit(r"[^\n]{0,60}[0-9@][^\n]{0,100}"), F.lit(0)), 1, PIECES))
+    rows = hash_sample(docs.filter(text.rlike("[0-9@]")).select(F.col(id_col).alias("i"), near.alias("t")), SAMPLE).collect()
     codes, labels = training_windows([r.t for r in rows])
     if not len(codes) or not labels.any():
         return None

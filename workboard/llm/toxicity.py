@@ -18,11 +18,18 @@ features. Labels with grades of their own (a ``severity`` column) are used as
 they are.
 
 The classifier is fitted on at most SAMPLE labelled documents (those with the
-smallest hash of the id; a documented bound), all documents are scored.
-
-Defined results: a null text is empty; rows without a label or text do not train;
-without labels, or without evidence, every severity is 0 and nothing is toxic.
-Repeated texts train once. Extra columns pass through.
+smallest hash of id and label; a documented bound), all documents are scored, whole.
+The model's size is bounded too: of the features that toxic contexts hold more than
+twice as often as others, the CANDIDATES with the largest ratio are looked at and at
+most FEATURES kept; words of more than LONGEST_WORD letters count by their beginnings
+alone. These bounds shape the model; scoring leaves nothing out.
+
+Defined results: a null text is empty; rows without a label or text do not train; of
+several labels of one id the largest counts, of several texts of one id the one with
+the smallest hash trains; repeated texts train once. Without labels, or without
+evidence, every severity is 0 and nothing is toxic. Every row gets its score, repeated
+rows and null ids too. A very long text is one row's work, linear in its length.
+Extra columns pass through; input columns named like results give way to them.
 """
 
 from __future__ import annotations
@@ -43,6 +50,7 @@ SAMPLE = 10_000
 CANDIDATES = 4_000
 FEATURES = 500
 PREFIXES = (3, 4, 5, 6)
+LONGEST_WORD = 24
 GRADES = 3
 #: A feature needs this evidence (log-likelihood ratio).
 LEAST_EVIDENCE = 35.0
@@ -56,7 +64,7 @@ def normal(text: Column) -> Column:
 def _features(word: Column) -> Column:
     """The features that an occurrence of ``word`` has: itself and its beginnings."""
     n = F.length(word)
-    whole = F.when(n.between(2, 24), F.concat(F.lit(" "), word, F.lit(" ")))
+    whole = F.when(n.between(2, LONGEST_WORD), F.concat(F.lit(" "), word, F.lit(" ")))
     starts = [F.when(n >= k, F.concat(F.lit(" "), F.substring(word, 1, k))) for k in PREFIXES]
     return F.array_compact(F.array(whole, *starts))
 
@@ -163,10 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     none = {"features": (), "weights": np.zeros(0), "thresholds": np.zeros(0)}
     graded = "severity" in labels.columns
     some = hash_sample(labels.select(F.col(id_col).alias("i"), F.col("severity" if graded else label_col).cast("int").alias("y"))
-                       .filter("i is not null and y is not null"), "i", SAMPLE)
+                       .filter("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y")), SAMPLE)
+    # At most SAMPLE ids are broadcast, and each brings one document.
+    text = F.col(text_col).cast("string")
     sample = stored(
-        docs.select(F.col(id_col).alias("i"), text_col).join(F.broadcast(some), "i")  # at most SAMPLE rows
-        .filter(F.col(text_col).isNotNull()).select(normal(F.col(text_col)).alias("t"), "y")
+        docs.select(F.col(id_col).alias("i"), text.alias("t")).filter("t is not null").join(F.broadcast(some), "i")
+        .groupBy("i", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
+        .select(normal(F.col("t")).alias("t"), "y")
         .groupBy("t").agg(F.max("y").alias("y")), "toxicity-sample")
     n_all, n_toxic = sample.agg(F.count(F.lit(1)), F.sum((F.col("y") > 0).cast("int"))).first()
     if not n_all or not n_toxic or n_toxic == n_all:
