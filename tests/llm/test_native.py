@@ -104,7 +104,9 @@ def brute_contamination(docs, items):
     return sorted(out, key=repr)
 
 
-def test_winnowing_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [winnowing.BROADCAST_ROWS, 0])
+def test_winnowing_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(winnowing, "BROADCAST_ROWS", broadcast)
     a = " ".join(f"Alpha{k}" for k in range(30))
     b = " ".join(f"b{k % 4}" for k in range(20))
     items = [(1, a), (2, b), (3, "short one"), (4, None), (5, ""), (6, "É ü!"), (10, a), (None, "lone"), (3, "short one"), (7, "...")]
@@ -128,6 +130,47 @@ def test_winnowing_empty_tables(spark, docs, items):
     assert len(rows) == len(docs) and not any(r.contaminated for r in rows if not items)
 
 
+def test_fingerprints_are_window_minima(spark):
+    """Doubling gives the minimum of the hashes of every K words in a window; runs put equal neighbours together."""
+    import random
+    g = random.Random(5)
+    rows = [(i, [g.choice("abcdef") for _ in range(n)]) for i, n in enumerate([0, 1, 4, 5, 12, 13, 14, 40, 300])]
+    df = spark.createDataFrame(rows, "i int, w array<string>")
+    got = {r.i: r for r in df.select("i", "w", winnowing.fingerprints(df.w).alias("f"), winnowing.runs(df.w).alias("r")).collect()}
+    grams = df.select(F.explode("w").alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()
+    code = {r.w: r.h for r in grams}
+    seen = {}
+    for i, w in rows:
+        f, r = got[i].f, got[i].r
+        if len(w) < winnowing.WINDOW:
+            assert f is None and r is None
+            continue
+        assert len(f) == len(w) - winnowing.WINDOW + 1
+        assert [x for run in r for x in [run.fp] * (run.last - run.first + 1)] == f
+        assert all(a.fp != b.fp and a.last + 1 == b.first for a, b in zip(r, r[1:]))
+        for at, x in enumerate(f):  # equal windows, equal minima
+            assert seen.setdefault(tuple(code[v] for v in w[at: at + winnowing.WINDOW]), x) == x
+
+
+def test_winnowing_beyond_broadcast_shuffles_no_words(spark, monkeypatch):
+    plans = []
+    keep = winnowing.stored
+
+    def watch(df, tag):
+        if tag == "bench-spots":
+            plans.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return keep(df, tag)
+
+    monkeypatch.setattr(winnowing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(winnowing, "stored", watch)
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text)] * 50 + [(k, f"{k} {text}") for k in range(2, 9)], "doc_id long, text string")
+    out = winnowing.contamination(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert out.count() == 57 and out.filter("n_hit != 60").count() == 0
+    moved = [part for part in plans[0].split("\n\n") if "Exchange" in part.split("\n")[0]]
+    assert moved and not any("words#" in part or "text#" in part for part in moved)
+
+
 def test_winnowing_guarantee(spark):
     """Any shared 13 words share a fingerprint, wherever they stand."""
     words = [f"w{k * k % 97}" for k in range(200)]
