@@ -44,7 +44,8 @@ def words_of(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     # The upper-case letters count as word characters here: no lower-casing needed.
-    return F.regexp_count(whole_text(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    parts = F.split(whole_text(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.size(F.filter(parts, lambda w: w != "")).cast("long")
 
 
 def _spread(values: Column, width: int, op) -> Column:
