@@ -3,7 +3,7 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the last
 return the columns of ``docs``; rows with a null id or text pass every filter
-that has no evidence against them.
+that has no evidence against them (a repeat of another row is evidence).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workboard.llm import line_dedup, minhash, sentencepiece, toxicity, winnowing
-from workboard.llm.common import stored, table, text_key
+from workboard.llm.common import free_name, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +37,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8) stays: that with the smallest id.
 
-    Of rows that repeat this id one stays, that with the smallest hash of its content.
+    A document is an id with a text, named by a 64-bit hash of both, so different texts
+    under one id are different documents, and rows without an id take part like others
+    (one with an id stays before them). Of rows that repeat id and text one stays.
     """
-    groups = minhash.near_duplicates(docs, words=5)
-    gone = groups.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    # Rows with an id of their own (all of them, as a rule) need no comparison.
-    twice = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-                   .filter("n > 1").select("doc_id"), "repeated-ids")
-    first = (docs.join(twice, "doc_id").join(gone, "doc_id", "left_anti").groupBy("doc_id")
-             .agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), text_key(F.col("text"))).alias("row"))
-             .select("row.*"))
-    alone = docs.join(gone.unionByName(twice).distinct(), "doc_id", "left_anti").select(*docs.columns)
-    return alone.unionByName(first)
+    key = free_name(docs, "key")
+    named = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = stored(minhash.near_duplicates(named.select(key, "text"), id_col=key, words=5)
+                    .select(F.col("id").alias(key), F.col("component_id").alias("c")), "near-groups")
+    # Only rows that are not alone in their group go on: ids and hashes, no texts.
+    several = stored(groups.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "near-several")
+    crowd = stored(groups.join(several, "c").groupBy(key, "c").agg(F.count(F.lit(1)).alias("n")), "near-crowd")
+    first = (named.select("doc_id", key).join(crowd, key).groupBy("c")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key))[key].alias(key)))
+    first = stored(first, "near-first")
+    gone = crowd.join(first, key, "left_anti").select(key)
+    twice = crowd.filter("n > 1").join(first, key, "left_semi").select(key)
+    alone = named.join(stored(gone.unionByName(twice), "near-gone"), key, "left_anti").select(*docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    once = named.join(twice, key).groupBy(key).agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    return alone.unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
