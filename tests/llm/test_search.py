@@ -294,6 +294,23 @@ def test_pipeline_rules(spark):
     assert (9006, clean[2]) not in out["line dedup"] and 9010 not in dict(out["toxicity"])
 
 
+def test_near_duplicate_stage_keeps_clean_documents_of_one_id(spark):
+    """Different texts under one id all stay; copies go, without an id or repeated too; smallest id first."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    g = np.random.default_rng(14)
+    clean = [" ".join("".join(g.choice(list("abcdefgh"), 6)) for _ in range(80)) for _ in range(60)]
+    rows = [(0, t) for t in clean[:40]]
+    rows += [(5, clean[50]), (3, clean[50]), (None, clean[50]), (None, clean[51]), (None, clean[51]), (7, clean[52]), (7, clean[52]),
+             (None, clean[0]), (9, None), (9, None), (8, ""), (None, None), (2, clean[53] + " tail"), (6, clean[53])]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")
+    want = [(0, t) for t in clean[:40]] + [(3, clean[50]), (None, clean[51]), (7, clean[52]), (9, None), (8, ""), (None, None), (2, clean[53] + " tail")]
+    for parts in (2, 9):
+        out = pipeline.drop_near_duplicates(spark, df.repartition(parts), SMALL)
+        assert out.columns == df.columns
+        assert sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == sorted(want, key=repr)
+    assert pipeline.drop_near_duplicates(spark, df.limit(0), SMALL).collect() == []
+
+
 def test_entry_registers_every_operator():
     import __spark_entry__ as entry
     names = list(entry.queries())
