@@ -248,6 +248,16 @@ def test_unigram_scores_give_the_reference_ids(fallback):
     assert sentencepiece.read_model(data)["unigram"]
 
 
+def test_slices_hold_every_row_once():
+    import pyarrow as pa
+    texts = ["a" * int(n) for n in np.random.default_rng(1).integers(0, 9000, 700)] + [None, "", "b" * 3_000_000, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts = [p.column(0).to_pylist() for p in sentencepiece._slices(batch, 0)]
+    assert [t for p in parts for t in p] == texts and all(p for p in parts)
+    assert all(len(p) <= sentencepiece.SLICE_ROWS and (len(p) == 1 or sum(len(t or "") for t in p) <= sentencepiece.SLICE_BYTES) for p in parts)
+    assert list(sentencepiece._slices(batch.slice(0, 0), 0)) == []
+
+
 def test_encode_edges(spark):
     df = spark.createDataFrame([(1, "Hi there", 5), (2, None, 6), (3, "", 7), (1, "Hi there", 5), (4, "y" * 100_000, 8)],
                                "doc_id long, text string, n_tokens int")

@@ -29,6 +29,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads of one task's batch encoding.
 THREADS = 2
 MEMO_CHARS = 16_000_000
+#: Rows and bytes of text that are encoded together; a longer text is a part of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 MARK = "▁"
 # Kinds of pieces in the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -220,12 +223,24 @@ def _kept_encoder(data: bytes) -> Encoder:
     return Encoder(data)  # a worker's later tasks find the words of its earlier ones
 
 
+def _slices(batch: pa.RecordBatch, at: int):
+    """Parts of at most SLICE_ROWS rows and about SLICE_BYTES of text (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    first = held = 0
+    for k, size in enumerate(sizes):
+        if k > first and (k - first == SLICE_ROWS or held + size > SLICE_BYTES):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def _encoder(data: bytes, at: int):
     def encode(batches):
         encoder = _kept_encoder(data)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in _slices(batch, at):
                 ids = encoder([x or "" for x in part.column(at).to_pylist()])
                 flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
                 back = encoder.tok.decode_batch([flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])],
