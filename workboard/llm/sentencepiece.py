@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads of one task's batch encoding.
 THREADS = 2
-MEMO_CHARS = 16_000_000
+MEMO_CHARS = 8_000_000
 #: Rows and bytes of text that are encoded together; a longer text is a part of its own.
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 MARK = "▁"
