@@ -404,6 +404,20 @@ def test_suffix_tree_rare_words_join(spark, monkeypatch):
     assert {r.id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.score(df).collect()} == whole
 
 
+def test_suffix_tree_stores_what_scoring_reads(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(suffix_tree, "MIN_COUNT", 4)
+    docs = spark.createDataFrame([(i, " ".join(["a b c d e f", "b c d e g"][i % 2].split()[: 3 + i % 4])) for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(suffix_tree.common, "shared_dir", lambda _: str(tmp_path))
+    scored = suffix_tree.score(docs)
+    left = collections.defaultdict(list)
+    for path in tmp_path.iterdir():
+        left[path.name.split("-")[0]].append(spark.read.parquet(str(path)))
+    assert {tag: len(x) for tag, x in left.items()} == {"rare": 1, "pairs": suffix_tree.DEPTH, "back": suffix_tree.DEPTH}
+    assert all(x.columns == ["b", "w", "n"] for x in left["pairs"])
+    assert all(x.filter("all").isEmpty() for x in left["back"])
+    assert scored.count() == 200
+
+
 def test_suffix_tree_empty(spark):
     assert suffix_tree.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

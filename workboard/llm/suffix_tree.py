@@ -426,34 +426,48 @@ def _in_buckets(parts: list[DataFrame], fn, schema: str) -> DataFrame:
 
 
 class Level:
-    """The stored pairs of one level, the figures of its contexts, and both as rows of the buckets."""
+    """The stored pairs of one level, the figures of its contexts, and both as rows of the buckets.
 
-    def __init__(self, level: int, settled: DataFrame):
-        self.settled = settled
+    Contexts that are not kept stand in the buckets (if ``every``) until the next level is settled.
+    """
+
+    def __init__(self, level: int, settled: DataFrame, every: bool):
         parts = settled.select("b", F.inline(F.arrays_zip("ctx", "total", "d", "x")))
         whole = parts.groupBy("ctx").agg(F.sum("total").alias("total"), F.sum("d").alias("d"), F.sum("x").alias("x"))
         gain = F.col("x") - F.col("total") * F.ln("total")  # total * KL
         self.contexts = stored(whole.filter(F.col("total") >= MIN_COUNT).select(
             "ctx", "total", "d", (gain > 0.5 * F.col("d") * F.ln("total")).alias("kept")), "contexts")
-        back = parts.select("b", "ctx").join(self.contexts, "ctx").select("b", "ctx", "total", "d", F.col("kept").cast("long").alias("kept"))
-        self.back = stored(back.groupBy("b").applyInArrow(_pack_contexts, "b int, all boolean, w binary, n binary, c1 binary, c2 binary"), "back")
-        self.pairs = settled.select("w", "n").mapInArrow(_pair_rows, "h long, n long")
-        self.level = level
-
-    def parts(self, every: bool = False) -> list[DataFrame]:
-        """Rows of the buckets: the stored pairs and the contexts, kept ones or all."""
-        back = self.back.filter(F.col("all") if every else ~F.col("all"))
-        return [_rows(self.settled.select("b", "w", "n"), PAIRS + self.level), _rows(back, CONTEXTS + self.level)]
-
+        met = self.contexts if every else self.contexts.filter("kept")
+        back = parts.select("b", "ctx").join(met, "ctx").select("b", "ctx", "total", "d", F.col("kept").cast("long").alias("kept"))
+        self.back = stored(back.groupBy("b").applyInArrow(_pack_contexts(every), "b int, all boolean, w binary, n binary, c1 binary, c2 binary"), "back")
+        self.packed = stored(settled.select("b", "w", "n"), "pairs")
+        self.pairs = self.packed.select("w", "n").mapInArrow(_pair_rows, "h long, n long")
+        self.level, self.every = level, every
+
+    def keep(self) -> None:
+        """Let go of the contexts that are not kept."""
+        if self.every:
+            back, self.every = self.back, False
+            self.back = stored(back.filter(~F.col("all")), "back")
+            common.drop_stored(back)
+
+    def parts(self) -> list[DataFrame]:
+        """Rows of the buckets: the stored pairs and the contexts, all or kept ones."""
+        back = self.back.filter(F.col("all") if self.every else ~F.col("all"))
+        return [_rows(self.packed, PAIRS + self.level), _rows(back, CONTEXTS + self.level)]
+
+
+def _pack_contexts(every: bool):
+    """Of a bucket a row of the kept contexts and, if ``every``, one of all."""
+    def pack(key, table):
+        out = []
+        for all_ in (True, False) if every else (False,):
+            some = table if all_ else table.filter(pc.equal(table["kept"], 1))
+            out.append([key[0].as_py(), all_, *(_pack(some[c].to_numpy()) for c in ("ctx", "total", "d", "kept"))])
+        kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["b", "all", "w", "n", "c1", "c2"])
 
-def _pack_contexts(key, table):
-    """Of a bucket a row of all contexts and one of the kept ones."""
-    out = []
-    for every in (True, False):
-        some = table if every else table.filter(pc.equal(table["kept"], 1))
-        out.append([key[0].as_py(), every, *(_pack(some[c].to_numpy()) for c in ("ctx", "total", "d", "kept"))])
-    kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-    return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["b", "all", "w", "n", "c1", "c2"])
+    return pack
 
 
 def _pair_rows(batches):
@@ -469,16 +483,25 @@ def grow(rows: DataFrame, rare: DataFrame, codes: DataFrame, root: Root, shared)
     context = rows.sparkSession.sparkContext
     tried = codes.filter((F.col("n") >= MIN_COUNT) & (F.col("w") != int(END_CODE.view(np.int64)))).select(F.col("w").alias("h"))
     levels: list[Level] = []
+    settled = None
     for level in range(1, DEPTH + 1):
         count = tried.count()
         if not count:
             break
-        sent = rows.select("held_out", "text").mapInArrow(_count_pairs(level, context.broadcast(Map(tried, count)), shared), f"b int, {ARRAYS}")
-        settled = stored(_in_buckets([_rows(sent, SENT), rare, *(p for x in levels for p in x.parts(x is levels[-1]))], _settle(level, shared),
+        tries = context.broadcast(Map(tried, count))
+        if settled is not None:  # the level before has its own tables
+            common.drop_stored(settled)
+        sent = rows.select("held_out", "text").mapInArrow(_count_pairs(level, tries, shared), f"b int, {ARRAYS}")
+        settled = stored(_in_buckets([_rows(sent, SENT), rare, *(p for x in levels for p in x.parts())], _settle(level, shared),
                                      "b int, w binary, n binary, ctx array<long>, total array<long>, d array<long>, "
-                                     "x array<double>, longer array<long>"), "pairs")
-        levels.append(Level(level, settled))
+                                     "x array<double>, longer array<long>"), "settled")
+        if levels:
+            levels[-1].keep()
+        levels.append(Level(level, settled, level < DEPTH))
         tried = settled.select(F.explode("longer").alias("h"))
+    if levels:
+        common.drop_stored(settled)
+        levels[-1].keep()
     return levels
 
 
@@ -597,6 +620,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rare = _rows(stored(codes.mapInArrow(_rare_words(shared), f"b int, {ARRAYS}"), "rare"), WORDS)
     levels = grow(rows, rare, codes, root, shared)
     model = spark.sparkContext.broadcast(Settled(root, levels, spark))
+    for table in (codes, *(x.contexts for x in levels)):  # scoring reads the buckets' tables alone
+        common.drop_stored(table)
     kind = rows.schema["id"].dataType.simpleString()
     result = f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long"
     sent = rows.mapInArrow(_scorer(model), f"{result}, b int, kind int, {ARRAYS}")
