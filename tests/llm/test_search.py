@@ -258,6 +258,14 @@ def test_slices_hold_every_row_once():
     assert list(sentencepiece._slices(batch.slice(0, 0), 0)) == []
 
 
+def test_a_task_leaves_no_words_in_its_worker():
+    data = sentencepiece._load(sentencepiece.MODEL)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"word{i} and word{i + 1}" for i in range(600)])], names=["text"])
+    assert sum(x.num_rows for x in sentencepiece._encoder(data, 0)(iter([batch]))) == 600
+    kept = sentencepiece._kept_encoder(data)
+    assert not kept.at and not kept.chars and not len(kept.ids)
+
+
 def test_encode_edges(spark):
     df = spark.createDataFrame([(1, "Hi there", 5), (2, None, 6), (3, "", 7), (1, "Hi there", 5), (4, "y" * 100_000, 8)],
                                "doc_id long, text string, n_tokens int")

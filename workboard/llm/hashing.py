@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _piece_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words in ``data``; ``first`` marks the texts' first bytes."""
-    size = 1 << max(20, int(len(data)).bit_length())
+    size = 1 << max(18, int(len(data)).bit_length())
     up, down = _powers(size)
     white = _white()[data]
     before = np.empty_like(white)

@@ -11,7 +11,7 @@ texts equal those of the reference library.
 Where no piece has the marker after another character, no piece crosses into a
 new word. Normalised texts are then cut before each run of markers, each distinct
 word of a batch is encoded once (a task keeps up to MEMO_CHARS characters of
-words), and the ids of the texts are put together from those of the words. Other
+words, and lets go of them when it ends), and the ids of the texts are put together from those of the words. Other
 models (and those with user-defined pieces or without byte fallback) encode whole
 texts. Decoding always runs over the whole ids.
 
@@ -21,6 +21,7 @@ the empty text; extra columns pass through.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import itertools
 import os
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Threads of one task's batch encoding.
 THREADS = 2
-MEMO_CHARS = 8_000_000
+MEMO_CHARS = 2_000_000
 #: Rows and bytes of text that are encoded together; a longer text is a part of its own.
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 MARK = "▁"
@@ -185,6 +186,10 @@ class Encoder:
     def _forget(self):
         self.at, self.chars = {}, 0
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # What the library's threads and Arrow have freed goes back to the system.
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
     def _normalise(self, text: str) -> str:
         if self.plain:
@@ -220,7 +225,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=1)
 def _kept_encoder(data: bytes) -> Encoder:
-    return Encoder(data)  # a worker's later tasks find the words of its earlier ones
+    return Encoder(data)  # a worker's later tasks find the tokenizers, not the words
 
 
 def _slices(batch: pa.RecordBatch, at: int):
@@ -239,16 +244,19 @@ def _slices(batch: pa.RecordBatch, at: int):
 def _encoder(data: bytes, at: int):
     def encode(batches):
         encoder = _kept_encoder(data)
-        for batch in batches:
-            for part in _slices(batch, at):
-                ids = encoder([x or "" for x in part.column(at).to_pylist()])
-                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-                back = encoder.tok.decode_batch([flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])],
-                                                skip_special_tokens=False)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, ids, pa.array(np.diff(ends).astype(np.int64)),
-                     pa.array(back, pa.string())],
-                    names=[*batch.schema.names, "input_ids", "n_tokens", "decoded"])
+        try:
+            for batch in batches:
+                for part in _slices(batch, at):
+                    ids = encoder([x or "" for x in part.column(at).to_pylist()])
+                    flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+                    back = encoder.tok.decode_batch([flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])],
+                                                    skip_special_tokens=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, ids, pa.array(np.diff(ends).astype(np.int64)),
+                         pa.array(back, pa.string())],
+                        names=[*batch.schema.names, "input_ids", "n_tokens", "decoded"])
+        finally:
+            encoder._forget()  # the worker lives on, also through other stages
 
     return encode
 
