@@ -216,6 +216,9 @@ def _sorted(table: pa.Table, key: str, *others: str) -> tuple[np.ndarray, ...]:
 class Root:
     """Figures of all training words, and the counts of the most frequent ones."""
 
+    #: Contexts that a bucket knows besides its own: (keys, total, d, kept).
+    along: tuple = ()
+
     def __init__(self, words: DataFrame):
         self.n, self.v, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1),
                                                 F.count_if(F.col("n") == 2)).first()
@@ -374,11 +377,13 @@ class Bucket:
         ``least`` is the count of a pair that is not stored.
         """
         p = q = self.root.share(self.counts(words)[0])
-        for context, (grams, n), (keys, total, d, kept) in zip(contexts, self.pairs, self.contexts):
-            at, there = keys.find(context)
-            if len(keys):
+        for context, (grams, n), own in zip(contexts, self.pairs, self.contexts):
+            tables = [x for x in (own, *self.root.along) if len(x[0])]
+            if tables:
                 spot, found = grams.find(_joined(context, words))
                 count = np.where(found, n[spot], least) if len(grams) else least
+            for keys, total, d, kept in tables:  # a context stands in one of them
+                at, there = keys.find(context)
                 q = np.where(there, count / np.maximum(total[at], 1), q)
                 p = np.where(there & (kept[at] > 0), (count + d[at] * p) / (total[at] + d[at]), p)
         return p, q
@@ -451,6 +456,12 @@ class Level:
             self.back = stored(back.filter(~F.col("all")), "back")
             common.drop_stored(back)
 
+    def beyond(self, known) -> None:
+        """Let go of the contexts that are sent along to all tasks."""
+        back = self.back
+        self.back = stored(back.mapInArrow(_not_along(known), back.schema), "back")
+        common.drop_stored(back)
+
     def parts(self) -> list[DataFrame]:
         """Rows of the buckets: the stored pairs and the contexts, all or kept ones."""
         back = self.back.filter(F.col("all") if self.every else ~F.col("all"))
@@ -470,6 +481,19 @@ def _pack_contexts(every: bool):
     return pack
 
 
+def _not_along(known):
+    def rest(batches):
+        keys = known.value.along[0][0]
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = {c: _unpack(row[c]) for c in ("w", "n", "c1", "c2")}
+                none = ~keys.find(columns["w"].view(np.uint64))[1]
+                if none.any():
+                    yield pa.RecordBatch.from_pylist([{**row, **{c: _pack(x[none]) for c, x in columns.items()}}], batch.schema)
+
+    return rest
+
+
 def _pair_rows(batches):
     for batch in batches:
         for w, n in zip(batch.column(0), batch.column(1)):
@@ -525,6 +549,14 @@ class Settled(Root):
         self.all_contexts = len(self.keys) == contexts.count()
 
 
+class Known(Root):
+    """The root, and the kept contexts that are sent along."""
+
+    def __init__(self, settled: Settled):
+        self.__dict__.update({k: settled.__dict__[k] for k in ("n", "v", "discount", "buckets", "counts", "words")})
+        self.along = ((settled.keys, settled.total, settled.d, np.ones(len(settled.keys), np.int8)),)
+
+
 def _scorer(model):
     """Per text a row with the sums of its settled tokens, and rows per bucket of the others (``n``: twice the text, and one in training)."""
     def score(batches):
@@ -619,14 +651,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = spark.sparkContext.broadcast(root)
     rare = _rows(stored(codes.mapInArrow(_rare_words(shared), f"b int, {ARRAYS}"), "rare"), WORDS)
     levels = grow(rows, rare, codes, root, shared)
-    model = spark.sparkContext.broadcast(Settled(root, levels, spark))
+    settled = Settled(root, levels, spark)
+    model, known = spark.sparkContext.broadcast(settled), spark.sparkContext.broadcast(Known(settled))
+    for x in levels:
+        x.beyond(known)
     for table in (codes, *(x.contexts for x in levels)):  # scoring reads the buckets' tables alone
         common.drop_stored(table)
     kind = rows.schema["id"].dataType.simpleString()
     result = f"uid long, id {kind}, held_out boolean, n_tokens long, score double, base double, known long"
     sent = rows.mapInArrow(_scorer(model), f"{result}, b int, kind int, {ARRAYS}")
     parts = [p.select(*(F.lit(None).cast(sent.schema[c].dataType).alias(c) for c in RESULT), "*") for p in (rare, *(p for x in levels for p in x.parts()))]
-    return (_in_buckets([sent, *parts], _answer(shared), result).groupBy("uid")
+    return (_in_buckets([sent, *parts], _answer(known), result).groupBy("uid")
             .agg(F.first("id", True).alias("id"), F.bool_or("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
                  *(F.sum(c).alias(c) for c in ("known", "base", "score")))
             .select("id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(root.n).cast("long").alias("train_tokens"),
